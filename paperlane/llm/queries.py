@@ -4,19 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import mixing
+from .bpe import encode
+from .fingerprints import fingerprints, within_radius
 from .ngram_join import near_duplicates
 from .shared import table
+from .token_counts import token_counts
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary file, installed beside the tokenizer libraries on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of other distinct fingerprints of the table within 3 bits."""
+    prints = fingerprints(table(spark, sf_dir, "documents"))
+    pairs = within_radius(prints, 3)
+    near = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_within_3"))
+    return prints.join(near, "fingerprint", "left").withColumn("n_within_3", F.coalesce("n_within_3", F.lit(0)))
+
+
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op6_document_fingerprints, op8_bpe_encoding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE}
