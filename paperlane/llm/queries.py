@@ -10,6 +10,8 @@ from . import mixing
 from .bpe import encode
 from .fingerprints import fingerprints, within_radius
 from .ngram_join import near_duplicates
+from .pii import digests, personal_data
+from .quality import judged
 from .shared import table
 from .token_counts import token_counts
 
@@ -25,6 +27,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -46,8 +53,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op6_document_fingerprints, op8_bpe_encoding, op9_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_token_counts, op6_document_fingerprints, op8_bpe_encoding, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
