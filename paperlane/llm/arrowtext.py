@@ -79,11 +79,11 @@ def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _MULT)
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each row the index of its first word (one more at the end)."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each row the index of its first word (one more at the end). ``space`` marks the bytes between words."""
     if len(buf) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~SPACE[buf]
+    inside = ~space[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -69,13 +69,14 @@ def _boundary(docs: DataFrame, goals: DataFrame) -> DataFrame:
     return hit
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every document; null texts have size 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size of every document, and a struct ``row`` of the columns to carry along; null texts have size 0."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")] if carried else []
+    return docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def mixed(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row of sizes (doc_id, source, size).
+    """doc_id, source, size, source_size, target, copies of every row of sizes (doc_id, source, size; ``row`` is carried along).
 
     The sources' table is broadcast: one row a source. Null sources are one source; null ids and
     repeated rows are documents of their own; documents that share an id share their random number and
@@ -89,7 +90,7 @@ def mixed(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     rows = sizes.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     # q/(1+q) keeps the order of the ranks q and lies between 0 and 1
-    rows = written(rows.withColumn("q", odds).withColumn("place", F.coalesce(F.col("q") / (1 + F.col("q")), F.lit(0.0))), "ranked")
+    rows = rows.withColumn("q", odds).withColumn("place", F.coalesce(F.col("q") / (1 + F.col("q")), F.lit(0.0)))
     wanted = goals.filter("p > 0").select("goal_source", F.lit(0.0).alias("lo"), F.lit(1.0).alias("width"), F.lit(0).cast("long").alias("words_before"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("wanted"))
     part = rows.filter("p > 0").select("source", "size", "place")
     edge = written(_boundary(part, wanted), "boundary")
@@ -103,7 +104,7 @@ def mixed(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     last = rows.filter(F.coalesce(inside, F.lit(False)))  # a bin of a bin: a handful of documents a source
     w = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("through", F.col("edge_before") + F.sum("size").over(w)).withColumn("extra", (F.col("through") - F.col("size") / 2.0 <= F.col("edge_wanted")).cast("int")).drop("through")
-    return sure.unionByName(last).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)).cast("int").alias("copies"))
+    return sure.unionByName(last).select(*[c for c in ("row",) if c in sizes.columns], "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -111,6 +112,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return mixed(written(sized(docs), "sizes"), **options)
 
 
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all columns. Texts are written once, not shuffled."""
+    out = mixed(written(sized(docs, tuple(docs.columns)), "sizes"), **options).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, SUM(size)::BIGINT AS source_size FROM d GROUP BY source),

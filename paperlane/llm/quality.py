@@ -39,12 +39,17 @@ def _covered(windows: Column) -> Column:
     return let(let(by_hash, positions), words)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and statistics of every row. A null text counts as empty; empty texts have zeros."""
+def statistics(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and statistics of every row, and a struct ``row`` of the input columns to carry along.
+
+    A null text counts as empty; empty texts have zeros.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")] if carried else []
+    also = ["row"] if carried else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *row)
     rows = rows.select(
-        "doc_id",
+        "doc_id", *also,
         F.regexp_extract_all("text", F.lit(f"({WORD})"), 1).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORD)).alias("lines"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -61,7 +66,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("windows", F.when(F.size("words") >= 6, let(hashes, windows)).otherwise(F.array().cast("array<bigint>")))
     repeated = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"))).otherwise(0)
     return rows.select(
-        "doc_id",
+        "doc_id", *also,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -152,14 +157,14 @@ def verdict(rules: list[list[tuple[str, str, float]]]) -> Column:
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[list[tuple[str, str, float]]]]:
+def judged(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, list[list[tuple[str, str, float]]]]:
     """Statistics, base_failed, rule and kept of every row of docs (doc_id, text), and the rules.
 
     labels: doc_id, quality (1 good, 0 bad); rows with nulls teach nothing, of several for an id the
     mean counts. Without labels there are no rules and only the base decides. Repeated rows are
     judged alike; null ids are judged but teach nothing.
     """
-    stats = featured(written(statistics(docs), "statistics"))
+    stats = featured(written(statistics(docs, carried), "statistics"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna().groupBy("doc_id").agg((F.avg("quality") < 0.5).cast("int").alias("bad"))
     learning = stats.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).join(marks, "doc_id").select(*FEATURES, "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("pruning"))
     rules = learn_rules(written(learning, "labelled"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing
+from . import chat, masked_lm, mixing
 from .bpe import encode
 from .fingerprints import fingerprints, within_radius
 from .ngram_join import near_duplicates
@@ -14,6 +14,7 @@ from .pii import digests, personal_data
 from .quality import judged
 from .shared import table
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -27,6 +28,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -36,6 +41,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(chat.exchanges(table(spark, sf_dir, "conversations")))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the number of other distinct fingerprints of the table within 3 bits."""
     prints = fingerprints(table(spark, sf_dir, "documents"))
@@ -44,6 +53,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(near, "fingerprint", "left").withColumn("n_within_3", F.coalesce("n_within_3", F.lit(0)))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
@@ -58,8 +71,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_token_counts, op6_document_fingerprints, op8_bpe_encoding, op9_mixing, op10_pii)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_document_fingerprints, op7_lm_scoring, op8_bpe_encoding, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op5_chat_formatting": chat.ORACLE, "op9_mixing": mixing.ORACLE}
