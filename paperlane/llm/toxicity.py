@@ -121,12 +121,12 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, turns: int = 15) -> La
     return model
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, turns: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets, by Adam over all rows."""
-    w, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0
+def fit_linear(row: np.ndarray, col: np.ndarray, n_terms: int, target: np.ndarray, turns: int = 600, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets, by Adam over all rows; (row, col) are the terms that occur."""
+    w, m, v, n = np.zeros(n_terms + 1), 0.0, 0.0, len(target)
     for t in range(1, turns + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        g = np.append(x.T @ (p - target) / len(x) + decay * w[:-1], (p - target).mean())
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + w[-1], -30, 30)))
+        g = np.append(np.bincount(col, (p - target)[row], n_terms) / n + decay * w[:-1], (p - target).mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -209,16 +209,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), at.binaries(k.astype(np.int16), cuts), at.binaries(votes.ravel(), np.arange(j - i + 1) * N_PATTERNS)], ["toxic", "terms", "patterns"])
 
     got = sample.mapInArrow(vectors, "toxic boolean, terms binary, patterns binary").orderBy("toxic", "terms", "patterns").collect()  # the bounded sample
-    x = np.zeros((len(got), len(terms)), np.float32)
+    if not any(r.toxic for r in got) or all(r.toxic for r in got):  # the labels are of other documents
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))), None)
+    held = [np.frombuffer(r.terms, np.int16).astype(np.int64) for r in got]
     votes = np.zeros((len(got), 32 + 1 + N_PATTERNS), np.int8)
     for i, r in enumerate(got):
-        k = np.frombuffer(r.terms, np.int16)
-        x[i, k] = 1
+        k = held[i]
         votes[i, tier[k]] = 1
         votes[i, 32] = 0 if len(k) else -1  # a voter for texts without any leaning term
         votes[i, 33:] = np.frombuffer(r.patterns, np.int8)
     voters = fit_label_model(votes, np.array([r.toxic for r in got], float))
-    weights, bias = fit_linear(x, voters.posterior(votes))
+    weights, bias = fit_linear(np.repeat(np.arange(len(got)), [len(k) for k in held]), np.concatenate(held), len(terms), voters.posterior(votes))
     return Model(terms, weights, bias, voters)
 
 
