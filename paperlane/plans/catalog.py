@@ -1,13 +1,219 @@
-"""The registered queries and their SQL."""
+"""The registered queries: for each operator a Spark query over a whole table and the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from paperlane.functions import jsons as J, text as T
+from paperlane.operators import consensus, detections, evaluation, extraction, graph, tables
+from paperlane.sources import derived, objects
+
+from . import oracle as O
+
 FLAGSHIP = "eval_bundle"
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _put(name: str, query, sql: str | None = None) -> None:
+    _REGISTRY[name] = (query, sql)
+
+
+def _scalar(name: str, source: str, column: str, body: Callable[[Column], Column], sql: str, where: str | None = None) -> None:
+    """A query of one scalar function over a column of a derived table."""
+    read, prelude, key = {"samples": (derived.samples, f"{O.SAMPLES} SELECT k", "k"), "invoice": (derived.invoices, f"{O.INVOICE} SELECT k", "k"), "runs": (derived.runs, f"{O.RUNS} SELECT invoice_id, model_name, run_number", None)}[source]
+    table = "s" if source == "samples" else source
+    keys = [key] if key else tables.KEYS
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read(spark, sf_dir).select(*keys, body(F.col(column)).alias("value"))
+
+    _put(name, query, f"WITH {prelude}, {sql} AS value FROM {table}")
+
+
+def _texts() -> None:
+    joined = lambda c: F.array_join(c, "|")
+    n, a, d = "name_text", "amount_text", "date_text"
+    _scalar("str_company", "samples", n, T.company, O.company(n))
+    _scalar("str_company_key", "samples", n, T.company_key, O.key(n))
+    _scalar("str_title", "samples", n, lambda c: T.title_case(T.company_key(c)), O.title(O.key(n)))
+    _scalar("str_invoice_no", "samples", n, T.invoice_no, f"nullif(upper(regexp_replace({n}, '\\s+', '', 'g')), '')")
+    _scalar("str_csv_split", "samples", n, lambda c: joined(T.csv_parts(c)), f"array_to_string(list_filter(list_transform(string_split({n}, ','), lambda x: {O.tr('x')}), lambda x: x <> ''), '|')")
+    _scalar("str_prefix", "samples", n, lambda c: T.after_prefix(c, T.INVOICE_PREFIXES + T.COMPANY_PREFIXES), O.after(n, T.INVOICE_PREFIXES + T.COMPANY_PREFIXES))
+    t = O.tr(n)
+    bare = f"regexp_replace(regexp_replace({t}, '^```(json)?\\n?', ''), '```\\n?$', '')"
+    _scalar("str_fence", "samples", n, T.without_fence, f"CASE WHEN starts_with({t}, '```') THEN {O.tr(bare)} ELSE {t} END")
+    _scalar("str_truncate", "samples", n, T.truncated, f"CASE WHEN length({n}) > 500 THEN {n}[1:500] || '...' ELSE {n} END")
+    _scalar("str_prompt", "samples", n, lambda c: T.prompt("Read {{text}}.", c), f"'Read ' || COALESCE({n}, '') || '.'")
+    _scalar("flt_company", "samples", n, lambda c: T.plausible_company(c), f"length({n}) BETWEEN 3 AND 80 AND NOT regexp_matches({n}, '(?i)^.*\\d+\\s+.*\\b(?:road|street|ave|avenue|blvd|boulevard)\\b.*$')")
+    _scalar("amt_normalize", "samples", a, T.amount, O.amount(a))
+    _scalar("amt_consensus", "samples", a, T.amount_consensus, O.amount_consensus(a))
+    _scalar("amt_looks_like", "samples", a, T.looks_like_amount, f"regexp_matches({O.tr(a)}, '^\\d{{1,3}}(,\\d{{3}})*\\.\\d{{2}}$')")
+    _scalar("date_observed", "samples", d, T.date_observed, O.date_observed(d))
+    _scalar("date_ladder", "samples", d, T.date_ladder, O.date_ladder(d))
+    _scalar("date_consensus", "samples", d, T.date_consensus, O.date_consensus(d))
+    _scalar("mth_temperature", "runs", "run_number", T.temperature, "CASE run_number WHEN 2 THEN 0.3::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END")
+    r, inline = "raw_text", T.AMOUNT_INLINE
+    rewritten = f"CASE WHEN {r} IS NOT NULL THEN array_to_string(list_transform(list_zip(string_split_regex({r}, '{inline}'), regexp_extract_all({r}, '{inline}')), lambda z: z[1] || COALESCE({O.amount('z[2]')}, z[2], '')), '') END"
+    _scalar("amt_inline", "invoice", r, T.amounts_rewritten, rewritten)
+    _scalar("str_normalize_text", "invoice", r, T.text_normalised, O.company(rewritten))
+    found = f"list_transform(regexp_extract_all({r}, '{T.DATE_IN_TEXT}'), lambda v: {O.date_observed('v')})"
+    _scalar("date_extract", "invoice", r, lambda c: joined(F.array_sort(T.dates_in(c))), f"array_to_string(list_sort(list_distinct({found})), '|')")
+    labelled = f"list_transform(regexp_extract_all({r}, '{T.AMOUNT_LABELLED}', 1), lambda v: {O.amount('v')})"
+    _scalar("amt_labeled", "invoice", r, lambda c: joined(F.array_sort(T.amounts_labelled(c))), f"array_to_string(list_sort(list_distinct(list_filter({labelled}, lambda v: v IS NOT NULL))), '|')")
+    hit = rf"regexp_extract({r}, '{T.INVOICE_LABEL}[A-Z0-9\-]+')"
+    _scalar("str_invoice_label", "invoice", r, T.invoice_no_in, f"CASE WHEN {hit} <> '' THEN {O.tr(f'regexp_replace({hit}, {chr(39)}{T.INVOICE_LABEL}{chr(39)}, {chr(39)}{chr(39)})')} END")
+    _scalar("src_object_id", "invoice", "path", objects.document_id, r"regexp_extract(path, '([^/]*)\.[^./]*$', 1)")
+
+    def pages(spark, sf_dir):
+        return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", objects.base_name(F.col("url")).alias("base"), F.coalesce(objects.processable(F.concat("url", F.lit(".png"))), F.lit(False)).alias("taken"))
+
+    _put("src_processable", pages, r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_matches(regexp_extract(url || '.png', '([^/]*)$', 1), '^[^.].*\.[^.]+$') AS taken FROM pages")
+
+
+def _fields() -> None:
+    for f in J.FIELDS:
+        x = f.lower()
+        _scalar(f"json_field_set_{x}", "runs", "extracted_json", lambda c, f=f: F.array_join(F.array_sort(J.field_set(c, f)), "|"), f"COALESCE(array_to_string({O.field_set(f)}, '|'), '')")
+    _scalar("json_field_string", "runs", "extracted_json", lambda c: J.field_text(c, "INVOICE_NO"), O.field_text("INVOICE_NO"))
+    _scalar("json_raw_set", "runs", "extracted_json", lambda c: F.concat_ws("#", *[F.array_join(J.raw_set(c, f), "|") for f in ("INVOICE_NO", "DATE", "AMOUNT")]), "concat_ws('#', " + ", ".join(f"CASE WHEN extracted_json IS NOT NULL THEN array_to_string({O.raw_set(f)}, '|') END" for f in ("INVOICE_NO", "DATE", "AMOUNT")) + ")")
+    _scalar("json_valid", "runs", "extracted_json", J.valid, "COALESCE(json_valid(extracted_json), false)")
+
+    def replies(kind: str, body: Callable[[Column], Column]):
+        def query(spark, sf_dir):
+            runs = derived.runs(spark, sf_dir).filter("extracted_json is not null")
+            quoted = F.to_json(F.struct(F.col("extracted_json").alias("t")))
+            text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)  # the value as a JSON string
+            return runs.select(*tables.KEYS, body(F.concat(*[text if p == "@" else F.lit(p) for p in kind.split("~")])).alias("value"))
+
+        return query
+
+    def runs(value: str) -> str:
+        return f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, {value} AS value FROM runs WHERE extracted_json IS NOT NULL"
+
+    part = '{"candidates":[{"finishReason":"STOP","content":{"parts":[{"text":"old"},{"thought":true,"text":"hm"},{"text":~@~},{"text":" "}]}}],"usageMetadata":{"totalTokenCount":7}}'
+    _put("json_last_part", replies(part, J.last_part), runs("extracted_json"))
+    _put("json_stream_merge", replies(f"[{part},{part}]", J.stream_text), runs("'old' || extracted_json || 'old' || extracted_json"))
+    _put("json_tokens", replies(f"[{part}]", J.stream_tokens), runs("7"))
+    chat = '{"choices":[{"message":{"content":~@~}}],"usage":{"total_tokens":9}}'
+    _put("json_chat", replies(chat, J.chat_text), runs("extracted_json"))
+    _put("json_sse", replies('data: {"choices":[{"delta":{"content":~@~}}]}\n\ndata: {"choices":[{"delta":{"content":"!"}}],"usage":{"total_tokens":5}}\ndata: [DONE]\n', lambda c: F.concat(J.sse_text(c), J.sse_tokens(c).cast("string"))), runs("extracted_json || '!5'"))
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(derived.runs(spark, sf_dir))
+
+
+def _state() -> None:
+    inv = lambda s, d: derived.invoices(s, d)
+    w = f"WITH {O.INVOICE} "
+    _put("src_extraction_pending", lambda s, d: objects.awaiting_extraction(inv(s, d)).select("invoice_id", "path"), w + "SELECT invoice_id, path FROM invoice WHERE ocr_status = 'COMPLETED' AND extraction_status IS NULL")
+    _put("src_evaluation_pending", lambda s, d: objects.awaiting_evaluation(inv(s, d)), w + "SELECT invoice_id FROM invoice WHERE extraction_status = 'COMPLETED' AND evaluation_status IS NULL")
+    _put("src_ocr_pending", lambda s, d: objects.pending(inv(s, d).filter(objects.processable(F.col("path"))).select(objects.document_id(F.col("path")).alias("invoice_id"), "path"), inv(s, d).filter("ocr_status = 'COMPLETED'")), w + "SELECT invoice_id, path FROM invoice WHERE ocr_status <> 'COMPLETED'")
+    _put("src_unevaluated_ids", lambda s, d: objects.never_evaluated(derived.runs(s, d), inv(s, d).filter("evaluation_status = 'COMPLETED'")), f"WITH {O.INVOICE}, {O.RUNS} SELECT DISTINCT invoice_id FROM runs r WHERE status = 'COMPLETED' AND NOT EXISTS (SELECT 1 FROM invoice i WHERE i.invoice_id = r.invoice_id AND evaluation_status = 'COMPLETED')")
+    _put("prj_text_choice", lambda s, d: extraction.choice(inv(s, d)).select("invoice_id", "input_text"), w + "SELECT invoice_id, COALESCE(normalized_text, raw_text) AS input_text FROM invoice")
+    _put("flt_status", lambda s, d: inv(s, d).groupBy("ocr_status", "extraction_status", "evaluation_status").agg(F.count(F.lit(1)).alias("n")), w + "SELECT ocr_status, extraction_status, evaluation_status, COUNT(*) AS n FROM invoice GROUP BY ALL")
+
+    def upsert(s, d):
+        known = inv(s, d).filter("k % 2 = 0")
+        read = inv(s, d).filter("k % 3 = 0").select("invoice_id", F.concat("path", F.lit(".new")).alias("path"), F.when(F.col("k") % 5 > 0, F.lit("new text")).alias("raw_text"))
+        return tables.invoices_after_reading(known, read)
+
+    _put("snk_invoice_upsert", upsert, w + """, o AS (SELECT * FROM invoice WHERE k % 2 = 0), r AS (SELECT invoice_id, path || '.new' AS path, CASE WHEN k % 5 > 0 THEN 'new text' END AS raw_text FROM invoice WHERE k % 3 = 0)
+SELECT COALESCE(o.invoice_id, r.invoice_id) AS invoice_id, COALESCE(o.path, r.path) AS path, COALESCE(r.raw_text, o.raw_text) AS raw_text,
+  CASE WHEN r.invoice_id IS NULL THEN o.ocr_status WHEN r.raw_text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS ocr_status FROM o FULL JOIN r ON o.invoice_id = r.invoice_id""")
+
+    def evaluated(s, d):
+        results = derived.runs(s, d).filter("status = 'COMPLETED' and run_number = 1 and model_name = 'Beta'")
+        return tables.evaluated(inv(s, d), results, objects.awaiting_evaluation(inv(s, d)))
+
+    _put("snk_eval_status", evaluated, f"WITH {O.INVOICE}, {O.RUNS} SELECT i.invoice_id, CASE WHEN extraction_status = 'COMPLETED' AND evaluation_status IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.invoice_id = i.invoice_id AND status = 'COMPLETED' AND run_number = 1 AND model_name = 'Beta') THEN 'COMPLETED' ELSE 'SKIPPED' END ELSE evaluation_status END AS evaluation_status FROM invoice i")
+
+    def replaced(s, d):
+        runs = derived.runs(s, d).select(*tables.KEYS, "status")
+        return tables.upserted(runs.filter("run_number < 3"), runs.filter("run_number > 1 and model_name = 'Beta'").withColumn("status", F.lit("NEW")), tables.KEYS)
+
+    _put("snk_run_upsert", replaced, f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, CASE WHEN run_number > 1 AND model_name = 'Beta' THEN 'NEW' ELSE status END AS status FROM runs WHERE run_number < 3 OR model_name = 'Beta'")
+    models = lambda s: s.createDataFrame([("text model", 1, False), ("image model", 2, True)], "name string, ord int, reads_path boolean")
+    _put("join_fanout", lambda s, d: extraction.fan_out(inv(s, d), models(s)).select("invoice_id", "model_name", "run_number", "temperature", "status"), w + """SELECT invoice_id, m.name AS model_name, r.run AS run_number,
+  CASE WHEN m.path THEN 0.0::DOUBLE WHEN r.run = 2 THEN 0.3::DOUBLE WHEN r.run = 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS temperature, CASE WHEN NOT m.path AND COALESCE(normalized_text, raw_text, '') = '' THEN 'FAILED' END AS status
+FROM invoice CROSS JOIN (VALUES ('text model', false), ('image model', true)) m(name, path) CROSS JOIN (VALUES (1), (2), (3)) r(run)""")
+    _put("agg_failed_models", lambda s, d: extraction.failed_models(derived.runs(s, d).withColumn("status", F.when(F.col("extracted_json").contains("Inc."), "FAILED").otherwise(F.col("status")))), f"WITH {O.RUNS} SELECT invoice_id, model_name, COUNT(*) AS failed FROM runs WHERE status = 'FAILED' OR contains(extracted_json, 'Inc.') GROUP BY ALL HAVING COUNT(*) = 3")
+
+
+def _votes() -> None:
+    run = derived.runs
+    _put("agg_gt_candidates", lambda s, d: consensus.candidates(run(s, d), derived.invoices(s, d).filter("k % 7 = 0")).orderBy("invoice_id"), f"WITH {O.INVOICE}, {O.RUNS} SELECT invoice_id, COUNT(DISTINCT model_name) AS models FROM runs WHERE run_number = 1 AND upper(status) = 'COMPLETED' AND invoice_id NOT IN (SELECT invoice_id FROM invoice WHERE k % 7 = 0) GROUP BY 1 HAVING COUNT(DISTINCT model_name) >= 2")
+    _put("win_first_run_per_model", lambda s, d: consensus.first_runs(run(s, d)).select("invoice_id", F.col("key").alias("model_key"), "model_name"), f"WITH {O.FIRSTS} SELECT invoice_id, mkey AS model_key, model_name FROM firsts")
+    _put("agg_required_votes", lambda s, d: consensus.first_runs(run(s, d)).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("models")).withColumn("required", T.majority(F.col("models"))), f"WITH {O.FIRSTS} SELECT invoice_id, COUNT(*) AS models, COUNT(*) // 2 + 1 AS required FROM firsts GROUP BY 1")
+    for name, field in (("invoice_no", "INVOICE_NO"), ("dates", "DATE"), ("amounts", "AMOUNT"), ("companies", "COMPANY")):
+        _put(f"agg_vote_{name}", lambda s, d, f=field: consensus.votes(consensus.first_runs(run(s, d))).filter(F.col("field") == f).select("invoice_id", "value", "votes"), f"WITH {O.VOTES} SELECT invoice_id, value, votes FROM votes WHERE field = '{field}'")
+    _put("agg_consensus", _truth, f"WITH {O.CONSENSUS} SELECT * FROM consensus")
+    _put("agg_gt_status", lambda s, d: consensus.status(_truth(s, d)), f"WITH {O.CONSENSUS} SELECT COUNT(*) AS total, COUNT(*) FILTER (fields_with_consensus = 4) AS \"full\", COUNT(*) FILTER (fields_with_consensus < 4) AS part, COALESCE(AVG(fields_with_consensus), 0.0) AS mean_fields FROM consensus")
+    _put("prj_gt_key", lambda s, d: graph.truth_key(_truth(s, d)).select("invoice_id", "invoice_no"), f"WITH {O.TRUTH} SELECT invoice_id, invoice_no FROM keyed")
+    _put("win_last_seed", lambda s, d: graph.last_seeds(_truth(s, d)).select("invoice_no", "invoice_id"), f"WITH {O.TRUTH} SELECT invoice_no, invoice_id FROM seeds")
+    _put("src_gt_pending_seed", lambda s, d: _truth(s, d).withColumn("seeded", F.col("fields_with_consensus") == 4).filter(~F.col("seeded")).select("invoice_id"), f"WITH {O.CONSENSUS} SELECT invoice_id FROM consensus WHERE fields_with_consensus <> 4")
+    _put("agg_consistency", lambda s, d: evaluation.consistency(run(s, d)), f"WITH {O.RUNS}, {O.CONSISTENCY} SELECT * FROM consistent")
+
+
+def _graphs() -> None:
+    run = derived.runs
+    _put("graph_edges", lambda s, d: graph.extracted_edges(run(s, d)).select("invoice_no", "model", "field", "value"), f"WITH {O.RUNS}, {O.EDGES} SELECT invoice_id AS invoice_no, model_name AS model, field, value FROM edges")
+    _put("set_run_union", lambda s, d: graph.extracted_edges(run(s, d)).groupBy("invoice_no", "model").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "field", "value"))), "|").alias("vals")), f"WITH {O.RUNS}, {O.EDGES} SELECT invoice_id AS invoice_no, model_name AS model, string_agg(field || ':' || value, '|' ORDER BY field || ':' || value) AS vals FROM edges GROUP BY 1, 2")
+    _put("graph_gt_edges", lambda s, d: graph.truth_edges(_truth(s, d)).select("invoice_no", "field", "value"), f"WITH {O.TRUTH} SELECT invoice_no, field, value FROM truth")
+
+    def reseeded(s, d):
+        edges = graph.truth_edges(_truth(s, d))
+        return graph.reseeded(edges, edges.filter("field = 'DATE'")).select("invoice_no", "field", "value")
+
+    _put("graph_reseed", reseeded, f"WITH {O.TRUTH} SELECT invoice_no, field, value FROM truth t WHERE field = 'DATE' OR NOT EXISTS (SELECT 1 FROM truth u WHERE u.invoice_no = t.invoice_no AND u.field = 'DATE')")
+
+    def csv(s, d):
+        lines = derived.samples(s, d).select(F.concat_ws(",", F.concat(F.lit(" d"), "k"), F.coalesce("date_text", F.lit("")), F.replace(F.coalesce("amount_text", F.lit("")), F.lit(","), F.lit("")), F.lit("Acme ")).alias("value"))
+        return graph.csv_edges(objects.truth_lines(lines)).select("invoice_no", "field", "value")
+
+    _put("graph_csv_gt", csv, f"WITH {O.SAMPLES}, l AS (SELECT 'd' || k AS invoice_no, {O.tr('COALESCE(date_text, {0})'.format(chr(39) * 2))} AS d, {O.tr('replace(COALESCE(amount_text, {0}), {1}, {0})'.format(chr(39) * 2, chr(39) + ',' + chr(39)))} AS a FROM s) SELECT invoice_no, 'DATE' AS field, d AS value FROM l WHERE d <> '' UNION SELECT invoice_no, 'AMOUNT', a FROM l WHERE a <> '' UNION SELECT invoice_no, 'COMPANY', 'Acme' FROM l")
+    _put("graph_answerability", lambda s, d: graph.answerable(graph.extracted_edges(run(s, d))), f"WITH {O.RUNS}, {O.EDGES} SELECT invoice_id AS invoice_no, model_name AS model, (MAX(CASE WHEN field = 'COMPANY' THEN 1 ELSE 0 END) + MAX(CASE WHEN field = 'AMOUNT' THEN 1 ELSE 0 END) + 1) / 3.0::DOUBLE AS answerability FROM edges GROUP BY 1, 2")
+    _put("graph_idempotent", lambda s, d: graph.stable(graph.extracted_edges(run(s, d))), f"WITH {O.RUNS}, {O.EDGES} SELECT invoice_id AS invoice_no, model_name AS model, MIN(CASE WHEN {O.tr('value')} = '' OR EXISTS (SELECT 1 FROM edges f WHERE f.invoice_id = e.invoice_id AND f.model_name = e.model_name AND f.field = e.field AND f.value = {O.tr('e.value')}) THEN 1 ELSE 0 END) = 1 AS stable FROM edges e GROUP BY 1, 2")
+    _put("eval_metrics", lambda s, d: evaluation.model_metrics(run(s, d), _truth(s, d)), f"WITH {O.METRICS} SELECT * FROM metrics")
+    _put("eval_bundle", lambda s, d: evaluation.bundle(run(s, d), _truth(s, d)), f"WITH {O.BUNDLE} SELECT * FROM bundle")
+    _put("prj_export_rows", lambda s, d: tables.export_rows(evaluation.bundle(run(s, d), _truth(s, d))).select("insert_id", "overall_entity_accuracy"), f"WITH {O.BUNDLE} SELECT concat_ws('_', invoice_id, model_name, run_number) AS insert_id, overall_entity_accuracy FROM bundle")
+
+
+def _boxes() -> None:
+    def found(s, d):
+        return derived.detections(s, d).select("doc_id", detections.detections(F.col("body")).alias("found"))
+
+    columns = ["text", "confidence", "x_min", "y_min", "x_max", "y_max"]
+    _put("src_detections", lambda s, d: found(s, d).select("doc_id", F.explode("found").alias("d")).select("doc_id", *[f"d.{c}" for c in columns]), f"WITH {O.DETECTIONS} SELECT doc_id, {', '.join(columns)} FROM det")
+    _put("sort_reading_order", lambda s, d: found(s, d).select("doc_id", F.array_join(F.transform(detections.reading_order(F.col("found")), lambda x: x["text"]), "|").alias("texts")), f"WITH {O.DETECTIONS} SELECT doc_id, string_agg(text, '|' ORDER BY y_min, x_min, k) AS texts FROM det GROUP BY 1")
+    _put("join_amount_column", lambda s, d: found(s, d).select("doc_id", F.explode(detections.in_amount_column(detections.reading_order(F.col("found")))).alias("d")).select("doc_id", "d.text"), f"WITH {O.DETECTIONS}, h AS (SELECT * FROM det WHERE text = 'Amount') SELECT d.doc_id, d.text FROM det d JOIN h USING (doc_id) WHERE d.x_min >= h.x_min - 0.02 AND d.x_max <= h.x_max + 0.02 + 0.05 AND d.y_min > h.y_min AND regexp_matches(d.text, '^\\d{{1,3}}(,\\d{{3}})*\\.\\d{{2}}$')")
+
+    def entities(s, d):
+        out = detections.entities(found(s, d))
+        return out.select("doc_id", "invoice_no", *[F.array_join(c, "|").alias(c) for c in ("dates", "amounts", "companies")])
+
+    _put("detection_entities", entities, f"""WITH {O.DETECTIONS}, sure AS (SELECT * FROM det WHERE confidence >= 0.65), h AS (SELECT * FROM sure WHERE text = 'Amount'),
+c AS (SELECT d.doc_id, first(d.text ORDER BY d.y_min, d.x_min, d.k) AS t, MIN((d.y_min, d.x_min, d.k)) AS place FROM sure d JOIN h USING (doc_id) WHERE d.x_min >= h.x_min - 0.02 AND d.x_max <= h.x_max + 0.02 + 0.05 AND d.y_min > h.y_min AND regexp_matches(d.text, '^\\d{{1,3}}\\.\\d{{2}}$') GROUP BY d.doc_id, d.text)
+SELECT b.doc_id, 'C' || b.doc_id AS invoice_no, '' AS dates, COALESCE((SELECT string_agg(t, '|' ORDER BY place) FROM c WHERE c.doc_id = b.doc_id), '') AS amounts, CASE WHEN b.doc_id % 6 = 0 THEN 'no box' ELSE '' END AS companies FROM body b""")
+
+    def documents(s, d):
+        out = extraction.pattern_entities(s.read.parquet(f"{d}/documents.parquet"))
+        return out.select("doc_id", "invoice_no", *[F.array_join(c, "|").alias(c) for c in ("dates", "amounts", "companies")])
+
+    _put("pattern_entities", documents)
+    _put("set_amount_union", lambda s, d: derived.invoices(s, d).select("k", F.array_join(F.array_sort(F.array_union(T.amounts_labelled(F.col("raw_text")), T.amounts_in_table(F.col("raw_text")))), "|").alias("amounts")), "WITH " + O.INVOICE + f", e AS (SELECT k, unnest(regexp_extract_all(raw_text, '{T.AMOUNT_LABELLED}', 1) || regexp_extract_all(raw_text, '{T.AMOUNT_IN_TABLE}', 1)) AS v FROM invoice) SELECT i.k, CASE WHEN raw_text IS NOT NULL THEN COALESCE((SELECT string_agg(DISTINCT {O.amount('v')}, '|' ORDER BY {O.amount('v')}) FROM e WHERE e.k = i.k), '') END AS amounts FROM invoice i")
+    _put("set_except_dates", lambda s, d: derived.samples(s, d).select("k", F.array_join(F.array_except(F.array_compact(F.array("date_text", "amount_text", "name_text")), F.coalesce(T.dates_in(F.col("date_text")), F.array().cast("array<string>"))), "|").alias("rest")), "WITH " + O.SAMPLES + f" SELECT k, concat_ws('|', CASE WHEN NOT list_contains(list_transform(regexp_extract_all(COALESCE(date_text, ''), '{T.DATE_IN_TEXT}'), lambda v: {O.date_observed('v')}), date_text) THEN date_text END, amount_text, name_text) AS rest FROM s")
+
+
+for _build in (_texts, _fields, _state, _votes, _graphs, _boxes):
+    _build()
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: q for k, (q, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _REGISTRY.items() if s}
