@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrowtext as at
 from .components import components
-from .shared import dropped, partitions, written
+from .shared import bucketed, dropped, written
 
 SCREEN_SHARE = 0.3
 BLOCK_TOKENS = 1_500_000
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     lone = unshared(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), total, k)
     left = written(classes.join(lone, "key1", "left").filter("twins > 1 or coalesce(lone, 0) <= n div 4").select("vertex", "key1", "key2", "doc_id", "n"), "survivors")
     rest = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sets = written(surviving_sets(docs, left.drop("n"), k), "sets")
+    sets, sets_table = bucketed(surviving_sets(docs, left.drop("n"), k), "sets", "vertex")
     prefix = written(prefixes(sets, rest).withColumn("component", F.col("vertex")), "prefix")
     found = None
     used = [left, sets, prefix]
@@ -384,5 +384,6 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     label = label.join(least, "component").select("key1", "key2", "component_id")
     for t in used:
         dropped(t)
+    spark.sql(f"DROP TABLE {sets_table}")
     linked = members.join(label, ["key1", "key2"], "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

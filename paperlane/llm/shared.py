@@ -28,6 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """As ``written``, in buckets of ``key``, so that later joins on it needn't shuffle these rows again; and the table's name."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table_name}").saveAsTable(table_name)
+    return spark.table(table_name), table_name
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written``, once nothing lazy reads it any more."""
     spark = df.sparkSession
