@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
         links = written(verified(written(pairs, "pairs"), sets), "links")
         found = links if found is None else found.unionByName(links)
         if turn < ROUNDS:
-            prefix = written(_relabelled(prefix, links), "prefix")
+            prefix = written(_relabelled(open_, links), "prefix")  # a list within one component stays so
             used.append(prefix)
     label = classes.select(F.col("vertex").alias("id"), "key1", "key2", "doc_id")
     if found is not None:
