@@ -11,7 +11,8 @@ when ``100 * |x & y| >= 75 * |x | y|``. The steps, each a Spark stage over all d
    rarest first. For every class and each length ``l`` the prefix of ``n - ceil(3n/4) + l``
    shingles has an estimated cost: the postings it reads, and the candidates (at most postings / l)
    it has to verify. The class takes the cheapest ``l``. Two similar sets share at least
-   ``min(lx, ly)`` shingles of their prefixes, and fewer shared ones need no verification.
+   ``min(lx, ly)`` shingles of their prefixes, and fewer shared ones need no verification. Nor do pairs
+   whose shared prefix shingles, with all that stands after a prefix, fall short of the overlap asked for.
 4. *Leaders.* On every posting list the most typical member is compared with all others, a number
    of pairs linear in the list, so a group of thousands of near copies never becomes all its pairs.
 5. *Rest.* Members of other components than the list's largest one are searched exhaustively, in
@@ -163,6 +164,11 @@ def _allowed(n):
     return n // 4
 
 
+def _beyond(n, ell):
+    """How many shingles of a set of n stand after its prefix."""
+    return np.maximum(n - _allowed(n) - ell, 0)
+
+
 def surviving_sets(docs: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame:
     """vertex, n and the shingles of the classes given, from one document of each."""
 
@@ -328,7 +334,9 @@ def _rest_pairs(open_: DataFrame, blocks: int) -> DataFrame:
             ids, first, m = np.unique(y["y"][at_], return_index=True, return_counts=True)
             at_ = at_[first]
             n, ny = int(x["n"][a]), y["n"][at_]
-            ok = (m >= np.minimum(int(x["ell"][a]), y["ell"][at_])) & (y["component"][at_] != x["component"][a]) & (4 * np.minimum(n, ny) >= 3 * np.maximum(n, ny))
+            # beyond the prefix that ends first the sets share at most the rest of its set
+            rest = np.maximum(_beyond(n, int(x["ell"][a])), _beyond(ny, y["ell"][at_]))
+            ok = (m >= np.maximum(np.minimum(int(x["ell"][a]), y["ell"][at_]), -(-3 * (n + ny) // 7) - rest)) & (y["component"][at_] != x["component"][a]) & (4 * np.minimum(n, ny) >= 3 * np.maximum(n, ny))
             ids, m, c = ids[ok], m[ok], y["component"][at_][ok]
             best = np.argsort(-m, kind="stable")
             for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids[best], np.full(len(ids), x["component"][a]), c[best])):
