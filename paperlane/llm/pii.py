@@ -28,6 +28,8 @@ KINDS = {
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
 TOKEN = r"(?<!\S)[^\s0-9@]{0,40}+[0-9@]\S*+"
 TURNS, RELIABLE, SEEDS = 3, 0.8, 3
+#: Up to so many reliable patterns go to every task as one hash table; a pattern has some 91 characters at most.
+LOOKUP, SLOTS = 20_000, 1_024
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -115,23 +117,57 @@ def reliable_patterns(edges: DataFrame) -> DataFrame:
     return patterns.filter((F.col("weight") >= RELIABLE) & (F.col("seeds") >= SEEDS)).select("pattern")
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def _patterns(t: Column) -> Column:
+    """The lexical patterns of a token: side, word and the token's shape."""
+    return F.array_compact(F.array(*[F.when(t[w] != "", F.concat(F.lit(f"{side} "), t[w], F.lit(" "), _shape(t["v"]))) for side, w in (("L", "left"), ("R", "right"))]))
+
+
+def _seed(seeds: Column, t: Column) -> Column:
+    return F.exists(seeds, lambda x: (x["s"] < t["e"]) & (x["e"] > t["s"]))
+
+
+def _looked_up(rows: DataFrame, patterns: DataFrame, seeds: Column) -> DataFrame:
+    """rows with ``id`` by a hash table of the patterns, an array of ``SLOTS`` arrays, which every task gets: rows stay where they are."""
+
+    def slot(p: Column) -> Column:
+        return F.pmod(F.xxhash64(p), F.lit(SLOTS)).cast("int")
+
+    chains = patterns.groupBy(slot(F.col("pattern")).alias("slot")).agg(F.collect_set("pattern").alias("chain"))
+    chains = chains.agg(F.map_from_entries(F.collect_list(F.struct("slot", "chain"))).alias("chains"))
+    lookup = chains.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col("chains")[i], F.array().cast("array<string>"))).alias("lookup")).scalar()
+
+    def meets(t: Column) -> Column:
+        return ~_seed(seeds, t) & F.exists(_patterns(t), lambda p: F.array_contains(F.get(F.col("lookup"), slot(p)), p))
+
+    spans = F.transform(F.filter("tokens", meets), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v")))
+    return rows.withColumn("lookup", lookup).withColumn("id", F.array_sort(F.array_distinct(spans))).drop("lookup")
+
+
+def _joined(rows: DataFrame, patterns: DataFrame, seeds: Column) -> DataFrame:
+    """The same for any number of patterns: tokens are joined with them and go back to their rows."""
+    each = rows.select("row_no", seeds.alias("seeds"), F.explode("tokens").alias("t")).filter(~_seed(F.col("seeds"), F.col("t")))
+    each = each.select("row_no", F.struct("t.s", "t.e", "t.v").alias("x"), F.explode(_patterns(F.col("t"))).alias("pattern"))
+    added = each.join(patterns, "pattern").groupBy("row_no").agg(F.array_sort(F.collect_set("x")).alias("id"))
+    return rows.join(added, "row_no", "left")
+
+
+def personal_data(docs: DataFrame, lookup: int = LOOKUP) -> DataFrame:
     """All input columns, and for each kind (and ``id``, the added ones) an array of spans.
 
     Null texts hold nothing. Rows are kept apart by a number of their own, so ids may repeat or be null.
-    Input columns that bear a kind's name would clash and are left out.
+    Input columns that bear a kind's name would clash and are left out. Up to ``lookup`` reliable patterns
+    go to every task and no text is shuffled; more of them are joined, with the same spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*KINDS, "id", "row_no", "tokens"}]
+    own = {*KINDS, "id", "row_no", "tokens", "lookup"}
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
     rows = docs.select(*keep, *base_spans(text), F.when(text.rlike("[0-9]{2}|@"), _tokens(text)).alias("tokens"), F.monotonically_increasing_id().alias("row_no"))
     rows = written(rows, "spans")
     seeds = F.concat(*KINDS)
-    each = rows.select("row_no", seeds.alias("seeds"), F.explode("tokens").alias("t"))
-    each = each.select("row_no", "t.s", "t.e", F.col("t.v").alias("token"), F.exists("seeds", lambda x: (x["s"] < F.col("t.e")) & (x["e"] > F.col("t.s"))).alias("seed"), F.array(F.when(F.col("t.left") != "", F.concat(F.lit("L "), F.col("t.left"), F.lit(" "), _shape(F.col("t.v")))), F.when(F.col("t.right") != "", F.concat(F.lit("R "), F.col("t.right"), F.lit(" "), _shape(F.col("t.v"))))).alias("patterns"))
-    each = written(each.select("row_no", "s", "e", "token", "seed", F.explode(F.array_compact("patterns")).alias("pattern")), "tokens")
-    patterns = reliable_patterns(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
-    added = each.filter("not seed").join(patterns, "pattern").select("row_no", F.struct("s", "e", F.col("token").alias("v")).alias("x")).groupBy("row_no").agg(F.array_sort(F.collect_set("x")).alias("id"))
-    return rows.drop("tokens").join(added, "row_no", "left").withColumn("id", F.coalesce("id", F.array().cast(_SPANS))).drop("row_no")
+    each = rows.select(seeds.alias("seeds"), F.explode("tokens").alias("t")).select(F.explode(_patterns(F.col("t"))).alias("pattern"), F.col("t.v").alias("token"), _seed(F.col("seeds"), F.col("t")).alias("seed"))
+    patterns = written(reliable_patterns(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))), "patterns")
+    find = _looked_up if patterns.count() <= lookup else _joined
+    return find(rows, patterns, seeds).drop("tokens").withColumn("id", F.coalesce("id", F.array().cast(_SPANS))).drop("row_no")
 
 
 def digests(spans: DataFrame) -> DataFrame:
@@ -140,9 +176,9 @@ def digests(spans: DataFrame) -> DataFrame:
     return spans.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), _digest([*KINDS, "id"]).alias("spans"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, lookup: int = LOOKUP) -> DataFrame:
     """docs with every span in ``text`` replaced by its kind in brackets; overlapping spans are one, named by the first."""
-    rows = personal_data(docs)
+    rows = personal_data(docs, lookup)
 
     def named(kind: str):
         return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind.upper()).alias("k"))

@@ -193,10 +193,12 @@ def test_context_discovers_identifiers(spark):
     rows = [(i, f"Our record says card {'4111 1111 1111 1111' if i % 3 else '5500-0000-0000-0004'} phone: +4930{1000000 + i * 37} for you") for i in range(60)]
     rows += [(1000 + i, f"Call phone: +4930{i} today" if i < 3 else f"The year {1900 + i} was long and paid {i * 1001} coins") for i in range(40)]
     rows += [(2000, "They wrote phone: +493012 and left")]
-    got = {r.doc_id: r.spans for r in pii.digests(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got[2000].startswith("id:") and not got[1010]
-    clean = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert clean[2000] == "They wrote phone: [ID] and left" and clean[1010] == rows[60 + 10][1] and "[PHONE]" in clean[0] and "4111" not in clean[1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for lookup in (pii.LOOKUP, 0):  # patterns looked up, and joined
+        got = {r.doc_id: r.spans for r in pii.digests(pii.personal_data(df, lookup)).collect()}
+        assert got[2000].startswith("id:") and not got[1010]
+        clean = {r.doc_id: r.text for r in pii.redacted(df, lookup).collect()}
+        assert clean[2000] == "They wrote phone: [ID] and left" and clean[1010] == rows[60 + 10][1] and "[PHONE]" in clean[0] and "4111" not in clean[1]
 
 
 def test_bpe_equals_library(documents, odd, empty):
