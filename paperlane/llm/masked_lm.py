@@ -6,9 +6,8 @@ layer, softmax over classes) gives the class given both sides, and corpus counts
 give the word given its class: log p = log p(class | window) + log p(id | class). A document's score
 is the sum over its words.
 
-The network is trained in the tasks with numpy: each task takes steps on its part of a share
-of the documents chosen by hash, and the tasks' parameters are averaged by the words they saw, for a few
-rounds. Counts and parameters are summed in a tree of partial sums, so the driver gets one vector.
+The network is trained in the tasks with numpy on every document: each task takes steps on its part
+of them, and the tasks' parameters are averaged by the words they saw, for a few rounds. Counts and parameters are summed in a tree of partial sums, so the driver gets one vector.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from .shared import written
 
 TOKENS, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 64, 16, 32, 2
 NEAR = [d for d in range(-SIDE, SIDE + 1) if d]
-SHARE, ROUNDS, BATCH, RATE = 0.1, 2, 512, 0.1
+SHARE, ROUNDS, BATCH, RATE = 1.0, 2, 512, 0.1
 FAN_IN = 32
 _SHAPES = {"e": (TOKENS + 1, WIDTH), "w": (len(NEAR) * WIDTH, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
@@ -74,10 +73,15 @@ def fit(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], ids: np.ndarray
         z[np.arange(len(pick)), target] -= 1
         z /= len(pick)
         back = (z @ p["u"].T) * (1 - h * h)
-        e = np.zeros_like(p["e"])
-        np.add.at(e, n.ravel(), (back @ p["w"].T).reshape(-1, WIDTH))
-        e[TOKENS] = 0
-        for k, g in (("e", e), ("w", x.T @ back), ("b", back.sum(axis=0)), ("u", h.T @ z), ("c", z.sum(axis=0))):
+        by = np.argsort(n, axis=None, kind="stable")  # only embeddings that the batch met change
+        met = n.ravel()[by]
+        first = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
+        met, e = met[first], np.add.reduceat((back @ p["w"].T).reshape(-1, WIDTH)[by], first)
+        e[met == TOKENS] = 0
+        g2 = memory["e"][met] + e * e
+        memory["e"][met] = g2
+        p["e"][met] -= RATE * e / (np.sqrt(g2) + 1e-6)
+        for k, g in (("w", x.T @ back), ("b", back.sum(axis=0)), ("u", h.T @ z), ("c", z.sum(axis=0))):
             memory[k] += g * g
             p[k] -= RATE * g / (np.sqrt(memory[k]) + 1e-6)
 
@@ -123,8 +127,10 @@ def counts(docs: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Network parameters from a share of the documents, chosen by a hash of their texts; at every size the same share."""
-    chosen = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(share * 10_000))
+    """Network parameters from all documents; a share below 1, for experiments, chooses them by a hash of their texts."""
+    chosen = docs.select(F.col("text").cast("string").alias("text"))
+    if share < 1:
+        chosen = chosen.filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(share * 10_000))
     now = _pack(initial())
     for turn in range(rounds):
         start = now

@@ -374,3 +374,13 @@ def test_masked_lm_probabilities_sum_to_one():
     within = np.log(number / of_class[np.arange(masked_lm.TOKENS) % masked_lm.CLASSES])
     ids, near = np.arange(masked_lm.TOKENS), np.tile([[5, 6, 7, 8]], (masked_lm.TOKENS, 1))
     assert abs(np.exp(masked_lm.log_probabilities(p, within, ids, near)).sum() - 1) < 1e-6
+
+
+def test_masked_lm_trains_on_every_document(documents):
+    from pyspark.sql import functions as F
+
+    outside = documents.filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) >= 1_000)  # of the tenth that once was the sample
+    p, start = masked_lm.train(outside), masked_lm.initial()
+    assert all((p[k] != start[k]).any() for k in p)
+    got = masked_lm.scored(outside)  # the registered setting
+    assert got.schema == masked_lm.scored(outside, share=1.0).schema and abs(got.toPandas().log_likelihood.sum() - masked_lm.scored(outside, share=1.0).toPandas().log_likelihood.sum()) < 1
