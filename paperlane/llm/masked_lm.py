@@ -1,13 +1,18 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-Every word is predicted from the two words on either side. A word stands for one of ``TOKENS`` hashed
-ids; id mod ``CLASSES`` is its class. A window network (embeddings of the four neighbours, one tanh
-layer, softmax over classes) gives the class given both sides, and corpus counts over all documents
-give the word given its class: log p = log p(class | window) + log p(id | class). A document's score
-is the sum over its words.
+Every word is predicted from the two words on either side. As a neighbour a word stands for one of
+``TOKENS`` hashed ids; id mod ``CLASSES`` is its class. A window network (embeddings of the four
+neighbours, one tanh layer, softmax over classes) gives the class given both sides, and a table of all
+words of the corpus gives the word given its class: log p = log p(class | window) + log p(word | class).
+With N words in a class, one that occurs n times has n / (N + 1), and all unseen ones together 1 / (N + 1).
+A document's score is the sum over its words.
+
+The table has one row for each distinct word (its 64-bit hash), so it grows with the corpus and stays
+in Spark. Documents are packed in blocks: a block's distinct words meet the table in a join, and their
+counts go back to the block, where its documents hold places among those words.
 
 The network is trained in the tasks with numpy on every document: each task takes steps on its part
-of them, and the tasks' parameters are averaged by the words they saw, for a few rounds. Counts and parameters are summed in a tree of partial sums, so the driver gets one vector.
+of them, and the tasks' parameters are averaged by the words they saw, for a few rounds. Parameters are summed in a tree of partial sums, so the driver gets one vector.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ TOKENS, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 64, 16, 32, 2
 NEAR = [d for d in range(-SIDE, SIDE + 1) if d]
 SHARE, ROUNDS, BATCH, RATE = 1.0, 2, 512, 0.1
 FAN_IN = 32
+#: Words in a block (or one slice of documents, if that has more), and distinct words in a row of the block.
+BLOCK, CHUNK = 1 << 21, 1 << 16
 _SHAPES = {"e": (TOKENS + 1, WIDTH), "w": (len(NEAR) * WIDTH, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
 
@@ -65,7 +72,7 @@ def fit(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], ids: np.ndarray
     for i in range(0, len(ids), BATCH):
         pick = order[i : i + BATCH]
         n, target = near[pick], ids[pick] % CLASSES
-        x = p["e"][n].reshape(len(pick), -1)
+        x = p["e"].take(n.ravel(), axis=0).reshape(len(pick), -1)
         h = np.tanh(x @ p["w"] + p["b"])
         z = h @ p["u"] + p["c"]
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -73,12 +80,14 @@ def fit(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], ids: np.ndarray
         z[np.arange(len(pick)), target] -= 1
         z /= len(pick)
         back = (z @ p["u"].T) * (1 - h * h)
-        by = np.argsort(n, axis=None, kind="stable")  # only embeddings that the batch met change
-        met = n.ravel()[by]
-        first = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
-        met, e = met[first], np.add.reduceat((back @ p["w"].T).reshape(-1, WIDTH)[by], first)
+        met = np.flatnonzero(np.bincount(n.ravel(), minlength=TOKENS + 1))  # only embeddings that the batch met change
+        rank = np.zeros(TOKENS + 1, np.int64)
+        rank[met] = np.arange(0, len(met) * WIDTH, WIDTH)
+        e = np.zeros(len(met) * WIDTH, np.float32)
+        np.add.at(e, (rank[n.ravel()][:, None] + np.arange(WIDTH)).ravel(), (back @ p["w"].T).ravel())
+        e = e.reshape(-1, WIDTH)
         e[met == TOKENS] = 0
-        g2 = memory["e"][met] + e * e
+        g2 = memory["e"].take(met, axis=0) + e * e
         memory["e"][met] = g2
         p["e"][met] -= RATE * e / (np.sqrt(g2) + 1e-6)
         for k, g in (("w", x.T @ back), ("b", back.sum(axis=0)), ("u", h.T @ z), ("c", z.sum(axis=0))):
@@ -111,19 +120,70 @@ def _vector(*parts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([np.concatenate([p.astype(np.float64) for p in parts]).tobytes()], pa.binary())], ["v"])
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of every word id in all documents."""
+_PACKED = "block long, doc_ids array<long>, first binary, place binary, start int, words array<long>, n array<long>"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents in blocks of up to ``BLOCK`` words. A block has two kinds of rows.
+
+    Its documents, a slice of them a row: doc_ids, first (int64: index of each one's first word, one more at the
+    end) and place (int32: of each word among the block's distinct ones). Its distinct words, up to ``CHUNK`` a
+    row: start (the place of the first), words (64-bit hashes) and n (occurrences in the block).
+    """
+
+    def rows(block: int, held: list[tuple[pa.Array, np.ndarray, np.ndarray]]):
+        distinct, place, n = np.unique(np.concatenate([w for _, w, _ in held]).view(np.int64), return_inverse=True, return_counts=True)
+        place, done = place.astype(np.int32), 0
+        out = []
+        for ids, w, first in held:
+            out.append({"block": block, "doc_ids": ids.to_pylist(), "first": first.astype(np.int64).tobytes(), "place": place[done : done + len(w)].tobytes()})
+            done += len(w)
+        for i in range(0, len(distinct), CHUNK):
+            out.append({"block": block, "start": i, "words": distinct[i : i + CHUNK], "n": n[i : i + CHUNK]})
+        for row in out:
+            yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
+
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", longs), ("first", pa.binary()), ("place", pa.binary()), ("start", pa.int32()), ("words", longs), ("n", longs)])
 
     def run(batches):
-        total = np.zeros(TOKENS)
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             buf, offs = at.flat(batch.column("text"))
-            for _, _, b, o in at.slices(buf, offs):
-                total += np.bincount((at.words(b, o)[0] % np.uint64(TOKENS)).astype(np.int64), minlength=TOKENS)
-        yield _vector(total)
+            for i, j, b, o in at.slices(buf, offs):
+                word, first = at.words(b, o)
+                if held and size + len(word) > BLOCK:
+                    yield from rows(block, held)
+                    block, held, size = block + 1, [], 0
+                held.append((batch.column("doc_id").slice(i, j - i), word, first))
+                size += len(word)
+        if held:
+            yield from rows(block, held)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PACKED)
+
 
-    total = summed(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "v binary"))
-    return total if len(total) else np.zeros(TOKENS)
+def _words(blocks: DataFrame) -> DataFrame:
+    """word, n: the occurrences of every distinct word of packed documents."""
+    each = blocks.filter("words is not null").select(F.explode(F.arrays_zip("words", "n")).alias("x"))
+    return each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (a 64-bit hash), n: the occurrences of every distinct word in all documents."""
+    return _words(packed(docs))
+
+
+def counts(docs: DataFrame) -> np.ndarray:
+    """The n of ``word_counts`` on the driver: for small tables only; scoring never gathers them."""
+    return word_counts(docs).select("n").toPandas()["n"].to_numpy(np.float64)
+
+
+def word_given_class(n: np.ndarray, of_class: np.ndarray) -> np.ndarray:
+    """log p(word | class) of words with n occurrences (0: the class's unseen words together), in classes of so many words."""
+    return np.log(np.maximum(n, 1)) - np.log(of_class + 1)
 
 
 def train(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -154,8 +214,8 @@ def train(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> dict[s
     return _unpack(now)
 
 
-def log_probabilities(p: dict[str, np.ndarray], within: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """log p of every word given its window; ``within`` holds log p(id | class)."""
+def log_probabilities(p: dict[str, np.ndarray], within: np.ndarray, ids: np.ndarray, near: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """log p of every word given its window; ``within`` holds log p(word | class), by id or by ``place``."""
     parts = [p["e"] @ p["w"][k * WIDTH : (k + 1) * WIDTH] for k in range(len(NEAR))]  # a table a place
     out = np.empty(len(ids))
     for i in range(0, len(ids), 65536):
@@ -166,30 +226,40 @@ def log_probabilities(p: dict[str, np.ndarray], within: np.ndarray, ids: np.ndar
         z = np.tanh(h + p["b"]) @ p["u"] + p["c"]
         own = z[np.arange(len(z)), ids[i : i + 65536] % CLASSES]
         out[i : i + 65536] = own - np.log(np.exp(z).sum(axis=1))  # z is small: tanh is bounded and weights are
-    return out + within[ids]
+    return out + within[ids if place is None else place]
 
 
-def scored(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_likelihood (a sum over the words), per_word of every row.
 
     Texts without words, empty and null ones have 0 words, 0.0 and a null mean. Ids may repeat or be null.
+    Words are counted in docs, unless ``known`` (as of ``word_counts``) has the counts of another corpus.
     """
-    number = counts(docs)
-    of_class = np.bincount(np.arange(TOKENS) % CLASSES, number + 1, CLASSES)
-    within = np.log((number + 1) / of_class[np.arange(TOKENS) % CLASSES])
+    blocks = written(packed(docs), "blocks")
+    table = written(_words(blocks) if known is None else known.select("word", "n"), "words")
+    of_class = np.zeros(CLASSES)
+    for r in table.groupBy(F.col("word").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum("n").alias("n")).collect():
+        of_class[r.k] = r.n
     p = train(docs, share, rounds)
 
-    def run(batches):
-        for batch in batches:
-            n, total = [], []
-            buf, offs = at.flat(batch.column("text"))
-            for i, j, b, o in at.slices(buf, offs):
-                word, first = at.words(b, o)
-                lp = np.concatenate(([0.0], np.cumsum(log_probabilities(p, within, *_ids(word, first))))) if len(word) else np.zeros(1)
-                n.append(np.diff(first))
-                total.append(lp[first[1:]] - lp[first[:-1]])
-            n, total = (np.concatenate(x) if x else np.zeros(0) for x in (n, total))
+    own = blocks.filter("words is not null").select("block", "start", F.posexplode("words").alias("i", "word"))
+    own = own.join(table, "word", "left").select(F.col("block").alias("owner"), (F.col("start") + F.col("i")).alias("place"), F.col("word").bitwiseAND(TOKENS - 1).cast("int").alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
+    texts = blocks.filter("doc_ids is not null").select("block", "doc_ids", "first", "place")
+
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        size = own.num_rows
+        id_of, within = np.zeros(size, np.int64), np.zeros(size)
+        place, ids = own.column("place").to_numpy(), own.column("id").to_numpy().astype(np.int64)
+        id_of[place] = ids
+        within[place] = word_given_class(own.column("n").to_numpy(), of_class[ids % CLASSES])
+        out = []
+        for doc_ids, first, place in zip(texts.column("doc_ids"), texts.column("first"), texts.column("place")):
+            first, place = np.frombuffer(first.as_buffer(), np.int64), np.frombuffer(place.as_buffer(), np.int32)
+            lp = np.concatenate(([0.0], np.cumsum(log_probabilities(p, within, *_ids(id_of[place].astype(np.uint64), first), place)))) if len(place) else np.zeros(1)
+            n, total = np.diff(first), lp[first[1:]] - lp[first[:-1]]
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+            out.append(pa.Table.from_arrays([doc_ids.values, pa.array(n.astype(np.int64)), pa.array(total), mean], schema=result))
+        return pa.concat_tables(out) if out else result.empty_table()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("per_word", pa.float64())])
+    return texts.groupBy("block").cogroup(own.groupBy("owner")).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -384,3 +385,34 @@ def test_masked_lm_trains_on_every_document(documents):
     assert all((p[k] != start[k]).any() for k in p)
     got = masked_lm.scored(outside)  # the registered setting
     assert got.schema == masked_lm.scored(outside, share=1.0).schema and abs(got.toPandas().log_likelihood.sum() - masked_lm.scored(outside, share=1.0).toPandas().log_likelihood.sum()) < 1
+
+
+def test_masked_lm_counts_every_word(spark, documents):
+    rows = documents.collect()
+    lower = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for r in rows for w in words(r.text)]
+    table = masked_lm.word_counts(documents).collect()
+    assert len({r.word for r in table}) == len(table) == len(set(lower)) > masked_lm.TOKENS and sum(r.n for r in table) == len(lower)
+    # a junk word in the hashed bucket of a frequent one is no likelier than any other that occurs once
+    common, n = Counter(lower).most_common(1)[0]
+
+    def id_of(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        return int(masked_lm.at.words(b, np.array([0, len(b)]))[0][0] % np.uint64(masked_lm.TOKENS))
+
+    junk = next(w for w in (f"qz{i}x" for i in range(10**6)) if id_of(w) == id_of(common))
+    few = spark.createDataFrame([(1, common), (2, junk)], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.scored(few, known=masked_lm.word_counts(documents)).collect()}
+    assert n > 10 and abs(got[1] - got[2] - np.log(n)) < 1e-6  # the same class and window; unseen as a whole counts one
+    of_class = np.full(3, 7.0)
+    assert abs(np.exp(masked_lm.word_given_class(np.array([4.0, 3.0, 0.0]), of_class)).sum() - 1) < 1e-12
+
+
+def test_masked_lm_blocks(spark, documents, monkeypatch):
+    want = {r.doc_id: r for r in masked_lm.scored(documents, rounds=0).collect()}
+    monkeypatch.setattr(masked_lm, "BLOCK", 3_000)
+    monkeypatch.setattr(masked_lm, "CHUNK", 100)
+    monkeypatch.setattr(masked_lm.at.slices, "__defaults__", (5_000,))
+    blocks = masked_lm.packed(documents)
+    assert sum(len(r.doc_ids or ()) for r in blocks.collect()) == len(want)
+    got = masked_lm.scored(documents, rounds=0).collect()
+    assert len(got) == len(want) and all(abs(r.log_likelihood - want[r.doc_id].log_likelihood) < 1e-6 * (1 + r.n_words) and r.n_words == want[r.doc_id].n_words for r in got)
