@@ -1,10 +1,11 @@
 """Personal data: fixed-form kinds, and bootstrapped contextual extraction. Built-in functions only.
 
 The fixed forms (e-mail, IP address, card number, phone number) are the seeds. Around every token
-that looks like an identifier, lexical patterns are taken: the word on its left or right, with the
-token's shape. Patterns and tokens form a bipartite graph that Spark scores in turns: a pattern is
-as reliable as the tokens it meets, a token as reliable as its patterns together, seeds being
-certain. Patterns that stay reliable, on enough different seeds, mark the other tokens they meet.
+that looks like an identifier (adjacent groups of digits are one token), lexical patterns are taken:
+the word on its left or right, whatever the token's shape. Patterns and tokens form a bipartite graph
+that Spark scores in turns: a pattern is as reliable as the tokens it meets, a token as reliable as its
+patterns together, seeds being certain. Patterns that stay reliable, on enough different tokens that are
+seeds or reached a reliable score in an earlier turn, mark the other tokens they meet.
 
 Offsets count code points. Regular expressions give matches but no places, so a text is also split
 by the same expression and places are summed from the pieces. All quantifiers over groups are
@@ -26,9 +27,10 @@ KINDS = {
 }
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
-TOKEN = r"(?<!\S)[^\s0-9@]{0,40}+[0-9@]\S*+"
+_GROUP = r"[0-9][0-9()./+-]*+"
+TOKEN = rf"(?<!\S)[^\s0-9@]*+(?:{_GROUP}(?: [+(]{{0,2}}{_GROUP}(?=[^\p{{L}}\p{{N}}\s]{{0,8}}(?:\s|$)))++|[0-9@])\S*+"
 TURNS, RELIABLE, SEEDS = 3, 0.8, 3
-#: Up to so many reliable patterns go to every task as one hash table; a pattern has some 91 characters at most.
+#: Up to so many reliable patterns go to every task as one hash table; a pattern has 26 characters at most.
 LOOKUP, SLOTS = 20_000, 1_024
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
@@ -92,25 +94,22 @@ def _tokens(text: Column) -> Column:
             right = F.regexp_extract(F.left(F.get(g, i + 1), F.lit(30)), r"^\s*(\S{1,24})", 1)
             return F.struct(x["s"].alias("s"), (x["s"] + F.length(value)).cast("int").alias("e"), value.alias("v"), F.lower(left).alias("left"), F.lower(right).alias("right"))
 
-        return F.filter(F.transform(found(text, TOKEN), one), lambda x: (F.length(x["v"]) <= 64) & ((F.length(_digits(x["v"])) >= 4) | x["v"].contains("@")))
+        return F.filter(F.transform(found(text, TOKEN), one), lambda x: (F.length(_digits(x["v"])) >= 4) | x["v"].contains("@"))
 
     return let(gaps, around)
 
 
-def _shape(v: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(v, r"\p{L}+", "a"), "[0-9]+", "9")
-
-
 def reliable_patterns(edges: DataFrame) -> DataFrame:
     """Patterns that stay reliable. edges: pattern, token, seed (boolean), distinct.
 
     A pattern scores the sum of its tokens' scores over one more than their number; a token 1 if it
-    is a seed, else 1 - product(1 - score) over its patterns that score a half or more.
+    is a seed, else 1 - product(1 - score) over its patterns that score a half or more. Tokens that score
+    ``RELIABLE`` count as seeds do in later turns, so that they bring in patterns that no seed meets.
     """
     edges = written(edges, "graph")
     score = edges.withColumn("score", F.col("seed").cast("double"))
     for turn in range(TURNS):
-        patterns = score.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("weight"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        patterns = score.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("weight"), F.sum((F.col("score") >= RELIABLE).cast("int")).alias("seeds"))
         if turn < TURNS - 1:
             tokens = edges.join(patterns.filter("weight >= 0.5"), "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))))).alias("gained"))
             score = edges.join(tokens, "token", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gained", F.lit(0.0))))
@@ -118,8 +117,8 @@ def reliable_patterns(edges: DataFrame) -> DataFrame:
 
 
 def _patterns(t: Column) -> Column:
-    """The lexical patterns of a token: side, word and the token's shape."""
-    return F.array_compact(F.array(*[F.when(t[w] != "", F.concat(F.lit(f"{side} "), t[w], F.lit(" "), _shape(t["v"]))) for side, w in (("L", "left"), ("R", "right"))]))
+    """The lexical patterns of a token: side and word."""
+    return F.array_compact(F.array(*[F.when(t[w] != "", F.concat(F.lit(f"{side} "), t[w])) for side, w in (("L", "left"), ("R", "right"))]))
 
 
 def _seed(seeds: Column, t: Column) -> Column:
@@ -161,10 +160,10 @@ def personal_data(docs: DataFrame, lookup: int = LOOKUP) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = {*KINDS, "id", "row_no", "tokens", "lookup"}
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    rows = docs.select(*keep, *base_spans(text), F.when(text.rlike("[0-9]{2}|@"), _tokens(text)).alias("tokens"), F.monotonically_increasing_id().alias("row_no"))
+    rows = docs.select(*keep, *base_spans(text), F.when(text.rlike("[0-9@]"), _tokens(text)).alias("tokens"), F.monotonically_increasing_id().alias("row_no"))
     rows = written(rows, "spans")
     seeds = F.concat(*KINDS)
-    each = rows.select(seeds.alias("seeds"), F.explode("tokens").alias("t")).select(F.explode(_patterns(F.col("t"))).alias("pattern"), F.col("t.v").alias("token"), _seed(F.col("seeds"), F.col("t")).alias("seed"))
+    each = rows.select(seeds.alias("seeds"), F.explode("tokens").alias("t")).select(F.explode(_patterns(F.col("t"))).alias("pattern"), F.xxhash64("t.v").alias("token"), _seed(F.col("seeds"), F.col("t")).alias("seed"))
     patterns = written(reliable_patterns(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))), "patterns")
     find = _looked_up if patterns.count() <= lookup else _joined
     return find(rows, patterns, seeds).drop("tokens").withColumn("id", F.coalesce("id", F.array().cast(_SPANS))).drop("row_no")

@@ -202,6 +202,25 @@ def test_context_discovers_identifiers(spark):
         assert clean[2000] == "They wrote phone: [ID] and left" and clean[1010] == rows[60 + 10][1] and "[PHONE]" in clean[0] and "4111" not in clean[1]
 
 
+def test_context_goes_beyond_seeds(spark):
+    def card(i):
+        v = f"4111 1111 {i:04d} 111"
+        return v + next(c for c in "0123456789" if luhn(v + c))
+
+    rows = [(i, f"phone: +4930{1234567 + i}") for i in range(100)] + [(100 + i, f"card {card(i)}") for i in range(30)]
+    rows += [(200 + i, f"phone: 030{7654321 + i}") for i in range(12)] + [(300 + i, f"fernruf 030{7654321 + i}") for i in range(12)]  # a word that no seed meets
+    ids = {400: "phone: 0301234567", 401: "phone: 555-123-4567", 402: "phone: AB-12345678", 403: "fernruf 0409999999", 404: "card 1234 5678 9012 3456", 405: "phone: " + "1" * 70, 406: "phone: 1-2-3-4", 407: "phone: (030) 123 4567, thanks"}
+    rows += [*ids.items(), (500, "lasted 2019 years"), (501, "cost 12345 coins 12 34x5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for lookup in (pii.LOOKUP, 0):
+        got = {r.doc_id: r.spans for r in pii.digests(pii.personal_data(df, lookup)).collect()}
+        for i, text in ids.items():
+            value = text.split(" ", 1)[1].removesuffix(", thanks")
+            start = text.index(value)
+            assert got[i] == f"id:{start}:{start + len(value)}", (i, got[i])
+        assert got[500] == got[501] == ""
+
+
 def test_bpe_equals_library(documents, odd, empty):
     from tokenizers import Tokenizer
 
