@@ -125,11 +125,34 @@ def shingles(word: np.ndarray, at: np.ndarray, k: int = 5) -> list[np.ndarray]:
 
 
 def binaries(data: np.ndarray, offs: np.ndarray) -> pa.Array:
-    """An Arrow binary array of consecutive pieces of ``data``; ``offs`` counts its items."""
+    """An Arrow binary array of consecutive pieces of ``data``; ``offs`` counts its items. One array holds 2 GiB at most."""
     data = np.ascontiguousarray(data)
+    if len(offs) and int(offs[-1]) * data.itemsize >= 1 << 31:
+        raise OverflowError("a group's rows exceed 2 GiB; deal them into more groups")
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
 
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces data[start:start+size] one after another, and their offsets."""
+    offset = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    return data[np.repeat(start - offset[:-1], size) + np.arange(offset[-1])], offset
+
+
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of every distinct byte span, and for each span the number of its own one there. Hashes only propose; bytes decide."""
+    _, where, back = np.unique(spans_hash(buf, start, end), return_index=True, return_inverse=True)
+    size, mate = end - start, where[back]
+    if (size == size[mate]).all() and (gathered(buf, start, size)[0] == gathered(buf, start[mate], size)[0]).all():
+        return where, back
+    raw, known, where, back = buf.tobytes(), {}, [], []  # two spans share a hash
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+        k = known.setdefault(raw[a:b], len(known))
+        if k == len(where):
+            where.append(i)
+        back.append(k)
+    return np.array(where, np.int64), np.array(back, np.int64)
+
+
 def scatter(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts items by bucket, and each bucket's offset in it."""
     order = np.argsort(bucket, kind="stable")

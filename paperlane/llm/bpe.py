@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding with forced boundaries.
 
 A byte pair that no vocabulary token holds can never be joined by a merge, so a cut between its two
-bytes changes nothing. Such cuts are taken where the pre-tokenizer has a boundary too: between a
-character that is no white space and ASCII white space after it. (Elsewhere a fragment on its own
-could be pre-tokenized in another way than within its text.) The fragments, mostly words with the
-space before them, are encoded independently, each distinct one once a task, and concatenated.
-Decoding concatenates the tokens' bytes and reads them as UTF-8, with U+FFFD for invalid bytes.
+bytes changes nothing, provided that the pieces of the pre-tokenizer on either side stay what they
+are. They do wherever the byte before is the end of a character other than white space and the byte
+after starts a character other than an apostrophe: a run of letters, digits or other marks that goes
+on after the cut is then a run of its own, with no merge across; a run of white space starts whole; an
+apostrophe alone could begin a contraction that it does not begin within a longer run of marks.
+
+The fragments are encoded independently, each distinct one once a task, and concatenated. They are
+known by their bytes. Decoding concatenates the tokens' bytes and reads them as UTF-8, with U+FFFD
+for invalid bytes.
 """
 
 from __future__ import annotations
@@ -45,12 +49,12 @@ class Codec:
             raise ValueError("added tokens with white space or stripping would span forced boundaries")
         self.added = list(added)
         inside = np.zeros((256, 256), bool)
-        for token in vocab:
+        for token in [*vocab, *added]:
             for a, b in zip(token[:-1], token[1:]):
                 inside[a, b] = True
         cut = ~inside
-        cut[:, [c for c in range(256) if c not in (9, 10, 11, 12, 13, 32)]] = False
-        cut[[9, 10, 11, 12, 13, 32, *_WIDE_SPACE_ENDS], :] = False
+        cut[:, [*range(0x80, 0xC0), ord("'")]] = False
+        cut[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, *_WIDE_SPACE_ENDS], :] = False
         self.cut = cut.ravel()
         merges = [x.split(" ") if isinstance(x, str) else x for x in data["model"]["merges"]]
         by_rank = [data["model"]["vocab"][a + b] for a, b in merges]
@@ -65,7 +69,7 @@ class Codec:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -85,35 +89,30 @@ class Codec:
         end = np.append(start[1:], len(buf))
         if len(self.known) > KEEP:
             self._clear()
-        keys, where, back = np.unique(at.spans_hash(buf, start, end), return_index=True, return_inverse=True)
-        raw, known, new, index = buf.tobytes(), self.known, [], np.empty(len(keys), np.int64)
-        for i, (key, w) in enumerate(zip(keys.tolist(), where.tolist())):
-            slot = known.get(key)
+        where, back = at.distinct_spans(buf, start, end)
+        raw, known, new, index = buf.tobytes(), self.known, [], np.empty(len(where), np.int64)
+        for i, (a, b) in enumerate(zip(start[where].tolist(), end[where].tolist())):
+            piece = raw[a:b]
+            slot = known.get(piece)
             if slot is None:
-                slot = known[key] = len(self.at) - 1 + len(new)
-                new.append(self.fragment(raw[start[w] : end[w]]))
+                slot = known[piece] = len(self.at) - 1 + len(new)
+                new.append(self.fragment(piece))
             index[i] = slot
         if new:
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in new])))
             self.ids = np.concatenate((self.ids, np.fromiter((t for x in new for t in x), np.uint32)))
         slot = index[back]
         size = self.at[slot + 1] - self.at[slot]
-        ids, offset = _gathered(self.ids, self.at[slot], size)
+        ids, offset = at.gathered(self.ids, self.at[slot], size)
         return ids, offset[np.searchsorted(start, offs)]
 
     def decode(self, ids: np.ndarray, at_: np.ndarray) -> list[str]:
         """The text of each row of ids."""
-        data, offset = _gathered(self.piece_bytes, self.piece_at[ids], self.piece_at[ids.astype(np.int64) + 1] - self.piece_at[ids])
+        data, offset = at.gathered(self.piece_bytes, self.piece_at[ids], self.piece_at[ids.astype(np.int64) + 1] - self.piece_at[ids])
         raw, cuts = data.tobytes(), offset[at_].tolist()
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces data[start:start+size] one after another, and their offsets."""
-    offset = np.concatenate(([0], np.cumsum(size)))
-    return data[np.repeat(start - offset[:-1], size) + np.arange(offset[-1])], offset
-
-
 _codecs: dict[str, Codec] = {}
 
 

@@ -1,48 +1,77 @@
-"""Tables in the folder that driver and executors share, and a few column helpers."""
+"""Tables in the folder that driver and executors share, joins that hot keys don't hurt, and a few column helpers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one in so many of the rows is hot, so there are fewer hot keys than this.
+HOT_SHARE = 512
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Only a local session that has none gets a temporary folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="paperlane-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperlane-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def _made(path: str) -> str:
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and read from there: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = _made(f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
-    """As ``written``, in buckets of ``key``, so that later joins on it needn't shuffle these rows again; and the table's name."""
+def bucketed(df: DataFrame, name: str, key: str, dealt: bool = False) -> tuple[DataFrame, str]:
+    """As ``written``, in buckets of ``key``, so that later joins on it needn't shuffle these rows again; and the table's name.
+
+    ``dealt``: the rows are already in partitions by ``key``, as many as there are shuffle partitions.
+    """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     table_name = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table_name}").saveAsTable(table_name)
+    (df if dealt else df.repartition(n, key)).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", _made(f"{shared_folder(spark)}/{table_name}")).saveAsTable(table_name)
     return spark.table(table_name), table_name
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written``, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_folder(spark).rstrip("/")) or path.startswith(shared_folder(spark).replace("file:/", "file:///", 1)):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of the tables written inside."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such tables, once nothing lazy reads them any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written``, once nothing lazy reads them any more."""
+    for df in tables:
+        root = shared_folder(df.sparkSession).split(":", 1)[-1].replace("///", "/").rstrip("/")
+        deleted(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles() if root in f}))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,6 +87,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def renamed_apart(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns; extra columns, whatever they are called, stay out of an operator's way."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The keys of more than a ``HOT_SHARE``-th of all rows: fewer than ``HOT_SHARE`` rows, whatever the data."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > total).select(*keys)
+
+
+def left_join(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a table that has one row a key (null keys match nothing), with no task for a hot key alone.
+
+    The rows of hot keys meet a broadcast of those keys' rows (fewer than ``HOT_SHARE``) where they
+    are, all others are shuffled. Both inputs are read twice: they should be written tables.
+    """
+    hot = written(hot_keys(rows, keys, rows.count()), "hot")
+    if hot.isEmpty():
+        return rows.join(one, keys, "left")
+    mark = F.broadcast(hot.select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    few = one.join(F.broadcast(hot), keys)
+    return rows.join(mark, same, "left_semi").join(F.broadcast(few), keys, "left").unionByName(rows.join(mark, same, "left_anti").join(one, keys, "left"))

@@ -178,7 +178,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             for _, _, b, o in at.slices(buf, offs):
                 start, end, first = at.word_spans(b, o)
                 if len(start):
-                    _, where, back = np.unique(at.spans_hash(b, start, end), return_index=True, return_inverse=True)
+                    where, back = at.distinct_spans(b, start, end)
                     total = np.concatenate(([0], np.cumsum(machine.lengths(b, start[where], end[where], b" ")[back])))
                 else:
                     total = np.zeros(1, np.int64)

@@ -1,5 +1,6 @@
 """Each text operator against a plain version over the smallest tables and a fixture of awkward rows."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -237,17 +238,37 @@ def test_bpe_equals_library(documents, odd, empty):
     assert bpe.encode(empty, path).collect() == []
 
 
+MIXED = [chr(c) for c in range(0x21, 0x7F)] + list("    \n\t\r　 \x1c\x85 ​日本語中文字かなカナ한국어éüßñœåÄÖÜ١٢٣४५²½Ⅷ①абвгдеё🙂😀שלוםمرحبا") + ["'s", "'ll", "'re", "<|endoftext|>", " '", "!'s", "é", "  ", "\n\n"]
+
+
 def test_bpe_equals_library_on_random_texts():
     from tokenizers import Tokenizer
 
     library, own, rng = Tokenizer.from_file(vocabulary()), bpe.codec(vocabulary()), np.random.default_rng(0)
-    alphabet = list("abz AZ  \n\t\r09'.,-!?_#é  　日​🙂s'tll<|>") + ["<|endoftext|>", "'ll", "  ", "\n\n"]
-    for _ in range(1500):
-        text = "".join(rng.choice(alphabet, int(rng.integers(1, 60))))
+    for _ in range(4000):
+        text = "".join(rng.choice(MIXED, int(rng.integers(1, 60))))
         raw = np.frombuffer(text.encode(), np.uint8)
         assert own.encode(raw, np.array([0, len(raw)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("text, share", [(" ".join("日本語中文字かなカナ" * 300), 0.1), ("日本語中文字かなカナ" * 300, 0.1), (base64.b64encode(bytes(np.random.default_rng(1).integers(0, 256, 6000, dtype=np.uint8))).decode(), 0.3), ("plain words of a text. " * 100, 0.1)])
+def test_bpe_cuts_texts_of_every_kind(text, share):
+    from tokenizers import Tokenizer
+
+    own, raw = bpe.codec(vocabulary()), np.frombuffer(text.encode(), np.uint8)
+    assert own.cut[raw[:-1].astype(np.int64) * 256 + raw[1:]].mean() > share  # white space is not needed
+    assert own.encode(raw, np.array([0, len(raw)]))[0].tolist() == Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    from paperlane.llm import arrowtext as at
+
+    monkeypatch.setattr(at, "spans_hash", lambda buf, start, end: np.zeros(len(start), np.uint64))
+    buf = np.frombuffer(b"ab cd ab abc", np.uint8)
+    where, back = at.distinct_spans(buf, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 12]))
+    assert where.tolist() == [0, 1, 3] and back.tolist() == [0, 1, 0, 2]
+
+
 def test_token_counts(documents, odd, empty):
     pieces = token_counts.byte_level_pieces(vocabulary())
     longest = max(map(len, pieces))
