@@ -78,6 +78,43 @@ def test_chat_linking(spark):
     assert chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_query_meets_every_case(spark):
+    out = queries()["op5_chat_formatting"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.status for r in out} >= {"linked", "no result", "ambiguous", "message", "orphan"} and {r.level for r in out} >= {None, 0, 1, 2}
+    assert {x for r in out for x in (r.problem or "").split("; ")} >= {"text: missing", "text: not string", "tone: unexpected", "unknown tool"}
+
+
+AWKWARD = ['{"a":' * 200_000 + "1" + "}" * 200_000, '{"tool_calls":[{"id":"x","name":"reply","arguments":' + "[" * 150 + "]" * 150 + "}]}", '{"tool_call_id":"\\ud800"}', '{"tool_call_id":"x","content":"\\ud800"}', '{"tool_call_id":"x","content":NaN}', '{"tool_call_id":"x","content":[1e400]}', '{"tool_call_id":"x","content":-Infinity}', '{"tool_call_id":"x","content":' + "9" * 5000 + "}", "{", "", '{"tool_calls":[]}', '{"tool_call_id":7}']
+
+
+def test_chat_takes_awkward_texts_as_messages(spark):
+    rows = [row for k, text in enumerate(AWKWARD) for row in ((k, 0, "user", call(("x", "reply", {"text": "t"}))), (k, 1, "tool", text))]
+    by = {(r.conv_id, r.turn): r for r in chat.linked(spark.createDataFrame(rows, CHAT)).collect()}
+    for k, text in enumerate(AWKWARD):
+        assert by[k, 1].kind == "message" and by[k, 1].level == 0 and json.loads(by[k, 1].json) == {"content": text, "role": "tool"} and by[k, 0].status == "no result", text[:50]
+
+
+def test_chat_numbers_and_quoted_arguments(spark):
+    rows = [(1, 0, "a", '{"tool_calls":[{"id":"x","name":"reply","arguments":"{\\"text\\": NaN}"},{"id":"y","name":"reply","arguments":"{\\"text\\": 1.0}"}]}'), (1, 1, "t", '{"tool_call_id":"y","content":{"b":1,"a":1.0,"b":2}}')]
+    by = {(r.turn, r.place): r for r in chat.linked(spark.createDataFrame(rows, CHAT)).collect()}
+    assert by[0, 0].problem == "not object" and by[0, 1].problem == "text: not string" and by[1, 0].json == '{"content":{"a":1.0,"b":2},"id":"y"}'
+
+
+@pytest.mark.parametrize("conv", [None, 0, 7])
+def test_chat_orders_any_conversation(spark, conv):
+    ref = lambda i: {"text": "t", "about": {"$ref": i}}
+    rows = [(conv, 0, "a", call(("x", "reply", {"text": "t"}))), (conv, 1, "a", call(("y", "reply", ref("x")), ("self", "reply", ref("self")), ("gone", "reply", ref("nowhere")))), (conv, 2, "a", call(("z", "reply", ref("y")), ("behind", "reply", ref("self"))))]
+    rows += [(conv, 3 + k, "a", call((f"c{k}", "reply", ref(f"c{k - 1}" if k else "z")))) for k in range(11)] + [(8, 0, "a", call(("y", "reply", ref("c3"))))]
+    rows += rows[:1] * 2  # repeated rows are further calls of one identifier
+    out = chat.linked(spark.createDataFrame(rows, CHAT)).collect()
+    level = {r.call_id: r.level for r in out if r.conv_id == conv}
+    assert level == {"x": 0, "y": 1, "z": 2, "self": None, "gone": None, "behind": None} | {f"c{k}": 3 + k for k in range(11)}
+    assert len(out) == len(rows) + 3 and {r.status for r in out if r.call_id == "x"} == {"ambiguous"} and [r.level for r in out if r.conv_id == 8] == [None]
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "PII", "mixing sources to target weights", "BPE encoding and decoding"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
