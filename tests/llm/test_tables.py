@@ -4,6 +4,7 @@ import json
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -44,6 +45,32 @@ def test_mixing_targets_by_definition(spark):
     assert copies.columns == odd.columns and copies.count() == sum(r.copies for r in got)
 
 
+def test_mixing_includes_by_odds(spark):
+    """Two hundred draws at once: each draw is a pair of sources of its own, with the same documents and other random numbers."""
+    rng = np.random.default_rng(4)
+    size, weight = rng.integers(20, 400, 120), rng.choice([0.25, 0.5, 1.0, 2.0, 5.0], 120)
+    rows = [(int(i), f"{kind}{draw:03d}", int(size[i]), f"{kind}{draw}", float(weight[i])) for draw in range(200) for kind in "ab" for i in range(120)]
+    sizes = mixing.written(spark.createDataFrame(rows, "doc_id long, source string, size long, mark string, weight double"), "sizes")
+    goal = {"a": 1.5 * size.sum(), "b": 0.5 * size.sum()}  # the first two hundred sources by code point are a's
+    got = {}
+    for r in mixing.mixed(sizes, (3,) * 200 + (1,) * 200).collect():
+        assert abs(r.target - goal[r.source[0]]) < 1e-6 and 0 <= r.copies <= 3
+        got.setdefault(r.source[0], np.zeros(120))[r.doc_id] += r.copies / 200
+    for kind, target in goal.items():
+        c = next(x for x in np.linspace(0, 60, 600_001) if (size * np.minimum(3, x * weight)).sum() >= target)
+        want = np.minimum(3, c * weight)
+        p = want - np.floor(want)
+        assert len(set(np.round(want, 3))) >= 3 and (np.abs(got[kind] - want) < 4.5 * np.sqrt(p * (1 - p) / 200) + 0.02).all()
+
+
+def test_mixing_with_many_sources_joins_them(spark, monkeypatch):
+    rows = [(i, f"s{i % 7}" if i % 3 else "hot", " ".join("w" for _ in range(5 + i % 50))) for i in range(600)] + [(None, None, f"t {i} x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
