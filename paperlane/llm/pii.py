@@ -9,14 +9,15 @@ seeds or reached a reliable score in an earlier turn, mark the other tokens they
 
 Offsets count code points. Regular expressions give matches but no places, so a text is also split
 by the same expression and places are summed from the pieces. All quantifiers over groups are
-possessive and starts are anchored, so that matching takes linear time and no deep recursion.
+possessive and starts are anchored, so that matching takes linear time and no deep recursion. Tokens and
+words are taken whole, however long; a pattern names a word of more than 64 characters by its MD5.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import let, written
+from .shared import chunked, hot_keys, left_join, let, running, written
 
 #: The kinds in their order, as matched: the same matches as the plain forms give, see the tests.
 KINDS = {
@@ -28,7 +29,7 @@ KINDS = {
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
 _GROUP = r"[0-9][0-9()./+-]*+"
-TOKEN = rf"(?<!\S)[^\s0-9@]*+(?:{_GROUP}(?: [+(]{{0,2}}{_GROUP}(?=[^\p{{L}}\p{{N}}\s]{{0,8}}(?:\s|$)))++|[0-9@])\S*+"
+TOKEN = rf"(?<!\S)[^\s0-9@]*+(?:{_GROUP}(?: [+(]{{0,2}}{_GROUP}(?=[^\p{{L}}\p{{N}}\s]*+(?:\s|$)))++|[0-9@])\S*+"
 TURNS, RELIABLE, SEEDS = 3, 0.8, 3
 #: Up to so many reliable patterns go to every task as one hash table; a pattern has 26 characters at most.
 LOOKUP, SLOTS = 20_000, 1_024
@@ -39,15 +40,13 @@ def found(text: Column, pattern: str) -> Column:
     """All matches as an array of (s, e, v): start, end and text."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
 
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
+    def place(at: Column, x: Column) -> Column:
+        start = at + F.length(x["g"])
         end = start + F.length(x["h"])
-        one = F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), x["h"].alias("v"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).cast(_SPANS).alias("out"))
+        return F.struct(end.alias("at"), F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), x["h"].alias("v")).alias("one"))
 
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(F.filter(pairs, lambda x: x["h"].isNotNull()), start, place, lambda acc: acc["out"])
+    return let(F.filter(pairs, lambda x: x["h"].isNotNull()), lambda p: running(p, "struct<s:int,e:int,v:string>", place))
 
 
 def _digits(v: Column) -> Column:
@@ -89,9 +88,9 @@ def _tokens(text: Column) -> Column:
 
     def around(g: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            value = F.regexp_replace(x["v"], r"[^\p{L}\p{N}]{1,8}$", "")
-            left = F.regexp_extract(F.right(F.get(g, i), F.lit(30)), r"(\S{1,24})\s*$", 1)
-            right = F.regexp_extract(F.left(F.get(g, i + 1), F.lit(30)), r"^\s*(\S{1,24})", 1)
+            value = F.regexp_replace(x["v"], r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+            left = F.regexp_extract(F.get(g, i), r"(?<!\S)(\S++)\s*+$", 1)
+            right = F.regexp_extract(F.get(g, i + 1), r"^\s*+(\S++)", 1)
             return F.struct(x["s"].alias("s"), (x["s"] + F.length(value)).cast("int").alias("e"), value.alias("v"), F.lower(left).alias("left"), F.lower(right).alias("right"))
 
         return F.filter(F.transform(found(text, TOKEN), one), lambda x: (F.length(_digits(x["v"])) >= 4) | x["v"].contains("@"))
@@ -107,25 +106,34 @@ def reliable_patterns(edges: DataFrame) -> DataFrame:
     ``RELIABLE`` count as seeds do in later turns, so that they bring in patterns that no seed meets.
     """
     edges = written(edges, "graph")
+    total = edges.count()
+    hot = {k: written(hot_keys(edges, [k], total), "hot") for k in ("pattern", "token")}
     score = edges.withColumn("score", F.col("seed").cast("double"))
     for turn in range(TURNS):
         patterns = score.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("weight"), F.sum((F.col("score") >= RELIABLE).cast("int")).alias("seeds"))
         if turn < TURNS - 1:
-            tokens = edges.join(patterns.filter("weight >= 0.5"), "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))))).alias("gained"))
-            score = edges.join(tokens, "token", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gained", F.lit(0.0))))
+            weights = written(patterns.filter("weight >= 0.5").select("pattern", "weight"), "weights")
+            tokens = left_join(edges, weights, ["pattern"], hot["pattern"]).filter("weight is not null").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))))).alias("gained"))
+            score = left_join(edges, written(tokens, "gains"), ["token"], hot["token"]).withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gained", F.lit(0.0))))
     return patterns.filter((F.col("weight") >= RELIABLE) & (F.col("seeds") >= SEEDS)).select("pattern")
 
 
 def _patterns(t: Column) -> Column:
     """The lexical patterns of a token: side and word."""
-    return F.array_compact(F.array(*[F.when(t[w] != "", F.concat(F.lit(f"{side} "), t[w])) for side, w in (("L", "left"), ("R", "right"))]))
+    return F.array_compact(F.array(*[F.when(t[w] != "", F.concat(F.lit(f"{side} "), F.when(F.length(t[w]) > 64, F.md5(t[w])).otherwise(t[w]))) for side, w in (("L", "left"), ("R", "right"))]))
 
 
-def _seed(seeds: Column, t: Column) -> Column:
-    return F.exists(seeds, lambda x: (x["s"] < t["e"]) & (x["e"] > t["s"]))
+def _flagged(tokens: Column, seeds: Column) -> Column:
+    """tokens with ``seed``: whether one overlaps a fixed form. Chunk by chunk, so that each token meets only the forms near it."""
 
+    def near(chunk: Column) -> Column:
+        lo, hi = F.get(chunk, 0)["s"], F.get(chunk, F.size(chunk) - 1)["e"]
+        return let(F.filter(seeds, lambda x: (x["s"] < hi) & (x["e"] > lo)), lambda few: F.transform(chunk, lambda t: t.withField("seed", F.exists(few, lambda x: (x["s"] < t["e"]) & (x["e"] > t["s"])))))
 
-def _looked_up(rows: DataFrame, patterns: DataFrame, seeds: Column) -> DataFrame:
+    return F.flatten(F.transform(chunked(tokens), near))
+
+
+def _looked_up(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """rows with ``id`` by a hash table of the patterns, an array of ``SLOTS`` arrays, which every task gets: rows stay where they are."""
 
     def slot(p: Column) -> Column:
@@ -136,58 +144,66 @@ def _looked_up(rows: DataFrame, patterns: DataFrame, seeds: Column) -> DataFrame
     lookup = chains.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col("chains")[i], F.array().cast("array<string>"))).alias("lookup")).scalar()
 
     def meets(t: Column) -> Column:
-        return ~_seed(seeds, t) & F.exists(_patterns(t), lambda p: F.array_contains(F.get(F.col("lookup"), slot(p)), p))
+        return ~t["seed"] & F.exists(_patterns(t), lambda p: F.array_contains(F.get(F.col("lookup"), slot(p)), p))
 
     spans = F.transform(F.filter("tokens", meets), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v")))
     return rows.withColumn("lookup", lookup).withColumn("id", F.array_sort(F.array_distinct(spans))).drop("lookup")
 
 
-def _joined(rows: DataFrame, patterns: DataFrame, seeds: Column) -> DataFrame:
+def _joined(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """The same for any number of patterns: tokens are joined with them and go back to their rows."""
-    each = rows.select("row_no", seeds.alias("seeds"), F.explode("tokens").alias("t")).filter(~_seed(F.col("seeds"), F.col("t")))
+    each = rows.select("row_no", F.explode("tokens").alias("t")).filter("not t.seed")
     each = each.select("row_no", F.struct("t.s", "t.e", "t.v").alias("x"), F.explode(_patterns(F.col("t"))).alias("pattern"))
     added = each.join(patterns, "pattern").groupBy("row_no").agg(F.array_sort(F.collect_set("x")).alias("id"))
     return rows.join(added, "row_no", "left")
 
 
-def personal_data(docs: DataFrame, lookup: int = LOOKUP) -> DataFrame:
-    """All input columns, and for each kind (and ``id``, the added ones) an array of spans.
+def personal_data(docs: DataFrame, lookup: int = LOOKUP, carried: tuple[str, ...] | None = None) -> DataFrame:
+    """``row``, a struct of the input columns (all, or those to carry), and for each kind (and ``id``, the added ones) an array of spans.
 
-    Null texts hold nothing. Rows are kept apart by a number of their own, so ids may repeat or be null.
-    Input columns that bear a kind's name would clash and are left out. Up to ``lookup`` reliable patterns
-    go to every task and no text is shuffled; more of them are joined, with the same spans.
+    Null texts hold nothing. Rows are kept apart by a number of their own, so ids may repeat or be null, and input
+    columns of any name stay as they are. Up to ``lookup`` reliable patterns go to every task and no text is
+    shuffled; more of them are joined, with the same spans. Empty tables give no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = {*KINDS, "id", "row_no", "tokens", "lookup"}
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    rows = docs.select(*keep, *base_spans(text), F.when(text.rlike("[0-9@]"), _tokens(text)).alias("tokens"), F.monotonically_increasing_id().alias("row_no"))
-    rows = written(rows, "spans")
-    seeds = F.concat(*KINDS)
-    each = rows.select(seeds.alias("seeds"), F.explode("tokens").alias("t")).select(F.explode(_patterns(F.col("t"))).alias("pattern"), F.xxhash64("t.v").alias("token"), _seed(F.col("seeds"), F.col("t")).alias("seed"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carried is None else carried)]).alias("row")
+    rows = docs.select(row, *base_spans(text), F.when(text.rlike("[0-9@]"), _tokens(text)).alias("tokens"), F.monotonically_increasing_id().alias("row_no"))
+    rows = written(rows.withColumn("tokens", _flagged(F.col("tokens"), F.concat(*KINDS))), "spans")
+    each = rows.select(F.explode("tokens").alias("t")).select(F.explode(_patterns(F.col("t"))).alias("pattern"), F.xxhash64("t.v").alias("token"), "t.seed")
     patterns = written(reliable_patterns(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))), "patterns")
     find = _looked_up if patterns.count() <= lookup else _joined
-    return find(rows, patterns, seeds).drop("tokens").withColumn("id", F.coalesce("id", F.array().cast(_SPANS))).drop("row_no")
+    return find(rows, patterns).drop("tokens").withColumn("id", F.coalesce("id", F.array().cast(_SPANS))).drop("row_no")
 
 
 def digests(spans: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans and all spans."""
     base = _digest(list(KINDS))
-    return spans.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), _digest([*KINDS, "id"]).alias("spans"))
+    return spans.select(F.col("row.doc_id").cast("long").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), _digest([*KINDS, "id"]).alias("spans"))
 
 
 def redacted(docs: DataFrame, lookup: int = LOOKUP) -> DataFrame:
-    """docs with every span in ``text`` replaced by its kind in brackets; overlapping spans are one, named by the first."""
+    """docs with every span in ``text`` replaced by its kind in brackets; overlapping spans are one, named by the first.
+
+    All columns stay, whatever their names; texts without spans, empty and null ones stay as they are.
+    """
     rows = personal_data(docs, lookup)
+    text = F.col("row.text").cast("string")
 
     def named(kind: str):
         return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind.upper()).alias("k"))
 
-    every = F.array_sort(F.concat(*[F.transform(k, named(k)) for k in [*KINDS, "id"]]))
+    def step(at: Column, x: Column) -> Column:
+        return F.struct(F.greatest(at, x["e"]).alias("at"), F.struct(at.alias("p"), x["s"].alias("s"), F.greatest(at, x["e"]).alias("e"), x["k"].alias("k")).alias("one"))
 
-    def step(acc: Column, x: Column) -> Column:
-        covered = x["s"] < acc["at"]
-        piece = F.when(covered, F.lit("")).otherwise(F.concat(F.substr("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]")))
-        return F.struct(F.greatest(acc["at"], x["e"]).cast("int").alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+    def pieces(chunk: Column) -> Column:
+        base, last = F.get(chunk, 0)["p"], F.get(chunk, F.size(chunk) - 1)["s"]
+        own = F.substr(text, base + 1, last - base)  # so that each piece is cut from a short text
+        return let(own, lambda t: F.transform(chunk, lambda x: F.concat(F.substr(t, x["p"] - base + 1, x["s"] - x["p"]), F.lit("["), x["k"], F.lit("]"))))
 
-    clean = F.aggregate(every, F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns if c in rows.columns])
+    every = F.array_sort(F.concat(*[F.transform(k, named(k)) for k in [*KINDS, "id"]]))
+    walked = running(every, "struct<p:int,s:int,e:int,k:string>", step)
+    rows = rows.select("row", F.when(F.size(every) > 0, walked).alias("walked"))
+    # a span that starts before the end of the ones before it is covered; the text goes on after the last end
+    apart = F.filter("walked", lambda x: x["s"] >= x["p"])
+    clean = let(apart, lambda spans: F.concat(F.array_join(F.flatten(F.transform(chunked(spans), pieces)), ""), F.substr(text, F.get(F.col("walked"), F.size("walked") - 1)["e"] + 1, F.length(text))))
+    return rows.select(F.col("row").withField("text", F.when(F.col("walked").isNotNull(), clean).otherwise(text)).alias("row")).select("row.*")

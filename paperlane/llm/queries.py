@@ -67,7 +67,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digests(personal_data(table(spark, sf_dir, "documents"), carried=("doc_id",)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -92,16 +92,41 @@ def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > total).select(*keys)
 
 
-def left_join(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+def left_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Left join with a table that has one row a key (null keys match nothing), with no task for a hot key alone.
 
     The rows of hot keys meet a broadcast of those keys' rows (fewer than ``HOT_SHARE``) where they
-    are, all others are shuffled. Both inputs are read twice: they should be written tables.
+    are, all others are shuffled. Both inputs are read twice: they should be written tables. ``hot``: the hot keys, if known.
     """
-    hot = written(hot_keys(rows, keys, rows.count()), "hot")
+    hot = written(hot_keys(rows, keys, rows.count()), "hot") if hot is None else hot
     if hot.isEmpty():
         return rows.join(one, keys, "left")
     mark = F.broadcast(hot.select(*[F.col(k).alias(f"_{k}") for k in keys]))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     few = one.join(F.broadcast(hot), keys)
     return rows.join(mark, same, "left_semi").join(F.broadcast(few), keys, "left").unionByName(rows.join(mark, same, "left_anti").join(one, keys, "left"))
+
+
+def chunked(items: Column) -> Column:
+    """An array in pieces of about the root of its size, at least 64."""
+    each = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / each).cast("int")), lambda k: F.slice(items, k * each + 1, each))
+
+
+def running(items: Column, kind: str, step) -> Column:
+    """``step(at, item)``, a struct (at, one), along an array, starting at 0: the array of all ``one`` (of type ``kind``).
+
+    Arrays can only be copied, not appended to, so the items are taken in chunks: n items cost n to the power 1.5.
+    """
+
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["at"], x), lambda y: state(y["at"], F.concat(acc["out"], F.array(y["one"]))))
+
+    def piece(acc: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, state(acc["at"], F.array().cast(f"array<{kind}>")), one)
+        return let(inner, lambda y: state(y["at"], F.concat(acc["out"], F.array(y["out"]))))
+
+    return F.aggregate(chunked(items), state(F.lit(0), F.array().cast(f"array<array<{kind}>>")), piece, lambda acc: F.flatten(acc["out"]))
