@@ -1,15 +1,18 @@
 """Toxicity by weak supervision.
 
 Terms are lower-cased words (cut at white space and ASCII punctuation) and their leading 4, 5 and 6
-bytes, so inflected forms share terms. From labelled rows come the lexicons: terms that lean to toxic
-rows, in tiers by kind and strength. Voters are the lexicons' parts and a number of patterns; each says
-toxic, clean, or abstains. A generative label model, a latent class with one categorical vote per voter,
-is fitted by EM to the votes; correlations between voters that the class doesn't explain are
-estimated too and lessen the weight of voters that repeat each other. Its posteriors, not the labels,
-are the targets of a logistic classifier over the lexicon terms, which scores every text.
+bytes, so inflected forms share terms. From labelled rows come the lexicons: every term that leans to toxic
+rows beyond chance (G-test), in tiers by kind and strength. Voters are the lexicons' parts and a number of
+patterns; each says toxic, clean, or abstains. A generative label model, a latent class with one categorical
+vote per voter, is fitted by EM. EM starts from the balance of the votes, not from labels. Correlations between
+voters that the class doesn't explain are estimated too; they serve to lessen the weight of voters that repeat
+each other. Its posteriors, not the labels, are the targets of a logistic classifier over the lexicon terms,
+which scores every text.
 
 Only labelled rows whose crc32(doc_id as text) mod 5 is not 0 teach, and of them a bounded sample:
-about ``MAX_TOXIC`` and ``MAX_CLEAN`` rows chosen by hash. Language, source and id are never features.
+about ``MAX_TOXIC`` and ``MAX_CLEAN`` ids chosen by hash, one text each. Terms are counted in Spark, and all
+that pass the test are used: their number is bounded by the sample alone. Language, source and id are
+never features.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrowtext as at
 from .shared import written
 
-#: Bounds of the sample of labelled rows, of the terms counted and of the classifier's terms.
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_TERMS = 8_000, 16_000, 20_000, 1_024
+#: Bounds of the sample of labelled rows, and what a term must show: rows that hold it, odds, and significance.
+MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
+MIN_ROWS, MIN_ODDS, MIN_G = 3, 12.0, 15.1
 PREFIXES = (4, 5, 6)
 _BREAK = at.SPACE.copy()
 _BREAK[[c for c in range(33, 128) if not chr(c).isalnum()]] = True
@@ -160,44 +164,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))), None)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) + 0.5) / 1_000_003
     chosen = marks.filter(u < F.when(F.col("toxic"), MAX_TOXIC / toxic).otherwise(MAX_CLEAN / clean))
-    # bounded by the two maxima, so broadcast; no text is shuffled
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
-
-    def seen(batches):
-        every = []
-        for _, _, _, b, o in _texts(batches):
-            h, row, _ = _terms(b, o)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            every.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))] if len(h) else h)
-        if every:
-            h, c = np.unique(np.concatenate(every), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["term", "n"])
-
-    top = sample.filter("toxic").select("text").mapInArrow(seen, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
-    rows = top.collect()
-    candidates, in_toxic = np.array([r.term for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], float)
-    index = _Index(candidates)
-
-    def among(batches):
-        total = np.zeros(len(candidates), np.int64)
-        for _, _, _, b, o in _texts(batches):
-            h, row, _ = _terms(b, o)
-            total += np.bincount(index.occurring(h, row, len(o) - 1)[1], minlength=len(candidates))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["k", "n"])
-
-    in_clean = np.zeros(len(candidates))
-    for r in sample.filter("not toxic").select("text").mapInArrow(among, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most MAX_CANDIDATES
-        in_clean[r.k] = r.n
-    n1, n0 = min(toxic, MAX_TOXIC), min(clean, MAX_CLEAN)
-    p1, p0 = (in_toxic + 0.5) / (n1 + 1), (in_clean + 0.5) / (n0 + 1)
-    lean = np.log(np.minimum(p1, 0.999) / np.minimum(p0, 0.999))
-    gain = np.where(lean > np.log(3), in_toxic * lean, -1.0)
-    best = np.argsort(-gain, kind="stable")[:MAX_TERMS]
-    best = best[gain[best] > 0]
-    terms, lean = candidates[best], lean[best]
-    # lexicon voters: every sixteenth term of the strong and of the weaker half, so that each has common and rare terms
-    tier = (np.argsort(np.argsort(-lean)) * 2 // max(1, len(lean))) * 16 + np.arange(len(lean)) % 16
+    # bounded by the two maxima, so broadcast; of several texts of an id one is taken, so the sample is bounded too
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = written(texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("x.text", "toxic"), "sample")
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(size) < 2:  # the labels are of other documents
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))), None)
+    terms, lean = lexicon_terms(term_counts(sample), size[True], size[False])
+    voters = tiers(lean)
     lexicon = _Index(terms)
 
     def vectors(batches):
@@ -206,21 +180,64 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             r, k = lexicon.occurring(h, row, j - i)
             votes = _patterns(b, o, n_words)
             cuts = np.searchsorted(r, np.arange(j - i + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), at.binaries(k.astype(np.int16), cuts), at.binaries(votes.ravel(), np.arange(j - i + 1) * N_PATTERNS)], ["toxic", "terms", "patterns"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), at.binaries(k.astype(np.int32), cuts), at.binaries(votes.ravel(), np.arange(j - i + 1) * N_PATTERNS)], ["toxic", "terms", "patterns"])
 
-    got = sample.mapInArrow(vectors, "toxic boolean, terms binary, patterns binary").orderBy("toxic", "terms", "patterns").collect()  # the bounded sample
-    if not any(r.toxic for r in got) or all(r.toxic for r in got):  # the labels are of other documents
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))), None)
-    held = [np.frombuffer(r.terms, np.int16).astype(np.int64) for r in got]
-    votes = np.zeros((len(got), 32 + 1 + N_PATTERNS), np.int8)
-    for i, r in enumerate(got):
-        k = held[i]
-        votes[i, tier[k]] = 1
-        votes[i, 32] = 0 if len(k) else -1  # a voter for texts without any leaning term
-        votes[i, 33:] = np.frombuffer(r.patterns, np.int8)
-    voters = fit_label_model(votes, np.array([r.toxic for r in got], float))
-    weights, bias = fit_linear(np.repeat(np.arange(len(got)), [len(k) for k in held]), np.concatenate(held), len(terms), voters.posterior(votes))
-    return Model(terms, weights, bias, voters)
+    got = sample.mapInArrow(vectors, "toxic boolean, terms binary, patterns binary").toPandas()  # the bounded sample
+    got = got.sort_values(["toxic", "terms", "patterns"])
+    held = [np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"]]
+    votes = ballots(held, np.array([np.frombuffer(x, np.int8) for x in got["patterns"]]), voters)
+    model = fit_label_model(votes, vote_balance(votes))
+    weights, bias = fit_linear(np.repeat(np.arange(len(got)), [len(k) for k in held]), np.concatenate(held), len(terms), model.posterior(votes))
+    return Model(terms, weights, bias, model)
+
+
+def term_counts(sample: DataFrame) -> DataFrame:
+    """term (a 64-bit hash), toxic and clean: in how many rows of each kind it occurs."""
+
+    def seen(batches):
+        for batch, i, j, b, o in _texts(batches):
+            h, row, _ = _terms(b, o)
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
+            h, row = h[new], row[new]
+            bad = batch.column("toxic").slice(i, j - i).to_numpy(zero_copy_only=False)[row]
+            one, where = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.bincount(where, bad, len(one)).astype(np.int64)), pa.array(np.bincount(where, ~bad, len(one)).astype(np.int64))], ["term", "toxic", "clean"])
+
+    return sample.mapInArrow(seen, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def lexicon_terms(counts: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """All terms that lean to toxic rows beyond chance, and their log odds, strongest gain first. n1 toxic and n0 clean rows."""
+    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    lean = F.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))
+    both = (a + b) / (n1 + n0)
+    g = 2 * (a * F.log(a / (n1 * both)) + F.when(b > 0, b * F.log(b / (n0 * both))).otherwise(0.0))
+    rows = counts.filter(a >= MIN_ROWS).select("term", lean.alias("lean"), (a * lean).alias("gain"), g.alias("g"))
+    rows = rows.filter((F.col("lean") > float(np.log(MIN_ODDS))) & (F.col("g") > MIN_G)).select("term", "lean", "gain").toPandas()  # of a bounded sample
+    rows = rows.sort_values(["gain", "term"], ascending=[False, True])
+    return rows["term"].to_numpy(np.int64).view(np.uint64), rows["lean"].to_numpy(float)
+
+
+def tiers(lean: np.ndarray) -> np.ndarray:
+    """The lexicon voter of each term: every sixteenth term of the strong and of the weaker half, so that each has common and rare terms."""
+    return (np.argsort(np.argsort(-lean, kind="stable"), kind="stable") * 2 // max(1, len(lean))) * 16 + np.arange(len(lean)) % 16
+
+
+def ballots(held: list[np.ndarray], patterns: np.ndarray, voter: np.ndarray) -> np.ndarray:
+    """Votes of the 32 lexicon voters, of one for texts without any leaning term, and of the patterns."""
+    votes = np.zeros((len(held), 33 + N_PATTERNS), np.int8)
+    for i, k in enumerate(held):
+        votes[i, voter[k]] = 1
+        votes[i, 32] = 0 if len(k) else -1
+    votes[:, 33:] = patterns
+    return votes
+
+
+def vote_balance(votes: np.ndarray) -> np.ndarray:
+    """Where EM starts: likely toxic where three of the strong terms' voters or more say so."""
+    return np.where((votes[:, :16] > 0).sum(axis=1) >= 3, 0.9, 0.1)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,8 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import types as T
 
 from paperlane.llm import bpe, fingerprints, masked_lm, pii, quality, token_counts, toxicity
@@ -222,6 +222,74 @@ def test_context_goes_beyond_seeds(spark):
         assert got[500] == got[501] == ""
 
 
+def brute_identifiers(rows):
+    """doc number to the learned spans: tokens, graph and turns in plain Python."""
+    blank = " \\t\\n\\x0b\\f\\r"
+    token = regex.compile(pii.TOKEN.replace(r"\s0-9@", blank + "0-9@").replace(r"\p{N}\s", r"\p{N}" + blank).replace(r"\S", f"[^{blank}]").replace(r"\s", f"[{blank}]"))
+    found, edges = [], {}
+    for n, (_, text) in enumerate(rows):
+        text, seeds = text or "", [s for k in brute_spans(text).values() for s in k]
+        hits = [m.span() for m in token.finditer(text)] if re.search("[0-9@]", text) else []
+        for (a, b), before, after in zip(hits, [0] + [e for _, e in hits], [s for s, _ in hits[1:]] + [len(text)]):
+            value = regex.sub(r"[^\p{L}\p{N}]+$", "", text[a:b])
+            if len(re.sub("[^0-9]", "", value)) < 4 and "@" not in value:
+                continue
+            left, right = re.split("[ \t\n\x0b\f\r]+", text[before:a].strip(" \t\n\x0b\f\r"))[-1], re.split("[ \t\n\x0b\f\r]+", text[b:after].strip(" \t\n\x0b\f\r"))[0]
+            patterns, seed = [side + w.lower() for side, w in (("L ", left), ("R ", right)) if w], any(s < a + len(value) and e > a for s, e in seeds)
+            found.append((n, a, a + len(value), patterns, seed))
+            for p in patterns:
+                edges[p, value] = edges.get((p, value), False) or seed
+    of_pattern, of_token = {}, {}
+    for p, t in edges:
+        of_pattern.setdefault(p, []).append(t)
+        of_token.setdefault(t, []).append(p)
+    score = {k: float(v) for k, v in edges.items()}
+    for turn in range(pii.TURNS):
+        weight = {p: sum(score[p, t] for t in ts) / (len(ts) + 1) for p, ts in of_pattern.items()}
+        sure = {p for p, ts in of_pattern.items() if weight[p] >= pii.RELIABLE and sum(score[p, t] >= pii.RELIABLE for t in ts) >= pii.SEEDS}
+        gained = {t: 1 - np.prod([1 - min(weight[p], 0.999) for p in ps if weight[p] >= 0.5]) for t, ps in of_token.items()}
+        score = {(p, t): 1.0 if seed else gained[t] for (p, t), seed in edges.items()}
+    out = {}
+    for n, a, b, patterns, seed in found:
+        if not seed and sure & set(patterns):
+            out.setdefault(n, set()).add((a, b))
+    return out
+
+
+def test_learned_spans_by_brute_force(documents, odd, spark):
+    rng = np.random.default_rng(6)
+    lead, words_ = ["phone:", "call", "ref", "konto", "the", "mail", "x" * 90, "(tel)"], ["and", "of", "it,", "über", "2019", "12", "a1b2c3d4", "55-66-77.", "5678!!!"]
+    made = []
+    for i in range(300):
+        parts = []
+        for _ in range(int(rng.integers(1, 9))):
+            parts += [str(rng.choice(lead)), str(rng.choice([f"+4930{rng.integers(10**6, 10**7)}", f"0{rng.integers(10**5, 10**6)}", f"u{rng.integers(50)}@x.org", "8" * 120, f"AB-{rng.integers(10**6)}", str(rng.choice(words_))])), str(rng.choice(words_))]
+        made.append((i, " ".join(parts)))
+    for df, rows in ((odd, TEXTS), (documents, [(r.doc_id, r.text) for r in documents.collect()]), (spark.createDataFrame(made, "doc_id long, text string"), made)):
+        want = brute_identifiers(rows)
+        flat = sorted(((i, ",".join(f"id:{a}:{b}" for a, b in sorted(want.get(n, ())))) for n, (i, _) in enumerate(rows)), key=str)
+        for lookup in (pii.LOOKUP, 0):
+            got = sorted(((r.doc_id, ",".join(x for x in r.spans.split(",") if x.startswith("id:"))) for r in pii.digests(pii.personal_data(df, lookup)).collect()), key=str)
+            assert got == flat
+    assert sum(len(v) for v in brute_identifiers(made).values()) > 50
+
+
+def test_personal_data_keeps_clashing_columns(spark):
+    schema = "doc_id long, text string, email string, id string, row string, tokens long, row_no long, `walked.x` string, lookup string"
+    rows = [(1, "mail a@b.org now", "e", "i", "r", 7, 8, "w", "l"), (None, None, None, None, None, None, None, None, None), (2, "", "e", "i", "r", 7, 8, "w", "l")]
+    df = spark.createDataFrame(rows, schema)
+    for lookup in (pii.LOOKUP, 0):
+        out = pii.redacted(df, lookup)
+        assert out.columns == df.columns and sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, "mail [EMAIL] now", *rows[0][2:]), rows[1], rows[2]], key=str)
+
+
+def test_many_spans_in_one_text(spark):
+    n = 5_000
+    df = spark.createDataFrame([(1, " ".join(f"u{i}@x.org 1.2.3.{i % 256}" for i in range(n)))], "doc_id long, text string")
+    row = pii.digests(pii.personal_data(df)).first()
+    assert row.n_email == row.n_ip == n and pii.redacted(df).first().text == " ".join(["[EMAIL] [IP]"] * n)
+
+
 def test_bpe_equals_library(documents, odd, empty):
     from tokenizers import Tokenizer
 
@@ -383,6 +451,73 @@ def test_toxicity_awkward_rows(odd, empty, spark):
     assert len(toxicity.toxicity(odd, labels.filter("false")).collect()) == len(TEXTS)
 
 
+def plain_terms(text):
+    """The terms of a text as (bytes, prefix length or None), in plain Python."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    found = re.findall(b"(?:[A-Za-z0-9]|[\x80-\xff]|[\x00-\x08\x0e-\x1f])+", low)
+    return {(w, None) for w in found} | {(w[:k], k) for w in found for k in toxicity.PREFIXES if len(w) > k}
+
+
+def term_hash(term):
+    from paperlane.llm import arrowtext as at
+
+    raw = np.frombuffer(term[0], np.uint8)
+    return int(at.spans_hash(raw, np.array([0]), np.array([len(raw)]))[0] + np.uint64(term[1] or 0))
+
+
+def test_toxicity_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    mark = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sample = spark.createDataFrame([(texts[i], bool(t)) for i, t in mark.items()], "text string, toxic boolean")
+    n1, n0 = sum(mark.values()), len(mark) - sum(mark.values())
+    # terms: counts of rows that hold them, and the test that they pass
+    toxic, clean = (Counter(t for i, v in mark.items() if v == kind for t in plain_terms(texts[i])) for kind in (1, 0))
+    counts = {term_hash(t): (toxic[t], clean[t]) for t in toxic.keys() | clean.keys()}
+    table = toxicity.term_counts(sample)
+    assert {r.term % 2**64: (r.toxic, r.clean) for r in table.collect()} == counts
+
+    def passes(a, b):
+        g = 2 * sum(x * np.log(x / (n * (a + b) / (n1 + n0))) for x, n in ((a, n1), (b, n0)) if x)
+        return a >= toxicity.MIN_ROWS and ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)) > toxicity.MIN_ODDS and g > toxicity.MIN_G
+
+    terms, lean = toxicity.lexicon_terms(table, n1, n0)
+    assert set(terms.tolist()) == {h for h, (a, b) in counts.items() if passes(a, b)} and len(terms) > 10
+    # the fitted model's scores are the logistic function of the weights of a text's terms
+    model = toxicity.train(docs, labels)
+    assert set(model.terms.tolist()) == set(terms.tolist())
+    weight = dict(zip(model.terms.tolist(), model.weights.tolist()))
+    for r in toxicity.scored(docs, model).collect():
+        z = model.bias + sum(weight.get(h, 0.0) for h in {term_hash(t) for t in plain_terms(texts[r.doc_id])})
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_label_model_by_plain_loops():
+    rng = np.random.default_rng(3)
+    votes = rng.integers(-1, 2, (60, 5)).astype(np.int8)
+    model, q = toxicity.fit_label_model(votes, np.where(votes[:, 0] > 0, 0.9, 0.1), turns=4), np.where(votes[:, 0] > 0, 0.9, 0.1)
+    for _ in range(4):
+        p = [[[(sum((q[i] if c else 1 - q[i]) for i in range(60) if votes[i, j] == v) + 0.5) / (sum(q if c else 1 - q) + 1.5) for v in (-1, 0, 1)] for c in (0, 1)] for j in range(5)]
+        prior = min(max(sum(q) / 60, 0.01), 0.99)
+        mean = [[p[j][c][2] - p[j][c][0] for c in (0, 1)] for j in range(5)]
+        rest = [[votes[i, j] - q[i] * mean[j][1] - (1 - q[i]) * mean[j][0] for j in range(5)] for i in range(60)]
+        cov = [[sum(rest[i][a] * rest[i][b] for i in range(60)) / 60 for b in range(5)] for a in range(5)]
+        share = [1 / max(1, sum(min(max(cov[a][b] / np.sqrt(cov[a][a] * cov[b][b]), 0), 1) for b in range(5))) for a in range(5)]
+        odds = [sum(share[j] * np.log(p[j][1][votes[i, j] + 1] / p[j][0][votes[i, j] + 1]) for j in range(5)) + np.log(prior / (1 - prior)) for i in range(60)]
+        q = np.array([1 / (1 + np.exp(-o)) for o in odds])
+    assert np.allclose(model.posterior(votes), q) and np.allclose(model.table, p)
+
+
+def test_toxicity_takes_one_text_of_a_labelled_id(spark):
+    rows = [(1, f"vile words here {i % 2}") for i in range(500)] + [(i, "vile words here again" if i % 2 else "nice words here now") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([r for k, r in enumerate(rows) if k == 0 or r[0] != 1] , "doc_id long, text string")
+    a, b = toxicity.train(docs, labels), toxicity.train(once, labels)
+    assert len(a.terms) == len(b.terms) > 0 and np.allclose(a.weights, b.weights)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(6000) < 0.3
