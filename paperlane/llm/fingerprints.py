@@ -5,9 +5,11 @@ a 128-bit hash; each occurrence votes +1 or -1 on every bit, so a term weighs it
 occurrences, and the sign of the sum is the fingerprint's bit (a tie is 0). Empty and null texts,
 and texts without words, have the fingerprint of zeros. Likeness is the share of equal bits.
 
-Search: the bits are cut in ``radius + 1`` blocks. Two fingerprints within the radius agree on
-one block at least, so one table per block, keyed by it, meets every such pair; among the tables
-that meet a pair only the first counts. Equal fingerprints are one row there.
+Search: the bits are cut in ``radius + 2`` blocks. Two fingerprints within the radius agree on two
+blocks at least, so one table for every pair of blocks, permuted to the front as its key, meets every such
+fingerprint; among the tables that meet a pair of fingerprints only the first counts. Keys of two blocks
+(some 42 bits at a radius of 4) keep the tables' groups small also where one block's value is common.
+Equal fingerprints are one row there.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import arrowtext as at
 from .shared import partitions, written
 
 BITS = 128
-DOCS_A_PARTITION = 4000
+PARTITION_BYTES = 128 << 20
+#: Registered radius of the search.
+RADIUS = 4
 
 
 def fingerprint_words(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -143,36 +147,50 @@ def _bridge(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For every row its fingerprint, that of its edited text, and likenesses to that and to the next document.
 
-    The next document has the next lower doc_id (nulls last; rows with equal ids in the order of
-    their texts); after the last comes the first. Texts are dealt out once, by ranges of doc_id,
-    and each partition streams over its sorted rows; what follows a partition's last row is found
-    from two edge rows a partition. One row follows itself; no rows give none.
+    The next document has the next lower doc_id (nulls last; rows with equal ids by the xxhash64 of their
+    texts, then the texts); after the last comes the first. Texts are dealt out once, by ranges of doc_id and that
+    hash, in partitions of some ``PARTITION_BYTES``, and each partition streams over its sorted rows; what follows
+    a partition's last row is found from two edge rows a partition. One row follows itself; no rows give none.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(partitions(spark), -(-own.count() // DOCS_A_PARTITION))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    walked = written(own.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(_walk, _EDGES), "fingerprints")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(partitions(spark), -(-size // PARTITION_BYTES))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    dealt = own.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    walked = written(dealt.select("doc_id", "text").mapInArrow(_walk, _EDGES), "fingerprints")
     edges = walked.filter("part is not null").select("doc_id", "part", "place", "text")
     heads = edges.filter("place = 0").select(F.col("part").alias("head"), F.col("text").alias("following"))
-    # partitions may be empty: each last row looks for the least later head, or the first of all
-    at_ = heads.agg(F.array_sort(F.collect_list("head")).alias("heads"))  # one number a partition
-    tails = edges.filter("place = 1").crossJoin(F.broadcast(at_)).select("doc_id", "text", F.coalesce(F.get(F.expr("filter(heads, h -> h > part)"), F.lit(0)), F.get("heads", F.lit(0))).alias("head"))
-    bridged = tails.join(heads, "head").select("doc_id", "text", "following").mapInArrow(_bridge, _ROWS)
+    # partitions may be empty, so the next one comes from the numbers alone (one a partition); after the last comes the first
+    every = Window.partitionBy()
+    succession = heads.select(F.col("head").alias("part"), F.coalesce(F.lead("head").over(every.orderBy("head")), F.min("head").over(every)).alias("head"))
+    bridged = edges.filter("place = 1").join(succession, "part").join(heads, "head").select("doc_id", "text", "following").mapInArrow(_bridge, _ROWS)
     return walked.filter("part is null").drop("part", "place", "text").unionByName(bridged)
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
+def _number(digits: Column) -> Column:
+    """16 hex digits as a long; they exceed a signed one, two pieces of eight do not."""
+    hi, lo = (F.conv(F.substring(digits, k, 8), 16, 10).cast("long") for k in (1, 9))
+    return F.shiftleft(hi, 32).bitwiseOR(lo)
+
+
+def _keys(hi: Column, lo: Column, radius: int) -> list[Column]:
+    """The key of every table: the number of the table and two blocks."""
+    blocks = -(-(radius + 2) // 2) * 2  # as many in either half
+    cut = [64 * k // (blocks // 2) for k in range(blocks // 2 + 1)]
+    values = [F.shiftrightunsigned(half, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for half in (hi, lo) for a, b in zip(cut[:-1], cut[1:])]
+    pairs = [(i, j) for i in range(blocks) for j in range(i)]
+    return [F.xxhash64(F.lit(t), values[i], values[j]) for t, (i, j) in enumerate(pairs)]
+
+
+def within_radius(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs (a, b, distance), a < b, of distinct fingerprints (hex, column ``fingerprint``) at most ``radius`` bits apart."""
-    cut = [32 * k // (radius + 1) for k in range(radius + 2)]
     one = prints.select("fingerprint").filter("fingerprint is not null").distinct()
-    rows = one.select("fingerprint", F.posexplode(F.array(*[F.substring("fingerprint", a + 1, b - a) for a, b in zip(cut[:-1], cut[1:])])).alias("table", "block"))
-    left = rows.select("table", "block", F.col("fingerprint").alias("a"))
-    right = rows.select("table", "block", F.col("fingerprint").alias("b"))
-    def half(c: str, k: int):
-        # 16 hex digits exceed a signed long; two pieces of eight do not
-        return [F.conv(F.substring(c, 16 * k + 8 * j + 1, 8), 16, 10).cast("long") for j in (0, 1)]
-
-    distance = sum((F.bit_count(x.bitwiseXOR(y)) for k in (0, 1) for x, y in zip(half("a", k), half("b", k))), F.lit(0))
-    first = F.coalesce(*[F.when(F.substring("a", p + 1, q - p) == F.substring("b", p + 1, q - p), k) for k, (p, q) in enumerate(zip(cut[:-1], cut[1:]))])
-    return left.join(right, ["table", "block"]).filter("a < b").withColumn("distance", distance.cast("int")).filter((F.col("distance") <= radius) & (F.col("table") == first)).select("a", "b", "distance")
+    one = one.select(_number(F.substring("fingerprint", 1, 16)).alias("hi"), _number(F.substring("fingerprint", 17, 16)).alias("lo"))
+    rows = one.select(F.explode(F.array(*_keys(F.col("hi"), F.col("lo"), radius))).alias("key"), "hi", "lo")
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key")).filter("x.hi < y.hi or (x.hi = y.hi and x.lo < y.lo)")
+    distance = F.bit_count(F.col("x.hi").bitwiseXOR(F.col("y.hi"))) + F.bit_count(F.col("x.lo").bitwiseXOR(F.col("y.lo")))
+    near = pairs.withColumn("distance", distance.cast("int")).filter(F.col("distance") <= radius)
+    first = F.coalesce(*[F.when(a == b, a) for a, b in zip(_keys(F.col("x.hi"), F.col("x.lo"), radius), _keys(F.col("y.hi"), F.col("y.lo"), radius))])
+    digits = [F.lower(F.concat(F.lpad(F.hex(f"{s}.hi"), 16, "0"), F.lpad(F.hex(f"{s}.lo"), 16, "0"))) for s in "xy"]
+    return near.filter(F.col("x.key") == first).select(F.least(*digits).alias("a"), F.greatest(*digits).alias("b"), "distance")

@@ -12,7 +12,7 @@ from .fingerprints import fingerprints, within_radius
 from .ngram_join import near_duplicates
 from .pii import digests, personal_data
 from .quality import judged
-from .shared import table
+from .shared import left_join, table, written
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -46,11 +46,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the number of other distinct fingerprints of the table within 3 bits."""
+    """With the number of other distinct fingerprints of the table within the registered radius."""
     prints = fingerprints(table(spark, sf_dir, "documents"))
-    pairs = within_radius(prints, 3)
-    near = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_within_3"))
-    return prints.join(near, "fingerprint", "left").withColumn("n_within_3", F.coalesce("n_within_3", F.lit(0)))
+    near = within_radius(prints).select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_near"))
+    return left_join(prints, written(near, "near"), ["fingerprint"]).withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

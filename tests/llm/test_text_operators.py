@@ -9,11 +9,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import types as T
 
 from paperlane.llm import bpe, fingerprints, masked_lm, pii, quality, token_counts, toxicity
 from paperlane.llm.ngram_join import near_duplicates
-from paperlane.llm.queries import vocabulary
+from paperlane.llm.queries import queries, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("key1", T.StringType()), ("size", T.StringType()), ("email", T.StringType()), ("row", T.StringType()))])
@@ -377,7 +378,8 @@ def test_automaton_with_gaps_and_inner_pieces():
 
 
 def brute_fingerprints(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    signed = lambda t: (xxhash.xxh64((t or "").encode(), seed=42).intdigest() + 2**63) % 2**64
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), (r[1] or "").encode()))
     texts = [t or "" for _, t in order]
 
     def fp(text):
@@ -415,19 +417,28 @@ def test_fingerprint_votes_by_definition():
         assert int(got[half]) == sum(1 << b for b, v in enumerate(votes) if v > 0)
 
 
-def test_within_radius(spark):
-    rng = np.random.default_rng(1)
-    prints = {bytes(rng.integers(0, 256, 16, dtype=np.uint8)) for _ in range(60)}
+@pytest.mark.parametrize("radius", [3, 4])
+def test_within_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    prints = {bytes(rng.integers(0, 256, 16, dtype=np.uint8)) for _ in range(60)} | {bytes(16), b"\xff" * 16}
     for p in list(prints):
-        for n in (1, 3, 4):
+        for n in (1, 3, 4, 5):
             b = int.from_bytes(p, "big")
             for bit in rng.choice(128, n, replace=False):
                 b ^= 1 << int(bit)
             prints.add(b.to_bytes(16, "big"))
     hexes = sorted(p.hex() for p in prints)
-    want = {(a, b, bin(int(a, 16) ^ int(b, 16)).count("1")) for i, a in enumerate(hexes) for b in hexes[i + 1 :] if bin(int(a, 16) ^ int(b, 16)).count("1") <= 3}
-    got = {tuple(r) for r in fingerprints.within_radius(spark.createDataFrame([(h,) for h in hexes + hexes[:5] + [None]], "fingerprint string"), 3).collect()}
-    assert got == want and len(want) > 60
+    apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    want = {(a, b, apart(a, b)) for i, a in enumerate(hexes) for b in hexes[i + 1 :] if apart(a, b) <= radius}
+    got = [tuple(r) for r in fingerprints.within_radius(spark.createDataFrame([(h,) for h in hexes + hexes[:5] + [None]], "fingerprint string"), radius).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
+def test_fingerprint_query_counts_near_ones(spark, sf_dir):
+    out = queries()["op6_document_fingerprints"](spark, sf_dir).collect()
+    one = sorted({r.fingerprint for r in out})
+    want = {a: sum(a != b and bin(int(a, 16) ^ int(b, 16)).count("1") <= fingerprints.RADIUS for b in one) for a in one}
+    assert all(r.n_near == want[r.fingerprint] for r in out)
 
 
 def test_toxicity_held_out(spark):
@@ -530,64 +541,106 @@ def test_label_model_finds_accuracies():
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.84
 
 
-def test_masked_lm(documents, odd, empty):
-    got = masked_lm.scored(documents, share=1.0).collect()
-    rows = {r.doc_id: r.text for r in documents.collect()}
-    assert all(r.n_words == len(words(rows[r.doc_id])) for r in got)
-    mean = sum(r.log_likelihood for r in got) / sum(r.n_words for r in got)
-    count = masked_lm.counts(documents)
-    p = count / count.sum()
-    assert mean > float((count[count > 0] * np.log(p[count > 0])).sum() / count.sum())  # better than words alone
-    awkward = {r.doc_id: r for r in masked_lm.scored(odd).collect()}
-    assert awkward[1].n_words == 0 and awkward[1].log_likelihood == 0.0 and awkward[1].per_word is None and awkward[13].n_words == 30_000
+def small_model(n=400, seed=0):
+    rng = np.random.default_rng(seed)
+    counts = np.sort(rng.integers(1, 500, n))[::-1].astype(np.int64)
+    lo = masked_lm.classes(counts)
+    m = masked_lm.Model(np.unique(rng.integers(1, 2**63, 2 * n).astype(np.uint64))[:n], counts, lo, 777, masked_lm.initial(counts, lo, 777))
+    for k in m.p:
+        m.p[k] = m.p[k] + rng.standard_normal(m.p[k].shape).astype(np.float32) * 0.3
+    return m
+
+
+def plain_log_probability(m, word, near):
+    """Of one word given its neighbours' ids, with loops and no tables; double precision."""
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    x = np.concatenate([p["e"][i] for i in near])
+    h = np.tanh(x @ p["w"] + p["b"])
+    soft = lambda z: z - np.log(sum(np.exp(v) for v in z))
+    k = next((k for k in range(len(m.lo) - 1) if m.lo[k] <= word < m.lo[k + 1]), len(m.lo) - 1)
+    lp = soft(h @ p["u"] + p["c"])[k]
+    if k < len(m.lo) - 1:
+        lo, hi = m.lo[k], m.lo[k + 1]
+        lp += soft(np.array([h @ p["o"][j] + p["d"][j] for j in range(lo, hi)]))[word - lo]
+    return lp
+
+
+def test_masked_lm_probabilities():
+    m, near = small_model(), [3, 401, 0, 399]
+    n = len(m.words)
+    lp = masked_lm.log_probabilities(m, m.p, np.arange(n + 1), np.tile(near, (n + 1, 1)))
+    assert np.allclose(lp, [plain_log_probability(m, w, near) for w in range(n + 1)], atol=1e-4) and abs(np.exp(lp).sum() - 1) < 1e-4
+    share = masked_lm.rare_share(np.array([700, 77, 0]), m.rare)  # two words, and all unseen ones
+    assert abs(np.exp(share).sum() - 1) < 1e-9
+
+
+def test_masked_lm_gradients():
+    m, rng = small_model(60), np.random.default_rng(1)
+    ids, near = rng.integers(0, 61, 200), rng.integers(0, 62, (200, 4)).astype(np.int32)
+    near[near == 61] = 60
+    g = masked_lm.gradients(m, m.p, ids, near)
+    loss = lambda p: -np.mean([plain_log_probability(masked_lm.Model(m.words, m.counts, m.lo, m.rare, p), i, x) for i, x in zip(ids, near)])
+    for k in m.p:
+        for _ in range(3):
+            at_ = tuple(int(rng.integers(s)) for s in m.p[k].shape)
+            if k == "e" and at_[0] > 60:
+                continue
+            up, down = ({x: v.astype(float) for x, v in m.p.items()} for _ in range(2))
+            up[k][at_] += 1e-4
+            down[k][at_] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - g[k][at_]) < 1e-4, (k, at_)
+
+
+def lower(text):
+    return ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(text)]
+
+
+def word_hash(w):
+    b = np.frombuffer(w.encode(), np.uint8)
+    return masked_lm.at.words(b, np.array([0, len(b)]))[0][0]
+
+
+def test_masked_lm_by_brute_force(spark, documents, odd, empty, monkeypatch):
+    """Counts, vocabulary and every document's score, token by token."""
+    monkeypatch.setattr(masked_lm, "VOCABULARY", 300)
+    monkeypatch.setattr(masked_lm, "HOME", 3000)
+    for df, rows in ((documents, [(r.doc_id, r.text) for r in documents.collect()]), (odd, TEXTS)):
+        count = Counter(w for _, t in rows for w in lower(t))
+        blocks = masked_lm.written(masked_lm.packed(df), "blocks")
+        totals, homes = masked_lm.counted(blocks)
+        m = masked_lm.trained(blocks, masked_lm.untrained(totals))
+        assert homes > 1 or df is odd
+        order = sorted(count, key=lambda w: (-count[w], int(word_hash(w).view(np.int64))))[:300]
+        assert m.words.tolist() == [int(word_hash(w)) for w in order] and m.counts.tolist() == [count[w] for w in order] and m.rare == sum(count.values()) - m.counts.sum()
+        rank = {w: k for k, w in enumerate(order)}
+        got = {(r.doc_id, r.n_words): r for r in masked_lm.scored(df).collect()}
+        assert len(masked_lm.scored(df).collect()) == len(rows)
+        for i, t in sorted(rows, key=str)[:: max(1, len(rows) // 12)]:
+            w = lower(t)[:2000] if i != 13 and i != 14 else lower(t)
+            if len(w) > 2000 or len(lower(t)) > 2000:
+                continue
+            ids = [len(order) + 1] * 2 + [rank.get(x, len(order)) for x in w] + [len(order) + 1] * 2
+            want = sum(plain_log_probability(m, ids[k], [ids[k - 2], ids[k - 1], ids[k + 1], ids[k + 2]]) + (0 if x in rank else np.log(count[x] / (m.rare + 1))) for k, x in enumerate(w, 2))
+            assert abs(got[i, len(w)].log_likelihood - want) < 1e-3 * (1 + len(w)) ** 0.5, i
+            assert got[i, len(w)].per_word is None if not w else abs(got[i, len(w)].per_word - want / len(w)) < 1e-3
     assert masked_lm.scored(empty).collect() == []
 
 
-def test_masked_lm_probabilities_sum_to_one():
-    p = masked_lm.initial()
-    number = np.arange(masked_lm.TOKENS) % 7 + 1.0
-    of_class = np.bincount(np.arange(masked_lm.TOKENS) % masked_lm.CLASSES, number, masked_lm.CLASSES)
-    within = np.log(number / of_class[np.arange(masked_lm.TOKENS) % masked_lm.CLASSES])
-    ids, near = np.arange(masked_lm.TOKENS), np.tile([[5, 6, 7, 8]], (masked_lm.TOKENS, 1))
-    assert abs(np.exp(masked_lm.log_probabilities(p, within, ids, near)).sum() - 1) < 1e-6
-
-
-def test_masked_lm_trains_on_every_document(documents):
-    from pyspark.sql import functions as F
-
-    outside = documents.filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) >= 1_000)  # of the tenth that once was the sample
-    p, start = masked_lm.train(outside), masked_lm.initial()
-    assert all((p[k] != start[k]).any() for k in p)
-    got = masked_lm.scored(outside)  # the registered setting
-    assert got.schema == masked_lm.scored(outside, share=1.0).schema and abs(got.toPandas().log_likelihood.sum() - masked_lm.scored(outside, share=1.0).toPandas().log_likelihood.sum()) < 1
-
-
-def test_masked_lm_counts_every_word(spark, documents):
-    rows = documents.collect()
-    lower = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for r in rows for w in words(r.text)]
-    table = masked_lm.word_counts(documents).collect()
-    assert len({r.word for r in table}) == len(table) == len(set(lower)) > masked_lm.TOKENS and sum(r.n for r in table) == len(lower)
-    # a junk word in the hashed bucket of a frequent one is no likelier than any other that occurs once
-    common, n = Counter(lower).most_common(1)[0]
-
-    def id_of(w):
-        b = np.frombuffer(w.encode(), np.uint8)
-        return int(masked_lm.at.words(b, np.array([0, len(b)]))[0][0] % np.uint64(masked_lm.TOKENS))
-
-    junk = next(w for w in (f"qz{i}x" for i in range(10**6)) if id_of(w) == id_of(common))
-    few = spark.createDataFrame([(1, common), (2, junk)], "doc_id long, text string")
-    got = {r.doc_id: r.log_likelihood for r in masked_lm.scored(few, known=masked_lm.word_counts(documents)).collect()}
-    assert n > 10 and abs(got[1] - got[2] - np.log(n)) < 1e-6  # the same class and window; unseen as a whole counts one
-    of_class = np.full(3, 7.0)
-    assert abs(np.exp(masked_lm.word_given_class(np.array([4.0, 3.0, 0.0]), of_class)).sum() - 1) < 1e-12
-
-
-def test_masked_lm_blocks(spark, documents, monkeypatch):
-    want = {r.doc_id: r for r in masked_lm.scored(documents, rounds=0).collect()}
-    monkeypatch.setattr(masked_lm, "BLOCK", 3_000)
-    monkeypatch.setattr(masked_lm, "CHUNK", 100)
-    monkeypatch.setattr(masked_lm.at.slices, "__defaults__", (5_000,))
-    blocks = masked_lm.packed(documents)
-    assert sum(len(r.doc_ids or ()) for r in blocks.collect()) == len(want)
-    got = masked_lm.scored(documents, rounds=0).collect()
-    assert len(got) == len(want) and all(abs(r.log_likelihood - want[r.doc_id].log_likelihood) < 1e-6 * (1 + r.n_words) and r.n_words == want[r.doc_id].n_words for r in got)
+def test_masked_lm_learns_from_both_sides(documents, spark):
+    rng = np.random.default_rng(0)
+    cycle = [f"w{k}" for k in range(50)]
+    made = spark.createDataFrame([(i, " ".join(cycle[(int(s) + k) % 50] for k in range(200))) for i, s in enumerate(rng.integers(0, 50, 2000))], "doc_id long, text string")
+    mean = lambda df, rounds: (lambda r: r[0] / r[1])(masked_lm.scored(df, rounds).selectExpr("sum(log_likelihood)", "sum(n_words)").first())
+    assert mean(made, 2) > mean(made, 0) + 1 and mean(documents, 2) > mean(documents, 0)
+
+
+def test_masked_lm_whatever_the_partitions(documents, spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "BLOCK_BYTES", 60_000)
+    one = {r.doc_id: r.log_likelihood for r in masked_lm.scored(documents.repartition(2)).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        other = {r.doc_id: r.log_likelihood for r in masked_lm.scored(documents.repartition(7)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one.keys() == other.keys() and all(abs(v - other[k]) < 1e-4 * (1 + abs(v)) for k, v in one.items())
