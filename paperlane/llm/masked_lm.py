@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrowtext as at
 from .shared import bucketed, partitions, written
 
-VOCABULARY, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 64, 16, 32, 2
+VOCABULARY, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 64, 12, 24, 2
 NEAR = [d for d in range(-SIDE, SIDE + 1) if d]
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
 FAN_IN = 32
@@ -120,8 +120,11 @@ def gradients(m: Model, p: dict[str, np.ndarray], ids: np.ndarray, near: np.ndar
             o[lo:hi], d[lo:hi] = q.T @ h[a:b], q.sum(axis=0)
             back[a:b] += q @ p["o"][lo:hi]
     back *= 1 - h * h
-    into, flat = (back @ p["w"].T).reshape(-1, WIDTH), near.ravel()
-    e = np.stack([np.bincount(flat, into[:, k], len(p["e"])) for k in range(WIDTH)], axis=1).astype(np.float32)
+    into, flat = (back @ p["w"].T).reshape(-1, WIDTH), near.ravel().astype(np.int16 if len(p["e"]) < 1 << 15 else np.int32)
+    order = np.argsort(flat, kind="stable")  # 16-bit keys are sorted by radix
+    edge = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    e = np.zeros_like(p["e"])
+    e[flat[order[edge]]] = np.add.reduceat(into[order], edge, axis=0)
     e[-1] = 0
     return {"e": e, "w": x.T @ back, "b": back.sum(axis=0), "u": h.T @ z, "c": z.sum(axis=0), "o": o, "d": d}
 
