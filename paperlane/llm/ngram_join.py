@@ -5,10 +5,11 @@ when ``100 * |x & y| >= 75 * |x | y|``. The steps, each a Spark stage over all d
 
 1. *Classes.* Documents with equal sets are one class, so copies cost one row each.
 2. *Screen.* The shingles in the lowest ``SCREEN_SHARE`` of the hash range are counted exactly, in
-   packed blocks dealt out by shingle. A class with more unshared shingles than its similarity
-   allows it to miss has no partner at all and leaves.
+   packed blocks dealt out by shingle; of one shingle a task sends two owners at most. A class with more
+   unshared shingles than its similarity allows it to miss has no partner at all and leaves.
 3. *Prefixes.* Among the classes left all shingles are counted, which gives one global order,
-   rarest first. For every class and each length ``l`` the prefix of ``n - ceil(3n/4) + l``
+   rarest first: a packet of sets sends each of its distinct shingles once, with its count in the packet, and gets
+   back its frequency. For every class and each length ``l`` the prefix of ``n - ceil(3n/4) + l``
    shingles has an estimated cost: the postings it reads, and the candidates (at most postings / l)
    it has to verify. The class takes the cheapest ``l``. Two similar sets share at least
    ``min(lx, ly)`` shingles of their prefixes, and fewer shared ones need no verification. Nor do pairs
@@ -19,6 +20,13 @@ when ``100 * |x & y| >= 75 * |x | y|``. The steps, each a Spark stage over all d
    blocks, and compared with everything they may match, until each pair is linked, shown unlike, or
    known to be in one component. No cap, no sampling: components are those of all true links.
 
+So no posting list ever stands in one task: frequencies come from partial counts, long lists are split by a salt
+(``SPLIT`` members each), and what a block has to search is split in parts of ``PART`` postings. Rows of one
+large class, and vertices of one large component, meet a broadcast of its label (see ``left_join``).
+
+``near_duplicates`` gives classes; ``similar_pairs`` gives every link between different sets, which in a group
+of m near copies is up to m * m of them, and the classes' members.
+
 Results: rows without a doc_id get a null component and link nothing; null and empty texts have
 an empty set and link nothing; repeated rows are one class; rows that share a doc_id but not a text
 are compared as separate texts. Columns other than the two named ones are never read.
@@ -30,17 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrowtext as at
 from .components import components
-from .shared import bucketed, dropped, written
+from .shared import bucketed, deleted, dropped, left_join, recorded, written
 
 SCREEN_SHARE = 0.3
 BLOCK_TOKENS = 1_500_000
 FLUSH_TOKENS = 3_000_000
 MAX_MATCHES = 8
 BLOCK_DOCS = 256
+#: Shingles in a packet of sets, members of a piece of a posting list, and postings that a part of a block searches.
+PACKET, SPLIT, PART = 1_000_000, 512, 100_000
 ROUNDS = 3
 _PROBE, _VERIFY = 1.0, 0.02
 
@@ -73,14 +83,15 @@ def shingle_keys(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long")
 
 
-_PACKED = "block int, ids binary, sizes binary, counts binary, tokens binary"
+_PACKED = "block int, ids binary, counts binary, tokens binary"
 
 
-def _packed(ids: list[int], sizes: list[int], sets: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block each: for every document its id, set size, number of tokens in the block, and those tokens."""
-    if not sets:
-        return
-    token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+
+def _packed(ids: list[int], token: np.ndarray, doc: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one block each: for every document its id, its number of tokens in the block, and those tokens."""
     block = (token % np.uint64(blocks)).astype(np.int64)
     order, offs = at.scatter(block, blocks)
     token, doc, block = token[order], doc[order], block[order]
@@ -93,21 +104,30 @@ def _packed(ids: list[int], sizes: list[int], sets: list[np.ndarray], blocks: in
     o, p = np.append(offs[full], offs[-1]), np.append(per[full], per[-1])
     one = doc[edge]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), at.binaries(np.array(ids, np.int64)[one], p), at.binaries(np.array(sizes, np.uint32)[one], p), at.binaries(count, p), at.binaries(token, o)],
-        ["block", "ids", "sizes", "counts", "tokens"],
+        [pa.array(full.astype(np.int32)), at.binaries(np.array(ids, np.int64)[one], p), at.binaries(count, p), at.binaries(token, o)],
+        ["block", "ids", "counts", "tokens"],
     )
 
 
-def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, id and set size of every (token, id) once, ordered by both."""
-    parts = [(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32), np.frombuffer(c, np.uint32), np.frombuffer(t, np.uint64)) for i, n, c, t in zip(*(rows.column(x).to_pylist() for x in ("ids", "sizes", "counts", "tokens")))]
-    doc = np.concatenate([np.repeat(i, c) for i, _, c, _ in parts])
-    size = np.concatenate([np.repeat(n, c) for _, n, c, _ in parts])
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Token and id of every (token, id) once, ordered by both."""
+    parts = [(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32), np.frombuffer(t, np.uint64)) for i, c, t in zip(*(rows.column(x).to_pylist() for x in ("ids", "counts", "tokens")))]
+    doc = np.concatenate([np.repeat(i, c) for i, c, _ in parts])
     token = np.concatenate([t for *_, t in parts])
     order = np.lexsort((doc, token))
-    token, doc, size = token[order], doc[order], size[order]
+    token, doc = token[order], doc[order]
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])))
-    return token[new], doc[new], size[new]
+    return token[new], doc[new]
+
+
+def _two_owners(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two postings of every token: enough to know a shared one, however many hold it."""
+    order = np.argsort(token, kind="stable")
+    t = token[order]
+    third = np.zeros(len(t), bool)
+    third[2:] = t[2:] == t[:-2]
+    keep = np.sort(order[~third])
+    return token[keep], doc[keep]
 
 
 def _frequency(token: np.ndarray) -> np.ndarray:
@@ -137,12 +157,13 @@ def unshared(docs: DataFrame, n_tokens: int, k: int = 5) -> DataFrame:
                 sets.append(low)
                 held += len(low)
                 if held >= FLUSH_TOKENS:
-                    yield from _packed(ids, [0] * len(ids), sets, blocks)
+                    yield from _packed(ids, *_two_owners(*_flat(sets)), blocks)
                     ids, sets, seen, held = [], [], set(), 0
-        yield from _packed(ids, [0] * len(ids), sets, blocks)
+        if sets:
+            yield from _packed(ids, *_two_owners(*_flat(sets)), blocks)
 
     def count(rows: pa.Table) -> pa.Table:
-        token, doc, _ = _unpacked(rows)
+        token, doc = _unpacked(rows)
         lone, n = np.unique(doc[_frequency(token) == 1], return_counts=True)
         order, offs = at.scatter((lone % homes).astype(np.int64), homes)
         full = np.flatnonzero(np.diff(offs))
@@ -203,51 +224,80 @@ def choose_prefix(n: int, lone: int, df: np.ndarray) -> tuple[int, int]:
 
 
 def prefixes(sets: DataFrame, n_tokens: int) -> DataFrame:
-    """token, vertex, n, lone, ell: the shared part of every class's prefix under the global order (frequency, hash)."""
-    blocks, homes = _blocks(n_tokens, BLOCK_TOKENS), _blocks(n_tokens, BLOCK_TOKENS)
+    """token, vertex, n, lone, ell, df: the shared part of every class's prefix under the global order (frequency, hash), and the token's frequency."""
+    blocks = _blocks(n_tokens, BLOCK_TOKENS)
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        packet, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def row():
+            ids, sizes, tokens = zip(*held)
+            data = [np.array(ids, np.int64), np.array(sizes, np.uint32), np.concatenate(tokens)]
+            return pa.RecordBatch.from_arrays([pa.array([packet], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], ["packet", "ids", "sizes", "tokens"])
 
-    def deal(batches):
-        ids, sizes, held, n = [], [], [], 0
         for batch in batches:
             for v, size, data in zip(batch.column("vertex").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens").to_pylist()):
-                ids.append(v)
-                sizes.append(size)
-                held.append(np.frombuffer(data, np.uint64))
+                held.append((v, size, np.frombuffer(data, np.uint64)))
                 n += size
-                if n >= FLUSH_TOKENS:
-                    yield from _packed(ids, sizes, held, blocks)
-                    ids, sizes, held, n = [], [], [], 0
-        yield from _packed(ids, sizes, held, blocks)
-
-    def shared(rows: pa.Table) -> pa.Table:
-        token, doc, size = _unpacked(rows)
-        df = _frequency(token)
-        many = df > 1
-        token, doc, size, df = token[many], doc[many], size[many], df[many]
-        order, offs = at.scatter((doc % homes).astype(np.int64), homes)
-        full = np.flatnonzero(np.diff(offs))
-        o = np.append(offs[full], offs[-1])
-        return pa.table({"home": pa.array(full.astype(np.int32))} | {c: at.binaries(x[order], o) for c, x in (("ids", doc), ("sizes", size), ("dfs", df.astype(np.uint32)), ("tokens", token))})
-
-    def choose(rows: pa.Table) -> pa.Table:
-        doc, size, df, token = (np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("sizes", np.uint32), ("dfs", np.uint32), ("tokens", np.uint64)))
-        order = np.lexsort((token, df, doc))
-        doc, size, df, token = doc[order], size[order].astype(np.int64), df[order].astype(np.int64), token[order]
-        edge = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc))
+                if n >= PACKET:
+                    yield row()
+                    packet, held, n = packet + 1, [], 0
+        if held:
+            yield row()
+
+    def dealt(tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens in order of their blocks, the blocks' offsets, counts, and for each token of the packet its place there."""
+        one, back, count = np.unique(np.frombuffer(tokens, np.uint64), return_inverse=True, return_counts=True)
+        order, cut = at.scatter((one % np.uint64(blocks)).astype(np.int64), blocks)
+        place = np.empty(len(one), np.int64)
+        place[order] = np.arange(len(one))
+        return one[order], cut, count[order], place[back]
+
+    def ask(batches):
+        for batch in batches:
+            for packet, tokens in zip(batch.column("packet").to_pylist(), batch.column("tokens").to_pylist()):
+                one, cut, count, _ = dealt(tokens)
+                full = np.flatnonzero(np.diff(cut))
+                o = np.append(cut[full], cut[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), packet)), at.binaries(one, o), at.binaries(count.astype(np.uint32), o)], ["block", "packet", "tokens", "counts"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        count = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()])
+        one, back = np.unique(np.concatenate(tokens), return_inverse=True)
+        df = np.bincount(back, count, len(one)).astype(np.uint32)[back]
+        return pa.table({"packet": rows.column("packet"), "block": rows.column("block"), "dfs": at.binaries(df, np.cumsum([0] + [len(t) for t in tokens]))})
+
+    def choose(packets: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            n = int(size[a])
-            lone = n - (b - a)
-            if lone > _allowed(n):
-                continue
-            ell, take = choose_prefix(n, lone, df[a:b])
-            out.append((token[a : a + take], doc[a : a + take], np.full(take, n), np.full(take, lone), np.full(take, ell)))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table({c: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for c, x in zip(("token", "vertex", "n", "lone", "ell"), cols)})
+        known = dict(zip(answers.column("block").to_pylist(), answers.column("dfs").to_pylist()))
+        for ids, sizes, tokens in zip(*(packets.column(c).to_pylist() for c in ("ids", "sizes", "tokens"))):
+            _, cut, _, place = dealt(tokens)
+            of = np.concatenate([np.frombuffer(known[b], np.uint32) for b in np.flatnonzero(np.diff(cut)).tolist()])
+            df, token, sizes = of[place].astype(np.int64), np.frombuffer(tokens, np.uint64), np.frombuffer(sizes, np.uint32).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            many = df > 1
+            doc, df, token = doc[many], df[many], token[many]
+            order = np.lexsort((token, df, doc))
+            doc, df, token = doc[order], df[order], token[order]
+            edge = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.zeros(1, np.int64)
+            vertex = np.frombuffer(ids, np.int64)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                n = int(sizes[doc[a]])
+                lone = n - (b - a)
+                if lone > _allowed(n):
+                    continue
+                ell, take = choose_prefix(n, lone, df[a:b])
+                out.append((token[a : a + take].view(np.int64), np.full(take, vertex[doc[a]]), np.full(take, n), np.full(take, lone), np.full(take, ell), df[a : a + take]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
+        return pa.table({c: pa.array(x.astype(np.int64)) for c, x in zip(("token", "vertex", "n", "lone", "ell", "df"), cols)})
 
-    dealt = sets.mapInArrow(deal, _PACKED)
-    found = dealt.groupBy("block").applyInArrow(shared, "home int, ids binary, sizes binary, dfs binary, tokens binary")
-    return found.groupBy("home").applyInArrow(choose, "token long, vertex long, n long, lone long, ell long")
+    packets, _ = bucketed(sets.mapInArrow(pack, "packet long, ids binary, sizes binary, tokens binary"), "packets", "packet", dealt=True)
+    asked = packets.select("packet", "tokens").mapInArrow(ask, "block int, packet long, tokens binary, counts binary")
+    answers = asked.groupBy("block").applyInArrow(answer, "packet long, block int, dfs binary")
+    return packets.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(choose, "token long, vertex long, n long, lone long, ell long, df long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -258,13 +308,13 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * same >= 75 * (len(a) + len(b) - same)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among packed pairs; a pair already joined through others of its block is skipped.
+def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
+    """The links (a, b) among pairs; unless ``every`` is wanted, a pair already joined through others of its group is skipped.
 
-    pairs: block, xs, ys (arrays of vertices), cx, cy (their components). A vertex's set goes to
-    each block that names it, once.
+    pairs: block, part, x, y (vertices), cx, cy (their components), m (shared prefix shingles, more first). A
+    vertex's set goes to each group that names it, once.
     """
-    need = pairs.select((F.col("block") + 0).alias("to"), F.explode(F.array_union("xs", "ys")).alias("vertex")).distinct().join(sets, "vertex").select("to", "vertex", "tokens")
+    need = pairs.select((F.col("block") + 0).alias("to"), (F.col("part") + 0).alias("to_part"), F.explode(F.array("x", "y")).alias("vertex")).distinct().join(sets, "vertex").select("to", "to_part", "vertex", "tokens")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {v: np.frombuffer(t, np.uint64) for v, t in zip(right.column("vertex").to_pylist(), right.column("tokens").to_pylist())}
@@ -277,58 +327,82 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             return c
 
         a, b = [], []
-        for xs, ys, cx, cy in zip(*(left.column(c).to_pylist() for c in ("xs", "ys", "cx", "cy"))):
-            for x, y, p, q in zip(xs, ys, cx, cy):
+        cols = {c: left.column(c).to_numpy() for c in ("x", "y", "cx", "cy", "m")}
+        order = np.lexsort((cols["y"], -cols["m"], cols["x"]))
+        for x, y, p, q in zip(*(cols[c][order].tolist() for c in ("x", "y", "cx", "cy"))):
+            if not every:
                 p, q = find(p), find(q)
-                if p != q and _similar(sets[x], sets[y]):
-                    root[max(p, q)] = min(p, q)
-                    a.append(x)
-                    b.append(y)
+                if p == q:
+                    continue
+            if _similar(sets[x], sets[y]):
+                root[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.groupBy("block").cogroup(need.groupBy("to")).applyInArrow(check, "a long, b long")
+    return pairs.groupBy("block", "part").cogroup(need.groupBy("to", "to_part")).applyInArrow(check, "a long, b long")
+
+
+def _pieces() -> Column:
+    """Into how many pieces a token's list is split."""
+    return F.ceil(F.col("df") / SPLIT).cast("int")
+
+
+def _salt(vertex: str = "vertex") -> Column:
+    return F.pmod(F.xxhash64(vertex), _pieces()).cast("int")
+
+
+def _each_piece(lists: DataFrame) -> DataFrame:
+    """A table with one row a token (and df) for every piece of the token's list."""
+    return lists.withColumn("salt", F.explode(F.sequence(F.lit(0), _pieces() - 1))).drop("df")
 
 
 def _open_lists(prefix: DataFrame) -> DataFrame:
-    """The rows of posting lists that still span two components or more."""
-    spans = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    return prefix.join(spans, "token")
+    """The rows of posting lists that still span two components or more, with the piece (``salt``) they are in."""
+    spans = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("df").alias("df")).filter("lo < hi").select("token", "df")
+    return prefix.withColumn("salt", _salt()).join(_each_piece(spans), ["token", "salt"])
 
 
-def _relabelled(prefix: DataFrame, links: DataFrame) -> DataFrame:
+def _relabelled(open_: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links, which are first drawn between the old components."""
-    of = prefix.select("vertex", "component").distinct()
+    of = open_.select("vertex", "component").distinct()
     edges = links.join(of.select(F.col("vertex").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("vertex").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    label = components(edges).select(F.col("id").alias("component"), F.col("component").alias("new"))
-    return prefix.join(label, "component", "left").select("token", "vertex", "n", "lone", "ell", F.coalesce("new", "component").alias("component"))
+    label = written(components(edges).select(F.col("id").alias("component"), F.col("component").alias("new")), "labels")
+    return left_join(open_, label, ["component"]).select("token", "vertex", "n", "lone", "ell", "df", F.coalesce("new", "component").alias("component"))
 
 
-def _leader_pairs(open_: DataFrame, seed: int) -> DataFrame:
+def _leader_pairs(open_: DataFrame, seed: int, blocks: int) -> DataFrame:
     """On each list its most typical member (fewest lone shingles; ties by a hash of the round) with every other one."""
-    lead = open_.groupBy("token").agg(F.min(F.struct(F.floor(F.lit(16) * F.col("lone") / F.col("n")).alias("r"), F.xxhash64("vertex", F.lit(seed)).alias("h"), F.col("vertex").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ly"), F.col("component").alias("cy"))).alias("lead"))
-    pairs = open_.join(lead, "token").select(F.col("vertex").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("lx"), F.col("component").alias("cx"), "lead.y", "lead.ny", "lead.ly", "lead.cy")
+    lead = open_.groupBy("token").agg(F.min(F.struct(F.floor(F.lit(16) * F.col("lone") / F.col("n")).alias("r"), F.xxhash64("vertex", F.lit(seed)).alias("h"), F.col("vertex").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ly"), F.col("component").alias("cy"))).alias("lead"), F.max("df").alias("df"))
+    pairs = open_.join(_each_piece(lead), ["token", "salt"]).select(F.col("vertex").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("lx"), F.col("component").alias("cx"), "lead.y", "lead.ny", "lead.ly", "lead.cy")
     pairs = pairs.filter("cx <> cy and 4 * least(nx, ny) >= 3 * greatest(nx, ny)").groupBy("x", "y", "cx", "cy").agg(F.count(F.lit(1)).alias("m"), F.first(F.least("lx", "ly")).alias("asked")).filter("m >= asked")
-    return pairs.select("x", "y", "cx", "cy")
+    return pairs.select(F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("part"), "x", "y", "cx", "cy", "m")
 
 
-def _rest_pairs(open_: DataFrame, blocks: int) -> DataFrame:
-    """Packed candidates of all members outside their lists' largest components, with enough shared prefix shingles."""
-    size = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = size.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
-    ask = open_.join(main, "token").filter("component <> main").select("vertex").distinct()
+def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame:
+    """Candidates with enough shared prefix shingles: of all members outside their lists' largest components, or of every member."""
+    lists = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.max("df").alias("df")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("size"), F.max("df").alias("df"))
+    lists = written(lists.select("token", F.col("m.component").alias("main"), "size", "df"), "lists")
+    asking = open_ if every else open_.join(_each_piece(lists.select("token", "main", "df")), ["token", "salt"]).filter("component <> main")
     block = F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int").alias("block")
-    left = open_.join(ask, "vertex").select(block, "token", "vertex", "n", "ell", "component")
-    right = left.select((F.col("block") + 0).alias("to"), "token").distinct().join(open_.withColumnRenamed("vertex", "y"), "token").select("to", *[(F.col(c) + 0).alias(c) for c in ("token", "y", "n", "ell", "component")])  # new names for Spark: both sides come from one table
+    left = open_.join(asking.select("vertex").distinct(), "vertex").select(block, "token", "vertex", "n", "ell", "component")
+    left = written(left, "asking")
+    wanted = left.select("block", "token").distinct().join(lists.select("token", "size", "df"), "token")
+    parts = written(wanted.groupBy("block").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")), "parts")
+    left = left.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    wanted = _each_piece(wanted.select("block", "token", "df").join(parts, "block"))
+    right = wanted.select(F.col("block").alias("to"), "token", "salt", "parts").join(open_.withColumnRenamed("vertex", "y"), ["token", "salt"])
+    right = right.select("to", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("to_part"), *[(F.col(c) + 0).alias(c) for c in ("token", "y", "n", "ell", "component")])  # new names for Spark: both sides come from one table
 
     def probe(xs: pa.Table, ys: pa.Table) -> pa.Table:
-        x, y = ({c: t.column(c).to_numpy() for c in t.column_names if c not in ("block", "to")} for t in (xs, ys))
+        x, y = ({c: t.column(c).to_numpy() for c in t.column_names} for t in (xs, ys))
         order = np.argsort(y["token"], kind="stable")
         y = {c: v[order] for c, v in y.items()}
         order = np.argsort(x["vertex"], kind="stable")
         x = {c: v[order] for c, v in x.items()}
         lo, hi = np.searchsorted(y["token"], x["token"], "left"), np.searchsorted(y["token"], x["token"], "right")
-        edge = np.append(np.flatnonzero(np.concatenate(([True], x["vertex"][1:] != x["vertex"][:-1]))), len(x["vertex"]))
-        out = [[], [], [], []]
+        edge = np.append(np.flatnonzero(np.concatenate(([True], x["vertex"][1:] != x["vertex"][:-1]))), len(x["vertex"])) if len(x["vertex"]) else np.zeros(1, np.int64)
+        out = [[], [], [], [], []]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             at_ = np.concatenate([np.arange(p, q) for p, q in zip(lo[a:b].tolist(), hi[a:b].tolist())])
             ids, first, m = np.unique(y["y"][at_], return_index=True, return_counts=True)
@@ -337,61 +411,90 @@ def _rest_pairs(open_: DataFrame, blocks: int) -> DataFrame:
             # beyond the prefix that ends first the sets share at most the rest of its set
             rest = np.maximum(_beyond(n, int(x["ell"][a])), _beyond(ny, y["ell"][at_]))
             ok = (m >= np.maximum(np.minimum(int(x["ell"][a]), y["ell"][at_]), -(-3 * (n + ny) // 7) - rest)) & (y["component"][at_] != x["component"][a]) & (4 * np.minimum(n, ny) >= 3 * np.maximum(n, ny))
+            if every:
+                ok &= ids > x["vertex"][a]
             ids, m, c = ids[ok], m[ok], y["component"][at_][ok]
-            best = np.argsort(-m, kind="stable")
-            for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids[best], np.full(len(ids), x["component"][a]), c[best])):
+            for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids, np.full(len(ids), x["component"][a]), c, m)):
                 held.append(v)
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-        if not len(cols[0]):
-            return pa.table({"block": pa.array([], pa.int32())} | {c: pa.array([], pa.list_(pa.int64())) for c in ("xs", "ys", "cx", "cy")})
-        return pa.table({"block": pa.array([xs.column("block")[0].as_py()], pa.int32())} | {c: pa.array([v.astype(np.int64)], pa.list_(pa.int64())) for c, v in zip(("xs", "ys", "cx", "cy"), cols)})
+        cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
+        k = len(cols[0])
+        where = [np.full(k, t[0] if len(t) else 0, np.int32) for t in (x["block"], x["part"])]
+        return pa.table({c: pa.array(v) for c, v in zip(("block", "part", "x", "y", "cx", "cy", "m"), where + cols)})
 
-    return left.groupBy("block").cogroup(right.groupBy("to")).applyInArrow(probe, "block int, xs array<long>, ys array<long>, cx array<long>, cy array<long>")
+    return left.groupBy("block", "part").cogroup(right.groupBy("to", "to_part")).applyInArrow(probe, "block int, part int, x long, y long, cx long, cy long, m long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); see the module's text."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' keys, and one row a class: key1, key2, doc_id (the least), n, twins, vertex."""
     members = written(shingle_keys(docs, k), "members")
     grouped = members.filter("key1 is not null and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     twins = grouped.groupBy("key1").agg(F.count(F.lit(1)).alias("twins"), F.min("key2").alias("first"))
     # A vertex is the set's first key; should two sets ever share that, the others take their second key.
-    classes = written(grouped.join(twins, "key1").select("key1", "key2", "doc_id", "n", "twins", F.when(F.col("key2") == F.col("first"), F.col("key1")).otherwise(F.col("key2")).alias("vertex")), "classes")
+    return members, written(grouped.join(twins, "key1").select("key1", "key2", "doc_id", "n", "twins", F.when(F.col("key2") == F.col("first"), F.col("key1")).otherwise(F.col("key2")).alias("vertex")), "classes")
+
+
+def _indexed(docs: DataFrame, classes: DataFrame, k: int) -> tuple[DataFrame, str, DataFrame]:
+    """The sets of the classes that may have partners (and the table's name), and their prefixes, each class a component of its own."""
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lone = unshared(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), total, k)
     left = written(classes.join(lone, "key1", "left").filter("twins > 1 or coalesce(lone, 0) <= n div 4").select("vertex", "key1", "key2", "doc_id", "n"), "survivors")
     rest = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sets, sets_table = bucketed(surviving_sets(docs, left.drop("n"), k), "sets", "vertex")
-    prefix = written(prefixes(sets, rest).withColumn("component", F.col("vertex")), "prefix")
-    found = None
-    used = [left, sets, prefix]
-    for turn in range(ROUNDS + 1):
-        open_ = written(_open_lists(prefix), "open")
-        used.append(open_)
-        ask = open_.agg(F.countDistinct("vertex")).first()[0]
-        if not ask:
-            break
-        blocks = max(_blocks(ask, BLOCK_DOCS), 1)
-        if turn < ROUNDS:
-            pairs = _leader_pairs(open_, turn).withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
-            pairs = pairs.groupBy("block").agg(*[F.collect_list(c).alias(d) for c, d in (("x", "xs"), ("y", "ys"), ("cx", "cx"), ("cy", "cy"))])
+    sets, name = bucketed(surviving_sets(docs, left.drop("n"), k), "sets", "vertex")
+    return sets, name, written(prefixes(sets, rest).withColumn("component", F.col("vertex")), "prefix")
+
+
+def similar_pairs(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b) of classes with different sets, and doc_id, class_id of every row that has an id and words.
+
+    A class is named by its least doc_id; its members link with each other and with all members of linked classes.
+    """
+    members, classes = _classes(docs, k)
+    sets, _, prefix = _indexed(docs, classes, k)
+    open_ = written(_open_lists(prefix), "open")
+    blocks = _blocks(open_.agg(F.countDistinct("vertex")).first()[0], BLOCK_DOCS)
+    links = written(verified(written(_rest_pairs(open_, blocks, True), "pairs"), sets, True), "links").distinct()
+    of = classes.select("vertex", F.col("doc_id").alias("class_id"))
+    pairs = links.join(of.toDF("a", "first"), "a").join(of.toDF("b", "second"), "b").select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
+    belong = left_join(members, written(classes.select("key1", "key2", F.col("doc_id").alias("class_id")), "names"), ["key1", "key2"])
+    return pairs, belong.filter("doc_id is not null and class_id is not null").select("doc_id", "class_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); see the module's text.
+
+    With ``keys`` also key1, key2 (of the row's set) and ``leads``: whether that set is the first, by key, of those
+    that bear the component's id.
+    """
+    spark = docs.sparkSession
+    members, classes = _classes(docs, k)
+    with recorded() as made:
+        sets, name, prefix = _indexed(docs, classes, k)
+        found = None
+        for turn in range(ROUNDS + 1):
+            open_ = written(_open_lists(prefix), "open")
+            ask = open_.agg(F.countDistinct("vertex")).first()[0]
+            if not ask:
+                break
+            blocks = _blocks(ask, BLOCK_DOCS)
+            pairs = written(_leader_pairs(open_, turn, blocks) if turn < ROUNDS else _rest_pairs(open_, blocks), "pairs")
+            links = written(verified(pairs, sets), "links")
+            dropped(pairs)
+            found = links if found is None else found.unionByName(links)
+            if turn < ROUNDS:
+                before, prefix = prefix, written(_relabelled(open_, links), "prefix")  # a list within one component stays so
+                dropped(before, open_)
+        label = classes.select(F.col("vertex").alias("id"), "key1", "key2", "doc_id")
+        if found is not None:
+            label = label.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
-            pairs = _rest_pairs(open_, blocks)
-        links = written(verified(written(pairs, "pairs"), sets), "links")
-        found = links if found is None else found.unionByName(links)
-        if turn < ROUNDS:
-            prefix = written(_relabelled(open_, links), "prefix")  # a list within one component stays so
-            used.append(prefix)
-    label = classes.select(F.col("vertex").alias("id"), "key1", "key2", "doc_id")
-    if found is not None:
-        of = components(found)
-        label = label.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    else:
-        label = label.withColumn("component", F.col("id"))
-    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "component").select("key1", "key2", "component_id")
-    for t in used:
-        dropped(t)
-    spark.sql(f"DROP TABLE {sets_table}")
-    linked = members.join(label, ["key1", "key2"], "left")
-    return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+            label = label.withColumn("component", F.col("id"))
+        label = written(label, "labels")
+        least = written(label.groupBy("component").agg(F.min(F.struct("doc_id", "key1", "key2")).alias("first")), "least")
+        label = left_join(label, least, ["component"]).select("key1", "key2", F.col("first.doc_id").alias("component_id"), (F.col("first.key1").eqNullSafe(F.col("key1")) & F.col("first.key2").eqNullSafe(F.col("key2"))).alias("leads"))
+        made_before = list(made)
+        label = written(label, "labels")
+    spark.sql(f"DROP TABLE {name}")
+    deleted(spark, made_before)
+    linked = left_join(members, label, ["key1", "key2"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return linked.select("doc_id", "n_shingles", component, *(["key1", "key2", F.coalesce("leads", F.lit(True)).alias("leads")] if keys else []))

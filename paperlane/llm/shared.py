@@ -57,7 +57,9 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield _scopes[-1]
     finally:
-        _scopes.pop()
+        inner = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(inner)
 
 
 def deleted(spark: SparkSession, paths: list[str]) -> None:

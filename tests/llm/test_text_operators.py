@@ -115,6 +115,32 @@ def test_components_of_many_copies(spark):
     assert all(got[9000 + i] == 9000 + i for i in range(100))
 
 
+def test_one_list_is_split(spark, monkeypatch):
+    """The same with lists in pieces of three, packets of few sets and parts of few postings."""
+    from paperlane.llm import ngram_join
+
+    for name, value in (("SPLIT", 3), ("PACKET", 100), ("PART", 20), ("FLUSH_TOKENS", 200), ("BLOCK_TOKENS", 150), ("BLOCK_DOCS", 4), ("ROUNDS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_family(5) + [(1, None), (2, ""), (None, BASE)] + [(10 + i, BASE) for i in range(40)]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_similar_pairs(spark):
+    from paperlane.llm.ngram_join import similar_pairs
+
+    rows = near_family(8) + [(1, None), (2, ""), (None, BASE), (3, BASE), (4, BASE), (5, BASE.replace("tok30", "x")), (6, BASE + " more")]
+    pairs, belong = similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {}
+    for i, t in rows:
+        if i is not None and (s := frozenset(shingle_set(t))):
+            sets.setdefault(s, []).append(i)
+    want = {tuple(sorted((min(sets[x]), min(sets[y])))) for x in sets for y in sets if x != y and 100 * len(x & y) >= 75 * len(x | y)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    assert sorted(map(tuple, belong.collect())) == sorted((i, min(ids)) for ids in sets.values() for i in ids)
+
+
 def brute_statistics(text):
     w, lines = words(text), [x for x in (text or "").split("\n") if WORD.search(x)]
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
