@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import arrowtext as at
 from .components import components
@@ -67,8 +68,11 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield from at.shingles(*at.words(b, o), k)
 
 
-def shingle_keys(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles and the 128-bit key of the shingle set (null for empty sets)."""
+def shingle_keys(docs: DataFrame, k: int = 5, carried: bool = False) -> DataFrame:
+    """doc_id, n_shingles and the 128-bit key of the shingle set (null for empty sets); all columns as a struct ``row``, if carried."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carried else []))
+    fields = [f for f in own.schema if f.name != "text"]
+    schema = StructType([*fields, *(StructField(c, LongType()) for c in ("n_shingles", "key1", "key2"))])
 
     def run(batches):
         for batch in batches:
@@ -78,9 +82,9 @@ def shingle_keys(docs: DataFrame, k: int = 5) -> DataFrame:
                 a, b = _key(s) if len(s) else (None, None)
                 k1.append(a)
                 k2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["doc_id", "n_shingles", "key1", "key2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long")
+    return own.mapInArrow(run, schema)
 
 
 _PACKED = "block int, ids binary, counts binary, tokens binary"
