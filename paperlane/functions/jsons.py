@@ -2,51 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import or_null, trimmed
+from .text import let, or_null, trimmed
 
 FIELDS = ["DATE", "AMOUNT", "COMPANY"]
+_STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+_PARSED = "struct<INVOICE_NO:variant,DATE:variant,AMOUNT:variant,COMPANY:variant>"
 
 
 def valid(j: Column) -> Column:
-    """Whether the text is one whole JSON value: parses, and ends where an object, array or scalar may end."""
-    return F.coalesce(F.try_parse_json(j).isNotNull() & (~trimmed(j).rlike(r"^[\[{]") | trimmed(j).rlike(r"[\]}]$")), F.lit(False))
+    """Whether the text is one whole JSON value, with nothing after it; repeated keys are allowed.
 
+    The text and its digest, as the items of an array, must be read back as just these two.
+    """
+    items = F.from_json(F.concat(F.lit("["), j, F.lit(',"'), F.md5(j), F.lit('"]')), "array<string>", _STRICT)
+    return F.coalesce(let(items, lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == F.md5(j))), F.lit(False))
 
-def _kind(j: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(j), f"$.{field}", "variant"))
 
+def fields(j: Column) -> Column:
+    """The four fields of extracted JSON as a struct of variants, from one parse; of repeated keys the last counts. Null where absent."""
+    return F.from_json(j, _PARSED, _STRICT)
 
-def _list(j: Column, field: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(j), f"$.{field}", "array<string>")
 
+def with_fields(rows: DataFrame, json: str = "extracted_json") -> DataFrame:
+    """rows with ``parsed``, which all functions below read: the text is parsed once a row."""
+    return rows.withColumn("parsed", fields(F.col(json)))
 
-def _scalar(j: Column, field: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(j), f"$.{field}", "string")
+
+def array_of(v: Column) -> Column:
+    """Elements of an array as text; null where it is no array."""
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.transform(F.try_variant_get(v, "$", "array<string>"), lambda x: F.coalesce(x, F.lit(""))))
+
+
+def set_of(v: Column) -> Column:
+    """Trimmed, non-blank, distinct values of an array or scalar; empty where missing, null or an object."""
+    plain = F.when(F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)"), F.array().cast("array<string>")).otherwise(F.array(F.try_variant_get(v, "$", "string")))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(F.coalesce(array_of(v), plain), trimmed), lambda x: x != "")), F.array().cast("array<string>"))
+
+
+def text_of(v: Column) -> Column:
+    """A trimmed scalar; null where missing, null, an array or object."""
+    return F.when(~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)"), trimmed(F.try_variant_get(v, "$", "string")))
+
+
+def raw_of(v: Column) -> Column:
+    """Values as they stand, sorted and distinct: [] where absent, [''] for null."""
+    kind = F.schema_of_variant(v)
+    some = F.when(v.isNull(), F.array().cast("array<string>")).when(kind == "VOID", F.array(F.lit(""))).otherwise(F.coalesce(array_of(v), F.array(F.try_variant_get(v, "$", "string"))))
+    return F.array_sort(F.array_distinct(some))
 
 
 def array_field(j: Column, field: str) -> Column:
-    """Elements of an array field as text; null where it is no array."""
-    return F.when(_kind(j, field).startswith("ARRAY"), F.transform(_list(j, field), lambda x: F.coalesce(x, F.lit(""))))
+    return let(fields(j)[field], array_of)
 
 
 def field_set(j: Column, field: str) -> Column:
-    """Trimmed, non-blank, distinct values of an array or scalar; empty where missing, null or not JSON."""
-    plain = F.when(_kind(j, field).rlike("^(ARRAY|OBJECT|VOID)"), F.array().cast("array<string>")).otherwise(F.array(_scalar(j, field)))
-    return F.coalesce(F.array_distinct(F.filter(F.transform(F.coalesce(array_field(j, field), plain), trimmed), lambda x: x != "")), F.array().cast("array<string>"))
+    return F.coalesce(let(fields(j)[field], set_of), F.array().cast("array<string>"))
 
 
 def field_text(j: Column, field: str) -> Column:
-    """A trimmed scalar; null where missing, null, an array or object, or not JSON."""
-    return F.when(~_kind(j, field).rlike("^(ARRAY|OBJECT|VOID)"), trimmed(_scalar(j, field)))
+    return let(fields(j)[field], text_of)
 
 
 def raw_set(j: Column, field: str) -> Column:
-    """Values as they stand, sorted and distinct: [] where absent, [''] for null; null where not JSON."""
-    kind = _kind(j, field)
-    some = F.when(kind.isNull(), F.array().cast("array<string>")).when(kind == "VOID", F.array(F.lit(""))).otherwise(F.coalesce(array_field(j, field), F.array(_scalar(j, field))))
-    return F.when(valid(j), F.array_sort(F.array_distinct(some)))
+    """``raw_of`` a field; null where the text is not JSON."""
+    return F.when(valid(j), let(fields(j)[field], raw_of))
 
 
 def recovered(j: Column) -> Column:
@@ -95,9 +116,12 @@ def all_parts(body: Column) -> Column:
 
 def chat_text(body: Column) -> Column:
     """``choices[0].message.content``, textual or an array of text parts."""
-    content = F.try_variant_get(F.try_parse_json(body), "$.choices[0].message.content", "variant")
-    parts = F.try_variant_get(content, "$", "array<struct<text:string>>")
-    return F.when(F.schema_of_variant(content).startswith("ARRAY"), or_null(F.array_join(F.transform(parts, lambda p: p["text"]), ""))).otherwise(F.try_variant_get(content, "$", "string"))
+
+    def said(content: Column) -> Column:
+        parts = F.try_variant_get(content, "$", "array<struct<text:string>>")
+        return F.when(F.schema_of_variant(content).startswith("ARRAY"), or_null(F.array_join(F.transform(parts, lambda p: p["text"]), ""))).otherwise(F.try_variant_get(content, "$", "string"))
+
+    return let(F.try_variant_get(F.try_parse_json(body), "$.choices[0].message.content", "variant"), said)
 
 
 def chat_tokens(body: Column) -> Column:
@@ -125,17 +149,19 @@ def contract(number: Column, dates: Column, amounts: Column, companies: Column)
     return F.to_json(F.struct(number.alias("INVOICE_NO"), dates.alias("DATE"), amounts.alias("AMOUNT"), companies.alias("COMPANY")), {"ignoreNullFields": "false"})
 
 
-def chat_request(model: Column, prompt_text: Column, heat: Column, most_tokens: int = 1024) -> Column:
-    """Body of a chat completion request."""
+def chat_request(model: Column, prompt_text: Column, heat: Column, most_tokens: int = 1024, stream: bool = False, json_only: bool = False) -> Column:
+    """Body of a chat completion request; as a stream of events, or with replies bound to JSON."""
     message = F.struct(F.lit("user").alias("role"), prompt_text.alias("content"))
-    return F.to_json(F.struct(model.alias("model"), F.array(message).alias("messages"), heat.alias("temperature"), F.lit(most_tokens).alias("max_tokens")))
+    more = [F.lit(True).alias("stream")] if stream else []
+    more += [F.struct(F.lit("json_object").alias("type")).alias("response_format")] if json_only else []
+    return F.to_json(F.struct(model.alias("model"), F.array(message).alias("messages"), heat.alias("temperature"), F.lit(most_tokens).alias("max_tokens"), *more))
 
 
-def parts_request(prompt_text: Column, heat: Column, most_tokens: int = 1024) -> Column:
-    """Body of a request in parts."""
-    parts = F.array(F.struct(prompt_text.alias("text")))
-    content = F.array(F.struct(F.lit("user").alias("role"), parts.alias("parts")))
-    return F.to_json(F.struct(content.alias("contents"), F.struct(heat.alias("temperature"), F.lit(most_tokens).alias("maxOutputTokens")).alias("generationConfig")))
+def parts_request(prompt_text: Column, heat: Column, most_tokens: int = 1024, thinking: int | None = None) -> Column:
+    """Body of a request in parts; ``thinking`` bounds the tokens of thought."""
+    content = F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(prompt_text.alias("text"))).alias("parts")))
+    more = [F.struct(F.lit(thinking).alias("thinkingBudget")).alias("thinkingConfig")] if thinking is not None else []
+    return F.to_json(F.struct(content.alias("contents"), F.struct(heat.alias("temperature"), F.lit(most_tokens).alias("maxOutputTokens"), F.lit("application/json").alias("responseMimeType"), *more).alias("generationConfig")))
 
 
 def image_request(url: Column) -> Column:

@@ -29,6 +29,11 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def or_null(c: Column) -> Column:
     """Null where blank."""
     return F.when(c.rlike(r"\S"), c)
@@ -89,7 +94,8 @@ def data_url(path: Column, content: Column) -> Column:
 
 
 def appended_error(old: Column, new: Column) -> Column:
-    return F.concat_ws(" | ", F.nullif(old, F.lit("")), new)
+    """Errors joined by `` | ``; a blank old one doesn't count."""
+    return F.concat_ws(" | ", or_null(old), new)
 
 
 def model_key(c: Column) -> Column:
@@ -152,9 +158,18 @@ def text_normalised(c: Column) -> Column:
 
 
 def amount_consensus(c: Column) -> Column:
-    """Two decimals, half up; no number: without commas, trimmed; blank to null."""
+    """Two decimals, half up; no number: without commas, trimmed; blank to null.
+
+    Digits are moved by the exponent as text and cut after the third decimal, which alone decides, so
+    nothing is rounded twice. Numbers of more than 35 digits before the point stay as they are.
+    """
     bare = F.replace(trimmed(c), F.lit(","), F.lit(""))
-    number = F.when(bare.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?$"), bare.try_cast("decimal(38,18)"))
+    form = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,2}))?$"
+    sign, whole, rest, power = (F.regexp_extract(bare, form, k) for k in (1, 2, 3, 4))
+    digits, point = F.concat(whole, rest), F.length(whole) + F.coalesce(power.try_cast("int"), F.lit(0))
+    before = F.when(point <= 0, "0").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+    after = F.concat(F.repeat(F.lit("0"), F.least(-point, F.lit(3))), F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.lit(3)), F.lit("000"))
+    number = F.when(bare.rlike(r"\d") & bare.rlike(form), F.concat(sign, before, F.lit("."), F.substring(after, 1, 3)).try_cast("decimal(38,3)"))
     return or_null(F.coalesce(F.round(number, 2).cast("decimal(38,2)").cast("string"), bare))
 
 

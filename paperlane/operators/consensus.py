@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlane.functions import jsons, text as T
 
@@ -18,43 +18,41 @@ def candidates(runs: DataFrame, existing: DataFrame) -> DataFrame:
 def first_runs(runs: DataFrame) -> DataFrame:
     """One completed first run a document and model key; of several names with one key the least. Adds ``key``."""
     rows = runs.filter((F.col("run_number") == 1) & (F.upper("status") == "COMPLETED")).withColumn("key", T.model_key(F.col("model_name"))).filter("key is not null")
-    least = F.row_number().over(Window.partitionBy("invoice_id", "key").orderBy("model_name"))
-    return rows.withColumn("place", least).filter("place = 1").drop("place")
+    return rows.groupBy("invoice_id", "key").agg(F.min_by(F.struct(*[c for c in runs.columns if c != "invoice_id"]), "model_name").alias("x")).select("invoice_id", "x.*", "key")
 
 
-def _values(field: str) -> Column:
-    out = F.transform(jsons.field_set(F.col("extracted_json"), field), _NORMAL[field])
-    return F.array_distinct(F.filter(out, lambda x: x.isNotNull()))
+def ballots(firsts: DataFrame) -> DataFrame:
+    """invoice_id and, of each first run, arrays of its distinct normalised values: invoice_no, date, amount, company. One parse a row."""
+    rows = jsons.with_fields(firsts)
+    number = F.array_compact(F.array(T.invoice_no(jsons.text_of(F.col("parsed.INVOICE_NO")))))
+    values = [F.array_distinct(F.array_compact(F.transform(jsons.set_of(F.col(f"parsed.{f}")), _NORMAL[f]))).alias(f.lower()) for f in jsons.FIELDS]
+    return rows.select("invoice_id", number.alias("invoice_no"), *values)
 
 
 def votes(firsts: DataFrame) -> DataFrame:
     """invoice_id, field, value, votes: in how many models' outputs a normalised value occurs."""
-    number = F.array_compact(F.array(T.invoice_no(jsons.field_text(F.col("extracted_json"), "INVOICE_NO"))))
-    each = firsts.select("invoice_id", F.explode(F.map_from_arrays(F.array(F.lit("INVOICE_NO"), *map(F.lit, jsons.FIELDS)), F.array(number, *[_values(f) for f in jsons.FIELDS]))).alias("field", "values"))
-    return each.select("invoice_id", "field", F.explode("values").alias("value")).groupBy("invoice_id", "field", "value").agg(F.count(F.lit(1)).alias("votes"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f.lower()).alias("values")) for f in ("INVOICE_NO", *jsons.FIELDS)])
+    rows = ballots(firsts).select("invoice_id", F.explode(each).alias("x")).select("invoice_id", "x.field", F.explode("x.values").alias("value"))
+    return rows.groupBy("invoice_id", "field", "value").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def consensus(runs: DataFrame) -> DataFrame:
     """invoice_id, consensus_invoice_no, _dates, _amounts, _companies (comma-joined, sorted), models_agreed, fields_with_consensus.
 
-    Documents with fewer than two models, or without any agreed field, have no row. The count of
-    models and the votes are two aggregates with the same key, so their join needs no further shuffle.
+    Documents with fewer than two models, or without any agreed field, have no row. A document's ballots
+    are a few short arrays: they meet once, by document, and votes are counted there.
     """
-    firsts = first_runs(runs)
-    models = firsts.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("models_agreed")).filter("models_agreed >= 2")
-    agreed = votes(firsts).join(models, "invoice_id").filter(F.col("votes") >= T.majority(F.col("models_agreed")))
-
-    def joined(field: str, shown=lambda c: c) -> Column:
-        return F.array_join(F.array_sort(F.collect_list(F.when(F.col("field") == field, shown(F.col("value"))))), ",")
-
-    out = agreed.groupBy("invoice_id", "models_agreed").agg(
-        F.max(F.when(F.col("field") == "INVOICE_NO", F.col("value"))).alias("consensus_invoice_no"),
-        joined("DATE").alias("consensus_dates"),
-        joined("AMOUNT").alias("consensus_amounts"),
-        joined("COMPANY", T.title_case).alias("consensus_companies"),
-        F.countDistinct("field").alias("fields_with_consensus"),
-    )
-    return out.select("invoice_id", "consensus_invoice_no", "consensus_dates", "consensus_amounts", "consensus_companies", F.col("models_agreed").cast("long"), F.col("fields_with_consensus").cast("long"))
+    names = ("invoice_no", "date", "amount", "company")
+    met = ballots(first_runs(runs)).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("models_agreed"), *[F.flatten(F.collect_list(c)).alias(c) for c in names]).filter("models_agreed >= 2")
+
+    def agreed(c: str) -> Column:
+        return F.filter(F.array_distinct(c), lambda v: F.size(F.filter(c, lambda x: x == v)) >= T.majority(F.col("models_agreed")))
+
+    rows = met.select("invoice_id", "models_agreed", *[agreed(c).alias(c) for c in names])
+    shown = {"date": F.col("date"), "amount": F.col("amount"), "company": F.transform("company", T.title_case)}
+    n = sum(((F.size(c) > 0).cast("long") for c in names), F.lit(0).cast("long"))
+    out = rows.select("invoice_id", F.array_max("invoice_no").alias("consensus_invoice_no"), *[F.array_join(F.array_sort(shown[c]), ",").alias(f"consensus_{p}") for c, p in (("date", "dates"), ("amount", "amounts"), ("company", "companies"))], F.col("models_agreed").cast("long"), n.alias("fields_with_consensus"))
+    return out.filter("fields_with_consensus > 0")
 
 
 def status(truth: DataFrame) -> DataFrame:

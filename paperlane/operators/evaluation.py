@@ -11,14 +11,35 @@ from . import graph
 _FIELDS = ["date", "amount", "company"]
 
 
+def summary(runs: DataFrame) -> DataFrame:
+    """invoice_id, model_name of every document and model with a completed run, and what its runs say together.
+
+    run_numbers (of runs with JSON), first_run, date, amount, company (distinct raw values of array fields),
+    answerability, consistency. One parse a run and one shuffle for all of it.
+    """
+    rows = runs.filter("status = 'COMPLETED'").select("invoice_id", "model_name", "run_number", "extracted_json", jsons.valid(F.col("extracted_json")).alias("ok"))
+    rows = jsons.with_fields(rows)
+    given, among = F.col("extracted_json").isNotNull(), F.col("run_number").between(1, 3)
+    raw = [F.when(F.col("ok"), jsons.raw_of(F.col(f"parsed.{f}"))).alias(f"s_{f}") for f in ("INVOICE_NO", *jsons.FIELDS)]
+    rows = rows.select("invoice_id", "model_name", "run_number", given.alias("given"), *[jsons.array_of(F.col(f"parsed.{f}")).alias(f.lower()) for f in jsons.FIELDS], *raw)
+    marks = [F.when(among & F.col(c).isNotNull(), F.xxhash64(F.size(c), c)).alias(c) for c in rows.columns if c.startswith("s_")]
+    rows = rows.select("invoice_id", "model_name", "run_number", "given", *_FIELDS, *marks)
+    runs_there = F.coalesce(F.bit_or(F.when(F.col("run_number") == 1, 2).when(F.col("run_number") == 2, 4).when(F.col("run_number") == 3, 8)), F.lit(0))
+    same = [((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.when(among, 1)))).cast("int") for c in rows.columns if c.startswith("s_")]
+    total = sum((F.coalesce(s, F.lit(0)) for s in same), F.lit(0)) / 4.0
+    out = rows.groupBy("invoice_id", "model_name").agg(
+        F.collect_list(F.when(F.col("given"), F.col("run_number"))).alias("run_numbers"),
+        F.min(F.when(F.col("given"), F.col("run_number"))).alias("first_run"),
+        *[F.array_distinct(F.flatten(F.collect_list(f))).alias(f) for f in _FIELDS],
+        F.when(runs_there == 14, total).otherwise(0.0).alias("consistency"),
+        F.max(among).alias("among"),
+    )
+    return out.withColumn("answerability", ((F.size("company") > 0).cast("int") + (F.size("amount") > 0).cast("int") + 1) / 3.0)
+
+
 def consistency(runs: DataFrame) -> DataFrame:
     """invoice_id, model_name, consistency: the share of the four fields equal over the completed runs 1 to 3, 0 unless all are there."""
-    rows = runs.filter("status = 'COMPLETED' and run_number between 1 and 3")
-    sets = [F.to_json(jsons.raw_set(F.col("extracted_json"), f)).alias(f"s_{f}") for f in ("INVOICE_NO", *jsons.FIELDS)]
-    rows = rows.select("invoice_id", "model_name", "run_number", *sets)
-    same = [((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))).cast("int") for c in rows.columns if c.startswith("s_")]
-    total = sum((F.coalesce(s, F.lit(0)) for s in same), F.lit(0)) / 4.0
-    return rows.groupBy("invoice_id", "model_name").agg(F.when(F.countDistinct("run_number") == 3, total).otherwise(0.0).alias("consistency"))
+    return summary(runs).filter("among").select("invoice_id", "model_name", "consistency")
 
 
 def accuracy(hit: Column, truth: Column, found: Column) -> Column:
@@ -31,47 +52,46 @@ def f1(hit: Column, truth: Column, found: Column) -> Column:
     return F.when((truth == 0) & (found == 0), 1.0).when((truth == 0) | (found == 0) | (hit == 0), 0.0).otherwise(2 * p * r / (p + r))
 
 
-def model_metrics(runs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Scores a document and model: values are those of all completed runs together; documents without truth have no row.
-
-    Truth and extracted values are aggregated into one table of small arrays a document before they
-    meet, so no product of values arises.
-    """
-    arrays = [F.collect_set(F.when(F.col("field") == f.upper(), F.col("value"))).alias(f) for f in _FIELDS]
+def truth_values(truth: DataFrame) -> DataFrame:
+    """invoice_id and the distinct values of its ground truth: t_date, t_amount, t_company. Documents without any have no row."""
     edges = graph.truth_edges(truth).withColumn("value", T.trimmed(F.col("value"))).filter("value <> ''")
-    wanted = edges.groupBy("invoice_no").agg(*[a.alias(f"t_{f}") for a, f in zip(arrays, _FIELDS)])
-    keys = graph.truth_key(truth).select("invoice_id", "invoice_no").join(wanted, "invoice_no").drop("invoice_no")
-    models = runs.filter("status = 'COMPLETED' and extracted_json is not null").select("invoice_id", "model_name").distinct()
-    raw = graph.extracted_edges(runs).select(F.col("invoice_no").alias("invoice_id"), F.col("model").alias("model_name"), "field", "value")
-    has = [F.max((F.col("field") == f).cast("int")) for f in ("COMPANY", "AMOUNT")]
-    found = raw.groupBy("invoice_id", "model_name").agg(*[a.alias(f"r_{f}") for a, f in zip(arrays, _FIELDS)], ((has[0] + has[1] + 1) / 3.0).alias("answer"))
-    rows = models.join(found, ["invoice_id", "model_name"], "left").join(keys, "invoice_id")
-    empty = F.array().cast("array<string>")
-    clean = {f: F.array_distinct(F.filter(F.transform(F.coalesce(f"r_{f}", empty), T.trimmed), lambda x: x != "")) for f in _FIELDS}
-    rows = rows.withColumns({f"e_{f}": clean[f] for f in _FIELDS})
-    rows = rows.withColumn("stable", ~F.exists(F.array(*[F.size(F.array_except(f"e_{f}", F.coalesce(f"r_{f}", empty))) > 0 for f in _FIELDS]), lambda x: x))
+    wanted = edges.groupBy("invoice_no").agg(*[F.collect_set(F.when(F.col("field") == f.upper(), F.col("value"))).alias(f"t_{f}") for f in _FIELDS])
+    return graph.truth_key(truth).select("invoice_id", "invoice_no").join(wanted, "invoice_no").drop("invoice_no")
+
+
+def _scored(models: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rows of ``summary`` with scores; documents without truth have no row."""
+    rows = models.filter("size(run_numbers) > 0").join(truth_values(truth), "invoice_id")
+    rows = rows.withColumns({f"e_{f}": F.array_distinct(F.filter(F.transform(f, T.trimmed), lambda x: x != "")) for f in _FIELDS})
+    rows = rows.withColumn("stable", ~F.exists(F.array(*[F.size(F.array_except(f"e_{f}", f)) > 0 for f in _FIELDS]), lambda x: x))
     rows = rows.withColumns({k: v for f in _FIELDS for k, v in ((f"n_{f}", F.size(F.array_intersect(f"e_{f}", f"t_{f}"))), (f"g_{f}", F.size(f"t_{f}")), (f"x_{f}", F.size(f"e_{f}")))})
     n = {f: (F.col(f"n_{f}"), F.col(f"g_{f}"), F.col(f"x_{f}")) for f in _FIELDS}
     scores = [c for f in _FIELDS for c in (accuracy(*n[f]).alias(f"{f}_accuracy"), f1(*n[f]).alias(f"{f}_f1"))]
     total = lambda k: sum((n[f][k] for f in _FIELDS), F.lit(0))
-    complete = F.least(F.lit(1.0), total(2) / total(1))
-    out = rows.select("invoice_id", "model_name", *scores, complete.alias("relation_completeness"), F.coalesce("answer", F.lit(1 / 3.0)).alias("query_answerability"), "stable")
+    out = rows.select("invoice_id", "model_name", "run_numbers", "first_run", "consistency", *scores, F.least(F.lit(1.0), total(2) / total(1)).alias("relation_completeness"), F.col("answerability").alias("query_answerability"), "stable")
     return out.withColumn("overall_entity_accuracy", (F.col("date_accuracy") + F.col("amount_accuracy") + F.col("company_accuracy")) / 3.0)
 
 
+def model_metrics(runs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Scores a document and model: values are those of all completed runs together; documents without truth have no row.
+
+    Truth and extracted values are aggregated into small arrays a document before they meet, so no
+    product of values arises.
+    """
+    return _scored(summary(runs), truth).drop("run_numbers", "first_run", "consistency")
+
+
 def bundle(runs: DataFrame, truth: DataFrame) -> DataFrame:
     """A row for every completed run of a document with truth: the model's scores, consistency, and whether writing again changes nothing.
 
-    Writing again keeps what it adds, so only the first run of a model can find a change.
+    Writing again keeps what it adds, so only the first run of a model can find a change. Runs are
+    aggregated once and expanded again at the end, so they are never joined with themselves.
     """
-    each = runs.filter("status = 'COMPLETED' and extracted_json is not null").select("invoice_id", "model_name", "run_number")
-    first = each.groupBy("invoice_id", "model_name").agg(F.min("run_number").alias("first_run"))
-    scores = model_metrics(runs, truth).join(consistency(runs), ["invoice_id", "model_name"], "left").join(first, ["invoice_id", "model_name"])
-    out = each.join(scores, ["invoice_id", "model_name"])
+    out = _scored(summary(runs), truth).withColumn("run_number", F.explode("run_numbers"))
     return out.select(
         "invoice_id", "model_name", F.col("run_number").cast("long").alias("run_number"),
         *[f"{f}_{m}" for f in _FIELDS for m in ("accuracy", "f1")],
         "overall_entity_accuracy", "relation_completeness", "query_answerability",
         (F.col("stable") | (F.col("run_number") > F.col("first_run"))).alias("graph_idempotent"),
-        F.coalesce("consistency", F.lit(0.0)).alias("consistency_score"),
+        F.col("consistency").alias("consistency_score"),
     )

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlane.functions import jsons, text as T
 
 TRUTH, CSV_TRUTH = "ground_truth", "GROUND_TRUTH"
 
 
+def run_values(runs: DataFrame) -> DataFrame:
+    """invoice_id, model_name, run_number and, of each completed run with JSON, the array fields as ``date``, ``amount``, ``company``; one parse a row."""
+    rows = jsons.with_fields(runs.filter("status = 'COMPLETED' and extracted_json is not null").select("invoice_id", "model_name", "run_number", "extracted_json"))
+    return rows.select("invoice_id", "model_name", "run_number", *[jsons.array_of(F.col(f"parsed.{f}")).alias(f.lower()) for f in jsons.FIELDS])
+
+
+def run_nodes(runs: DataFrame) -> DataFrame:
+    """invoice_no, model, run_no: a node for every completed run with JSON, each with an edge to its document and model."""
+    return runs.filter("status = 'COMPLETED' and extracted_json is not null").select(F.col("invoice_id").alias("invoice_no"), F.col("model_name").alias("model"), F.col("run_number").alias("run_no")).distinct()
+
+
 def extracted_edges(runs: DataFrame) -> DataFrame:
-    """One edge a distinct value of a document and model, over all its completed runs; only array fields make edges."""
-    rows = runs.filter("status = 'COMPLETED' and extracted_json is not null")
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), jsons.array_field(F.col("extracted_json"), f).alias("values")) for f in jsons.FIELDS])
-    each = rows.select(F.col("invoice_id").alias("invoice_no"), F.col("model_name").alias("model"), F.explode(fields).alias("x")).select("invoice_no", "model", F.lit(False).alias("is_ground_truth"), "x.field", F.explode("x.values").alias("value"))
-    return each.distinct()
+    """One edge a distinct value of a document and model, over all its completed runs; only array fields make edges.
+
+    A document's and model's runs meet once, as arrays; values are made distinct there, not by a shuffle of edges.
+    """
+    arrays = run_values(runs).groupBy("invoice_id", "model_name").agg(*[F.array_distinct(F.flatten(F.collect_list(f.lower()))).alias(f.lower()) for f in jsons.FIELDS])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f.lower()).alias("values")) for f in jsons.FIELDS])
+    return arrays.select(F.col("invoice_id").alias("invoice_no"), F.col("model_name").alias("model"), F.explode(each).alias("x")).select("invoice_no", "model", F.lit(False).alias("is_ground_truth"), "x.field", F.explode("x.values").alias("value"))
 
 
 def truth_key(truth: DataFrame) -> DataFrame:
@@ -23,9 +36,9 @@ def truth_key(truth: DataFrame) -> DataFrame:
 
 
 def last_seeds(truth: DataFrame) -> DataFrame:
-    """Of the documents that bear one number the last seeds it."""
-    last = F.row_number().over(Window.partitionBy("invoice_no").orderBy(F.desc("invoice_id")))
-    return truth_key(truth).withColumn("place", last).filter("place = 1").drop("place")
+    """Of the documents that bear one number the last seeds it. An aggregate, so a common number is combined before it is shuffled."""
+    rows = truth_key(truth)
+    return rows.groupBy("invoice_no").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "invoice_no"]), "invoice_id").alias("x")).select("x.*", "invoice_no")
 
 
 def truth_edges(truth: DataFrame) -> DataFrame:

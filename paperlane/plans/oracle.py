@@ -72,7 +72,9 @@ def amount(x: str) -> str:
 
 def amount_consensus(x: str) -> str:
     bare = f"replace({tr(x)}, ',', '')"
-    number = f"CASE WHEN regexp_matches({bare}, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d{{1,2}})?$') THEN TRY_CAST({bare} AS DECIMAL(38,18)) END"
+    form = r"^([+-]?)(\d*)(?:\.(\d*))?$"
+    plain = f"regexp_extract({bare}, '{form}', 1) || '0' || regexp_extract({bare}, '{form}', 2) || '.' || substr(regexp_extract({bare}, '{form}', 3) || '000', 1, 3)"
+    number = f"CASE WHEN regexp_matches({bare}, '\\d') AND regexp_matches({bare}, '{form}') THEN TRY_CAST({plain} AS DECIMAL(38,3)) WHEN regexp_matches({bare}, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)[eE][+-]?\\d{{1,2}}$') THEN TRY_CAST(TRY_CAST({bare} AS DECIMAL(38,12)) AS DECIMAL(38,12)) END"
     return filled(f"COALESCE(CAST(CAST(round({number}, 2) AS DECIMAL(38,2)) AS VARCHAR), {bare})")
 
 

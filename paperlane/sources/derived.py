@@ -50,8 +50,9 @@ FROM customer"""
 
 SAMPLES = f"""
 SELECT o_orderkey AS k,
-  CASE o_orderkey % 14 WHEN 0 THEN ' $' || {_THOUSANDS} WHEN 1 THEN 'USD 12' WHEN 2 THEN {_AMOUNT} WHEN 3 THEN '0' WHEN 4 THEN '-3.10' WHEN 5 THEN 'abc' WHEN 6 THEN '12.345' WHEN 7 THEN '  '
-    WHEN 8 THEN '7.5' WHEN 9 THEN 'eur 1,250' WHEN 10 THEN '1.005' WHEN 11 THEN '$5' WHEN 12 THEN {_THOUSANDS} ELSE NULL END AS amount_text,
+  CASE o_orderkey % 22 WHEN 0 THEN ' $' || {_THOUSANDS} WHEN 1 THEN 'USD 12' WHEN 2 THEN {_AMOUNT} WHEN 3 THEN '0' WHEN 4 THEN '-3.10' WHEN 5 THEN 'abc' WHEN 6 THEN '12.345' WHEN 7 THEN '  '
+    WHEN 8 THEN '7.5' WHEN 9 THEN 'eur 1,250' WHEN 10 THEN '1.005' WHEN 11 THEN '$5' WHEN 12 THEN {_THOUSANDS}
+    WHEN 14 THEN '1.00499999999999999999' WHEN 15 THEN '123456789012345678901.5' WHEN 16 THEN '1.5e3' WHEN 17 THEN '-1.005' WHEN 18 THEN '25e-3' WHEN 19 THEN '.995' WHEN 20 THEN '12345.678e-2' WHEN 21 THEN '1.' ELSE NULL END AS amount_text,
   CASE o_orderkey % 13 WHEN 0 THEN {_ISO} WHEN 1 THEN {_DOT} WHEN 2 THEN {_D} || '/' || {_M} || '/' || {_Y} WHEN 3 THEN {_M} || '/' || {_D} || '/' || {_Y} WHEN 4 THEN {_D} || '-' || {_M} || '-' || {_Y}
     WHEN 5 THEN '31.04.2024' WHEN 6 THEN '02/30/2024' WHEN 7 THEN '45.13.2024' WHEN 8 THEN ' 3.4.2024 ' WHEN 9 THEN '12.03.1950' WHEN 10 THEN 'soon' WHEN 11 THEN '' ELSE NULL END AS date_text,
   CASE o_orderkey % 9 WHEN 0 THEN 'Vendor:  Acme ' || {_K} WHEN 1 THEN ' INVOICE NO: #ab ' || {_K} WHEN 2 THEN 'acme o''neil-smith   llc' WHEN 3 THEN 'x' WHEN 4 THEN '12 Long Street ' || {_K} WHEN 5 THEN 'a, b,, ' || {_K} || ' ,'
