@@ -5,7 +5,7 @@ logarithms of these probabilities.
 
 Words: the ``VOCABULARY`` most frequent words of the corpus have embeddings and outputs of their own. They
 are cut, by rank, into classes of equal frequency; all other words are one class more, and one neighbour. A
-window network (embeddings of the four neighbours, one tanh layer) gives the class given both sides and, by
+window network (embeddings of the four neighbours, one layer of rectified units) gives the class given both sides and, by
 a softmax over the class, the word given class and both sides. A word beyond the vocabulary that occurs n
 times has n / (N + 1) of its class, where N is the number of all such occurrences; all unseen words together
 have 1 / (N + 1).
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrowtext as at
 from .shared import bucketed, partitions, written
 
-VOCABULARY, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 64, 12, 24, 2
+VOCABULARY, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 64, 12, 16, 2
 NEAR = [d for d in range(-SIDE, SIDE + 1) if d]
-ROUNDS, BATCH, RATE = 2, 4096, 0.1
+ROUNDS, BATCH, RATE = 2, 8192, 0.1
 FAN_IN = 32
 #: Bytes of text in a block, words in a piece of one (repeated rows may fill a block), distinct words of blocks in a home.
 BLOCK_BYTES, PIECE, HOME = 6 << 20, 4 << 20, 2_000_000
@@ -80,7 +80,7 @@ def initial(counts: np.ndarray, lo: np.ndarray, rare: int, seed: int = 1) -> dic
     p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes.items()}
     p["e"][size + 1] = 0  # beyond a document's ends
     mass = np.append(np.add.reduceat(counts, lo[:-1]) if size else np.zeros(0), rare)
-    return p | {"b": np.zeros(HIDDEN, np.float32), "c": np.log(mass + 1).astype(np.float32), "d": np.log(counts).astype(np.float32)}
+    return p | {"b": np.full(HIDDEN, 0.1, np.float32), "c": np.log(mass + 1).astype(np.float32), "d": np.log(counts).astype(np.float32)}
 
 
 def windows(ids: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def gradients(m: Model, p: dict[str, np.ndarray], ids: np.ndarray, near: np.ndar
     order = np.argsort(of, kind="stable")
     ids, near, of, n = ids[order], near[order], of[order], len(ids)
     x = p["e"].take(near.ravel(), axis=0).reshape(n, -1)
-    h = np.tanh(x @ p["w"] + p["b"])
+    h = np.maximum(x @ p["w"] + p["b"], 0)
     z = _softmax(h @ p["u"] + p["c"])
     z[np.arange(n), of] -= 1
     z /= n
@@ -119,7 +119,7 @@ def gradients(m: Model, p: dict[str, np.ndarray], ids: np.ndarray, near: np.ndar
             q /= n
             o[lo:hi], d[lo:hi] = q.T @ h[a:b], q.sum(axis=0)
             back[a:b] += q @ p["o"][lo:hi]
-    back *= 1 - h * h
+    back *= h > 0
     into, flat = (back @ p["w"].T).reshape(-1, WIDTH), near.ravel().astype(np.int16 if len(p["e"]) < 1 << 15 else np.int32)
     order = np.argsort(flat, kind="stable")  # 16-bit keys are sorted by radix
     edge = np.flatnonzero(np.diff(flat[order], prepend=-1))
@@ -150,7 +150,7 @@ def log_probabilities(m: Model, p: dict[str, np.ndarray], ids: np.ndarray, near:
         h = parts[0][n[:, 0]]
         for k in range(1, len(NEAR)):
             h = h + parts[k][n[:, k]]
-        h = np.tanh(h + p["b"])
+        h = np.maximum(h + p["b"], 0)
         z = h @ p["u"] + p["c"]
         z -= z.max(axis=1, keepdims=True)
         lp = z[np.arange(len(z)), of] - np.log(np.exp(z).sum(axis=1))

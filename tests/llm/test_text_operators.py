@@ -581,7 +581,7 @@ def plain_log_probability(m, word, near):
     """Of one word given its neighbours' ids, with loops and no tables; double precision."""
     p = {k: v.astype(float) for k, v in m.p.items()}
     x = np.concatenate([p["e"][i] for i in near])
-    h = np.tanh(x @ p["w"] + p["b"])
+    h = np.maximum(x @ p["w"] + p["b"], 0)
     soft = lambda z: z - np.log(sum(np.exp(v) for v in z))
     k = next((k for k in range(len(m.lo) - 1) if m.lo[k] <= word < m.lo[k + 1]), len(m.lo) - 1)
     lp = soft(h @ p["u"] + p["c"])[k]
