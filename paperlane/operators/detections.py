@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperlane.functions import text as T
 
 BODY = "struct<data:array<struct<text_detections:array<struct<text_prediction:struct<text:string,confidence:double>,bounding_box:struct<points:array<struct<x:double,y:double>>>>>>>>"
+FOUND = "array<struct<text:string,confidence:double,x_min:double,y_min:double,x_max:double,y_max:double>>"
 # Confidences, the column's tolerance, and words that rule an amount out.
 MIN_CONFIDENCE, MIN_DATE_CONFIDENCE, SMALL_QUANTITY = 0.65, 0.70, 12.00
 SLACK, RIGHT_SLACK = 0.02, 0.05
@@ -54,11 +55,15 @@ def _whole_date(c: Column) -> Column:
     return c.rlike(f"^(?:{T.DAY_FIRST})$") | c.rlike(f"^(?:{T.ISO_DATE})$")
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, found: array of detections) to doc_id, invoice_no, dates, amounts, companies."""
-    sure = F.filter(reading_order(F.col("found")), lambda d: d["confidence"] >= MIN_CONFIDENCE)
-    rows = docs.select("doc_id", F.transform(F.coalesce(sure, F.array().cast(docs.schema["found"].dataType)), lambda d: d.withField("text", T.trimmed(d["text"]))).alias("d"))
-    number = F.transform("d", lambda d: F.upper(T.or_null(T.trimmed(F.regexp_replace(T.after_prefix(d["text"], T.INVOICE_PREFIXES), r"^[#\s]+", "")))))
+def entities_of(found: Column) -> Column:
+    """An array of detections to a struct of invoice_no, dates, amounts, companies; a null one counts as empty."""
+    sure = F.filter(reading_order(found), lambda d: d["confidence"] >= MIN_CONFIDENCE)
+    ready = F.transform(F.coalesce(sure, F.array().cast(FOUND)), lambda d: d.withField("text", T.trimmed(d["text"])))
+    return T.let(ready, _entities)
+
+
+def _entities(found: Column) -> Column:
+    number = F.transform(found, lambda d: F.upper(T.or_null(T.trimmed(F.regexp_replace(T.after_prefix(d["text"], T.INVOICE_PREFIXES), r"^[#\s]+", "")))))
 
     def dates(d: Column) -> Column:
         labelled = T.date_observed(_first_date(T.after_prefix(d["text"], T.DATE_PREFIXES)))
@@ -73,13 +78,17 @@ def entities(docs: DataFrame) -> DataFrame:
         small = T.amount(x["raw"]).try_cast("double") <= SMALL_QUANTITY
         return x["raw"].isNotNull() & ~before.rlike(NOT_AMOUNT_CONTEXT) & T.amount(x["raw"]).isNotNull() & ~_whole_date(x["raw"]) & ~(small & x["text"].rlike(QUANTITY))
 
-    column = F.transform(in_amount_column(F.col("d")), lambda d: F.struct(d["text"].alias("raw"), d["text"].alias("text")))
-    amounts = F.transform(F.filter(F.concat(F.transform("d", labelled), column), allowed), lambda x: T.amount(x["raw"]))
-    companies = F.transform("d", lambda d: T.company(T.after_prefix(d["text"], T.COMPANY_PREFIXES)))
-    return rows.select(
-        "doc_id",
+    column = F.transform(in_amount_column(found), lambda d: F.struct(d["text"].alias("raw"), d["text"].alias("text")))
+    amounts = F.transform(F.filter(F.concat(F.transform(found, labelled), column), allowed), lambda x: T.amount(x["raw"]))
+    companies = F.transform(found, lambda d: T.company(T.after_prefix(d["text"], T.COMPANY_PREFIXES)))
+    return F.struct(
         F.get(F.array_compact(number), 0).alias("invoice_no"),
-        _distinct(F.flatten(F.transform(F.filter("d", lambda d: d["confidence"] >= MIN_DATE_CONFIDENCE), dates))).alias("dates"),
+        _distinct(F.flatten(F.transform(F.filter(found, lambda d: d["confidence"] >= MIN_DATE_CONFIDENCE), dates))).alias("dates"),
         _distinct(amounts).alias("amounts"),
         _distinct(F.filter(companies, lambda c: T.plausible_company(c, r"(?s)^.*\d+\s+[A-Za-z]+.*$"))).alias("companies"),
     )
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, found: array of detections) to doc_id, invoice_no, dates, amounts, companies."""
+    return docs.select("doc_id", entities_of(F.col("found")).alias("x")).select("doc_id", "x.*")

@@ -6,6 +6,7 @@ An extractor is a function from (id, text, run) to a dict; it runs in the tasks,
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,9 @@ from pyspark.sql.types import ArrayType, StringType
 
 from paperlane.functions import jsons, text as T
 
-RESULT = "invoice_id string, model_name string, run_number int, extracted_json string, token_count int, status string, error_message string"
+from . import detections
+
+RESULT = "invoice_id string, model_name string, run_number int, extracted_json string, latency_ms int, token_count int, status string, error_message string, created_at timestamp_ntz"
 RUNS = 3
 
 
@@ -27,6 +30,7 @@ class Model:
     order: int
     call: Callable[[str, float], tuple[str | None, int | None]]
     reads_path: bool = False
+    sees: bool = False  # its response holds text detections
 
 
 def choice(invoices: DataFrame) -> DataFrame:
@@ -51,53 +55,86 @@ def failed_models(runs: DataFrame) -> DataFrame:
     return runs.groupBy("invoice_id", "model_name").agg(F.count(F.when(F.col("status") == "FAILED", 1)).alias("failed")).filter(f"failed = {RUNS}")
 
 
-def extracted(work: DataFrame, models: list[Model], attempts: int = 3) -> DataFrame:
-    """Runs the models over the rows of ``fan_out``; a failure is the row's result. Replies are cleaned and checked by column functions."""
+class Refused(Exception):
+    """The model's service refuses the request (a 4xx answer): another attempt can't help."""
+
+
+class Unavailable(Exception):
+    """The service fails (a 5xx answer): another attempt follows at once."""
+
+
+def called(call: Callable[[], tuple], attempts: int = 3, wait: float = 2.0, pause: Callable[[float], None] = time.sleep) -> tuple:
+    """(*result, None), or (None, None, error). I/O errors wait before the next attempt, refusals and other errors end it."""
+    for k in range(attempts):
+        try:
+            return (*call(), None)
+        except (Refused, PermissionError) as e:
+            return None, None, str(e)
+        except Unavailable:
+            pass
+        except OSError:
+            if k + 1 < attempts:
+                pause(wait)
+        except Exception as e:  # any other failure is this row's result, not the job's
+            return None, None, str(e)
+    return None, None, f"LLM API call failed after {attempts} attempts"
+
+
+def extracted(work: DataFrame, models: list[Model], attempts: int = 3, wait: float = 2.0) -> DataFrame:
+    """Runs the models over the rows of ``fan_out``; a failure is the row's result. Replies are cleaned and checked by column functions.
+
+    A model that ``sees`` gets a path and gives the body of a text detection response, whose entities become its reply.
+    """
     by_name = {m.name: m for m in models}
 
-    def one(model: Model, given: str, heat: float) -> tuple[str | None, int | None, str | None]:
-        why = ""
-        for _ in range(attempts):
-            try:
-                return (*model.call(given, heat), None)
-            except PermissionError as e:  # refused: another attempt can't help
-                return None, None, str(e)
-            except Exception as e:
-                why = str(e)
-        return None, None, f"call failed after {attempts} attempts: {why}"
+    def one(model: Model, given: str, heat: float) -> tuple[str | None, int | None, str | None, int]:
+        start = time.monotonic()
+        out = called(lambda: model.call(given, heat), attempts, wait)
+        return (*out, int((time.monotonic() - start) * 1000))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(None, None, "no text") if s == "FAILED" else one(by_name[m], p if by_name[m].reads_path else t, h) for m, p, t, h, s in zip(f["model_name"], f["path"], f["input_text"], f["temperature"], f["status"])]
-            yield pd.DataFrame({"invoice_id": f["invoice_id"], "model_name": f["model_name"], "run_number": f["run_number"], "reply": [o[0] for o in out], "token_count": pd.array([o[1] for o in out], "Int32"), "error_message": [o[2] for o in out]})
-
-    got = work.mapInPandas(run, "invoice_id string, model_name string, run_number int, reply string, token_count int, error_message string")
+            out = [(None, None, "no text", 0) if s == "FAILED" else one(by_name[m], p if by_name[m].reads_path else t, h) for m, p, t, h, s in zip(f["model_name"], f["path"], f["input_text"], f["temperature"], f["status"])]
+            yield pd.DataFrame({"invoice_id": f["invoice_id"], "model_name": f["model_name"], "run_number": f["run_number"], "reply": [o[0] for o in out], "token_count": pd.array([o[1] for o in out], "Int32"), "error_message": [o[2] for o in out], "latency_ms": [o[3] for o in out]})
+
+    got = work.mapInPandas(run, "invoice_id string, model_name string, run_number int, reply string, token_count int, error_message string, latency_ms int")
+    seeing = [m.name for m in models if m.sees]
+    if seeing:
+        found = detections.entities_of(detections.detections(F.col("reply")))
+        seen = F.col("model_name").isin(seeing) & F.col("reply").isNotNull()
+        got = got.withColumns({"reply": F.when(seen, jsons.contract(*[found[c] for c in ("invoice_no", "dates", "amounts", "companies")])).otherwise(F.col("reply")), "token_count": F.when(~seen, F.col("token_count"))})
     return finished(got)
 
 
 def finished(replies: DataFrame) -> DataFrame:
     """Status and JSON from replies: fences off, JSON checked."""
-    clean = T.without_fence(F.col("reply"))
-    good = jsons.valid(clean) & clean.rlike(r"^\{")
+    replies = replies.withColumn("clean", T.without_fence(F.col("reply")))
+    replies = replies.withColumn("good", jsons.valid(F.col("clean")) & F.col("clean").rlike(r"^\{"))
+    clean, good = F.col("clean"), F.col("good")
     status = F.when(F.col("reply").isNull(), "FAILED").when(good, "COMPLETED").otherwise("PARSE_FAILED")
     error = F.when(F.col("reply").isNotNull() & ~F.coalesce(good, F.lit(False)), F.concat(F.lit("not JSON: "), T.truncated(F.col("reply")))).otherwise(F.col("error_message"))
-    return replies.select("invoice_id", "model_name", F.col("run_number").cast("int").alias("run_number"), F.when(good, clean).alias("extracted_json"), F.col("token_count").cast("int").alias("token_count"), status.alias("status"), error.alias("error_message"))
+    return replies.select("invoice_id", "model_name", F.col("run_number").cast("int").alias("run_number"), F.when(good, clean).alias("extracted_json"), F.col("latency_ms").cast("int").alias("latency_ms"), F.col("token_count").cast("int").alias("token_count"), status.alias("status"), error.alias("error_message"), F.localtimestamp().alias("created_at"))
 
 
-_TOKEN = re.compile(r"\d{1,3}(?:,\d{3})*\.\d{2}", re.ASCII)
-_DATE_WORD = re.compile(r"\b(?:date|dated)\b", re.I | re.ASCII)
-_ACCOUNT = re.compile(r"(?:routing|account\s*(?:number|no))[^\n\r]{0,20}$", re.I | re.ASCII)
-_QUANTITY = re.compile(r"\b(?:qty|quantity|pcs|units|ea)\b", re.I | re.ASCII)
+# Amounts as written, and the words beside them that rule them out.
+AMOUNT_TOKEN = r"\d{1,3}(?:,\d{3})*(?:\.\d{2})"
+DATE_WORD = r"(?i)\b(?:date|invoice\s*date|due\s*date|dated)\b"
+ACCOUNT_WORD = r"(?i)(?:routing|account\s*(?:number|no))[^\n\r]{0,20}$"
+QUANTITY_WORD = r"(?i)\b(?:qty|quantity|pcs|units|ea)\b"
+COMPANY_IN_TEXT = r"(?i)(?:client\s+)?(?:company|vendor|supplier|seller|from|bill\s*from|issued\s*by|bank\s*name|account\s*name)[:\s]+([A-Z][a-zA-Z0-9\s&.,'-]{2,60})"
+LARGEST_DATE, LARGEST_QUANTITY = 31.12, 12.0
+_TOKEN, _DATE, _ACCOUNT, _QUANTITY = (re.compile(p, re.ASCII) for p in (AMOUNT_TOKEN, DATE_WORD, ACCOUNT_WORD, QUANTITY_WORD))
 
 
 def standing_amounts(text: str, amounts: list[str]) -> list[str]:
     """Amounts of which some occurrence is no date, account number or quantity, or that don't occur literally."""
     places: dict[str, list[bool]] = {}
     for hit in _TOKEN.finditer(text):
-        value, (a, b) = float(hit[0].replace(",", "")), hit.span()
-        line = text[text.rfind("\n", 0, max(0, a)) + 1 : b + len(text[b:].split("\n", 1)[0])]
-        bad = (value <= 31.12 and _DATE_WORD.search(text[max(0, a - 80) : b + 80])) or _ACCOUNT.search(text[max(0, a - 30) : a]) or (value <= 12 and _QUANTITY.search(line))
-        places.setdefault(hit[0].replace(",", ""), []).append(not bad)
+        plain, (a, b) = hit[0].replace(",", ""), hit.span()
+        value, end = float(plain), text.find("\n", b)
+        line = text[text.rfind("\n", 0, a) + 1 : end if end >= 0 else len(text)] if value <= LARGEST_QUANTITY else ""
+        bad = (value <= LARGEST_DATE and _DATE.search(text[max(0, a - 80) : b + 80])) or _ACCOUNT.search(text[max(0, a - 30) : a]) or _QUANTITY.search(line)
+        places.setdefault(plain, []).append(not bad)
     return [x for x in amounts if any(places.get(x, [True]))]
 
 
@@ -106,9 +143,6 @@ def _standing(text: pd.Series, amounts: pd.Series) -> pd.Series:
     return pd.Series([standing_amounts(t or "", list(a)) if a is not None else [] for t, a in zip(text, amounts)])
 
 
-COMPANY_IN_TEXT = r"(?i)(?:client\s+)?(?:company|vendor|supplier|seller|from|bill\s*from|issued\s*by|bank\s*name|account\s*name)[:\s]+([A-Z][a-zA-Z0-9\s&.,'-]{2,60})"
-
-
 def pattern_entities(docs: DataFrame) -> DataFrame:
     """doc_id, text to doc_id, invoice_no, dates, amounts, companies, extracted_json, by patterns over free text; null texts count as empty."""
     text = F.coalesce("text", F.lit(""))

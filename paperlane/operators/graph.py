@@ -49,9 +49,14 @@ def truth_edges(truth: DataFrame) -> DataFrame:
     return last_seeds(truth).select("invoice_no", F.explode(fields).alias("x")).select("invoice_no", F.lit(TRUTH).alias("model"), F.lit(True).alias("is_ground_truth"), "x.field", F.explode("x.values").alias("value")).distinct()
 
 
-def reseeded(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges with those of the numbers in ``new`` replaced; other documents keep theirs."""
-    return edges.join(new.select("invoice_no").distinct(), "invoice_no", "left_anti").unionByName(new)
+def reseeded(edges: DataFrame, new: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """Edges with those of the numbers seeded (``numbers``, or those in ``new``) replaced; other documents keep theirs."""
+    return edges.join((new if numbers is None else numbers).select("invoice_no").distinct(), "invoice_no", "left_anti").unionByName(new)
+
+
+def merged(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges (or nodes) and those of ``new`` that aren't there yet; the stored ones are not made distinct again."""
+    return edges.unionByName(new.select(*edges.columns).distinct().join(edges, edges.columns, "left_anti"))
 
 
 def csv_edges(lines: DataFrame) -> DataFrame:

@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, Observation, functions as F
 KEYS = ["invoice_id", "model_name", "run_number"]
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of ``new`` in place of those with the same keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row a key, the one with the greatest ``order`` (of equal ones the greatest row)."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("x")).select(*keys, "x.*").select(*rows.columns)
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """old with the rows of ``new`` in place of those with the same keys; of rows of ``new`` that share keys the last by ``order`` (or by its columns)."""
+    new = latest(new, keys, order or next(c for c in new.columns if c not in keys))
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def invoices_after_reading(invoices: DataFrame, read: DataFrame) -> DataFrame:
@@ -30,21 +37,27 @@ def evaluated(invoices: DataFrame, results: DataFrame, asked: DataFrame) -> Data
     return rows.select("invoice_id", status.alias("evaluation_status"))
 
 
+SCORES = ["date_accuracy", "date_f1", "amount_accuracy", "amount_f1", "company_accuracy", "company_f1", "overall_entity_accuracy", "relation_completeness", "query_answerability"]
+RESULTS = "invoice_id string, model_name string, run_number long, " + ", ".join(f"{c} double" for c in SCORES) + ", graph_idempotent boolean, consistency_score double, created_at timestamp_ntz"
+EXPORT = ["invoice_id", "model_name", "run_number", *SCORES, "graph_idempotent", "consistency_score", "created_at"]
+
+
+def results_upserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The result table after scoring: rows without model or run are dropped, others replace those of their key."""
+    stamped = new.withColumn("created_at", F.localtimestamp()).select(*EXPORT).na.drop(subset=["model_name", "run_number"])
+    return upserted(old, stamped, KEYS, "created_at")
+
+
 def export_rows(results: DataFrame) -> DataFrame:
-    """Results with ``insert_id``, one row each."""
-    key = F.concat_ws("_", F.col("invoice_id"), F.col("model_name"), F.col("run_number").cast("string"))
-    rows = results.withColumn("insert_id", key)
-    if "created_at" in rows.columns:
-        rows = rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
-    return rows.dropDuplicates(["insert_id"])
-
-
-def exported(results: DataFrame, path: str) -> int:
-    """Appends rows that the export at ``path`` lacks; how many. Running it again adds none."""
-    spark, rows = results.sparkSession, export_rows(results)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        rows = rows.join(spark.read.parquet(path).select("insert_id"), "insert_id", "left_anti")
+    """Results in the 15 columns of the export, the time as ISO text or null, with ``insert_id``; of repeated ids the latest row."""
+    rows = results.select(*EXPORT).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = rows.withColumn("insert_id", F.concat_ws("_", F.col("invoice_id"), F.col("model_name"), F.col("run_number").cast("string")))
+    return latest(rows, ["insert_id"], "created_at")
+
+
+def exported(results: DataFrame, path: str, batch: str) -> int:
+    """Writes the rows as one batch of the export at ``path``; how many. The same batch again replaces itself, and no other is read."""
     watch = Observation("export")
-    rows.observe(watch, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    rows = export_rows(results).observe(watch, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return watch.get["n"]

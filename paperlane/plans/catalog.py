@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlane.functions import jsons as J, text as T
-from paperlane.operators import consensus, detections, evaluation, extraction, graph, tables
+from paperlane.operators import consensus, detections, evaluation, extraction, graph, tables, writing
 from paperlane.sources import derived, objects
 
 from . import oracle as O
@@ -85,17 +85,25 @@ def _fields() -> None:
             runs = derived.runs(spark, sf_dir).filter("extracted_json is not null")
             quoted = F.to_json(F.struct(F.col("extracted_json").alias("t")))
             text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)  # the value as a JSON string
-            return runs.select(*tables.KEYS, body(F.concat(*[text if p == "@" else F.lit(p) for p in kind.split("~")])).alias("value"))
+            run, model = F.col("run_number"), F.col("model_name")
+            inserts = {"@": text, "WHY": F.when(run == 2, "MAX_TOKENS").when(run == 3, "SAFETY").otherwise("STOP"), "HIDDEN": (model == "Delta").cast("string"), "N": (run * 10 + F.length("model_name")).cast("string"), "MORE": F.when(model == "Gamma", F.concat(F.lit('"candidatesTokenCount":'), run, F.lit(","))).otherwise("")}
+            return runs.select(*tables.KEYS, body(F.concat(*[inserts.get(p, F.lit(p)) for p in kind.split("~")])).alias("value"))
 
         return query
 
+    def first_runs_only(query):
+        """Cut-off streams (second runs) are left to hand-made tests; blocked ones (third runs) are null."""
+        return lambda spark, sf_dir: query(spark, sf_dir).withColumn("value", F.when(F.col("run_number") != 2, F.col("value")))
+
     def runs(value: str) -> str:
         return f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, {value} AS value FROM runs WHERE extracted_json IS NOT NULL"
 
-    part = '{"candidates":[{"finishReason":"STOP","content":{"parts":[{"text":"old"},{"thought":true,"text":"hm"},{"text":~@~},{"text":" "}]}}],"usageMetadata":{"totalTokenCount":7}}'
-    _put("json_last_part", replies(part, J.last_part), runs("extracted_json"))
-    _put("json_stream_merge", replies(f"[{part},{part}]", J.stream_text), runs("'old' || extracted_json || 'old' || extracted_json"))
-    _put("json_tokens", replies(f"[{part}]", J.stream_tokens), runs("7"))
+    part = '{"candidates":[{"finishReason":"~WHY~","content":{"parts":[{"text":"old"},{"thought":true,"text":"hm"},{"thought":~HIDDEN~,"text":~@~},{"text":" "}]}}],"usageMetadata":{~MORE~"totalTokenCount":~N~}}'
+    spoken = "CASE WHEN model_name = 'Delta' THEN '' ELSE extracted_json END"
+    _put("json_last_part", replies(part.replace('{"text":"old"},', ""), J.last_part), runs("CASE WHEN run_number <> 3 AND model_name <> 'Delta' THEN extracted_json END"))
+    opened = part.replace("~WHY~", "").replace("~@~", '"[1]"')
+    _put("json_stream_merge", first_runs_only(replies(f"[{opened},{part.replace('MAX_TOKENS', 'STOP')}]", J.stream_text)), runs(f"CASE WHEN run_number = 1 THEN 'old' || CASE WHEN model_name = 'Delta' THEN '' ELSE '[1]' END || 'old' || {spoken} END"))
+    _put("json_tokens", replies(f"[{part},{part}]", J.stream_tokens), runs("CASE WHEN model_name = 'Gamma' THEN run_number ELSE run_number * 10 + length(model_name) END"))
     chat = '{"choices":[{"message":{"content":~@~}}],"usage":{"total_tokens":9}}'
     _put("json_chat", replies(chat, J.chat_text), runs("extracted_json"))
     _put("json_sse", replies('data: {"choices":[{"delta":{"content":~@~}}]}\n\ndata: {"choices":[{"delta":{"content":"!"}}],"usage":{"total_tokens":5}}\ndata: [DONE]\n', lambda c: F.concat(J.sse_text(c), J.sse_tokens(c).cast("string"))), runs("extracted_json || '!5'"))
@@ -116,11 +124,11 @@ def _state() -> None:
     _put("flt_status", lambda s, d: inv(s, d).groupBy("ocr_status", "extraction_status", "evaluation_status").agg(F.count(F.lit(1)).alias("n")), w + "SELECT ocr_status, extraction_status, evaluation_status, COUNT(*) AS n FROM invoice GROUP BY ALL")
 
     def upsert(s, d):
-        known = inv(s, d).filter("k % 2 = 0")
-        read = inv(s, d).filter("k % 3 = 0").select("invoice_id", F.concat("path", F.lit(".new")).alias("path"), F.when(F.col("k") % 5 > 0, F.lit("new text")).alias("raw_text"))
+        known = inv(s, d).filter("extraction_status is not null")
+        read = inv(s, d).filter("extraction_status is null or evaluation_status is null").select("invoice_id", F.concat("path", F.lit(".new")).alias("path"), F.when(F.col("ocr_status") == "COMPLETED", F.lit("new text")).alias("raw_text"))
         return tables.invoices_after_reading(known, read)
 
-    _put("snk_invoice_upsert", upsert, w + """, o AS (SELECT * FROM invoice WHERE k % 2 = 0), r AS (SELECT invoice_id, path || '.new' AS path, CASE WHEN k % 5 > 0 THEN 'new text' END AS raw_text FROM invoice WHERE k % 3 = 0)
+    _put("snk_invoice_upsert", upsert, w + """, o AS (SELECT * FROM invoice WHERE extraction_status IS NOT NULL), r AS (SELECT invoice_id, path || '.new' AS path, CASE WHEN ocr_status = 'COMPLETED' THEN 'new text' END AS raw_text FROM invoice WHERE extraction_status IS NULL OR evaluation_status IS NULL)
 SELECT COALESCE(o.invoice_id, r.invoice_id) AS invoice_id, COALESCE(o.path, r.path) AS path, COALESCE(r.raw_text, o.raw_text) AS raw_text,
   CASE WHEN r.invoice_id IS NULL THEN o.ocr_status WHEN r.raw_text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS ocr_status FROM o FULL JOIN r ON o.invoice_id = r.invoice_id""")
 
@@ -142,9 +150,24 @@ FROM invoice CROSS JOIN (VALUES ('text model', false), ('image model', true)) m(
     _put("agg_failed_models", lambda s, d: extraction.failed_models(derived.runs(s, d).withColumn("status", F.when(F.col("extracted_json").contains("Inc."), "FAILED").otherwise(F.col("status")))), f"WITH {O.RUNS} SELECT invoice_id, model_name, COUNT(*) AS failed FROM runs WHERE status = 'FAILED' OR contains(extracted_json, 'Inc.') GROUP BY ALL HAVING COUNT(*) = 3")
 
 
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth after seeding, which fails for documents that lack a field."""
+    truth = _truth(spark, sf_dir).withColumn("seeded", F.lit(False))
+    return writing.seed_states(truth, truth.filter("fields_with_consensus <> 4"))
+
+
 def _votes() -> None:
     run = derived.runs
-    _put("agg_gt_candidates", lambda s, d: consensus.candidates(run(s, d), derived.invoices(s, d).filter("k % 7 = 0")).orderBy("invoice_id"), f"WITH {O.INVOICE}, {O.RUNS} SELECT invoice_id, COUNT(DISTINCT model_name) AS models FROM runs WHERE run_number = 1 AND upper(status) = 'COMPLETED' AND invoice_id NOT IN (SELECT invoice_id FROM invoice WHERE k % 7 = 0) GROUP BY 1 HAVING COUNT(DISTINCT model_name) >= 2")
+    _put("snk_seed_state", lambda s, d: _seeded(s, d).select("invoice_id", "consensus_invoice_no", "seeded"), f"WITH {O.CONSENSUS} SELECT invoice_id, consensus_invoice_no, fields_with_consensus = 4 AS seeded FROM consensus")
+
+    def states(s, d):
+        runs = run(s, d).withColumn("error_message", F.when(F.col("run_number") == 1, F.lit("slow")))
+        failed = runs.filter("status = 'COMPLETED' and model_name = 'Gamma' and run_number < 3").withColumn("graph_error", F.lit("down"))
+        return writing.graph_states(runs, failed).select(*tables.KEYS, "status", "error_message")
+
+    lost = "status = 'COMPLETED' AND model_name = 'Gamma' AND run_number < 3"
+    _put("snk_graph_status", states, f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, CASE WHEN {lost} THEN 'NEO4J_FAILED' ELSE status END AS status, nullif(concat_ws(' | ', CASE WHEN run_number = 1 THEN 'slow' END, CASE WHEN {lost} THEN 'down' END), '') AS error_message FROM runs")
+    _put("agg_gt_candidates", lambda s, d: consensus.candidates(run(s, d), derived.invoices(s, d).filter("evaluation_status = 'SKIPPED'")).orderBy("invoice_id"), f"WITH {O.INVOICE}, {O.RUNS} SELECT invoice_id, COUNT(DISTINCT model_name) AS models FROM runs WHERE run_number = 1 AND upper(status) = 'COMPLETED' AND invoice_id NOT IN (SELECT invoice_id FROM invoice WHERE evaluation_status = 'SKIPPED') GROUP BY 1 HAVING COUNT(DISTINCT model_name) >= 2")
     _put("win_first_run_per_model", lambda s, d: consensus.first_runs(run(s, d)).select("invoice_id", F.col("key").alias("model_key"), "model_name"), f"WITH {O.FIRSTS} SELECT invoice_id, mkey AS model_key, model_name FROM firsts")
     _put("agg_required_votes", lambda s, d: consensus.first_runs(run(s, d)).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("models")).withColumn("required", T.majority(F.col("models"))), f"WITH {O.FIRSTS} SELECT invoice_id, COUNT(*) AS models, COUNT(*) // 2 + 1 AS required FROM firsts GROUP BY 1")
     for name, field in (("invoice_no", "INVOICE_NO"), ("dates", "DATE"), ("amounts", "AMOUNT"), ("companies", "COMPANY")):
@@ -153,7 +176,7 @@ def _votes() -> None:
     _put("agg_gt_status", lambda s, d: consensus.status(_truth(s, d)), f"WITH {O.CONSENSUS} SELECT COUNT(*) AS total, COUNT(*) FILTER (fields_with_consensus = 4) AS \"full\", COUNT(*) FILTER (fields_with_consensus < 4) AS part, COALESCE(AVG(fields_with_consensus), 0.0) AS mean_fields FROM consensus")
     _put("prj_gt_key", lambda s, d: graph.truth_key(_truth(s, d)).select("invoice_id", "invoice_no"), f"WITH {O.TRUTH} SELECT invoice_id, invoice_no FROM keyed")
     _put("win_last_seed", lambda s, d: graph.last_seeds(_truth(s, d)).select("invoice_no", "invoice_id"), f"WITH {O.TRUTH} SELECT invoice_no, invoice_id FROM seeds")
-    _put("src_gt_pending_seed", lambda s, d: _truth(s, d).withColumn("seeded", F.col("fields_with_consensus") == 4).filter(~F.col("seeded")).select("invoice_id"), f"WITH {O.CONSENSUS} SELECT invoice_id FROM consensus WHERE fields_with_consensus <> 4")
+    _put("src_gt_pending_seed", lambda s, d: writing.pending_seeds(_seeded(s, d)).select("invoice_id"), f"WITH {O.CONSENSUS} SELECT invoice_id FROM consensus WHERE fields_with_consensus <> 4")
     _put("agg_consistency", lambda s, d: evaluation.consistency(run(s, d)), f"WITH {O.RUNS}, {O.CONSISTENCY} SELECT * FROM consistent")
 
 
@@ -178,7 +201,8 @@ def _graphs() -> None:
     _put("graph_idempotent", lambda s, d: graph.stable(graph.extracted_edges(run(s, d))), f"WITH {O.RUNS}, {O.EDGES} SELECT invoice_id AS invoice_no, model_name AS model, MIN(CASE WHEN {O.tr('value')} = '' OR EXISTS (SELECT 1 FROM edges f WHERE f.invoice_id = e.invoice_id AND f.model_name = e.model_name AND f.field = e.field AND f.value = {O.tr('e.value')}) THEN 1 ELSE 0 END) = 1 AS stable FROM edges e GROUP BY 1, 2")
     _put("eval_metrics", lambda s, d: evaluation.model_metrics(run(s, d), _truth(s, d)), f"WITH {O.METRICS} SELECT * FROM metrics")
     _put("eval_bundle", lambda s, d: evaluation.bundle(run(s, d), _truth(s, d)), f"WITH {O.BUNDLE} SELECT * FROM bundle")
-    _put("prj_export_rows", lambda s, d: tables.export_rows(evaluation.bundle(run(s, d), _truth(s, d))).select("insert_id", "overall_entity_accuracy"), f"WITH {O.BUNDLE} SELECT concat_ws('_', invoice_id, model_name, run_number) AS insert_id, overall_entity_accuracy FROM bundle")
+    _put("prj_export_rows", lambda s, d: tables.export_rows(evaluation.bundle(run(s, d), _truth(s, d)).withColumn("created_at", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))), f"WITH {O.BUNDLE} SELECT *, '2024-01-02T03:04:05' AS created_at, concat_ws('_', invoice_id, model_name, run_number) AS insert_id FROM bundle")
+    _put("graph_run_nodes", lambda s, d: graph.run_nodes(run(s, d)), f"WITH {O.RUNS} SELECT invoice_id AS invoice_no, model_name AS model, run_number AS run_no FROM runs WHERE status = 'COMPLETED' AND extracted_json IS NOT NULL")
 
 
 def _boxes() -> None:
@@ -196,13 +220,15 @@ def _boxes() -> None:
 
     _put("detection_entities", entities, f"""WITH {O.DETECTIONS}, sure AS (SELECT * FROM det WHERE confidence >= 0.65), h AS (SELECT * FROM sure WHERE text = 'Amount'),
 c AS (SELECT d.doc_id, first(d.text ORDER BY d.y_min, d.x_min, d.k) AS t, MIN((d.y_min, d.x_min, d.k)) AS place FROM sure d JOIN h USING (doc_id) WHERE d.x_min >= h.x_min - 0.02 AND d.x_max <= h.x_max + 0.02 + 0.05 AND d.y_min > h.y_min AND regexp_matches(d.text, '^\\d{{1,3}}\\.\\d{{2}}$') GROUP BY d.doc_id, d.text)
-SELECT b.doc_id, 'C' || b.doc_id AS invoice_no, '' AS dates, COALESCE((SELECT string_agg(t, '|' ORDER BY place) FROM c WHERE c.doc_id = b.doc_id), '') AS amounts, CASE WHEN b.doc_id % 6 = 0 THEN 'no box' ELSE '' END AS companies FROM body b""")
+SELECT b.doc_id, 'C' || b.doc_id AS invoice_no, concat_ws('|', CASE WHEN doc_id % 4 <> 0 THEN '2024-0' || (1 + doc_id % 8) || '-0' || (1 + doc_id % 9) END, CASE WHEN doc_id % 5 = 0 THEN '2024-03-15' END) AS dates,
+  concat_ws('|', (100 + doc_id % 900) || '.75', CASE WHEN doc_id % 7 <> 0 THEN '4.00' END, (SELECT string_agg(t, '|' ORDER BY place) FROM c WHERE c.doc_id = b.doc_id)) AS amounts,
+  concat_ws('|', CASE WHEN doc_id % 6 = 0 THEN 'no box' END, CASE WHEN doc_id % 3 = 0 THEN 'Acme ' || (doc_id % 97) END) AS companies FROM body b""")
 
-    def documents(s, d):
-        out = extraction.pattern_entities(s.read.parquet(f"{d}/documents.parquet"))
-        return out.select("doc_id", "invoice_no", *[F.array_join(c, "|").alias(c) for c in ("dates", "amounts", "companies")])
+    def letters(s, d):
+        out = extraction.pattern_entities(derived.letters(s, d).select(F.col("k").alias("doc_id"), "text"))
+        return out.select("doc_id", "invoice_no", *[F.array_join(F.array_sort(c), "|").alias(c) for c in ("dates", "amounts", "companies")])
 
-    _put("pattern_entities", documents)
+    _put("pattern_entities", letters, O.PATTERN_ENTITIES)
     _put("set_amount_union", lambda s, d: derived.invoices(s, d).select("k", F.array_join(F.array_sort(F.array_union(T.amounts_labelled(F.col("raw_text")), T.amounts_in_table(F.col("raw_text")))), "|").alias("amounts")), "WITH " + O.INVOICE + f", e AS (SELECT k, unnest(regexp_extract_all(raw_text, '{T.AMOUNT_LABELLED}', 1) || regexp_extract_all(raw_text, '{T.AMOUNT_IN_TABLE}', 1)) AS v FROM invoice) SELECT i.k, CASE WHEN raw_text IS NOT NULL THEN COALESCE((SELECT string_agg(DISTINCT {O.amount('v')}, '|' ORDER BY {O.amount('v')}) FROM e WHERE e.k = i.k), '') END AS amounts FROM invoice i")
     _put("set_except_dates", lambda s, d: derived.samples(s, d).select("k", F.array_join(F.array_except(F.array_compact(F.array("date_text", "amount_text", "name_text")), F.coalesce(T.dates_in(F.col("date_text")), F.array().cast("array<string>"))), "|").alias("rest")), "WITH " + O.SAMPLES + f" SELECT k, concat_ws('|', CASE WHEN NOT list_contains(list_transform(regexp_extract_all(COALESCE(date_text, ''), '{T.DATE_IN_TEXT}'), lambda v: {O.date_observed('v')}), date_text) THEN date_text END, amount_text, name_text) AS rest FROM s")
 

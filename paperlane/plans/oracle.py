@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from paperlane.functions import text as T
+from paperlane.operators import extraction
 from paperlane.sources import derived
 
 BLANKS = r"^[\x00-\x20]+|[\x00-\x20]+$"
@@ -154,3 +156,30 @@ metrics AS (SELECT *, (date_accuracy + amount_accuracy + company_accuracy) / 3.0
 BUNDLE = f"""{METRICS}, each_run AS (SELECT invoice_id, model_name, run_number, MIN(run_number) OVER (PARTITION BY invoice_id, model_name) AS first_run FROM runs WHERE status = 'COMPLETED' AND extracted_json IS NOT NULL),
 bundle AS (SELECT r.invoice_id, r.model_name, r.run_number::BIGINT AS run_number, date_accuracy, date_f1, amount_accuracy, amount_f1, company_accuracy, company_f1, overall_entity_accuracy, relation_completeness, query_answerability,
   stable OR run_number > first_run AS graph_idempotent, COALESCE(consistency, 0.0) AS consistency_score FROM each_run r JOIN metrics USING (invoice_id, model_name) LEFT JOIN consistent USING (invoice_id, model_name))"""
+
+
+def _joined(values: str) -> str:
+    return f"COALESCE(array_to_string(list_sort(list_distinct({values})), '|'), '')"
+
+
+_HIT = rf"regexp_extract(text, '{T.INVOICE_LABEL}[A-Z0-9\-]+')"
+_FOUND = f"list_transform(regexp_extract_all(text, '{T.DATE_IN_TEXT}'), lambda v: {date_observed('v')})"
+_RAW = f"list_filter(list_transform(regexp_extract_all(text, '{T.AMOUNT_LABELLED}', 1) || regexp_extract_all(text, '{T.AMOUNT_IN_TABLE}', 1), lambda v: {amount('v')}), lambda v: v IS NOT NULL)"
+_NAMED = f"list_filter(list_transform(regexp_extract_all(text, '{extraction.COMPANY_IN_TEXT.replace(chr(39), chr(39) * 2)}', 1), lambda v: {tr('v')}), lambda v: length(v) BETWEEN 3 AND 80 AND NOT regexp_matches(v, '{T.ADDRESS_LIKE}'))"
+#: Places of amounts come from the lengths of all pieces before them; each occurrence is judged by the text around it.
+PATTERN_ENTITIES = rf"""WITH l AS ({derived.LETTERS}),
+p AS (SELECT k, text, regexp_extract_all(text, '{extraction.AMOUNT_TOKEN}') AS hs, string_split_regex(text, '{extraction.AMOUNT_TOKEN}') AS gs FROM l),
+i AS (SELECT *, unnest(range(1, len(hs) + 1)) AS n FROM p),
+h AS (SELECT k, text, hs[n] AS raw, list_sum(list_transform(gs[1:n], lambda g: length(g))) + COALESCE(list_sum(list_transform(hs[1:n - 1], lambda g: length(g))), 0) AS a FROM i),
+o AS (SELECT k, replace(raw, ',', '') AS v, CAST(replace(raw, ',', '') AS DOUBLE) AS x, a, a + length(raw) AS b, text FROM h),
+c AS (SELECT k, v, (x <= 31.12 AND regexp_matches(substr(text, CAST(greatest(a - 80, 0) + 1 AS BIGINT), CAST(b + 80 - greatest(a - 80, 0) AS BIGINT)), '{extraction.DATE_WORD}'))
+    OR regexp_matches(substr(text, CAST(greatest(a - 30, 0) + 1 AS BIGINT), CAST(a - greatest(a - 30, 0) AS BIGINT)), '{extraction.ACCOUNT_WORD}')
+    OR (x <= 12 AND regexp_matches(regexp_extract(substr(text, 1, CAST(b AS BIGINT)), '[^
+]*$') || regexp_extract(substr(text, CAST(b + 1 AS BIGINT)), '^[^
+]*'), '{extraction.QUANTITY_WORD}')) AS bad FROM o),
+s AS (SELECT k, v FROM c GROUP BY ALL HAVING bool_and(bad)),
+e AS (SELECT k, text, {_FOUND} AS dates, unnest({_RAW} || [NULL]) AS v FROM l)
+SELECT l.k AS doc_id, CASE WHEN {_HIT} <> '' THEN {tr(f"regexp_replace({_HIT}, '{T.INVOICE_LABEL}', '')")} END AS invoice_no, {_joined(_FOUND)} AS dates,
+  COALESCE((SELECT string_agg(DISTINCT e.v, '|' ORDER BY e.v) FROM e WHERE e.k = l.k AND NOT list_contains(e.dates, e.v) AND NOT EXISTS (SELECT 1 FROM s WHERE s.k = e.k AND s.v = e.v)), '') AS amounts,
+  {_joined(f"list_transform({_NAMED}, lambda v: {company('v')})")} AS companies
+FROM l"""

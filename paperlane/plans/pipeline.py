@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from paperlane.functions import jsons
 from paperlane.functions.text import text_normalised
-from paperlane.operators import consensus, evaluation, extraction, tables
+from paperlane.operators import consensus, evaluation, extraction, graph, tables, writing
 from paperlane.sources import objects
 
 TABLES = {
-    "invoice": "invoice_id string, path string, raw_text string, normalized_text string, ocr_status string, extraction_status string, evaluation_status string",
+    "invoice": "invoice_id string, path string, raw_text string, normalized_text string, ocr_status string, extraction_status string, evaluation_status string, created_at timestamp_ntz, updated_at timestamp_ntz",
     "extraction_run": extraction.RESULT,
-    "ground_truth_consensus": "invoice_id string, consensus_invoice_no string, consensus_dates string, consensus_amounts string, consensus_companies string, models_agreed long, fields_with_consensus long",
+    "extraction_stage": extraction.RESULT,
+    "run_node": "invoice_no string, model string, run_no int",
+    "value_edge": "invoice_no string, model string, is_ground_truth boolean, field string, value string",
+    "ground_truth_consensus": "invoice_id string, consensus_invoice_no string, consensus_dates string, consensus_amounts string, consensus_companies string, models_agreed long, fields_with_consensus long, seeded boolean, created_at timestamp_ntz",
+    "evaluation_stage": tables.RESULTS,
+    "evaluation_result": tables.RESULTS,
+    "seed_failure": "invoice_id string",
+    "dead_letter": "invoice_id string, model_name string, run_number int, reason string",
 }
+#: Unreadable rows that the consensus step passes over before it fails.
+SKIP_LIMIT = 50
 
 
 @dataclass
@@ -35,51 +45,112 @@ class Store:
         found = self._versions(name)
         return self.spark.read.parquet(f"{self.root}/{name}/v{found[-1]}") if found else self.spark.createDataFrame([], TABLES[name])
 
-    def write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{(self._versions(name) or [0])[-1] + 1}")
+    def version(self, name: str) -> int:
+        return (self._versions(name) or [0])[-1]
 
+    def write(self, name: str, df: DataFrame) -> int:
+        """Writes the next version, counts its rows on the way, and removes versions before the last one."""
+        watch, now = Observation(name), self.version(name)
+        df.observe(watch, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.root}/{name}/v{now + 1}")
+        for old in self._versions(name)[:-2]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v{old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return watch.get["n"]
 
-def read_documents(store: Store, folder: str, read: Callable[[bytes], str]) -> None:
+
+def read_documents(store: Store, folder: str, read: Callable[[bytes], str]) -> dict[str, int]:
     """Step 1: text of documents not read yet."""
     known = store.read("invoice")
     new = objects.pending(objects.listed(store.spark, folder), known.filter("ocr_status = 'COMPLETED'"))
     got = objects.recognised(objects.contents(store.spark, folder, new), read)
-    after = tables.invoices_after_reading(known, got).join(known.select("invoice_id", "extraction_status", "evaluation_status"), "invoice_id", "left")
-    store.write("invoice", after.withColumn("normalized_text", text_normalised(F.col("raw_text"))).select(*known.columns))
+    after = tables.invoices_after_reading(known, got).join(known.select("invoice_id", "extraction_status", "evaluation_status", "created_at", F.col("updated_at").alias("was")), "invoice_id", "left")
+    after = after.withColumns({"normalized_text": text_normalised(F.col("raw_text")), "created_at": F.coalesce("created_at", F.localtimestamp()), "updated_at": F.coalesce("was", F.localtimestamp())})
+    return {"written": store.write("invoice", after.select(*known.columns))}
+
 
+def extract(store: Store, models: list[extraction.Model], write: writing.Write | None = None, wait: float = 2.0) -> dict[str, int]:
+    """Step 2: all models and runs over documents that wait for it.
 
-def extract(store: Store, models: list[extraction.Model]) -> None:
-    """Step 2: all models and runs over documents that wait for it."""
+    Replies are staged once, with what the graph's writer said of each; edges and nodes of those that
+    worked are stored, then the runs with their states, then the documents' status. It may run again after any failure.
+    """
     known = store.read("invoice")
     work = objects.awaiting_extraction(known)
     kinds = store.spark.createDataFrame([(m.name, m.order, m.reads_path) for m in models], "name string, ord int, reads_path boolean")
-    runs = extraction.extracted(extraction.fan_out(work, kinds), models)
-    store.write("extraction_run", tables.upserted(store.read("extraction_run"), runs, tables.KEYS))
-    status = F.when((F.col("ocr_status") == "COMPLETED"), F.coalesce("extraction_status", F.lit("COMPLETED")))
-    store.write("invoice", known.withColumn("extraction_status", status))
-
-
-def agree(store: Store) -> None:
-    """Step 3: ground truth of documents that have none."""
+    n = store.write("extraction_stage", extraction.extracted(extraction.fan_out(work, kinds), models, wait=wait))
+    staged = store.read("extraction_stage")
+    fit = staged.filter("status = 'COMPLETED' and extracted_json is not null")
+    if write is not None:
+        said = writing.errors(fit, write, wait=wait).select(*tables.KEYS, "graph_error")
+        store.write("extraction_stage", writing.graph_states(staged, said))
+        staged = store.read("extraction_stage")
+    store.write("run_node", graph.merged(store.read("run_node"), graph.run_nodes(staged)))
+    store.write("value_edge", graph.merged(store.read("value_edge"), graph.extracted_edges(staged)))
+    store.write("extraction_run", tables.upserted(store.read("extraction_run"), staged, tables.KEYS, "created_at"))
+    status = F.when(F.col("ocr_status") == "COMPLETED", F.coalesce("extraction_status", F.lit("COMPLETED")))
+    store.write("invoice", known.withColumns({"extraction_status": status, "updated_at": F.localtimestamp()}))
+    return {"written": n, "failed": staged.filter("status <> 'COMPLETED'").count()}
+
+
+def agree(store: Store, skip_limit: int = SKIP_LIMIT) -> dict[str, int]:
+    """Step 3: ground truth of documents that have none. Completed runs that can't be read are dead letters; too many fail the step."""
     runs, known = store.read("extraction_run"), store.read("ground_truth_consensus")
-    new = consensus.consensus(runs.join(consensus.candidates(runs, known).select("invoice_id"), "invoice_id", "left_semi"))
-    store.write("ground_truth_consensus", known.unionByName(new))
-
-
-def evaluate(store: Store, out: str) -> int:
-    """Steps 4 and 5: scores of documents that wait for them, exported once; how many rows were new."""
+    work = runs.join(consensus.candidates(runs, known).select("invoice_id"), "invoice_id", "left_semi")
+    skipped = store.write("dead_letter", writing.unreadable(work, jsons.valid))
+    if skipped > skip_limit:
+        raise writing.SkipLimit(f"{skipped} runs can't be read, {skip_limit} may be skipped")
+    new = consensus.consensus(work).withColumns({"seeded": F.lit(False), "created_at": F.localtimestamp()})
+    return {"written": store.write("ground_truth_consensus", known.unionByName(new)) - known.count(), "skipped": skipped}
+
+
+def seed(store: Store, write: writing.Write | None = None, wait: float = 2.0) -> dict[str, int]:
+    """Step 3b: pending ground truth goes to the graph; what the writer fails for stays pending."""
+    truth, edges = store.read("ground_truth_consensus"), store.read("value_edge")
+    said = writing.errors(writing.pending_seeds(truth), write, wait=wait)
+    failed = said.filter("graph_error is not null").select("invoice_id")
+    if write is not None:  # written once: the writer must not be called again
+        store.write("seed_failure", failed)
+        failed = store.read("seed_failure")
+    done = writing.pending_seeds(truth).join(failed, "invoice_id", "left_anti")
+    own = F.col("is_ground_truth") & (F.col("model") == graph.TRUTH)
+    now = graph.reseeded(edges.filter(own), graph.truth_edges(done), graph.truth_key(done)).unionByName(edges.filter(~own))
+    store.write("value_edge", now)
+    store.write("ground_truth_consensus", writing.seed_states(truth, failed))
+    return {"failed": failed.count()}
+
+
+def seed_lines(store: Store, path: str) -> dict[str, int]:
+    """Ground truth from lines of text, under a label of its own; lines seeded before add nothing."""
+    edges = graph.csv_edges(objects.truth_lines(store.spark.read.text(path)))
+    return {"written": store.write("value_edge", graph.merged(store.read("value_edge"), edges))}
+
+
+def evaluate(store: Store) -> dict[str, int]:
+    """Step 4: scores of documents that wait for them, staged, then in the result table, then the documents' status."""
     known = store.read("invoice")
     asked = objects.awaiting_evaluation(known)
     runs = store.read("extraction_run").join(asked, "invoice_id", "left_semi")
-    results = evaluation.bundle(runs, store.read("ground_truth_consensus"))
-    n = tables.exported(results, out)
-    after = tables.evaluated(known, store.spark.read.parquet(out), asked)
+    results = evaluation.bundle(runs, store.read("ground_truth_consensus")).withColumn("created_at", F.localtimestamp())
+    n = store.write("evaluation_stage", results.select(*tables.EXPORT))
+    staged = store.read("evaluation_stage")
+    store.write("evaluation_result", tables.results_upserted(store.read("evaluation_result"), staged.drop("created_at")))
+    after = tables.evaluated(known, staged, asked)
     store.write("invoice", known.drop("evaluation_status").join(after, "invoice_id").select(*known.columns))
-    return n
+    return {"written": n}
+
+
+def export(store: Store, out: str) -> dict[str, int]:
+    """Step 5: the rows scored last, as one batch of the export; run again it replaces that batch."""
+    return {"written": tables.exported(store.read("evaluation_stage"), out, f"v{store.version('evaluation_stage')}")}
 
 
-def run_full(store: Store, folder: str, read: Callable[[bytes], str], models: list[extraction.Model], out: str) -> int:
-    read_documents(store, folder, read)
-    extract(store, models)
-    agree(store)
-    return evaluate(store, out)
+def run_full(store: Store, folder: str, read: Callable[[bytes], str], models: list[extraction.Model], out: str, write: writing.Write | None = None, wait: float = 2.0) -> dict[str, dict[str, int]]:
+    """All steps; what each of them counted."""
+    return {
+        "read": read_documents(store, folder, read),
+        "extract": extract(store, models, write, wait),
+        "agree": agree(store),
+        "seed": seed(store, write, wait),
+        "evaluate": evaluate(store),
+        "export": export(store, out),
+    }

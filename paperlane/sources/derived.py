@@ -44,7 +44,12 @@ SELECT c_custkey AS doc_id, '{"data":[{"index":0,"text_detections":[' ||
   '{"text_prediction":{"text":"Amount","confidence":0.95},"bounding_box":{"points":[{"x":0.7,"y":0.2},{"x":0.8,"y":0.2},{"x":0.8,"y":0.23}]}},' ||
   '{"text_prediction":{"text":"' || CAST(c_custkey % 999 AS STRING) || '.50","confidence":0.' || CAST(6 + c_custkey % 4 AS STRING) || '1},"bounding_box":{"points":[{"x":0.71,"y":0.' || CAST(3 + c_custkey % 3 AS STRING) || '},{"x":0.79,"y":0.4},{"x":0.79,"y":0.45}]}},' ||
   '{"text_prediction":{"text":"12.25","confidence":0.9},"bounding_box":{"points":[{"x":0.7' || CAST(c_custkey % 5 AS STRING) || ',"y":0.' || CAST(1 + c_custkey % 5 AS STRING) || '},{"x":0.8,"y":0.4},{"x":0.8' || CAST(c_custkey % 9 AS STRING) || ',"y":0.45}]}},' ||
-  '{"text_prediction":{"text":" ","confidence":0.9}}' || CASE WHEN c_custkey % 6 = 0 THEN ',{"text_prediction":{"text":"Vendor: no box","confidence":0.8}}' ELSE '' END || ']}]}' AS body
+  '{"text_prediction":{"text":" ","confidence":0.9}}' || CASE WHEN c_custkey % 6 = 0 THEN ',{"text_prediction":{"text":"Vendor: no box","confidence":0.8}}' ELSE '' END ||
+  ',{"text_prediction":{"text":"Invoice Date: 0' || CAST(1 + c_custkey % 9 AS STRING) || '.0' || CAST(1 + c_custkey % 8 AS STRING) || '.2024","confidence":' || CASE WHEN c_custkey % 4 = 0 THEN '0.68' ELSE '0.9' END || '},"bounding_box":{"points":[{"x":0.1,"y":0.8},{"x":0.4,"y":0.8},{"x":0.4,"y":0.83}]}}' ||
+  CASE WHEN c_custkey % 5 = 0 THEN ',{"text_prediction":{"text":"2024-03-15","confidence":0.9},"bounding_box":{"points":[{"x":0.1,"y":0.85},{"x":0.4,"y":0.85},{"x":0.4,"y":0.87}]}}' ELSE '' END ||
+  ',{"text_prediction":{"text":"Total: $' || CAST(100 + c_custkey % 900 AS STRING) || '.75","confidence":0.9},"bounding_box":{"points":[{"x":0.1,"y":0.9},{"x":0.4,"y":0.9},{"x":0.4,"y":0.92}]}}' ||
+  ',{"text_prediction":{"text":"Subtotal: 4.00' || CASE WHEN c_custkey % 7 = 0 THEN ' pcs' ELSE '' END || '","confidence":0.9},"bounding_box":{"points":[{"x":0.1,"y":0.93},{"x":0.4,"y":0.93},{"x":0.4,"y":0.94}]}}' ||
+  CASE WHEN c_custkey % 3 = 0 THEN ',{"text_prediction":{"text":"Vendor:  Acme ' || CAST(c_custkey % 97 AS STRING) || '","confidence":0.9},"bounding_box":{"points":[{"x":0.1,"y":0.95},{"x":0.4,"y":0.95},{"x":0.4,"y":0.97}]}}' ELSE '' END || ']}]}' AS body
 FROM customer"""
 
 
@@ -60,6 +65,18 @@ SELECT o_orderkey AS k,
 FROM orders"""
 
 
+LETTERS = f"""
+SELECT o_orderkey AS k, 'Invoice No: A-' || {_K} || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN 'Date: ' || {_DOT} || repeat(' and more of this', 6) ELSE 'Sent ' || {_ISO} END || chr(10) ||
+  CASE o_orderkey % 10 WHEN 0 THEN 'InvoiceDate total 12.25' WHEN 1 THEN 'duedate: tax 30.25' WHEN 2 THEN 'Total 7.25 pcs' WHEN 3 THEN 'total of account number 4,500.00' WHEN 4 THEN 'balance due, routing 31.00' WHEN 5 THEN 'Total: 31.12'
+    WHEN 6 THEN 'tax 8.00' || chr(10) || 'ea' WHEN 7 THEN 'qty of tax 8.00' || chr(10) || 'total 8.00' WHEN 8 THEN 'dated update subtotal 40.00 and total 0.00' ELSE 'Total 11.99 then quantity 3' END
+  || chr(10) || repeat('no words that matter here ', 5) || chr(10) || 'Grand total: $' || {_THOUSANDS} || chr(10) || 'item' || chr(9) || 'two   9,123.40' || chr(10) || 'Vendor: ' || {_COMPANY} || chr(10) || 'Seller: ' || CASE WHEN o_orderkey % 2 = 0 THEN '12 Long Road' ELSE 'B' END || chr(10) AS text
+FROM orders"""
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, LETTERS, "orders", sf_dir)
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, INVOICE, "orders", sf_dir)
 

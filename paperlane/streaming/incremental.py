@@ -16,5 +16,5 @@ def landed(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 1
 
 
 def scored_stream(runs: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
-    """Scores each micro-batch and appends results not exported yet, so a batch that runs again adds nothing."""
-    return runs.writeStream.foreachBatch(lambda batch, _: exported(score(batch), out)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """Scores each micro-batch and writes it as a batch of the export named by its number: one that runs again replaces itself."""
+    return runs.writeStream.foreachBatch(lambda batch, k: exported(score(batch), out, f"stream-{k}")).option("checkpointLocation", checkpoint).trigger(availableNow=True)

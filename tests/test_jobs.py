@@ -1,9 +1,14 @@
 """The jobs end to end on files, and the stream."""
 
 import json
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
 
 from paperlane.operators import evaluation
-from paperlane.operators.extraction import Model
+from paperlane.operators.extraction import Model, Refused
+from paperlane.operators.writing import SkipLimit, Transient
 from paperlane.plans import pipeline
 from paperlane.sources import derived, objects
 from paperlane.streaming import incremental
@@ -18,9 +23,26 @@ def test_listing_and_lines(spark, tmp_path):
     assert [tuple(r) for r in objects.truth_lines(lines).collect()] == [("i", "d", '"x"', "y")]
 
 
+def seen(*texts):
+    """A text detection response."""
+    return json.dumps({"data": [{"text_detections": [{"text_prediction": {"text": t, "confidence": 0.9}, "bounding_box": {"points": [{"x": 0.1, "y": 0.1 * k}] * 4}} for k, t in enumerate(texts)]}]})
+
+
+def fails_for(folder, which):
+    """A graph writer that fails for some rows, and notes every call as a file."""
+
+    def write(row):
+        (folder / uuid.uuid4().hex).touch()
+        if which(row):
+            raise Transient("store is down")
+
+    return write
+
+
 def test_full_run(spark, tmp_path):
-    folder = tmp_path / "invoices"
+    folder, calls = tmp_path / "invoices", tmp_path / "calls"
     folder.mkdir()
+    calls.mkdir()
     for k in range(6):
         (folder / f"inv{k}.png").write_bytes(b"?" if k == 5 else f"Invoice No: N{k}".encode())
 
@@ -34,18 +56,65 @@ def test_full_run(spark, tmp_path):
         return "```json\n" + json.dumps({"INVOICE_NO": f"N{n}", "DATE": ["12.03.2024"], "AMOUNT": ["5.00"], "COMPANY": ["acme"]}) + "\n```", 3
 
     def refusing(prompt, heat):
-        raise PermissionError("refused")
+        raise Refused("refused")
 
-    models = [Model("one", 1, good), Model("two", 2, good), Model("three", 3, lambda p, h: ("no json", 1)), Model("four", 4, refusing, reads_path=True)]
+    def looks(path, heat):
+        n = path.split("inv")[-1].split(".")[0]
+        return seen(f"Invoice Number: N{n}", "Date: 12.03.2024", "Total: 5.00", "Vendor: Acme"), 9
+
+    models = [Model("one", 1, good), Model("two", 2, good), Model("three", 3, lambda p, h: ("no json", 1)), Model("four", 4, refusing, reads_path=True), Model("eyes", 5, looks, reads_path=True, sees=True)]
     store = pipeline.Store(spark, str(tmp_path / "tables"))
-    assert pipeline.run_full(store, str(folder), read, models, str(tmp_path / "out")) == 30
+    broken = fails_for(calls, lambda row: row.get("model_name") == "two" and row.get("run_number") == 2 and row["invoice_id"] == "inv1")
+    done = pipeline.run_full(store, str(folder), read, models, str(tmp_path / "out"), broken, wait=0)
+    assert done["extract"] == {"written": 75, "failed": 31} and done["agree"] == {"written": 5, "skipped": 0} and done["seed"] == {"failed": 0} and done["export"] == done["evaluate"] == {"written": 44}
+    assert len(list(calls.iterdir())) == 45 + 2 + 5  # each completed run once, the failing one three times; each seed once
     status = {r.invoice_id: (r.ocr_status, r.extraction_status, r.evaluation_status) for r in store.read("invoice").collect()}
     assert status["inv0"] == ("COMPLETED", "COMPLETED", "COMPLETED") and status["inv5"] == ("FAILED", None, None)
-    runs = {(r.model_name, r.status) for r in store.read("extraction_run").collect()}
-    assert runs == {("one", "COMPLETED"), ("two", "COMPLETED"), ("three", "PARSE_FAILED"), ("four", "FAILED")}
+    runs = {(r.invoice_id, r.model_name, r.run_number): r for r in store.read("extraction_run").collect()}
+    assert {(m, r.status) for (_, m, _), r in runs.items()} == {("one", "COMPLETED"), ("two", "COMPLETED"), ("two", "NEO4J_FAILED"), ("three", "PARSE_FAILED"), ("four", "FAILED"), ("eyes", "COMPLETED")}
+    assert runs["inv1", "two", 2].status == "NEO4J_FAILED" and runs["inv1", "two", 2].error_message == "store is down" and runs["inv1", "two", 1].latency_ms >= 0
+    assert json.loads(runs["inv3", "eyes", 1].extracted_json) == {"INVOICE_NO": "N3", "DATE": ["2024-03-12"], "AMOUNT": ["5.00"], "COMPANY": ["Acme"]} and runs["inv3", "eyes", 1].token_count is None
+    nodes = {tuple(r) for r in store.read("run_node").collect()}
+    assert ("inv1", "two", 2) not in nodes and ("inv1", "two", 1) in nodes and len(nodes) == 44
+    edges = {(r.invoice_no, r.model, r.field, r.value) for r in store.read("value_edge").collect()}
+    assert ("inv1", "two", "DATE", "12.03.2024") in edges and ("N1", "ground_truth", "DATE", "2024-03-12") in edges
+    assert all(r.seeded and r.created_at for r in store.read("ground_truth_consensus").collect())
     out = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(out) == 30 and all(r.consistency_score == 1.0 for r in out) and {r.company_accuracy for r in out} == {0.0}  # raw against normalised
-    assert pipeline.run_full(store, str(folder), read, models, str(tmp_path / "out")) == 0
+    assert len(out) == 44 and {(r.model_name, r.company_accuracy) for r in out} == {("one", 0.0), ("two", 0.0), ("eyes", 1.0)}  # raw against normalised
+    again = pipeline.run_full(store, str(folder), read, models, str(tmp_path / "out"), broken, wait=0)
+    assert again["extract"]["written"] == again["agree"]["written"] == again["export"]["written"] == 0 and len(list(calls.iterdir())) == 52
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 44 and store.read("value_edge").count() == len(edges) and len(list((tmp_path / "tables" / "invoice").glob("v*"))) == 2
+
+
+def test_seeds_that_fail_stay_pending(spark, tmp_path):
+    store = pipeline.Store(spark, str(tmp_path / "tables"))
+    store.write("ground_truth_consensus", spark.createDataFrame([(f"d{k}", f"N{k}", "1.2.2023", "4.00", "Blau", 3, 4, False, None) for k in range(4)], pipeline.TABLES["ground_truth_consensus"]))
+    store.write("value_edge", spark.createDataFrame([("N0", "ground_truth", True, "DATE", "old"), ("N1", "ground_truth", True, "DATE", "old"), ("N0", "one", False, "DATE", "read")], pipeline.TABLES["value_edge"]))
+    for k in range(2):
+        (tmp_path / f"calls{k}").mkdir()
+    assert pipeline.seed(store, fails_for(tmp_path / "calls0", lambda row: row["invoice_id"] in ("d1", "d2")), wait=0) == {"failed": 2}
+    assert {r.invoice_id: r.seeded for r in store.read("ground_truth_consensus").collect()} == {"d0": True, "d1": False, "d2": False, "d3": True}
+    dates = lambda: {(r.invoice_no, r.model, r.value) for r in store.read("value_edge").filter("field = 'DATE'").collect()}
+    assert dates() == {("N0", "ground_truth", "2023-02-01"), ("N1", "ground_truth", "old"), ("N0", "one", "read"), ("N3", "ground_truth", "2023-02-01")}
+    assert pipeline.seed(store, fails_for(tmp_path / "calls1", lambda row: False), wait=0) == {"failed": 0} and len(list((tmp_path / "calls1").iterdir())) == 2
+    assert all(r.seeded for r in store.read("ground_truth_consensus").collect()) and ("N1", "ground_truth", "2023-02-01") in dates()
+
+
+def test_lines_are_seeded_once(spark, tmp_path):
+    store = pipeline.Store(spark, str(tmp_path / "tables"))
+    (tmp_path / "truth.csv").write_text("invoice_id,date,amount,company\nq1, 1.1.2020 ,5,Blau\nq2,,7,\n")
+    assert pipeline.seed_lines(store, str(tmp_path / "truth.csv"))["written"] == 4 and pipeline.seed_lines(store, str(tmp_path / "truth.csv"))["written"] == 4
+    assert {(r.model, r.is_ground_truth) for r in store.read("value_edge").collect()} == {("GROUND_TRUTH", True)}
+
+
+def test_too_many_unreadable_runs_fail_the_step(spark, tmp_path):
+    store = pipeline.Store(spark, str(tmp_path / "tables"))
+    run = lambda i, m, j: (i, m, 1, j, 0, 1, "COMPLETED", None, None)
+    store.write("extraction_run", spark.createDataFrame([run("a", "one", "{}{"), run("a", "two", '{"INVOICE_NO":"x"}'), run("a", "three", '{"INVOICE_NO":"x"}')], pipeline.TABLES["extraction_run"]))
+    with pytest.raises(SkipLimit):
+        pipeline.agree(store, skip_limit=0)
+    assert store.read("ground_truth_consensus").count() == 0 and [r.model_name for r in store.read("dead_letter").collect()] == ["one"]
+    assert pipeline.agree(store) == {"written": 1, "skipped": 1}
 
 
 def test_stream_exports_once(spark, sf_dir, tmp_path):
@@ -53,8 +122,9 @@ def test_stream_exports_once(spark, sf_dir, tmp_path):
     landing = str(tmp_path / "landing")
     runs.write.parquet(landing)
     truth = pipeline.consensus.consensus(runs)
+    score = lambda batch: evaluation.bundle(batch, truth).withColumn("created_at", F.localtimestamp())
     for _ in range(2):
         stream = incremental.landed(spark, landing, runs.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-        incremental.scored_stream(stream, lambda batch: evaluation.bundle(batch, truth), str(tmp_path / "out"), str(tmp_path / "checkpoint")).start().awaitTermination()
+        incremental.scored_stream(stream, score, str(tmp_path / "out"), str(tmp_path / "checkpoint")).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.select("insert_id").distinct().count() > 0
