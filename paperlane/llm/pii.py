@@ -107,7 +107,7 @@ def reliable_patterns(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges, "graph")
     total = edges.count()
-    hot = {k: written(hot_keys(edges, [k], total), "hot") for k in ("pattern", "token")}
+    hot = {k: hot_keys(edges, [k], total) for k in ("pattern", "token")}
     score = edges.withColumn("score", F.col("seed").cast("double"))
     for turn in range(TURNS):
         patterns = score.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("weight"), F.sum((F.col("score") >= RELIABLE).cast("int")).alias("seeds"))

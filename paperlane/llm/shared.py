@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one in so many of the rows is hot, so there are fewer hot keys than this.
@@ -89,24 +89,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """The keys of more than a ``HOT_SHARE``-th of all rows: fewer than ``HOT_SHARE`` rows, whatever the data."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > total).select(*keys)
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None) -> list[Row]:
+    """The keys of more than a ``HOT_SHARE``-th of all rows of a written table: fewer than ``HOT_SHARE`` of them, whatever the data."""
+    total = rows.count() if total is None else total
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > total).select(*keys).collect()
 
 
-def left_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
+def left_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: list[Row] | None = None) -> DataFrame:
     """Left join with a table that has one row a key (null keys match nothing), with no task for a hot key alone.
 
     The rows of hot keys meet a broadcast of those keys' rows (fewer than ``HOT_SHARE``) where they
     are, all others are shuffled. Both inputs are read twice: they should be written tables. ``hot``: the hot keys, if known.
     """
-    hot = written(hot_keys(rows, keys, rows.count()), "hot") if hot is None else hot
-    if hot.isEmpty():
+    hot = hot_keys(rows, keys) if hot is None else hot
+    if not hot:
         return rows.join(one, keys, "left")
-    mark = F.broadcast(hot.select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    kinds = {k: rows.schema[k].dataType for k in keys}
+    mark = rows.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(f"_{k}") for k in keys]) for r in hot])))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    few = one.join(F.broadcast(hot), keys)
-    return rows.join(mark, same, "left_semi").join(F.broadcast(few), keys, "left").unionByName(rows.join(mark, same, "left_anti").join(one, keys, "left"))
+    few = one.join(F.broadcast(mark), [F.col(k) == F.col(f"_{k}") for k in keys], "left_semi")
+    return rows.join(F.broadcast(mark), same, "left_semi").join(F.broadcast(few), keys, "left").unionByName(rows.join(F.broadcast(mark), same, "left_anti").join(one, keys, "left"))
 
 
 def chunked(items: Column) -> Column:
