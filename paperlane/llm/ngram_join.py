@@ -14,8 +14,9 @@ when ``100 * |x & y| >= 75 * |x | y|``. The steps, each a Spark stage over all d
    it has to verify. The class takes the cheapest ``l``. Two similar sets share at least
    ``min(lx, ly)`` shingles of their prefixes, and fewer shared ones need no verification. Nor do pairs
    whose shared prefix shingles, with all that stands after a prefix, fall short of the overlap asked for.
-4. *Leaders.* On every posting list the most typical member is compared with all others, a number
-   of pairs linear in the list, so a group of thousands of near copies never becomes all its pairs.
+4. *Leaders.* On every posting list the most typical member stands for all others; each class is compared
+   with the one of its lists' leaders that it has most in common with. So a round verifies one pair a class at
+   most, and a group of thousands of near copies never becomes all its pairs.
 5. *Rest.* Members of other components than the list's largest one are searched exhaustively, in
    blocks, and compared with everything they may match, until each pair is linked, shown unlike, or
    known to be in one component. No cap, no sampling: components are those of all true links.
@@ -50,8 +51,8 @@ BLOCK_TOKENS = 1_500_000
 FLUSH_TOKENS = 3_000_000
 MAX_MATCHES = 8
 BLOCK_DOCS = 256
-#: Shingles in a packet of sets, members of a piece of a posting list, and postings that a part of a block searches.
-PACKET, SPLIT, PART = 1_000_000, 512, 100_000
+#: Shingles in a packet of sets, members of a piece of a posting list, postings that a part of a block searches, and pairs in a row.
+PACKET, SPLIT, PART, PAIRS = 1_000_000, 512, 100_000, 4096
 ROUNDS = 3
 _PROBE, _VERIFY = 1.0, 0.02
 
@@ -315,10 +316,10 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
     """The links (a, b) among pairs; unless ``every`` is wanted, a pair already joined through others of its group is skipped.
 
-    pairs: block, part, x, y (vertices), cx, cy (their components), m (shared prefix shingles, more first). A
-    vertex's set goes to each group that names it, once.
+    pairs: block, part and arrays of up to some thousand pairs: xs, ys, cx, cy (their components), and ``vertices``, the
+    distinct ones among them. A vertex's set goes to each group that names it, once.
     """
-    need = pairs.select((F.col("block") + 0).alias("to"), (F.col("part") + 0).alias("to_part"), F.explode(F.array("x", "y")).alias("vertex")).distinct().join(sets, "vertex").select("to", "to_part", "vertex", "tokens")
+    need = pairs.select((F.col("block") + 0).alias("to"), (F.col("part") + 0).alias("to_part"), F.explode("vertices").alias("vertex")).distinct().join(sets, "vertex").select("to", "to_part", "vertex", "tokens")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {v: np.frombuffer(t, np.uint64) for v, t in zip(right.column("vertex").to_pylist(), right.column("tokens").to_pylist())}
@@ -331,17 +332,16 @@ def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFram
             return c
 
         a, b = [], []
-        cols = {c: left.column(c).to_numpy() for c in ("x", "y", "cx", "cy", "m")}
-        order = np.lexsort((cols["y"], -cols["m"], cols["x"]))
-        for x, y, p, q in zip(*(cols[c][order].tolist() for c in ("x", "y", "cx", "cy"))):
-            if not every:
-                p, q = find(p), find(q)
-                if p == q:
-                    continue
-            if _similar(sets[x], sets[y]):
-                root[max(p, q)] = min(p, q)
-                a.append(x)
-                b.append(y)
+        for row in zip(*(left.column(c) for c in ("xs", "ys", "cx", "cy"))):
+            for x, y, p, q in zip(*(v.values.to_pylist() for v in row)):
+                if not every:
+                    p, q = find(p), find(q)
+                    if p == q:
+                        continue
+                if _similar(sets[x], sets[y]):
+                    root[max(p, q)] = min(p, q)
+                    a.append(x)
+                    b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return pairs.groupBy("block", "part").cogroup(need.groupBy("to", "to_part")).applyInArrow(check, "a long, b long")
@@ -376,11 +376,14 @@ def _relabelled(open_: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(open_: DataFrame, seed: int, blocks: int) -> DataFrame:
-    """On each list its most typical member (fewest lone shingles; ties by a hash of the round) with every other one."""
+    """On each list its most typical member (fewest lone shingles; ties by a hash of the round) with every other one; of a vertex's leaders the one with most in common."""
     lead = open_.groupBy("token").agg(F.min(F.struct(F.floor(F.lit(16) * F.col("lone") / F.col("n")).alias("r"), F.xxhash64("vertex", F.lit(seed)).alias("h"), F.col("vertex").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ly"), F.col("component").alias("cy"))).alias("lead"), F.max("df").alias("df"))
     pairs = open_.join(_each_piece(lead), ["token", "salt"]).select(F.col("vertex").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("lx"), F.col("component").alias("cx"), "lead.y", "lead.ny", "lead.ly", "lead.cy")
     pairs = pairs.filter("cx <> cy and 4 * least(nx, ny) >= 3 * greatest(nx, ny)").groupBy("x", "y", "cx", "cy").agg(F.count(F.lit(1)).alias("m"), F.first(F.least("lx", "ly")).alias("asked")).filter("m >= asked")
-    return pairs.select(F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("part"), "x", "y", "cx", "cy", "m")
+    best = pairs.groupBy("x", "cx").agg(F.max(F.struct("m", "y", "cy")).alias("b"))  # so a round verifies one pair a vertex
+    rows = best.select(F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int").alias("block"), "x", "b.y", "cx", "b.cy")
+    packed = rows.groupBy("block").agg(*[F.collect_list(c).alias(d) for c, d in (("x", "xs"), ("y", "ys"), ("cx", "cx"), ("cy", "cy"))])  # some BLOCK_DOCS pairs
+    return packed.select("block", F.lit(0).alias("part"), "xs", "ys", "cx", "cy", F.array_union("xs", "ys").alias("vertices"))
 
 
 def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame:
@@ -406,7 +409,7 @@ def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame
         x = {c: v[order] for c, v in x.items()}
         lo, hi = np.searchsorted(y["token"], x["token"], "left"), np.searchsorted(y["token"], x["token"], "right")
         edge = np.append(np.flatnonzero(np.concatenate(([True], x["vertex"][1:] != x["vertex"][:-1]))), len(x["vertex"])) if len(x["vertex"]) else np.zeros(1, np.int64)
-        out = [[], [], [], [], []]
+        out = [[], [], [], []]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             at_ = np.concatenate([np.arange(p, q) for p, q in zip(lo[a:b].tolist(), hi[a:b].tolist())])
             ids, first, m = np.unique(y["y"][at_], return_index=True, return_counts=True)
@@ -417,15 +420,19 @@ def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame
             ok = (m >= np.maximum(np.minimum(int(x["ell"][a]), y["ell"][at_]), -(-3 * (n + ny) // 7) - rest)) & (y["component"][at_] != x["component"][a]) & (4 * np.minimum(n, ny) >= 3 * np.maximum(n, ny))
             if every:
                 ok &= ids > x["vertex"][a]
-            ids, m, c = ids[ok], m[ok], y["component"][at_][ok]
-            for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids, np.full(len(ids), x["component"][a]), c, m)):
+            best = np.argsort(-m[ok], kind="stable")
+            ids, c = ids[ok][best], y["component"][at_][ok][best]
+            for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids, np.full(len(ids), x["component"][a]), c)):
                 held.append(v)
         cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
-        k = len(cols[0])
+        cut = np.append(np.arange(0, len(cols[0]), PAIRS), len(cols[0]))
+        k = len(cut) - 1
+        lists = [[c[a:b] for a, b in zip(cut[:-1], cut[1:])] for c in cols]
+        lists.append([np.unique(np.concatenate(v)) for v in zip(lists[0], lists[1])])
         where = [np.full(k, t[0] if len(t) else 0, np.int32) for t in (x["block"], x["part"])]
-        return pa.table({c: pa.array(v) for c, v in zip(("block", "part", "x", "y", "cx", "cy", "m"), where + cols)})
+        return pa.table({"block": pa.array(where[0]), "part": pa.array(where[1])} | {c: pa.array(v, pa.list_(pa.int64())) for c, v in zip(("xs", "ys", "cx", "cy", "vertices"), lists)})
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("to", "to_part")).applyInArrow(probe, "block int, part int, x long, y long, cx long, cy long, m long")
+    return left.groupBy("block", "part").cogroup(right.groupBy("to", "to_part")).applyInArrow(probe, "block int, part int, xs array<long>, ys array<long>, cx array<long>, cy array<long>, vertices array<long>")
 
 
 def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
