@@ -25,23 +25,28 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. Null and empty texts have 0 shingles and are components of their own; rows without an id have none."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document. Empty and null texts get the model's bias; ids may repeat or be null."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base_failed, kept and the rule that rejects, of every document. Null texts count as empty, and fail for want of words."""
     out, _ = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens of every document; null and empty texts have none."""
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call, result and message of all conversations, in the form that ``exchanges`` gives them, linked and ordered."""
     return chat.linked(chat.exchanges(table(spark, sf_dir, "conversations")))
 
 
@@ -53,19 +58,23 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, log_likelihood, per_word of every document; texts without words have 0, 0.0 and null."""
     return masked_lm.scored(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every document; null and empty texts have no ids."""
     return encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document. Null sources are one source; null texts have size 0."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the fixed forms, their digest and all spans of every document; null and empty texts hold none."""
     return digests(personal_data(table(spark, sf_dir, "documents"), carried=("doc_id",)))
 
 
