@@ -72,11 +72,13 @@ def raw_set(j: Column, field: str) -> Column:
 
 def recovered(j: Column) -> Column:
     """A valid text itself; of a truncated object the part before the last comma ahead of its last ``]`` or quote, closed; else null."""
-    t = trimmed(j)
-    upto = F.regexp_extract(t, r'(?s)^(.+[\]"])', 1)
-    comma = F.length(upto) - F.instr(F.reverse(upto), ",")
-    cut = F.concat(F.when(upto.contains(","), F.substring(upto, F.lit(1), comma)).otherwise(upto), F.lit("}"))
-    return F.when(valid(j), j).when((upto != "") & valid(cut), cut)
+
+    def closed(upto: Column) -> Column:
+        comma = F.length(upto) - F.instr(F.reverse(upto), ",")
+        cut = F.concat(F.when(upto.contains(","), F.substring(upto, F.lit(1), comma)).otherwise(upto), F.lit("}"))
+        return F.when(upto != "", let(cut, lambda c: F.when(valid(c), c)))
+
+    return F.when(valid(j), j).otherwise(let(F.regexp_extract(trimmed(j), r'(?s)^(.+[\]"])', 1), closed))
 
 
 PAYLOAD = "struct<candidates:array<struct<finishReason:string,content:struct<parts:array<struct<thought:boolean,text:string>>>>>,usageMetadata:struct<candidatesTokenCount:int,totalTokenCount:int>>"
@@ -88,18 +90,23 @@ def _spoken(parts: Column) -> Column:
 
 def last_part(body: Column) -> Column:
     """Text of one response: the last part that is no thought; cut-off ones recovered, blocked ones null."""
-    first = F.get(F.from_json(body, PAYLOAD)["candidates"], 0)
-    text = F.get(F.reverse(_spoken(first["content"]["parts"])), 0)["text"]
-    return F.when(first["finishReason"].isin("SAFETY", "RECITATION"), None).when(first["finishReason"] == "MAX_TOKENS", recovered(text)).otherwise(text)
+
+    def said(first: Column) -> Column:
+        text = F.get(F.reverse(_spoken(first["content"]["parts"])), 0)["text"]
+        return F.when(first["finishReason"].isin("SAFETY", "RECITATION"), None).when(first["finishReason"] == "MAX_TOKENS", let(text, recovered)).otherwise(text)
+
+    return let(F.get(F.from_json(body, PAYLOAD)["candidates"], 0), said)
 
 
 def stream_text(body: Column) -> Column:
     """Text of streamed chunks (an array of responses), joined; the last reason to finish decides."""
-    chunks = F.from_json(body, f"array<{PAYLOAD}>")
-    firsts = F.transform(chunks, lambda c: F.get(c["candidates"], 0))
-    text = F.array_join(F.flatten(F.transform(firsts, lambda c: F.coalesce(F.transform(_spoken(c["content"]["parts"]), lambda p: p["text"]), F.array().cast("array<string>")))), "")
-    why = F.get(F.reverse(F.filter(F.transform(firsts, lambda c: c["finishReason"]), lambda r: r.rlike(r"\S"))), 0)
-    return F.when(why.isin("SAFETY", "RECITATION"), None).when(why == "MAX_TOKENS", recovered(text)).otherwise(or_null(text))
+
+    def said(firsts: Column) -> Column:
+        text = F.array_join(F.flatten(F.transform(firsts, lambda c: F.coalesce(F.transform(_spoken(c["content"]["parts"]), lambda p: p["text"]), F.array().cast("array<string>")))), "")
+        why = F.get(F.reverse(F.filter(F.transform(firsts, lambda c: c["finishReason"]), lambda r: r.rlike(r"\S"))), 0)
+        return F.when(why.isin("SAFETY", "RECITATION"), None).when(why == "MAX_TOKENS", let(text, recovered)).otherwise(or_null(text))
+
+    return let(F.transform(F.from_json(body, f"array<{PAYLOAD}>"), lambda c: F.get(c["candidates"], 0)), said)
 
 
 def stream_tokens(body: Column) -> Column:
