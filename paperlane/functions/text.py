@@ -104,36 +104,47 @@ def model_key(c: Column) -> Column:
 
 def date_observed(c: Column) -> Column:
     """``d.M.yyyy`` with overflow of days and months to the ISO form, within 1990..2035; other text as it is, trimmed; blank to null."""
-    text = trimmed(c)
-    part = [F.regexp_extract(text, r"^(\d{1,9})\.(\d{1,9})\.(\d{4})$", i).try_cast("int") for i in (1, 2, 3)]
-    day = F.date_add(F.add_months(F.make_date(part[2], F.lit(1), F.lit(1)), part[1] - 1), part[0] - 1)
-    small = (part[0] <= 99_999) & (part[1] <= 9_999)
-    date = F.when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$") & small, day)
-    return F.when(text.rlike(r"\S"), F.coalesce(F.when(F.year(date).between(1990, 2035), date.cast("string")), text))
+
+    def moved(v: Column) -> Column:
+        date = F.date_add(F.add_months(F.make_date(v[2], F.lit(1), F.lit(1)), v[1] - 1), v[0] - 1)
+        return let(date, lambda x: F.when(F.year(x).between(1990, 2035), x.cast("string")))
+
+    def written(text: Column) -> Column:
+        form = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
+        parts = F.array(*[F.regexp_extract(text, form, i).try_cast("int") for i in (1, 2, 3)])
+        return F.when(text.rlike(r"\S"), F.coalesce(F.when(text.rlike(form), let(parts, moved)), text))
+
+    return let(trimmed(c), written)
 
 
 def _made(c: Column, pattern: str, order: str, clamp: bool) -> Column:
     """A date from digits; ``clamp`` shortens days 29 to 31 to the month's end."""
-    y, m, d = (F.regexp_extract(c, pattern, order.index(x) + 1).try_cast("int") for x in "ymd")
-    first = F.when(c.rlike(pattern) & m.between(1, 12) & d.between(1, 31), F.make_date(y, m, F.lit(1)))
-    last = F.day(F.last_day(first))
-    return F.date_add(first, F.least(d, last) - 1) if clamp else F.when(d <= last, F.date_add(first, d - 1))
+
+    def date(v: Column) -> Column:
+        y, m, d = (v[order.index(x)] for x in "ymd")
+        last = F.day(F.last_day(F.make_date(y, m, F.lit(1))))
+        whole = F.make_date(y, m, F.least(d, last))
+        return F.when(m.between(1, 12) & d.between(1, 31), whole if clamp else F.when(d <= last, whole))
+
+    parts = F.array(*[F.regexp_extract(c, pattern, k).try_cast("int") for k in (1, 2, 3)])
+    return F.when(c.rlike(pattern), let(parts, date))
 
 
 def date_ladder(c: Column) -> Column:
     """The first of the strict forms that fits within 1990..2035, else as ``date_observed``."""
-    text = trimmed(c)
     forms = [(r"^(\d{4})-(\d{2})-(\d{2})$", "ymd"), (r"^(\d{2})\.(\d{2})\.(\d{4})$", "dmy"), (r"^(\d{2})/(\d{2})/(\d{4})$", "dmy"), (r"^(\d{2})/(\d{2})/(\d{4})$", "mdy"), None, (r"^(\d{2})-(\d{2})-(\d{4})$", "dmy"), (r"^(\d{2})-(\d{2})-(\d{4})$", "mdy")]
-    made = [date_observed(c) if f is None else _made(text, *f, clamp=False) for f in forms]
-    fit = [F.when(m.rlike(r"^\d{4}-\d\d-\d\d$"), m) if f is None else F.when(F.year(m).between(1990, 2035), m.cast("string")) for f, m in zip(forms, made)]
-    return F.when(text.rlike(r"\S"), F.coalesce(*fit, text))
+
+    def first(text: Column) -> Column:
+        fit = [let(date_observed(text), lambda x: F.when(x.rlike(r"^\d{4}-\d\d-\d\d$"), x)) if f is None else let(_made(text, *f, clamp=False), lambda x: F.when(F.year(x).between(1990, 2035), x.cast("string"))) for f in forms]
+        return F.when(text.rlike(r"\S"), F.coalesce(*fit, text))
+
+    return let(trimmed(c), first)
 
 
 def date_consensus(c: Column) -> Column:
     """The first form that fits, days beyond a month's end shortened; other text trimmed; blank to null."""
-    text = trimmed(c)
     forms = [(r"^(\d{2})\.(\d{2})\.(\d{4})$", "dmy"), (r"^(\d{2})/(\d{2})/(\d{4})$", "dmy"), (r"^(\d{2})/(\d{2})/(\d{4})$", "mdy"), (r"^(\d{4})-(\d{2})-(\d{2})$", "ymd"), (r"^(\d{2})-(\d{2})-(\d{4})$", "dmy")]
-    return F.when(text.rlike(r"\S"), F.coalesce(*[_made(text, *f, clamp=True).cast("string") for f in forms], text))
+    return let(trimmed(c), lambda text: F.when(text.rlike(r"\S"), F.coalesce(*[_made(text, *f, clamp=True).cast("string") for f in forms], text)))
 
 
 def dates_in(c: Column) -> Column:
@@ -144,8 +155,8 @@ def dates_in(c: Column) -> Column:
 def amount(c: Column) -> Column:
     """Without currency and commas, with two decimals where there were none or one; null where not above 0 or no number."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed(c), r"^[£$€₹]\s*", ""), r"(?i)^(USD|EUR|GBP|INR)\s*", ""), ",", "")
-    full = F.when(~bare.contains("."), F.concat(bare, F.lit(".00"))).when(bare.rlike(r"^[^.]*\.[^.]$"), F.concat(bare, F.lit("0"))).otherwise(bare)
-    return F.when(bare.rlike(r"\S") & (trimmed(full).try_cast("double") > 0), full)
+    full = lambda b: F.when(~b.contains("."), F.concat(b, F.lit(".00"))).when(b.rlike(r"^[^.]*\.[^.]$"), F.concat(b, F.lit("0"))).otherwise(b)
+    return let(bare, lambda b: F.when(b.rlike(r"\S"), let(full(b), lambda x: F.when(trimmed(x).try_cast("double") > 0, x))))
 
 
 def amounts_rewritten(c: Column) -> Column:
@@ -163,14 +174,19 @@ def amount_consensus(c: Column) -> Column:
     Digits are moved by the exponent as text and cut after the third decimal, which alone decides, so
     nothing is rounded twice. Numbers of more than 35 digits before the point stay as they are.
     """
-    bare = F.replace(trimmed(c), F.lit(","), F.lit(""))
     form = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,2}))?$"
-    sign, whole, rest, power = (F.regexp_extract(bare, form, k) for k in (1, 2, 3, 4))
-    digits, point = F.concat(whole, rest), F.length(whole) + F.coalesce(power.try_cast("int"), F.lit(0))
-    before = F.when(point <= 0, "0").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
-    after = F.concat(F.repeat(F.lit("0"), F.least(-point, F.lit(3))), F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.lit(3)), F.lit("000"))
-    number = F.when(bare.rlike(r"\d") & bare.rlike(form), F.concat(sign, before, F.lit("."), F.substring(after, 1, 3)).try_cast("decimal(38,3)"))
-    return or_null(F.coalesce(F.round(number, 2).cast("decimal(38,2)").cast("string"), bare))
+
+    def moved(v: Column) -> Column:
+        digits, point = F.concat(v[1], v[2]), F.length(v[1]) + F.coalesce(v[3].try_cast("int"), F.lit(0))
+        before = F.when(point <= 0, "0").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+        after = F.concat(F.repeat(F.lit("0"), F.least(-point, F.lit(3))), F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.lit(3)), F.lit("000"))
+        return F.concat(v[0], before, F.lit("."), F.substring(after, 1, 3)).try_cast("decimal(38,3)")
+
+    def rounded(bare: Column) -> Column:
+        number = F.when(bare.rlike(r"\d") & bare.rlike(form), let(F.array(*[F.regexp_extract(bare, form, k) for k in (1, 2, 3, 4)]), moved))
+        return or_null(F.coalesce(F.round(number, 2).cast("decimal(38,2)").cast("string"), bare))
+
+    return let(F.replace(trimmed(c), F.lit(","), F.lit("")), rounded)
 
 
 def looks_like_amount(c: Column) -> Column:
