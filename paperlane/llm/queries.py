@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, masked_lm, mixing
+from . import chat, decontamination, masked_lm, mixing, spelling
 from .bpe import encode
 from .fingerprints import fingerprints, within_radius
 from .ngram_join import near_duplicates
@@ -78,14 +78,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(personal_data(table(spark, sf_dir, "documents"), carried=("doc_id",)))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of at least 7 letters that occurs twice or more in all documents; null and empty texts have none."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; null and empty texts have no words. Repeated rows have a result each."""
     return decontamination.digests(decontamination.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carried=["doc_id"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_document_fingerprints, op7_lm_scoring, op8_bpe_encoding, op9_mixing, op10_pii, op13_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_document_fingerprints, op7_lm_scoring, op8_bpe_encoding, op9_mixing, op10_pii, op12_spelling_variants, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op13_decontamination": decontamination.ORACLE}
+    return {"op5_chat_formatting": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_decontamination": decontamination.ORACLE}
