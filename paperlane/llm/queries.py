@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, masked_lm, mixing, spelling
+from . import chat, decontamination, importance, masked_lm, mixing, spelling
 from .bpe import encode
 from .fingerprints import fingerprints, within_radius
 from .ngram_join import near_duplicates
@@ -78,6 +78,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(personal_data(table(spark, sf_dir, "documents"), carried=("doc_id",)))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of every document; null and empty texts have no features, and documents of fewer than 20 words no rank."""
+    rows = importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=("doc_id",))
+    return rows.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of at least 7 letters that occurs twice or more in all documents; null and empty texts have none."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -89,8 +95,8 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_document_fingerprints, op7_lm_scoring, op8_bpe_encoding, op9_mixing, op10_pii, op12_spelling_variants, op13_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_document_fingerprints, op7_lm_scoring, op8_bpe_encoding, op9_mixing, op10_pii, op11_importance_resampling, op12_spelling_variants, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_decontamination": decontamination.ORACLE}
+    return {"op5_chat_formatting": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op11_importance_resampling": importance.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_decontamination": decontamination.ORACLE}
