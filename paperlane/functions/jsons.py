@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .text import let, or_null, trimmed
 
 FIELDS = ["DATE", "AMOUNT", "COMPANY"]
+ALL = ["INVOICE_NO", *FIELDS]
 _STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
-_PARSED = "struct<INVOICE_NO:variant,DATE:variant,AMOUNT:variant,COMPANY:variant>"
+_NONE = "array<string>"
+#: The columns that ``with_fields`` adds for fields.
+FIELD_COLUMNS = ", ".join(f"field_{f} struct<kind:string,values:array<string>>" for f in ALL)
 
 
 def valid(j: Column) -> Column:
@@ -20,54 +23,75 @@ def valid(j: Column) -> Column:
     return F.coalesce(let(items, lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == F.md5(j))), F.lit(False))
 
 
-def fields(j: Column) -> Column:
-    """The four fields of extracted JSON as a struct of variants, from one parse; of repeated keys the last counts. Null where absent."""
-    return F.from_json(j, _PARSED, _STRICT)
+def _digest(j: Column) -> Column:
+    return F.xxhash64(j).cast("string")
 
 
-def with_fields(rows: DataFrame, json: str = "extracted_json") -> DataFrame:
-    """rows with ``parsed``, which all functions below read: the text is parsed once a row."""
-    return rows.withColumn("parsed", fields(F.col(json)))
+def _parsed(j: Column) -> Column:
+    """The text's fields as variants and behind them an object with the text's digest: from one parse."""
+    kind = "array<struct<" + ",".join(f"{f}:variant" for f in ALL) + ",_END:string>>"
+    return F.from_json(F.concat(F.lit("["), j, F.lit(',{"_END":"'), _digest(j), F.lit('"}]')), kind, _STRICT)
+
 
+def _whole(j: Column, parsed: Column) -> Column:
+    """Whether the text is one JSON value: objects are known from their parse, other values and numbers that JSON lacks are looked at again."""
+    good = (F.size(parsed) == 2) & (F.get(parsed, F.lit(1))["_END"] == _digest(j))
+    other = ~(j.startswith("{") | trimmed(j).startswith("{")) | j.contains("NaN") | j.contains("Infinity") | j.contains("INF")
+    return F.when(j.isNull(), False).when(other, valid(j)).otherwise(F.coalesce(good, F.lit(False)))
 
-def array_of(v: Column) -> Column:
-    """Elements of an array as text; null where it is no array."""
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.transform(F.try_variant_get(v, "$", "array<string>"), lambda x: F.coalesce(x, F.lit(""))))
 
+def _plain(v: Column) -> Column:
+    """A value as text: numbers with a fraction or exponent as a double is printed, null as an empty text, objects and arrays as none.
 
-def set_of(v: Column) -> Column:
-    """Trimmed, non-blank, distinct values of an array or scalar; empty where missing, null or an object."""
-    plain = F.when(F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)"), F.array().cast("array<string>")).otherwise(F.array(F.try_variant_get(v, "$", "string")))
-    return F.coalesce(F.array_distinct(F.filter(F.transform(F.coalesce(array_of(v), plain), trimmed), lambda x: x != "")), F.array().cast("array<string>"))
+    A variant keeps 7.0 as a decimal without a fraction and 7 as a long; integers beyond a long have 19 digits or more.
+    """
+    kind = F.schema_of_variant(v)
+    double = kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL\((1?\d,0|\d+,[1-9]\d*)\))") & ~kind.rlike(r"^DECIMAL\(19,0")
+    return F.when(kind.rlike("^(OBJECT|ARRAY)"), None).when(kind == "VOID", "").when(double, F.try_variant_get(v, "$", "double").cast("string")).otherwise(F.try_variant_get(v, "$", "string"))
 
 
-def text_of(v: Column) -> Column:
-    """A trimmed scalar; null where missing, null, an array or object."""
-    return F.when(~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)"), trimmed(F.try_variant_get(v, "$", "string")))
+def _values(v: Column, kind: Column) -> Column:
+    """The values of a field as texts: an array's items, a scalar, one empty text for null; nothing of an object."""
+    texts = F.transform(F.try_variant_get(v, "$", "array<string>"), lambda x: F.coalesce(x, F.lit("")))
+    mixed = F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), _plain))
+    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), texts).when(kind.startswith("ARRAY"), mixed).when(kind.startswith("OBJECT"), F.array().cast(_NONE)).when(kind == "VOID", F.array(F.lit(""))).otherwise(F.array(_plain(v)))
 
 
-def raw_of(v: Column) -> Column:
-    """Values as they stand, sorted and distinct: [] where absent, [''] for null."""
-    kind = F.schema_of_variant(v)
-    some = F.when(v.isNull(), F.array().cast("array<string>")).when(kind == "VOID", F.array(F.lit(""))).otherwise(F.coalesce(array_of(v), F.array(F.try_variant_get(v, "$", "string"))))
-    return F.array_sort(F.array_distinct(some))
+def _field(v: Column, kind: Column) -> Column:
+    name = F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "VOID", "null").otherwise("scalar")
+    return F.when(kind.isNotNull(), F.struct(name.alias("kind"), _values(v, kind).alias("values")))
 
 
-def array_field(j: Column, field: str) -> Column:
-    return let(fields(j)[field], array_of)
+def with_fields(rows: DataFrame, json: str = "extracted_json") -> DataFrame:
+    """rows with ``ok``, whether the text is JSON, and ``field_DATE`` and so on: (kind, values), or null where the field is absent or the text is no JSON.
+
+    The text is parsed once a row, and only fields that are used are unpacked. Kinds are array, scalar, null and object; of repeated keys the last counts.
+    """
+    rows = rows.withColumn("_p", _parsed(F.col(json))).withColumn("ok", _whole(F.col(json), F.col("_p")))
+    rows = rows.withColumn("_p", F.when(F.col("ok"), F.get("_p", F.lit(0))))
+    rows = rows.withColumns({f"_k{f}": F.schema_of_variant(f"_p.{f}") for f in ALL})
+    rows = rows.withColumns({f"field_{f}": _field(F.col(f"_p.{f}"), F.col(f"_k{f}")) for f in ALL})
+    return rows.drop("_p", *[f"_k{f}" for f in ALL])
 
 
-def field_set(j: Column, field: str) -> Column:
-    return F.coalesce(let(fields(j)[field], set_of), F.array().cast("array<string>"))
+def array_of(x: Column) -> Column:
+    """A field's values if it is an array, else null."""
+    return F.when(x["kind"] == "array", x["values"])
 
 
-def field_text(j: Column, field: str) -> Column:
-    return let(fields(j)[field], text_of)
+def set_of(x: Column) -> Column:
+    """Trimmed, non-blank, distinct values of an array or scalar; empty where absent, null or an object."""
+    return F.coalesce(F.array_distinct(F.filter(F.transform(x["values"], trimmed), lambda v: v != "")), F.array().cast(_NONE))
 
 
-def raw_set(j: Column, field: str) -> Column:
-    """``raw_of`` a field; null where the text is not JSON."""
-    return F.when(valid(j), let(fields(j)[field], raw_of))
+def text_of(x: Column) -> Column:
+    """A trimmed scalar; null where absent, null, an array or object."""
+    return F.when(x["kind"] == "scalar", trimmed(F.get(x["values"], F.lit(0))))
+
+
+def raw_of(x: Column) -> Column:
+    """Values as they stand, sorted and distinct: [] where absent, [''] for null."""
+    return F.coalesce(F.array_sort(F.array_distinct(x["values"])), F.array().cast(_NONE))
 
 
 def recovered(j: Column) -> Column:

@@ -77,8 +77,17 @@ def after_prefix(c: Column, prefixes: list[str]) -> Column:
 
 
 def without_fence(c: Column) -> Column:
-    """Without a Markdown fence around it, if it starts with one."""
-    return F.when(F.startswith(trimmed(c), F.lit("```")), trimmed(F.regexp_replace(F.regexp_replace(trimmed(c), r"^```(json)?\n?", ""), r"```\n?$", ""))).otherwise(trimmed(c))
+    """Without a Markdown fence around it, if its very first characters are one; else as it stands."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^```(json)?", ""), r"```$", "")
+    return F.when(F.startswith(c, F.lit("```")), trimmed(bare)).otherwise(c)
+
+
+def iso_stamp(c: Column) -> Column:
+    """A local time as ISO text: seconds only if there are any below the minute, a fraction in three or six digits."""
+    micros = F.date_format(c, "SSSSSS")
+    fraction = F.when(micros == "000000", "").when(micros.endswith("000"), F.concat(F.lit("."), F.substring(micros, 1, 3))).otherwise(F.concat(F.lit("."), micros))
+    seconds = F.concat(F.date_format(c, ":ss"), fraction)
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm"), F.when(seconds == ":00", "").otherwise(seconds))
 
 
 def truncated(c: Column, most: int = 500, mark: str = "...") -> Column:
@@ -183,7 +192,8 @@ def amount_consensus(c: Column) -> Column:
         return F.concat(v[0], before, F.lit("."), F.substring(after, 1, 3)).try_cast("decimal(38,3)")
 
     def rounded(bare: Column) -> Column:
-        number = F.when(bare.rlike(r"\d") & bare.rlike(form), let(F.array(*[F.regexp_extract(bare, form, k) for k in (1, 2, 3, 4)]), moved))
+        plain = bare.rlike(r"^[+-]?\d{1,35}(\.\d{0,3})?$")  # nearly all: no digit has to move
+        number = F.when(plain, bare.try_cast("decimal(38,3)")).when(bare.rlike(r"\d") & bare.rlike(form), let(F.array(*[F.regexp_extract(bare, form, k) for k in (1, 2, 3, 4)]), moved))
         return or_null(F.coalesce(F.round(number, 2).cast("decimal(38,2)").cast("string"), bare))
 
     return let(F.replace(trimmed(c), F.lit(","), F.lit("")), rounded)

@@ -22,10 +22,10 @@ def first_runs(runs: DataFrame) -> DataFrame:
 
 
 def ballots(firsts: DataFrame) -> DataFrame:
-    """invoice_id and, of each first run, arrays of its distinct normalised values: invoice_no, date, amount, company. One parse a row."""
-    rows = jsons.with_fields(firsts)
-    number = F.array_compact(F.array(T.invoice_no(jsons.text_of(F.col("parsed.INVOICE_NO")))))
-    values = [F.array_distinct(F.array_compact(F.transform(jsons.set_of(F.col(f"parsed.{f}")), _NORMAL[f]))).alias(f.lower()) for f in jsons.FIELDS]
+    """invoice_id and, of each first run, arrays of its distinct normalised values: invoice_no, date, amount, company. One parse a row, none if they are parsed already."""
+    rows = firsts if "field_DATE" in firsts.columns else jsons.with_fields(firsts)
+    number = F.array_compact(F.array(T.invoice_no(jsons.text_of(F.col("field_INVOICE_NO")))))
+    values = [F.array_distinct(F.array_compact(F.transform(jsons.set_of(F.col(f"field_{f}")), _NORMAL[f]))).alias(f.lower()) for f in jsons.FIELDS]
     return rows.select("invoice_id", number.alias("invoice_no"), *values)
 
 

@@ -11,32 +11,55 @@ from . import graph
 _FIELDS = ["date", "amount", "company"]
 
 
-def summary(runs: DataFrame) -> DataFrame:
-    """invoice_id, model_name of every document and model with a completed run, and what its runs say together.
+#: What scoring keeps of a document and model: of each completed run its number, time, values of array fields, and a hash of every field's raw values.
+SUMMARY = "invoice_id string, model_name string, runs array<struct<run_number:int,stamp:timestamp_ntz,given:boolean," + ",".join(f"{f}:array<string>" for f in _FIELDS) + "," + ",".join(f"s_{f}:bigint" for f in jsons.ALL) + ">>"
+
+
+def run_states(runs: DataFrame) -> DataFrame:
+    """invoice_id, model_name, ``runs``: the completed runs of a document and model, each in short. One parse a run and one shuffle."""
+    rows = jsons.with_fields(runs.filter("status = 'COMPLETED'"))
+    stamp = F.col("created_at") if "created_at" in runs.columns else F.lit(None)
+    raw = {f: jsons.raw_of(F.col(f"field_{f}")) for f in jsons.ALL}
+    one = F.struct(
+        F.col("run_number").cast("int").alias("run_number"), stamp.cast("timestamp_ntz").alias("stamp"), F.col("extracted_json").isNotNull().alias("given"),
+        *[jsons.array_of(F.col(f"field_{f}")).alias(f.lower()) for f in jsons.FIELDS],
+        *[F.when(F.col("ok"), F.xxhash64(F.size(x), x)).alias(f"s_{f}") for f, x in raw.items()],
+    )
+    return rows.select("invoice_id", "model_name", one.alias("run")).groupBy("invoice_id", "model_name").agg(F.collect_list("run").alias("runs"))
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """States of one document and model put together; of a run that was given several times the last counts, so merging again changes nothing."""
+    rows = states.groupBy("invoice_id", "model_name").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    last = F.transform(F.array_distinct(F.transform("runs", lambda r: r["run_number"])), lambda n: F.array_max(F.filter("runs", lambda r: r["run_number"].eqNullSafe(n))))
+    return rows.withColumn("runs", last)
+
+
+def summary_of(states: DataFrame) -> DataFrame:
+    """invoice_id, model_name, and what the runs say together.
 
     run_numbers (of runs with JSON), first_run, date, amount, company (distinct raw values of array fields),
-    answerability, consistency. One parse a run and one shuffle for all of it.
+    answerability, consistency (over the runs 1 to 3, 0 unless all are there), among (whether any of these is).
     """
-    rows = runs.filter("status = 'COMPLETED'").select("invoice_id", "model_name", "run_number", "extracted_json", jsons.valid(F.col("extracted_json")).alias("ok"))
-    rows = jsons.with_fields(rows)
-    given, among = F.col("extracted_json").isNotNull(), F.col("run_number").between(1, 3)
-    raw = [F.when(F.col("ok"), jsons.raw_of(F.col(f"parsed.{f}"))).alias(f"s_{f}") for f in ("INVOICE_NO", *jsons.FIELDS)]
-    rows = rows.select("invoice_id", "model_name", "run_number", given.alias("given"), *[jsons.array_of(F.col(f"parsed.{f}")).alias(f.lower()) for f in jsons.FIELDS], *raw)
-    marks = [F.when(among & F.col(c).isNotNull(), F.xxhash64(F.size(c), c)).alias(c) for c in rows.columns if c.startswith("s_")]
-    rows = rows.select("invoice_id", "model_name", "run_number", "given", *_FIELDS, *marks)
-    runs_there = F.coalesce(F.bit_or(F.when(F.col("run_number") == 1, 2).when(F.col("run_number") == 2, 4).when(F.col("run_number") == 3, 8)), F.lit(0))
-    same = [((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.when(among, 1)))).cast("int") for c in rows.columns if c.startswith("s_")]
-    total = sum((F.coalesce(s, F.lit(0)) for s in same), F.lit(0)) / 4.0
-    out = rows.groupBy("invoice_id", "model_name").agg(
-        F.collect_list(F.when(F.col("given"), F.col("run_number"))).alias("run_numbers"),
-        F.min(F.when(F.col("given"), F.col("run_number"))).alias("first_run"),
-        *[F.array_distinct(F.flatten(F.collect_list(f))).alias(f) for f in _FIELDS],
-        F.when(runs_there == 14, total).otherwise(0.0).alias("consistency"),
-        F.max(among).alias("among"),
-    )
+    given, among = F.filter("runs", lambda r: r["given"]), F.filter("runs", lambda r: r["run_number"].between(1, 3))
+    rows = states.select("invoice_id", "model_name", "runs", F.transform(given, lambda r: r["run_number"]).alias("run_numbers"), among.alias("three"))
+
+    def values(f: str) -> Column:
+        return F.array_distinct(F.flatten(F.array_compact(F.transform("runs", lambda r: r[f])))).alias(f)
+
+    def same(f: str) -> Column:
+        return F.forall("three", lambda r: F.coalesce(r[f"s_{f}"] == F.get("three", F.lit(0))[f"s_{f}"], F.lit(False))).cast("int")
+
+    whole = F.size(F.array_distinct(F.transform("three", lambda r: r["run_number"]))) == 3
+    out = rows.select("invoice_id", "model_name", "run_numbers", F.array_min("run_numbers").alias("first_run"), *map(values, _FIELDS), F.when(whole, sum(map(same, jsons.ALL), F.lit(0)) / 4.0).otherwise(0.0).alias("consistency"), (F.size("three") > 0).alias("among"))
     return out.withColumn("answerability", ((F.size("company") > 0).cast("int") + (F.size("amount") > 0).cast("int") + 1) / 3.0)
 
 
+def summary(runs: DataFrame) -> DataFrame:
+    """``summary_of`` all completed runs of each document and model."""
+    return summary_of(run_states(runs))
+
+
 def consistency(runs: DataFrame) -> DataFrame:
     """invoice_id, model_name, consistency: the share of the four fields equal over the completed runs 1 to 3, 0 unless all are there."""
     return summary(runs).filter("among").select("invoice_id", "model_name", "consistency")
@@ -59,6 +82,12 @@ def truth_values(truth: DataFrame) -> DataFrame:
     return graph.truth_key(truth).select("invoice_id", "invoice_no").join(wanted, "invoice_no").drop("invoice_no")
 
 
+def bearing_on(truth: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of truth that decide the truth of some documents: all that bear a number of theirs."""
+    rows = graph.truth_key(truth)
+    return rows.join(rows.join(ids.select("invoice_id"), "invoice_id", "left_semi").select("invoice_no"), "invoice_no", "left_semi").select(*truth.columns)
+
+
 def _scored(models: DataFrame, truth: DataFrame) -> DataFrame:
     """Rows of ``summary`` with scores; documents without truth have no row."""
     rows = models.filter("size(run_numbers) > 0").join(truth_values(truth), "invoice_id")
@@ -87,7 +116,12 @@ def bundle(runs: DataFrame, truth: DataFrame) -> DataFrame:
     Writing again keeps what it adds, so only the first run of a model can find a change. Runs are
     aggregated once and expanded again at the end, so they are never joined with themselves.
     """
-    out = _scored(summary(runs), truth).withColumn("run_number", F.explode("run_numbers"))
+    return bundle_of(summary(runs), truth)
+
+
+def bundle_of(summaries: DataFrame, truth: DataFrame) -> DataFrame:
+    """``bundle`` from the summaries of documents and models."""
+    out = _scored(summaries, truth).withColumn("run_number", F.explode("run_numbers"))
     return out.select(
         "invoice_id", "model_name", F.col("run_number").cast("long").alias("run_number"),
         *[f"{f}_{m}" for f in _FIELDS for m in ("accuracy", "f1")],

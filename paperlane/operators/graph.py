@@ -12,7 +12,7 @@ TRUTH, CSV_TRUTH = "ground_truth", "GROUND_TRUTH"
 def run_values(runs: DataFrame) -> DataFrame:
     """invoice_id, model_name, run_number and, of each completed run with JSON, the array fields as ``date``, ``amount``, ``company``; one parse a row."""
     rows = jsons.with_fields(runs.filter("status = 'COMPLETED' and extracted_json is not null").select("invoice_id", "model_name", "run_number", "extracted_json"))
-    return rows.select("invoice_id", "model_name", "run_number", *[jsons.array_of(F.col(f"parsed.{f}")).alias(f.lower()) for f in jsons.FIELDS])
+    return rows.select("invoice_id", "model_name", "run_number", *[jsons.array_of(F.col(f"field_{f}")).alias(f.lower()) for f in jsons.FIELDS])
 
 
 def run_nodes(runs: DataFrame) -> DataFrame:

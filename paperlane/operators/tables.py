@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from paperlane.functions import text as T
+
 KEYS = ["invoice_id", "model_name", "run_number"]
 
 
@@ -19,12 +21,12 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def invoices_after_reading(invoices: DataFrame, read: DataFrame) -> DataFrame:
-    """invoice_id, path, raw_text, ocr_status after text recognition (invoice_id, path, raw_text).
+def invoices_after_reading(invoices: DataFrame, read: DataFrame, others: bool = True) -> DataFrame:
+    """invoice_id, path, raw_text, ocr_status after text recognition (invoice_id, path, raw_text), of all documents or only of those read.
 
     A known document keeps its path; without new text it keeps its old text and its status is FAILED.
     """
-    both = invoices.select("invoice_id", F.col("path").alias("old_path"), F.col("raw_text").alias("old_text"), F.col("ocr_status").alias("old_status")).join(read.select("invoice_id", F.col("path").alias("new_path"), F.col("raw_text").alias("new_text"), F.lit(True).alias("seen")), "invoice_id", "full")
+    both = invoices.select("invoice_id", F.col("path").alias("old_path"), F.col("raw_text").alias("old_text"), F.col("ocr_status").alias("old_status")).join(read.select("invoice_id", F.col("path").alias("new_path"), F.col("raw_text").alias("new_text"), F.lit(True).alias("seen")), "invoice_id", "full" if others else "right")
     status = F.when(F.col("seen"), F.when(F.col("new_text").isNotNull(), "COMPLETED").otherwise("FAILED")).otherwise(F.col("old_status"))
     return both.select("invoice_id", F.coalesce("old_path", "new_path").alias("path"), F.coalesce("new_text", "old_text").alias("raw_text"), status.alias("ocr_status"))
 
@@ -42,22 +44,24 @@ RESULTS = "invoice_id string, model_name string, run_number long, " + ", ".join(
 EXPORT = ["invoice_id", "model_name", "run_number", *SCORES, "graph_idempotent", "consistency_score", "created_at"]
 
 
-def results_upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The result table after scoring: rows without model or run are dropped, others replace those of their key."""
-    stamped = new.withColumn("created_at", F.localtimestamp()).select(*EXPORT).na.drop(subset=["model_name", "run_number"])
-    return upserted(old, stamped, KEYS, "created_at")
+def stamped(results: DataFrame) -> DataFrame:
+    """Rows for the result table: those without model or run are dropped, others get the time."""
+    return results.withColumn("created_at", F.localtimestamp()).select(*EXPORT).na.drop(subset=["model_name", "run_number"])
 
 
 def export_rows(results: DataFrame) -> DataFrame:
     """Results in the 15 columns of the export, the time as ISO text or null, with ``insert_id``; of repeated ids the latest row."""
-    rows = results.select(*EXPORT).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
-    rows = rows.withColumn("insert_id", F.concat_ws("_", F.col("invoice_id"), F.col("model_name"), F.col("run_number").cast("string")))
-    return latest(rows, ["insert_id"], "created_at")
+    rows = results.select(*EXPORT, F.concat_ws("_", F.col("invoice_id"), F.col("model_name"), F.col("run_number").cast("string")).alias("insert_id"))
+    return latest(rows, ["insert_id"], "created_at").withColumn("created_at", T.iso_stamp(F.col("created_at")))
+
+
+def unsent(rows: DataFrame, sent: DataFrame) -> DataFrame:
+    """Rows of the export whose ``insert_id`` was not sent before."""
+    return rows.join(sent.select("insert_id"), "insert_id", "left_anti").select(*rows.columns)
 
 
-def exported(results: DataFrame, path: str, batch: str) -> int:
-    """Writes the rows as one batch of the export at ``path``; how many. The same batch again replaces itself, and no other is read."""
+def exported(rows: DataFrame, path: str, batch: str) -> int:
+    """Writes rows of the export as one batch at ``path``; how many. The same batch again replaces itself, and no other is read."""
     watch = Observation("export")
-    rows = export_rows(results).observe(watch, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    rows.observe(watch, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return watch.get["n"]

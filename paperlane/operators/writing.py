@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from paperlane.functions import text as T
+from paperlane.functions import jsons, text as T
 
+from .calls import in_order
 from .tables import KEYS
 
 Write = Callable[[dict], None]
 
 
+#: Fixed value: how the error of a failed write begins.
+FAILED_WRITE = "Neo4j write failed: "
+
+
 class Transient(Exception):
     """A failure after which another attempt may succeed."""
 
@@ -42,26 +48,26 @@ def attempted(write: Write, row: dict, attempts: int = 3, wait: float = 2.0, pau
     return error
 
 
-def errors(rows: DataFrame, write: Write | None, attempts: int = 3, wait: float = 2.0) -> DataFrame:
-    """rows with ``graph_error``: what writing each of them said; null where it worked, or without a function."""
+def errors(rows: DataFrame, write: Write | None, attempts: int = 3, wait: float = 2.0, at_once: int = 1) -> DataFrame:
+    """rows with ``graph_error``: what writing each of them said; null where it worked, or without a function. A task writes ``at_once`` rows at a time."""
     if write is None:
         return rows.withColumn("graph_error", F.lit(None).cast("string"))
     names = [*rows.columns, "graph_error"]
 
     def run(batches):
         for batch in batches:
-            said = [attempted(write, row, attempts, wait) for row in batch.to_pylist()]
+            said = list(in_order((("write", partial(attempted, write, row, attempts, wait)) for row in batch.to_pylist()), {"write": at_once}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names)
 
     return rows.mapInArrow(run, rows.withColumn("graph_error", F.lit(None).cast("string")).schema)
 
 
 def graph_states(runs: DataFrame, failed: DataFrame) -> DataFrame:
-    """runs after their graph write; failed: keys and graph_error. A failed run is NEO4J_FAILED, with the error after its own."""
+    """runs after their graph write; failed: keys and graph_error. A failed run is NEO4J_FAILED, with the error, in a fixed form, after its own."""
     bad = failed.filter("graph_error is not null").select(*KEYS, "graph_error")
     rows = runs.join(bad, KEYS, "left")
     own = F.col("graph_error").isNotNull()
-    return rows.withColumns({"status": F.when(own, "NEO4J_FAILED").otherwise(F.col("status")), "error_message": F.when(own, T.appended_error(F.col("error_message"), F.col("graph_error"))).otherwise(F.col("error_message"))}).select(*runs.columns)
+    return rows.withColumns({"status": F.when(own, "NEO4J_FAILED").otherwise(F.col("status")), "error_message": F.when(own, T.appended_error(F.col("error_message"), F.concat(F.lit(FAILED_WRITE), F.col("graph_error")))).otherwise(F.col("error_message"))}).select(*runs.columns)
 
 
 def seed_states(truth: DataFrame, failed: DataFrame) -> DataFrame:
@@ -75,6 +81,6 @@ def pending_seeds(truth: DataFrame) -> DataFrame:
     return truth.filter(~F.col("seeded"))
 
 
-def unreadable(runs: DataFrame, valid: Callable) -> DataFrame:
-    """invoice_id, model_name, run_number, reason of completed runs whose JSON can't be read: dead letters of the consensus step."""
-    return runs.filter("status = 'COMPLETED' and extracted_json is not null").filter(~valid(F.col("extracted_json"))).select(*KEYS, F.lit("not JSON").alias("reason"))
+def readable(runs: DataFrame) -> tuple[DataFrame, Column]:
+    """runs with their parsed fields, and which of them are unreadable: completed, with a text that is no JSON."""
+    return jsons.with_fields(runs), (F.upper("status") == "COMPLETED") & F.col("extracted_json").isNotNull() & ~F.col("ok")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from paperlane.functions import jsons as J, text as T
 from paperlane.operators import consensus, detections, evaluation, extraction, graph, tables, writing
 from paperlane.sources import derived, objects
+from paperlane.sources.keyed import KeyedStore, Table, scratch
 
 from . import oracle as O
 
@@ -20,14 +21,14 @@ def _put(name: str, query, sql: str | None = None) -> None:
     _REGISTRY[name] = (query, sql)
 
 
-def _scalar(name: str, source: str, column: str, body: Callable[[Column], Column], sql: str, where: str | None = None) -> None:
-    """A query of one scalar function over a column of a derived table."""
+def _scalar(name: str, source: str, column: str, body: Callable[[Column], Column], sql: str, rows: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """A query of one scalar function over a column of a derived table, after ``rows`` of it."""
     read, prelude, key = {"samples": (derived.samples, f"{O.SAMPLES} SELECT k", "k"), "invoice": (derived.invoices, f"{O.INVOICE} SELECT k", "k"), "runs": (derived.runs, f"{O.RUNS} SELECT invoice_id, model_name, run_number", None)}[source]
     table = "s" if source == "samples" else source
     keys = [key] if key else tables.KEYS
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read(spark, sf_dir).select(*keys, body(F.col(column)).alias("value"))
+        return rows(read(spark, sf_dir)).select(*keys, body(F.col(column)).alias("value"))
 
     _put(name, query, f"WITH {prelude}, {sql} AS value FROM {table}")
 
@@ -41,9 +42,8 @@ def _texts() -> None:
     _scalar("str_invoice_no", "samples", n, T.invoice_no, f"nullif(upper(regexp_replace({n}, '\\s+', '', 'g')), '')")
     _scalar("str_csv_split", "samples", n, lambda c: joined(T.csv_parts(c)), f"array_to_string(list_filter(list_transform(string_split({n}, ','), lambda x: {O.tr('x')}), lambda x: x <> ''), '|')")
     _scalar("str_prefix", "samples", n, lambda c: T.after_prefix(c, T.INVOICE_PREFIXES + T.COMPANY_PREFIXES), O.after(n, T.INVOICE_PREFIXES + T.COMPANY_PREFIXES))
-    t = O.tr(n)
-    bare = f"regexp_replace(regexp_replace({t}, '^```(json)?\\n?', ''), '```\\n?$', '')"
-    _scalar("str_fence", "samples", n, T.without_fence, f"CASE WHEN starts_with({t}, '```') THEN {O.tr(bare)} ELSE {t} END")
+    bare = f"regexp_replace(regexp_replace({n}, '^```(json)?', ''), '```\\n?$', '')"
+    _scalar("str_fence", "samples", n, T.without_fence, f"CASE WHEN starts_with({n}, '```') THEN {O.tr(bare)} ELSE {n} END")
     _scalar("str_truncate", "samples", n, T.truncated, f"CASE WHEN length({n}) > 500 THEN {n}[1:500] || '...' ELSE {n} END")
     _scalar("str_prompt", "samples", n, lambda c: T.prompt("Read {{text}}.", c), f"'Read ' || COALESCE({n}, '') || '.'")
     _scalar("flt_company", "samples", n, lambda c: T.plausible_company(c), f"length({n}) BETWEEN 3 AND 80 AND NOT regexp_matches({n}, '(?i)^.*\\d+\\s+.*\\b(?:road|street|ave|avenue|blvd|boulevard)\\b.*$')")
@@ -67,42 +67,49 @@ def _texts() -> None:
     _scalar("src_object_id", "invoice", "path", objects.document_id, r"regexp_extract(path, '([^/]*)\.[^./]*$', 1)")
 
     def pages(spark, sf_dir):
-        return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", objects.base_name(F.col("url")).alias("base"), F.coalesce(objects.processable(F.concat("url", F.lit(".png"))), F.lit(False)).alias("taken"))
+        ends = F.get(F.array(*[F.lit(x) for x in (".png", ".PDF", ".txt", "", ".tar.gif", "/.hidden.jpg")]), (F.col("page_id") % 6).cast("int"))
+        path = F.concat("url", ends)
+        return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", objects.base_name(path).alias("base"), F.coalesce(objects.processable(path), F.lit(False)).alias("taken"))
 
-    _put("src_processable", pages, r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_matches(regexp_extract(url || '.png', '([^/]*)$', 1), '^[^.].*\.[^.]+$') AS taken FROM pages")
+    kinds = "|".join(objects.EXTENSIONS)
+    _put("src_processable", pages, rf"WITH p AS (SELECT page_id, regexp_extract(url || ['.png', '.PDF', '.txt', '', '.tar.gif', '/.hidden.jpg'][page_id % 6 + 1], '([^/]*)$', 1) AS base FROM pages) SELECT page_id, base, regexp_matches(base, '(?i)^[^.].*\.({kinds})$') AS taken FROM p")
 
 
 def _fields() -> None:
     for f in J.FIELDS:
         x = f.lower()
-        _scalar(f"json_field_set_{x}", "runs", "extracted_json", lambda c, f=f: F.array_join(F.array_sort(J.field_set(c, f)), "|"), f"COALESCE(array_to_string({O.field_set(f)}, '|'), '')")
-    _scalar("json_field_string", "runs", "extracted_json", lambda c: J.field_text(c, "INVOICE_NO"), O.field_text("INVOICE_NO"))
-    _scalar("json_raw_set", "runs", "extracted_json", lambda c: F.concat_ws("#", *[F.array_join(J.raw_set(c, f), "|") for f in ("INVOICE_NO", "DATE", "AMOUNT")]), "concat_ws('#', " + ", ".join(f"CASE WHEN extracted_json IS NOT NULL THEN array_to_string({O.raw_set(f)}, '|') END" for f in ("INVOICE_NO", "DATE", "AMOUNT")) + ")")
-    _scalar("json_valid", "runs", "extracted_json", J.valid, "COALESCE(json_valid(extracted_json), false)")
+        _scalar(f"json_field_set_{x}", "runs", f"field_{f}", lambda c: F.array_join(F.array_sort(J.set_of(c)), "|"), f"COALESCE(array_to_string({O.field_set(f)}, '|'), '')", J.with_fields)
+    _scalar("json_field_string", "runs", "field_INVOICE_NO", J.text_of, O.field_text("INVOICE_NO"), J.with_fields)
+    raw = ("INVOICE_NO", "DATE", "AMOUNT")
+    _scalar("json_raw_set", "runs", "ok", lambda c: F.concat_ws("#", *[F.when(c, F.array_join(J.raw_of(F.col(f"field_{f}")), "|")) for f in raw]), "concat_ws('#', " + ", ".join(f"CASE WHEN json_valid(extracted_json) THEN array_to_string({O.raw_set(f)}, '|') END" for f in raw) + ")", J.with_fields)
+    _scalar("json_valid", "runs", "ok", lambda c: c, "COALESCE(json_valid(extracted_json), false)", J.with_fields)
 
     def replies(kind: str, body: Callable[[Column], Column]):
         def query(spark, sf_dir):
             runs = derived.runs(spark, sf_dir).filter("extracted_json is not null")
-            quoted = F.to_json(F.struct(F.col("extracted_json").alias("t")))
-            text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)  # the value as a JSON string
+
+            def quoted(c: Column) -> Column:
+                whole = F.to_json(F.struct(c.alias("t")))
+                return F.substring(whole, F.lit(6), F.length(whole) - 6)  # the value as a JSON string
+
+            j, half = F.col("extracted_json"), F.floor(F.length("extracted_json") / 2).cast("int")
             run, model = F.col("run_number"), F.col("model_name")
-            inserts = {"@": text, "WHY": F.when(run == 2, "MAX_TOKENS").when(run == 3, "SAFETY").otherwise("STOP"), "HIDDEN": (model == "Delta").cast("string"), "N": (run * 10 + F.length("model_name")).cast("string"), "MORE": F.when(model == "Gamma", F.concat(F.lit('"candidatesTokenCount":'), run, F.lit(","))).otherwise("")}
+            rest = F.substring(j, half + 1, F.length(j) - half - F.when(run == 2, 12).otherwise(0))
+            inserts = {"@": quoted(j), "@A": quoted(F.substring(j, F.lit(1), half)), "@B": quoted(rest), "WHY": F.when(run == 2, "MAX_TOKENS").when(run == 3, "SAFETY").otherwise("STOP"), "HIDDEN": (model == "Delta").cast("string"), "N": (run * 10 + F.length("model_name")).cast("string"), "MORE": F.when(model == "Gamma", F.concat(F.lit('"candidatesTokenCount":'), run, F.lit(","))).otherwise("")}
             return runs.select(*tables.KEYS, body(F.concat(*[inserts.get(p, F.lit(p)) for p in kind.split("~")])).alias("value"))
 
         return query
 
-    def first_runs_only(query):
-        """Cut-off streams (second runs) are left to hand-made tests; blocked ones (third runs) are null."""
-        return lambda spark, sf_dir: query(spark, sf_dir).withColumn("value", F.when(F.col("run_number") != 2, F.col("value")))
-
     def runs(value: str) -> str:
         return f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, {value} AS value FROM runs WHERE extracted_json IS NOT NULL"
 
     part = '{"candidates":[{"finishReason":"~WHY~","content":{"parts":[{"text":"old"},{"thought":true,"text":"hm"},{"thought":~HIDDEN~,"text":~@~},{"text":" "}]}}],"usageMetadata":{~MORE~"totalTokenCount":~N~}}'
-    spoken = "CASE WHEN model_name = 'Delta' THEN '' ELSE extracted_json END"
-    _put("json_last_part", replies(part.replace('{"text":"old"},', ""), J.last_part), runs("CASE WHEN run_number <> 3 AND model_name <> 'Delta' THEN extracted_json END"))
-    opened = part.replace("~WHY~", "").replace("~@~", '"[1]"')
-    _put("json_stream_merge", first_runs_only(replies(f"[{opened},{part.replace('MAX_TOKENS', 'STOP')}]", J.stream_text)), runs(f"CASE WHEN run_number = 1 THEN 'old' || CASE WHEN model_name = 'Delta' THEN '' ELSE '[1]' END || 'old' || {spoken} END"))
+    _put("json_last_part", replies(part.replace('{"text":"old"},', ""), J.last_part), runs(f"CASE WHEN model_name = 'Delta' OR run_number = 3 THEN NULL WHEN run_number = 2 THEN {O.recovered('extracted_json')} ELSE extracted_json END"))
+    # a stream of two chunks with half a text each; that of a second run is cut off, that of a third one blocked
+    half = part.replace('{"text":"old"},', "")
+    halves = f"[{half.replace('~WHY~', '').replace('~@~', '~@A~')},{half.replace('~@~', '~@B~')}]"
+    cut_off = "left(extracted_json, length(extracted_json) - 12)"
+    _put("json_stream_merge", replies(halves, J.stream_text), runs(f"CASE WHEN model_name = 'Delta' OR run_number = 3 THEN NULL WHEN run_number = 2 THEN {O.recovered(cut_off)} ELSE extracted_json END"))
     _put("json_tokens", replies(f"[{part},{part}]", J.stream_tokens), runs("CASE WHEN model_name = 'Gamma' THEN run_number ELSE run_number * 10 + length(model_name) END"))
     chat = '{"choices":[{"message":{"content":~@~}}],"usage":{"total_tokens":9}}'
     _put("json_chat", replies(chat, J.chat_text), runs("extracted_json"))
@@ -123,6 +130,10 @@ def _state() -> None:
     _put("prj_text_choice", lambda s, d: extraction.choice(inv(s, d)).select("invoice_id", "input_text"), w + "SELECT invoice_id, COALESCE(normalized_text, raw_text) AS input_text FROM invoice")
     _put("flt_status", lambda s, d: inv(s, d).groupBy("ocr_status", "extraction_status", "evaluation_status").agg(F.count(F.lit(1)).alias("n")), w + "SELECT ocr_status, extraction_status, evaluation_status, COUNT(*) AS n FROM invoice GROUP BY ALL")
 
+    _put("run_outcomes", lambda s, d: extraction.finished(derived.replies(s, d)).select("invoice_id", "status", "extracted_json", "error_message", "token_count"), f"""WITH r AS ({derived.REPLIES}), c AS (SELECT *, CASE WHEN starts_with(reply, '```') THEN {O.tr("regexp_replace(regexp_replace(reply, '^```(json)?', ''), '```\\n?$', '')")} ELSE reply END AS clean FROM r),
+o AS (SELECT *, CASE WHEN error_message IS NOT NULL THEN 'FAILED' WHEN COALESCE(regexp_matches(clean, '\\S') AND json_valid(clean), false) THEN 'COMPLETED' ELSE 'PARSE_FAILED' END AS status FROM c)
+SELECT invoice_id, status, CASE WHEN status = 'COMPLETED' THEN clean END AS extracted_json, CASE WHEN status = 'PARSE_FAILED' THEN body ELSE error_message END AS error_message, CASE WHEN status = 'COMPLETED' THEN token_count END AS token_count FROM o""")
+
     def upsert(s, d):
         known = inv(s, d).filter("extraction_status is not null")
         read = inv(s, d).filter("extraction_status is null or evaluation_status is null").select("invoice_id", F.concat("path", F.lit(".new")).alias("path"), F.when(F.col("ocr_status") == "COMPLETED", F.lit("new text")).alias("raw_text"))
@@ -138,6 +149,19 @@ SELECT COALESCE(o.invoice_id, r.invoice_id) AS invoice_id, COALESCE(o.path, r.pa
 
     _put("snk_eval_status", evaluated, f"WITH {O.INVOICE}, {O.RUNS} SELECT i.invoice_id, CASE WHEN extraction_status = 'COMPLETED' AND evaluation_status IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.invoice_id = i.invoice_id AND status = 'COMPLETED' AND run_number = 1 AND model_name = 'Beta') THEN 'COMPLETED' ELSE 'SKIPPED' END ELSE evaluation_status END AS evaluation_status FROM invoice i")
 
+    def kept_in_buckets(s, d):
+        """Runs in a keyed table of 32 buckets: all first and second runs, then what a later step changes, adds and removes."""
+        columns = "invoice_id string, model_name string, run_number int, status string"
+        store = KeyedStore(s, scratch(s), {"runs": Table(columns, tuple(tables.KEYS), ("invoice_id",), 32)})
+        runs = derived.runs(s, d).select(*tables.KEYS, "status")
+        store.upsert("runs", runs.filter("run_number < 3"))
+        store.upsert("runs", runs.filter("run_number > 1 and model_name = 'Beta'").withColumn("status", F.lit("NEW")))
+        store.erase("runs", runs.filter("model_name = 'Gamma' and status = 'FAILED'"))
+        store.insert("runs", runs.filter("model_name in ('Beta', 'Delta')").withColumn("status", F.lit("ADDED")))
+        return store.read("runs")
+
+    _put("snk_keyed_runs", kept_in_buckets, f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, CASE WHEN model_name = 'Beta' AND run_number > 1 THEN 'NEW' WHEN model_name = 'Delta' AND run_number = 3 THEN 'ADDED' ELSE status END AS status FROM runs WHERE (run_number < 3 OR model_name IN ('Beta', 'Delta')) AND NOT (model_name = 'Gamma' AND status = 'FAILED')")
+
     def replaced(s, d):
         runs = derived.runs(s, d).select(*tables.KEYS, "status")
         return tables.upserted(runs.filter("run_number < 3"), runs.filter("run_number > 1 and model_name = 'Beta'").withColumn("status", F.lit("NEW")), tables.KEYS)
@@ -166,7 +190,7 @@ def _votes() -> None:
         return writing.graph_states(runs, failed).select(*tables.KEYS, "status", "error_message")
 
     lost = "status = 'COMPLETED' AND model_name = 'Gamma' AND run_number < 3"
-    _put("snk_graph_status", states, f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, CASE WHEN {lost} THEN 'NEO4J_FAILED' ELSE status END AS status, nullif(concat_ws(' | ', CASE WHEN run_number = 1 THEN 'slow' END, CASE WHEN {lost} THEN 'down' END), '') AS error_message FROM runs")
+    _put("snk_graph_status", states, f"WITH {O.RUNS} SELECT invoice_id, model_name, run_number, CASE WHEN {lost} THEN 'NEO4J_FAILED' ELSE status END AS status, nullif(concat_ws(' | ', CASE WHEN run_number = 1 THEN 'slow' END, CASE WHEN {lost} THEN 'Neo4j write failed: down' END), '') AS error_message FROM runs")
     _put("agg_gt_candidates", lambda s, d: consensus.candidates(run(s, d), derived.invoices(s, d).filter("evaluation_status = 'SKIPPED'")).orderBy("invoice_id"), f"WITH {O.INVOICE}, {O.RUNS} SELECT invoice_id, COUNT(DISTINCT model_name) AS models FROM runs WHERE run_number = 1 AND upper(status) = 'COMPLETED' AND invoice_id NOT IN (SELECT invoice_id FROM invoice WHERE evaluation_status = 'SKIPPED') GROUP BY 1 HAVING COUNT(DISTINCT model_name) >= 2")
     _put("win_first_run_per_model", lambda s, d: consensus.first_runs(run(s, d)).select("invoice_id", F.col("key").alias("model_key"), "model_name"), f"WITH {O.FIRSTS} SELECT invoice_id, mkey AS model_key, model_name FROM firsts")
     _put("agg_required_votes", lambda s, d: consensus.first_runs(run(s, d)).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("models")).withColumn("required", T.majority(F.col("models"))), f"WITH {O.FIRSTS} SELECT invoice_id, COUNT(*) AS models, COUNT(*) // 2 + 1 AS required FROM firsts GROUP BY 1")
@@ -201,7 +225,21 @@ def _graphs() -> None:
     _put("graph_idempotent", lambda s, d: graph.stable(graph.extracted_edges(run(s, d))), f"WITH {O.RUNS}, {O.EDGES} SELECT invoice_id AS invoice_no, model_name AS model, MIN(CASE WHEN {O.tr('value')} = '' OR EXISTS (SELECT 1 FROM edges f WHERE f.invoice_id = e.invoice_id AND f.model_name = e.model_name AND f.field = e.field AND f.value = {O.tr('e.value')}) THEN 1 ELSE 0 END) = 1 AS stable FROM edges e GROUP BY 1, 2")
     _put("eval_metrics", lambda s, d: evaluation.model_metrics(run(s, d), _truth(s, d)), f"WITH {O.METRICS} SELECT * FROM metrics")
     _put("eval_bundle", lambda s, d: evaluation.bundle(run(s, d), _truth(s, d)), f"WITH {O.BUNDLE} SELECT * FROM bundle")
-    _put("prj_export_rows", lambda s, d: tables.export_rows(evaluation.bundle(run(s, d), _truth(s, d)).withColumn("created_at", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))), f"WITH {O.BUNDLE} SELECT *, '2024-01-02T03:04:05' AS created_at, concat_ws('_', invoice_id, model_name, run_number) AS insert_id FROM bundle")
+
+    def rows_of_export(s, d):
+        """Results stamped by run, and of the second runs an earlier and a later one within the second."""
+        rows = evaluation.bundle(run(s, d), _truth(s, d)).withColumn("created_at", F.when(F.col("run_number") == 1, "2024-01-02 03:04:05").when(F.col("run_number") == 2, "2024-01-02 03:04:05.25").otherwise("2024-01-02 03:04:00"))
+        again = [rows.filter("run_number = 2").withColumns({"created_at": F.lit(f"2024-01-02 03:04:05.{micro}"), "date_f1": F.lit(score)}) for micro, score in (("249999", -2.0), ("250001", -1.0))]
+        return tables.export_rows(rows.unionByName(again[0]).unionByName(again[1]).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+
+    _put("prj_export_rows", rows_of_export, f"WITH {O.BUNDLE} SELECT * REPLACE (CASE WHEN run_number = 2 THEN -1.0::DOUBLE ELSE date_f1 END AS date_f1), CASE run_number WHEN 1 THEN '2024-01-02T03:04:05' WHEN 2 THEN '2024-01-02T03:04:05.250001' ELSE '2024-01-02T03:04' END AS created_at, concat_ws('_', invoice_id, model_name, run_number) AS insert_id FROM bundle")
+    def kept_up(s, d):
+        """Scores over states that were built from the first, then the other runs, and merged."""
+        runs = run(s, d)
+        parts = [evaluation.run_states(runs.filter(f"run_number {test} 1")) for test in ("=", ">")]
+        return evaluation.bundle_of(evaluation.summary_of(evaluation.merged(parts[0].unionByName(parts[1]))), _truth(s, d))
+
+    _put("eval_kept_up", kept_up, f"WITH {O.BUNDLE} SELECT * FROM bundle")
     _put("graph_run_nodes", lambda s, d: graph.run_nodes(run(s, d)), f"WITH {O.RUNS} SELECT invoice_id AS invoice_no, model_name AS model, run_number AS run_no FROM runs WHERE status = 'COMPLETED' AND extracted_json IS NOT NULL")
 
 

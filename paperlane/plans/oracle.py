@@ -85,18 +85,46 @@ def after(x: str, prefixes: list[str]) -> str:
     return "COALESCE(" + ", ".join(f"CASE WHEN starts_with(lower({t}), '{p}') THEN {tr(f'substr({t}, {len(p) + 1})')} END" for p in prefixes) + ")"
 
 
+def printed(d: str) -> str:
+    """A double as Java prints it: plain from a thousandth to ten million, else with an exponent."""
+    e = f"CAST(floor(log10(abs({d}))) AS INT)"
+    return f"CASE WHEN {d} = 0 OR abs({d}) BETWEEN 0.001 AND 9999999.999999 THEN CAST({d} AS VARCHAR) ELSE CAST({d} / pow(10, {e}) AS VARCHAR) || 'E' || {e} END"
+
+
+def plain(x: str) -> str:
+    """A JSON value as text: '' for null, none for objects and arrays."""
+    return f"CASE json_type({x}) WHEN 'NULL' THEN '' WHEN 'DOUBLE' THEN {printed(f'CAST({x} AS DOUBLE)')} WHEN 'OBJECT' THEN NULL WHEN 'ARRAY' THEN NULL ELSE {x}->>'$' END"
+
+
+def good(j: str) -> str:
+    return f"(CASE WHEN json_valid({j}) THEN {j} END)"
+
+
+def values(f: str, j: str) -> str:
+    """The values of a field: an array's items, a scalar, '' for null."""
+    g = good(j)
+    items = f"list_filter(list_transform(json_extract({g}, '$.{f}[*]'), lambda v: {plain('v')}), lambda v: v IS NOT NULL)"
+    return f"CASE json_type({g}, '$.{f}') WHEN 'ARRAY' THEN {items} WHEN 'OBJECT' THEN [] WHEN 'NULL' THEN [''] ELSE CASE WHEN json_type({g}, '$.{f}') IS NULL THEN []::VARCHAR[] ELSE [{plain(f'json_extract({g}, {chr(39)}$.{f}{chr(39)})')}] END END"
+
+
 def field_set(f: str, j: str = "extracted_json") -> str:
-    values = f"CASE json_type({j}, '$.{f}') WHEN 'ARRAY' THEN json_extract_string({j}, '$.{f}[*]') WHEN 'OBJECT' THEN [] WHEN 'NULL' THEN [] ELSE [{j}->>'$.{f}'] END"
-    return f"list_sort(list_distinct(list_filter(list_transform({values}, lambda x: {tr('x')}), lambda x: x <> '')))"
+    return f"list_sort(list_distinct(list_filter(list_transform({values(f, j)}, lambda x: {tr('x')}), lambda x: x <> '')))"
 
 
 def raw_set(f: str, j: str = "extracted_json") -> str:
-    values = f"CASE json_type({j}, '$.{f}') WHEN 'ARRAY' THEN list_transform(json_extract_string({j}, '$.{f}[*]'), lambda x: COALESCE(x, '')) WHEN 'NULL' THEN [''] ELSE CASE WHEN json_type({j}, '$.{f}') IS NULL THEN []::VARCHAR[] ELSE [{j}->>'$.{f}'] END END"
-    return f"list_sort(list_distinct({values}))"
+    return f"list_sort(list_distinct({values(f, j)}))"
 
 
 def field_text(f: str, j: str = "extracted_json") -> str:
-    return f"CASE WHEN json_type({j}, '$.{f}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN {tr(f'({j}->>{chr(39)}$.{f}{chr(39)})')} END"
+    g = good(j)
+    return f"CASE WHEN json_type({g}, '$.{f}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN {tr(plain(f'json_extract({g}, {chr(39)}$.{f}{chr(39)})'))} END"
+
+
+def recovered(j: str) -> str:
+    """JSON itself; of a text cut off the part before the last comma ahead of its last bracket or quote, closed."""
+    upto = f"regexp_extract({tr(j)}, '^([\\s\\S]+[\\]\"])', 1)"
+    cut = f"CASE WHEN contains({upto}, ',') THEN regexp_extract({upto}, '^([\\s\\S]*),', 1) ELSE {upto} END || '}}'"
+    return f"CASE WHEN json_valid({j}) THEN {j} WHEN {upto} <> '' AND json_valid({cut}) THEN {cut} END"
 
 
 INVOICE = f"invoice AS ({derived.INVOICE})"
@@ -123,9 +151,9 @@ _PART = {"DATE": ("consensus_dates", date_observed("v")), "AMOUNT": ("consensus_
 TRUTH = f"""{CONSENSUS}, keyed AS (SELECT *, COALESCE(nullif({tr('consensus_invoice_no')}, ''), invoice_id) AS invoice_no FROM consensus),
 seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY invoice_no ORDER BY invoice_id DESC) AS place FROM keyed) WHERE place = 1),
 truth AS ({' UNION '.join(f"SELECT invoice_no, '{f}' AS field, COALESCE({filled(e)}, v) AS value FROM (SELECT invoice_no, {tr('u')} AS v FROM (SELECT invoice_no, unnest(string_split({c}, ',')) AS u FROM seeds)) WHERE v <> ''" for f, (c, e) in _PART.items())})"""
-EDGES = f"""edges AS ({' UNION '.join(f"SELECT invoice_id, model_name, '{f}' AS field, COALESCE(v, '') AS value FROM (SELECT invoice_id, model_name, unnest(json_extract_string(extracted_json, '$.{f}[*]')) AS v FROM runs WHERE status = 'COMPLETED' AND json_type(extracted_json, '$.{f}') = 'ARRAY')" for f in _PART)})"""
+EDGES = f"""edges AS ({' UNION '.join(f"SELECT invoice_id, model_name, '{f}' AS field, v AS value FROM (SELECT invoice_id, model_name, unnest({values(f, 'extracted_json')}) AS v FROM runs WHERE status = 'COMPLETED' AND json_type({good('extracted_json')}, '$.{f}') = 'ARRAY')" for f in _PART)})"""
 CONSISTENCY = f"""consistent AS (SELECT invoice_id, model_name, CASE WHEN COUNT(DISTINCT run_number) = 3 THEN (
-  {' + '.join(f"CASE WHEN COUNT(DISTINCT CAST({raw_set(f)} AS VARCHAR)) = 1 THEN 1 ELSE 0 END" for f in ('INVOICE_NO', *_PART))}) / 4.0::DOUBLE ELSE 0.0 END AS consistency FROM runs WHERE status = 'COMPLETED' GROUP BY 1, 2)"""
+  {' + '.join(f"CASE WHEN COUNT(DISTINCT CAST({raw_set(f)} AS VARCHAR)) = 1 AND bool_and(COALESCE(json_valid(extracted_json), false)) THEN 1 ELSE 0 END" for f in ('INVOICE_NO', *_PART))}) / 4.0::DOUBLE ELSE 0.0 END AS consistency FROM runs WHERE status = 'COMPLETED' GROUP BY 1, 2)"""
 
 
 def _scores() -> str:

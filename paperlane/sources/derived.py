@@ -2,11 +2,14 @@
 
 One document per order; five models (two names share a key) and three runs each. A number of
 order, model and run decides what a run's output looks like: complete, a field missing, a scalar
-for an array, other date and amount forms, blanks and repeats, nulls, failures.
+for an array, other date and amount forms, unquoted numbers, containers among the values, text behind
+the JSON, blanks and repeats, nulls, failures.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 _K = "CAST(o_orderkey AS STRING)"
@@ -31,10 +34,10 @@ RUNS = f"""
 SELECT invoice_id, model_name, run_number, status, CASE WHEN status = 'FAILED' THEN NULL ELSE
   '{{' || CASE WHEN h = 7 THEN '"INVOICE_NO":null,' WHEN h = 9 THEN '' ELSE '"INVOICE_NO":" inv-' || key_text || CASE WHEN h = 5 THEN ' ' ELSE '' END || '",' END
   || CASE h WHEN 2 THEN '' WHEN 3 THEN '"DATE":"' || iso || '",' WHEN 6 THEN '"DATE":["' || dot || '","31.04.2024"],' WHEN 8 THEN '"DATE":["' || iso || '",""," ' || iso || '",null],' ELSE '"DATE":["' || iso || '"],' END
-  || CASE h WHEN 4 THEN '"AMOUNT":["' || thousands || '"],' WHEN 9 THEN '"AMOUNT":["1.005","$5"],' WHEN 7 THEN '"AMOUNT":null,' ELSE '"AMOUNT":["' || amount || '"],' END
-  || CASE h WHEN 5 THEN '"COMPANY":["' || upper(company) || '"]' WHEN 8 THEN '"COMPANY":["' || company || '","  ' || company || '"]' WHEN 10 THEN '"COMPANY":[]' ELSE '"COMPANY":["' || company || '"]' END || '}}' END AS extracted_json
+  || CASE CASE WHEN h = 6 THEN 100 + k % 5 ELSE h END WHEN 101 THEN '"AMOUNT":[' || amount || ',7.0,1e7,12,2.5e-4],' WHEN 102 THEN '"AMOUNT":[{{"a":1}},[2],"' || amount || '"],' WHEN 103 THEN '"AMOUNT":' || amount || ',' WHEN 4 THEN '"AMOUNT":["' || thousands || '"],' WHEN 9 THEN '"AMOUNT":["1.005","$5"],' WHEN 7 THEN '"AMOUNT":null,' ELSE '"AMOUNT":["' || amount || '"],' END
+  || CASE h WHEN 5 THEN '"COMPANY":["' || upper(company) || '"]' WHEN 8 THEN '"COMPANY":["' || company || '","  ' || company || '"]' WHEN 10 THEN '"COMPANY":[]' ELSE '"COMPANY":["' || company || '"]' END || '}}' || CASE WHEN h = 6 AND k % 5 = 4 THEN ' and more' ELSE '' END END AS extracted_json
 FROM (SELECT *, CASE WHEN h = 0 THEN 'FAILED' WHEN h = 1 AND mi = 3 THEN 'PARSE_FAILED' WHEN run_number = 1 AND h = 2 THEN 'completed' ELSE 'COMPLETED' END AS status
-  FROM (SELECT 'inv_' || {_K} AS invoice_id, mi, model_name, run_number, (o_orderkey * 31 + mi * 7 + run_number * 3) % 11 AS h, {_K} AS key_text,
+  FROM (SELECT 'inv_' || {_K} AS invoice_id, mi, model_name, run_number, (o_orderkey * 31 + mi * 7 + run_number * 3) % 11 AS h, o_orderkey AS k, {_K} AS key_text,
       {_ISO} AS iso, {_DOT} AS dot, {_AMOUNT} AS amount, {_THOUSANDS} AS thousands, {_COMPANY} AS company
     FROM orders CROSS JOIN (VALUES (1, 'Alpha Pro'), (2, 'alpha  pro '), (3, 'Beta'), (4, 'Gamma'), (5, 'Delta')) AS m(mi, model_name) CROSS JOIN (VALUES (1), (2), (3)) AS r(run_number)) AS x) AS y"""
 
@@ -61,7 +64,7 @@ SELECT o_orderkey AS k,
   CASE o_orderkey % 13 WHEN 0 THEN {_ISO} WHEN 1 THEN {_DOT} WHEN 2 THEN {_D} || '/' || {_M} || '/' || {_Y} WHEN 3 THEN {_M} || '/' || {_D} || '/' || {_Y} WHEN 4 THEN {_D} || '-' || {_M} || '-' || {_Y}
     WHEN 5 THEN '31.04.2024' WHEN 6 THEN '02/30/2024' WHEN 7 THEN '45.13.2024' WHEN 8 THEN ' 3.4.2024 ' WHEN 9 THEN '12.03.1950' WHEN 10 THEN 'soon' WHEN 11 THEN '' ELSE NULL END AS date_text,
   CASE o_orderkey % 9 WHEN 0 THEN 'Vendor:  Acme ' || {_K} WHEN 1 THEN ' INVOICE NO: #ab ' || {_K} WHEN 2 THEN 'acme o''neil-smith   llc' WHEN 3 THEN 'x' WHEN 4 THEN '12 Long Street ' || {_K} WHEN 5 THEN 'a, b,, ' || {_K} || ' ,'
-    WHEN 6 THEN '```json' || chr(10) || '{{"a":' || {_K} || '}}' || chr(10) || '```' WHEN 7 THEN ' ' || repeat('long ', 120) || {_K} ELSE NULL END AS name_text
+    WHEN 6 THEN CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || ' ' ELSE '' END || '```json' || chr(10) || '{{"a":' || {_K} || '}}' || chr(10) || '```' WHEN 7 THEN ' ' || repeat('long ', 120) || {_K} ELSE NULL END AS name_text
 FROM orders"""
 
 
@@ -73,8 +76,21 @@ SELECT o_orderkey AS k, 'Invoice No: A-' || {_K} || chr(10) || CASE WHEN o_order
 FROM orders"""
 
 
+REPLIES = f"""
+SELECT 'inv_' || {_K} AS invoice_id, 'Alpha' AS model_name, 1 AS run_number, 7 AS latency_ms, o_orderkey % 50 AS token_count,
+  CASE o_orderkey % 11 WHEN 0 THEN '```json' || chr(10) || '{{"a":' || {_K} || '}}' || chr(10) || '```' WHEN 1 THEN '[1, ' || {_K} || ']' WHEN 2 THEN {_K} WHEN 3 THEN NULL WHEN 4 THEN '  ' || chr(10) WHEN 5 THEN 'no json'
+    WHEN 6 THEN chr(10) || ' ```json' || chr(10) || '{{}}' || chr(10) || '```' WHEN 7 THEN NULL WHEN 8 THEN '{{"a":' || {_K} || '}} and more' WHEN 9 THEN '```' || chr(10) || '"' || {_K} || '"```' ELSE ' {{"b":[' || {_K} || ']}} ' END AS reply,
+  CASE WHEN o_orderkey % 11 = 7 THEN NULL ELSE '{{"content":"' || {_K} || repeat('long ', 120) || '"}}' END AS body,
+  CASE WHEN o_orderkey % 11 = 7 THEN 'LLM API call failed after 3 attempts' END AS error_message
+FROM orders"""
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, REPLIES, "orders", sf_dir)
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, LETTERS, "orders", sf_dir)
+    return _sql(spark, LETTERS, "orders", sf_dir, deal=True)
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +98,22 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, RUNS, "orders", sf_dir)
+    return _sql(spark, RUNS, "orders", sf_dir, deal=True)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, DETECTIONS, "customer", sf_dir)
 
 
-def _sql(spark: SparkSession, text: str, table: str, sf_dir: str) -> DataFrame:
+def _sql(spark: SparkSession, text: str, table: str, sf_dir: str, deal: bool = False) -> DataFrame:
+    """A derived table. ``deal``: rows that become many go to as many tasks as there are cores first, if the file alone makes fewer."""
     path = f"{sf_dir}/{table}.parquet"
-    return spark.sql(text.replace(f"FROM {table}", f"FROM parquet.`{path}`"))
+    if not deal:
+        return spark.sql(text.replace(f"FROM {table}", f"FROM parquet.`{path}`"))
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    view = f"paperlane_{table}_{zlib.crc32(path.encode()):08x}"
+    (rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows).createOrReplaceTempView(view)
+    return spark.sql(text.replace(f"FROM {table}", f"FROM {view}"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

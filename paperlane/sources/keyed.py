@@ -14,9 +14,11 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
@@ -57,6 +59,26 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def whole_plans(spark: SparkSession) -> Iterator[None]:
+    """Inside, a stage that ends in no rows stays part of its plan, and so do the counts that are observed in it."""
+    key, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ",".join(filter(None, [before, rule])))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def counts(watch: Observation, *names: str) -> dict[str, int]:
+    """What was observed; zeros where the planner saw that there are no rows, and left the observed part out."""
+    try:
+        return dict(watch.get)
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
+
+
 class KeyedStore:
     """Tables below one folder. Nothing but manifests and names of files comes to the driver."""
 
@@ -163,8 +185,9 @@ class KeyedStore:
             if below:
                 parts.append(self._without(self._files(name, below).select(*columns), last.select(*table.keys), table.keys))
             parts.append(last.filter("not _gone").select(*columns))
-        if not parts:
-            return self.spark.createDataFrame([], table.columns)
+        if not parts:  # a plan that ends in no rows, not a constant: counts that are observed beside it must not be optimised away
+            schema = self.spark.createDataFrame([], table.columns).schema
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -191,12 +214,14 @@ class KeyedStore:
         """Writes rows (with ``_gone``) into their buckets: the write's name, its buckets, and the number of rows."""
         table, write, watch = self.tables[name], f"{number:08d}-{uuid.uuid4().hex[:8]}", Observation()
         path = f"{self.root}/{name}/data/write={write}"
-        dealt = rows.observe(watch, F.count(F.lit(1)).alias("n")).withColumn("bucket", self.bucket(name)).repartition("bucket")
+        kinds = self.spark.createDataFrame([], self._schema(name)).drop("write", "bucket").schema
+        dealt = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]).observe(watch, F.count(F.lit(1)).alias("n")).withColumn("bucket", self.bucket(name)).repartition("bucket")
         out = dealt.write.partitionBy("bucket")
         for c in table.blooms:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        out.parquet(path)
-        return write, [int(n.removeprefix("bucket=")) for n in self._names(path) if n.startswith("bucket=")], watch.get["n"]
+        with whole_plans(self.spark):
+            out.parquet(path)
+        return write, [int(n.removeprefix("bucket=")) for n in self._names(path) if n.startswith("bucket=")], counts(watch, "n")["n"]
 
     def _changed(self, name: str, rows: DataFrame) -> int:
         state = self.state(name)
@@ -235,6 +260,13 @@ class KeyedStore:
         rows = keys.select(*table.keys).distinct()
         return self._changed(name, rows.select(*[F.col(f.name) if f.name in table.keys else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], F.lit(True).alias("_gone")))
 
+    def exchange(self, name: str, old: DataFrame, new: DataFrame) -> int:
+        """Rows ``new`` stand in place of rows ``old``, in one change: how many rows are removed or put."""
+        table, columns = self.tables[name], self._columns(name)
+        put = new.select(*columns).distinct()
+        gone = self._without(old.select(*columns), put.select(*table.keys), table.keys)
+        return self._changed(name, put.withColumn("_gone", F.lit(False)).unionByName(gone.distinct().withColumn("_gone", F.lit(True))))
+
     def write(self, name: str, rows: DataFrame) -> int:
         """The table holds these rows and no others: how many. Their keys need not differ."""
         state = self.state(name)

@@ -84,3 +84,12 @@ def awaiting_evaluation(invoices: DataFrame) -> DataFrame:
 def never_evaluated(runs: DataFrame, results: DataFrame) -> DataFrame:
     """Distinct ids with a completed run and no result."""
     return runs.filter("status = 'COMPLETED'").select("invoice_id").distinct().join(results.select("invoice_id"), "invoice_id", "left_anti")
+
+
+def finished_batches(spark: SparkSession, out: str) -> set[str]:
+    """Names of the batches of an export that were written to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    done = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {n.removeprefix("batch=") for n in done if n.startswith("batch=")}

@@ -2,12 +2,16 @@
 
 import datetime
 import json
+import re
+import threading
+import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperlane.functions import jsons as J, text as T
-from paperlane.operators import consensus, detections, evaluation, extraction, graph, tables
+from paperlane.functions import jsons as J, places, text as T
+from paperlane.operators import calls, consensus, detections, evaluation, extraction, graph, tables
 
 
 def value(spark, body, *args):
@@ -85,19 +89,45 @@ def test_requests(spark):
     assert value(spark, T.appended_error, None, "new") == "new" and value(spark, T.appended_error, " ", "new") == "new" and value(spark, T.appended_error, "old", "new") == "old | new"
 
 
+def parsed(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    return [r for r in J.with_fields(rows, "j").select("k", "ok", *[f(F.col(f"field_{x}")).alias(f"{n}_{x}") for n, f in (("set", J.set_of), ("raw", J.raw_of), ("text", J.text_of), ("array", J.array_of)) for x in J.ALL]).orderBy("k").collect()]
+
+
 def test_json_fields(spark):
-    j = '{"DATE":"a","AMOUNT":[null," x ",1.5,"x"],"COMPANY":null}'
-    assert value(spark, lambda c: J.field_set(c, "DATE"), j) == ["a"] and value(spark, lambda c: J.field_set(c, "AMOUNT"), j) == ["x", "1.5"] and value(spark, lambda c: J.field_set(c, "COMPANY"), j) == []
-    assert value(spark, lambda c: J.raw_set(c, "AMOUNT"), j) == ["", " x ", "1.5", "x"] and value(spark, lambda c: J.raw_set(c, "COMPANY"), j) == [""] and value(spark, lambda c: J.raw_set(c, "INVOICE_NO"), j) == []
-    assert value(spark, lambda c: J.raw_set(c, "INVOICE_NO"), "{not") is None and value(spark, lambda c: J.array_field(c, "DATE"), j) is None
-    good = ['{"a":1}', ' [1, {"b":[]}]\n', '"s"', "12", "null", '{"a":1,"a":2}', '{"a":"x\\",\\"y"}']
-    bad = ['{"a":1} x', '{"a":1} x}', '{"a":1}{"b":2}', "[1] [2]", "1 2", "1,2", "12 abc", "", " ", "1],[2", '{"a":NaN}', "{'a':1}", '{"a":1', '1,"c"', None]
-    rows = spark.createDataFrame([(x,) for x in good + bad], "j string").select("j", J.valid(F.col("j")).alias("v")).collect()
-    assert [r.v for r in rows] == [True] * len(good) + [False] * len(bad)
-    assert value(spark, lambda c: J.field_set(c, "DATE"), '{"DATE":"x","DATE":["y"]}') == ["y"]  # of repeated keys the last
+    one, bad, twice, more, empty = parsed(spark, '{"DATE":"a","AMOUNT":[null," x ",1.5,"x"],"COMPANY":null}', "{not", '{"DATE":"x","DATE":["y"]}', '{"DATE":["a"],"INVOICE_NO":"b"} x', '{"DATE":[],"AMOUNT":[null]}')
+    assert one.set_DATE == ["a"] and one.set_AMOUNT == ["x", "1.5"] and one.set_COMPANY == [] and one.array_DATE is None and one.text_DATE == "a"
+    assert one.raw_AMOUNT == ["", " x ", "1.5", "x"] and one.raw_COMPANY == [""] and one.raw_INVOICE_NO == []
+    assert twice.ok and twice.set_DATE == ["y"]  # of repeated keys the last
+    for r in (bad, more):
+        assert not r.ok and r.set_DATE == r.raw_DATE == [] and r.text_INVOICE_NO is None and r.array_DATE is None
+    assert empty.array_DATE == [] and empty.array_AMOUNT == [""] and empty.raw_DATE == []
     assert value(spark, lambda c: J.contract(F.lit(None).cast("string"), F.array(c), F.array(c), F.array(c)), "v") == '{"INVOICE_NO":null,"DATE":["v"],"AMOUNT":["v"],"COMPANY":["v"]}'
 
 
+def test_json_numbers_and_containers(spark):
+    numbers = '[1250.00,7.0,1e7,12,-0.5,100000000.5,0.1e-3,9223372036854775807,12345678901234567890,true,{"a":1},[2.0],"2.0"]'
+    r, scalars, boxes = parsed(spark, f'{{"AMOUNT":{numbers}}}', '{"AMOUNT":7.0,"DATE":12,"INVOICE_NO":1e7,"COMPANY":false}', '{"AMOUNT":{"a":1},"DATE":[[1],[2]],"INVOICE_NO":[1],"COMPANY":[1.0,2]}')
+    assert r.array_AMOUNT == ["1250.0", "7.0", "1.0E7", "12", "-0.5", "1.000000005E8", "1.0E-4", "9223372036854775807", "12345678901234567890", "true", "2.0"] and r.set_AMOUNT == r.array_AMOUNT
+    assert (scalars.set_AMOUNT, scalars.raw_DATE, scalars.text_INVOICE_NO, scalars.text_COMPANY) == (["7.0"], ["12"], "1.0E7", "false")
+    assert boxes.set_AMOUNT == boxes.raw_AMOUNT == boxes.set_DATE == [] and boxes.array_AMOUNT is None and boxes.array_DATE == [] and boxes.text_INVOICE_NO is None and boxes.set_COMPANY == ["1.0", "2"]
+
+
+def test_json_is_whole(spark):
+    good = ['{"a":1}', ' [1, {"b":[]}]\n', '"s"', "12", "null", '{"a":1,"a":2}', '{"a":"x\\",\\"y"}', '{"a":"NaN"}', '\n{"DATE":["Infinity"]} ', '{"X":{"a":1,"a":2}}']
+    bad = ['{"a":1} x', '{"a":1} x}', '{"a":1}{"b":2}', "[1] [2]", "1 2", "1,2", "12 abc", "", " ", "1],[2", '{"a":NaN}', '{"DATE":[NaN]}', "{'a':1}", '{"a":1', '1,"c"', '{"a":1},{"b":2}', '{"DATE":[01]}', '{"DATE":["a",]}', '{"DATE":tru}', '{"DATE":["\\x"]}', '{"DATE":[.5]}', None]
+    assert [r.ok for r in parsed(spark, *good, *bad)] == [True] * len(good) + [False] * len(bad)
+    rows = spark.createDataFrame([(x,) for x in good + bad], "j string").select(J.valid(F.col("j")).alias("v")).collect()
+    assert [r.v for r in rows] == [True] * len(good) + [False] * len(bad)
+
+
+def test_json_is_parsed_once(spark):
+    runs = spark.createDataFrame([], "invoice_id string, model_name string, run_number int, extracted_json string, status string")
+    for rows in (graph.extracted_edges(runs), evaluation.summary(runs), consensus.ballots(consensus.first_runs(runs))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("StructField(INVOICE_NO,VariantType") == 1, plan
+
+
 def box(text, confidence, x0, y0, x1, y1):
     return (text, confidence, x0, y0, x1, y1)
 
@@ -120,10 +150,114 @@ def test_pattern_entities(spark):
     out = extraction.pattern_entities(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
     one, none = sorted(out, key=lambda r: r.doc_id)
     assert one.invoice_no == "A-17" and one.dates == ["2024-01-05"] and "1250.00" in one.amounts and "12345.67" not in one.amounts and none.amounts == [] and none.invoice_no is None
-    stand = extraction.standing_amounts
-    assert stand("qty 5.00\npaid 5.00", ["5.00", "9.00"]) == ["5.00", "9.00"] and stand("qty 5.00", ["5.00"]) == [] and stand("qty 13.00", ["13.00"]) == ["13.00"]
-    assert stand("InvoiceDate 12.25", ["12.25"]) == stand("duedate: 12.25", ["12.25"]) == stand("dated 12.25", ["12.25"]) == [] and stand("update 12.25", ["12.25"]) == ["12.25"] and stand("due date 31.13", ["31.13"]) == ["31.13"]
-    assert stand("account no. 1,200.00", ["1200.00"]) == [] and stand("account no" + " " * 40 + "1,200.00", ["1200.00"]) == ["1200.00"]
+
+
+def stand(spark, *cases):
+    rows = spark.createDataFrame([(k, t, a) for k, (t, a) in enumerate(cases)], "k int, text string, amounts array<string>")
+    return [r.amounts for r in extraction.standing_amounts(rows).orderBy("k").collect()]
+
+
+def test_amounts_stand_by_what_is_around_them(spark):
+    kept, gone = [], []
+    kept += [("qty 5.00\npaid 5.00", ["5.00", "9.00"]), ("qty 13.00", ["13.00"]), ("update 12.25", ["12.25"]), ("due date 31.13", ["31.13"]), ("account no" + " " * 40 + "1,200.00", ["1200.00"]), ("", ["1.00"]), ("none", [])]
+    gone += [("qty 5.00", ["5.00"]), ("InvoiceDate 12.25", ["12.25"]), ("duedate: 12.25", ["12.25"]), ("dated 12.25", ["12.25"]), ("account no. 1,200.00", ["1200.00"]), ("x" * 600 + "\n" + "é" * 505 + " qty 5.00 \n", ["5.00"])]
+    # at the edges of blocks and windows: the word is cut where the window ends
+    for pad in range(500, 516):
+        gone += [("\n" * pad + "date 12.25", ["12.25"]), ("y" * pad + " 😀 date" + " " * 75 + "12.25", ["12.25"])]
+        kept += [("y" * pad + " date" + " " * 81 + "12.25", ["12.25"])]
+    assert stand(spark, *kept) == [a for _, a in kept] and stand(spark, *gone) == [[] for _ in gone]
+
+
+def test_places(spark):
+    text = "a1.00\n\nb😀 22.50,3.00\n" + "x" * 2_000 + "1,234.00" + "\ny 9.99" * 300
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(places.matches(F.col("t"), extraction.AMOUNT_TOKEN).alias("m"), F.transform(places.matches(F.col("t"), extraction.AMOUNT_TOKEN), lambda m: places.between(places.blocks(F.col("t")), m["s"] - 700, m["e"] + 3)).alias("c")).collect()
+    want = [(m.start(), m.end(), m[0], text.count("\n", 0, m.start())) for m in re.finditer(extraction.AMOUNT_TOKEN, text)]
+    assert [tuple(m) for m in got[0].m] == want and len(want) == 304
+    assert got[0].c == [text[max(0, s - 700) : e + 3] for s, e, *_ in want] and got[1].m == [] and not got[2].m
+
+
+def test_patterns_need_no_python(spark):
+    plan = extraction.pattern_entities(spark.createDataFrame([], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_outcomes(spark):
+    """FAILED with the error; PARSE_FAILED with the body for no reply, a blank one, or no JSON; COMPLETED for any JSON."""
+    cases = [
+        (None, None, "refused", "FAILED", None, "refused"), (None, "{body}", None, "PARSE_FAILED", None, "{body}"), (" \n", "b" * 900, None, "PARSE_FAILED", None, "b" * 900), ("no json", "whole", None, "PARSE_FAILED", None, "whole"),
+        ("```json\n{}\n```", "x", None, "COMPLETED", "{}", None), ("```\n[1]```", "x", None, "COMPLETED", "[1]", None), ("[1,2]", "x", None, "COMPLETED", "[1,2]", None), ("12", "x", None, "COMPLETED", "12", None), (" {} ", "x", None, "COMPLETED", " {} ", None),
+        ("\n ```json\n{}```", "raw", None, "PARSE_FAILED", None, "raw"), ("{} and more", "raw", None, "PARSE_FAILED", None, "raw"), ("``````", "raw", None, "PARSE_FAILED", None, "raw"),
+    ]
+    rows = [(str(k), "m", 1, reply, body, 5, error, 7) for k, (reply, body, error, *_) in enumerate(cases)]
+    out = extraction.finished(spark.createDataFrame(rows, "invoice_id string, model_name string, run_number int, reply string, body string, token_count int, error_message string, latency_ms int")).collect()
+    got = {int(r.invoice_id): (r.status, r.extracted_json, r.error_message) for r in out}
+    assert [got[k] for k in range(len(cases))] == [c[3:] for c in cases]
+    assert all((r.token_count == 5) == (r.status == "COMPLETED") for r in out)
+
+
+def test_stamps_are_printed_as_iso(spark):
+    stamps = ["2024-05-02 06:07:08", "2024-05-02 06:07:08.25", "2024-05-02 06:07:08.250001", "2024-05-02 06:07:00", "2024-05-02 06:07:00.001", None]
+    got = spark.createDataFrame([(s,) for s in stamps], "s string").select(T.iso_stamp(F.col("s").cast("timestamp_ntz")).alias("v")).collect()
+    assert [r.v for r in got] == ["2024-05-02T06:07:08", "2024-05-02T06:07:08.250", "2024-05-02T06:07:08.250001", "2024-05-02T06:07", "2024-05-02T06:07:00.001", None]
+
+
+class Gauge:
+    """How many calls were open at a time, at most."""
+
+    def __init__(self, seconds):
+        self.lock, self.open, self.most, self.seconds = threading.Lock(), 0, 0, seconds
+
+    def call(self, out):
+        with self.lock:
+            self.open += 1
+            self.most = max(self.most, self.open)
+        time.sleep(self.seconds)
+        with self.lock:
+            self.open -= 1
+        return out
+
+
+def test_calls_run_together_in_order():
+    """Sixteen at a time end at least eight times sooner, are never more than that, and keep their order; another kind has a limit of its own."""
+    wide, narrow = Gauge(0.2), Gauge(0.05)
+    jobs = [("narrow", partial(narrow.call, k)) if k % 9 == 0 else ("wide", partial(wide.call, k)) for k in range(72)]
+    start = time.monotonic()
+    assert list(calls.in_order(jobs, {"wide": 16, "narrow": 2})) == list(range(72))
+    assert time.monotonic() - start < 64 * 0.2 / 8 and 8 < wide.most <= 16 and narrow.most <= 2
+
+
+def test_calls_are_taken_ahead_only_so_far():
+    taken = []
+
+    def jobs():
+        for k in range(1000):
+            taken.append(k)
+            yield "m", lambda k=k: k
+
+    got = calls.in_order(jobs(), {"m": 3})
+    assert next(got) == 0 and len(taken) <= 3 * calls.AHEAD + 1
+    got.close()
+    with pytest.raises(ZeroDivisionError):
+        list(calls.in_order([("m", lambda: 1 / 0)], {"m": 1}))
+
+
+def test_models_are_called_together(spark):
+    """Twenty calls of 0.3 s in one task, eight at a time; one failure stays one row."""
+
+    def slow(text, heat):
+        time.sleep(0.3)
+        if text == "bad7":
+            raise ValueError("odd")
+        return json.dumps({"DATE": [text]}), 1, "body of " + text
+
+    rows = [(f"i{k}", None, "bad7" if k == 7 else f"t{k}", "m", False, 1, 0.0, None) for k in range(20)]
+    work = spark.createDataFrame(rows, "invoice_id string, path string, input_text string, model_name string, reads_path boolean, run_number int, temperature double, status string").coalesce(1)
+    out = extraction.extracted(work, [extraction.Model("m", 1, slow, at_once=8)])
+    out.limit(1).collect()
+    start = time.monotonic()
+    got = out.collect()
+    assert time.monotonic() - start < 20 * 0.3 / 2 and [r.invoice_id for r in got] == [f"i{k}" for k in range(20)]
+    assert [(r.invoice_id, r.error_message) for r in got if r.status != "COMPLETED"] == [("i7", "odd")] and json.loads(got[3].extracted_json) == {"DATE": ["t3"]}
 
 
 def test_calls_are_tried_again_by_kind():
@@ -138,11 +272,12 @@ def test_calls_are_tried_again_by_kind():
         return call
 
     waits = []
-    go = lambda *errors: extraction.called(failing(*errors), pause=waits.append)
-    assert go() == ("ok", 1, None) and go(extraction.Refused("400")) == (None, None, "400") and go(ValueError("odd")) == (None, None, "odd") and waits == []
-    assert go(extraction.Unavailable(), extraction.Unavailable()) == ("ok", 1, None) and waits == []
-    assert go(OSError(), OSError()) == ("ok", 1, None) and waits == [2.0, 2.0]
-    assert go(*[OSError()] * 3) == go(*[extraction.Unavailable()] * 3) == (None, None, "LLM API call failed after 3 attempts") and waits == [2.0] * 4
+    go = lambda *errors: calls.called(failing(*errors), pause=waits.append)
+    ended = (None, "LLM API call failed after 3 attempts")
+    assert go() == (("ok", 1), None) and go(calls.Refused("400")) == ended and go(ValueError("odd")) == (None, "odd") and waits == []
+    assert go(calls.Unavailable(), calls.Unavailable()) == (("ok", 1), None) and waits == []
+    assert go(OSError(), OSError()) == (("ok", 1), None) and waits == [2.0, 2.0]
+    assert go(*[OSError()] * 3) == go(*[calls.Unavailable()] * 3) == ended and waits == [2.0] * 4
 
 
 def test_upsert_keeps_one_row_a_key(spark):
@@ -178,9 +313,9 @@ def test_consensus_needs_two_models(spark):
 
 def test_export(spark, tmp_path):
     row = lambda run, score, when: ("i", "m", run, *[score] * 9, True, 0.5, when)
-    day = lambda d: datetime.datetime(2024, 5, d, 6, 7, 8)
-    rows = spark.createDataFrame([row(1, 0.1, day(1)), row(1, 0.2, day(2)), row(2, 0.3, None)], tables.RESULTS)
-    out = f"{tmp_path}/out"
+    at = lambda micro: datetime.datetime(2024, 5, 1, 6, 7, 8, micro)
+    rows = spark.createDataFrame([row(1, 0.1, at(7)), row(1, 0.2, at(500_000)), row(1, 0.4, at(499_999)), row(2, 0.3, None)], tables.RESULTS)
+    out, rows = f"{tmp_path}/out", tables.export_rows(rows)
     assert tables.exported(rows, out, "v1") == 2 and tables.exported(rows, out, "v1") == 2 and tables.exported(rows.filter("run_number = 2"), out, "v2") == 1
     got = spark.read.parquet(out).filter("batch = 'v1'").orderBy("run_number").collect()
-    assert [(r.insert_id, r.date_f1, r.created_at) for r in got] == [("i_m_1", 0.2, "2024-05-02T06:07:08"), ("i_m_2", 0.3, None)] and len(got[0]) == 15 + 2
+    assert [(r.insert_id, r.date_f1, r.created_at) for r in got] == [("i_m_1", 0.2, "2024-05-01T06:07:08.500"), ("i_m_2", 0.3, None)] and len(got[0]) == 15 + 2
