@@ -99,7 +99,8 @@ def prompt(template: str, c: Column) -> Column:
 
 
 def data_url(path: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), F.when(F.lower(path).endswith(".png"), "image/png").otherwise("image/jpeg"), F.lit(";base64,"), F.base64(content))
+    """Content as a data URL; Spark breaks base64 into lines, which URLs don't have."""
+    return F.concat(F.lit("data:"), F.when(F.lower(path).endswith(".png"), "image/png").otherwise("image/jpeg"), F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def appended_error(old: Column, new: Column) -> Column:

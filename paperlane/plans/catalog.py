@@ -66,6 +66,14 @@ def _texts() -> None:
     _scalar("str_invoice_label", "invoice", r, T.invoice_no_in, f"CASE WHEN {hit} <> '' THEN {O.tr(f'regexp_replace({hit}, {chr(39)}{T.INVOICE_LABEL}{chr(39)}, {chr(39)}{chr(39)})')} END")
     _scalar("src_object_id", "invoice", "path", objects.document_id, r"regexp_extract(path, '([^/]*)\.[^./]*$', 1)")
 
+    listed = lambda c: F.filter(F.array(c, F.lit("a")), lambda x: x.isNotNull())
+    _scalar("json_contract", "samples", n, lambda c: J.contract(c, listed(c), listed(c), F.array()), f"to_json({{'INVOICE_NO': {n}, 'DATE': list_filter([{n}, 'a'], lambda x: x IS NOT NULL), 'AMOUNT': list_filter([{n}, 'a'], lambda x: x IS NOT NULL), 'COMPANY': []::VARCHAR[]}})::VARCHAR")
+    given = f"COALESCE({n}, '')"
+    _scalar("json_chat_request", "samples", n, lambda c: J.chat_request(F.lit("m"), F.coalesce(c, F.lit("")), F.lit(0.3), json_only=True), f"to_json({{'model': 'm', 'messages': [{{'role': 'user', 'content': {given}}}], 'temperature': 0.3::DOUBLE, 'max_tokens': 1024, 'response_format': {{'type': 'json_object'}}}})::VARCHAR")
+    _scalar("json_parts_request", "samples", n, lambda c: J.parts_request(F.coalesce(c, F.lit("")), F.lit(0.5), thinking=0), f"to_json({{'contents': [{{'role': 'user', 'parts': [{{'text': {given}}}]}}], 'generationConfig': {{'temperature': 0.5::DOUBLE, 'maxOutputTokens': 1024, 'responseMimeType': 'application/json', 'thinkingConfig': {{'thinkingBudget': 0}}}}}})::VARCHAR")
+    pictured = lambda c: J.image_request(T.data_url(F.concat(F.substring(c, 1, 3), F.lit(".PNG")), c.cast("binary")))
+    _scalar("json_image_request", "samples", n, lambda c: F.when(c.isNotNull(), pictured(c)), f"CASE WHEN {n} IS NOT NULL THEN to_json({{'input': [{{'type': 'image_url', 'url': 'data:image/png;base64,' || base64(encode({n}))}}]}})::VARCHAR END")
+
     def pages(spark, sf_dir):
         ends = F.get(F.array(*[F.lit(x) for x in (".png", ".PDF", ".txt", "", ".tar.gif", "/.hidden.jpg")]), (F.col("page_id") % 6).cast("int"))
         path = F.concat("url", ends)
@@ -113,6 +121,12 @@ def _fields() -> None:
     _put("json_tokens", replies(f"[{part},{part}]", J.stream_tokens), runs("CASE WHEN model_name = 'Gamma' THEN run_number ELSE run_number * 10 + length(model_name) END"))
     chat = '{"choices":[{"message":{"content":~@~}}],"usage":{"total_tokens":9}}'
     _put("json_chat", replies(chat, J.chat_text), runs("extracted_json"))
+    both = "CASE WHEN run_number = 2 THEN left(extracted_json, length(extracted_json) - 12) ELSE extracted_json END"
+    _put("json_all_parts", replies('[{"candidates":[{"content":{"parts":[{"text":~@A~},{"text":""}]}}]},{"candidates":[{"content":{"parts":[{"text":~@B~}]}}]}]', J.all_parts), runs(both))
+    _put("json_first_part", replies('{"candidates":[{"content":{"parts":[{"text":~@A~},{"text":~@B~}]}}]}', J.all_parts), runs("left(extracted_json, length(extracted_json) // 2)"))
+    _put("json_chat_parts", replies('{"choices":[{"message":{"content":[{"type":"text","text":~@A~},{"type":"image"},{"type":"text","text":~@B~}]}}]}', J.chat_text), runs(both))
+    _put("json_chat_tokens", replies('{"usage":{"total_tokens":~N~},"choices":[]}', J.chat_tokens), runs("run_number * 10 + length(model_name)"))
+    _put("json_sse_tokens", replies('data: {"usage":{"total_tokens":~N~}}\n\ndata: {"choices":[{"delta":{"content":~@~}}],"usage":{"total_tokens":0}}\ndata: [DONE]\n', J.sse_tokens), runs("run_number * 10 + length(model_name)"))
     _put("json_sse", replies('data: {"choices":[{"delta":{"content":~@~}}]}\n\ndata: {"choices":[{"delta":{"content":"!"}}],"usage":{"total_tokens":5}}\ndata: [DONE]\n', lambda c: F.concat(J.sse_text(c), J.sse_tokens(c).cast("string"))), runs("extracted_json || '!5'"))
 
 
