@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrowtext as at
 
-#: Distinct fragments a task keeps before it starts anew.
-KEEP = 1_000_000
+#: Bytes of fragments and their ids that a task keeps before it starts anew, and what each entry costs besides; longer fragments are not kept.
+KEEP_BYTES, ENTRY, LONGEST_KEPT = 128 << 20, 200, 256
 #: Last bytes of white space characters beyond ASCII, in UTF-8; no cut is taken after them.
 _WIDE_SPACE_ENDS = [0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
 
@@ -69,9 +69,8 @@ class Codec:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.known: dict[bytes, bytes] = {}  # fragments and their ids, of 32 bits each
+        self.kept = 0
 
     def fragment(self, raw: bytes) -> list[int]:
         if self.fast is not None and len(raw) < 400 and max(raw) < 0xE0 and not any(a in raw for a in self.added):
@@ -87,23 +86,22 @@ class Codec:
         first[offs[:-1][np.diff(offs) > 0]] = True
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(buf))
-        if len(self.known) > KEEP:
+        if self.kept > KEEP_BYTES:
             self._clear()
         where, back = at.distinct_spans(buf, start, end)
-        raw, known, new, index = buf.tobytes(), self.known, [], np.empty(len(where), np.int64)
-        for i, (a, b) in enumerate(zip(start[where].tolist(), end[where].tolist())):
+        raw, known, parts = buf.tobytes(), self.known, []
+        for a, b in zip(start[where].tolist(), end[where].tolist()):
             piece = raw[a:b]
-            slot = known.get(piece)
-            if slot is None:
-                slot = known[piece] = len(self.at) - 1 + len(new)
-                new.append(self.fragment(piece))
-            index[i] = slot
-        if new:
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in new])))
-            self.ids = np.concatenate((self.ids, np.fromiter((t for x in new for t in x), np.uint32)))
-        slot = index[back]
-        size = self.at[slot + 1] - self.at[slot]
-        ids, offset = at.gathered(self.ids, self.at[slot], size)
+            ids = known.get(piece)
+            if ids is None:
+                ids = np.array(self.fragment(piece), np.uint32).tobytes()
+                if len(piece) <= LONGEST_KEPT:
+                    known[piece] = ids
+                    self.kept += len(piece) + len(ids) + ENTRY
+            parts.append(ids)
+        size = np.array([len(p) // 4 for p in parts], np.int64)
+        first_of = np.cumsum(size) - size
+        ids, offset = at.gathered(np.frombuffer(b"".join(parts), np.uint32), first_of[back], size[back])
         return ids, offset[np.searchsorted(start, offs)]
 
     def decode(self, ids: np.ndarray, at_: np.ndarray) -> list[str]:

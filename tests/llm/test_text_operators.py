@@ -670,3 +670,18 @@ def test_masked_lm_whatever_the_partitions(documents, spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert one.keys() == other.keys() and all(abs(v - other[k]) < 1e-4 * (1 + abs(v)) for k, v in one.items())
+
+
+def test_bpe_keeps_fragments_within_bounds(monkeypatch):
+    """A fragment of a megabyte is encoded and not kept; the cache starts anew beyond its bytes, and ids stay the library's."""
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 20_000)
+    codec, rng = bpe.Codec(vocabulary()), np.random.default_rng(8)
+    rounds = [["0" * 1_000_000, "a-" * 50]] + [[" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60)) for _ in range(4)] for _ in range(12)]
+    most = 0
+    for texts in rounds:
+        raw = [t.encode() for t in texts]
+        ids, offs = codec.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert all(len(k) <= bpe.LONGEST_KEPT for k in codec.known) and codec.kept == sum(len(k) + len(v) + bpe.ENTRY for k, v in codec.known.items())
+        most = max(most, codec.kept)
+    assert 20_000 < most < 20_000 + 4 * 60 * 400
