@@ -34,6 +34,7 @@ TABLES = {
     "sent_batch": Table("batch string", ("batch",), buckets=1),
     "run_summary": Table(evaluation.SUMMARY, ("invoice_id", "model_name"), ("invoice_id",)),
     "run_stage": Table(evaluation.SUMMARY, ("invoice_id", "model_name"), ("invoice_id",)),
+    "score_stage": Table(tables.RESULTS, _RUN, ("invoice_id",)),
     "truth_stage": Table("invoice_no string", ("invoice_no",)),
 }
 #: Unreadable rows that the consensus step passes over before it fails.

@@ -27,9 +27,11 @@ def _started(rows: DataFrame, step: Callable[[DataFrame], None], checkpoint: str
 
 
 def _scored(store: Store, summaries: DataFrame, ids: DataFrame) -> None:
-    """Scores the summaries, which are those of some documents, and puts the rows in the result table."""
+    """Scores the summaries, which are those of some documents, and puts the rows in the result table; rows that have no truth any more go."""
     truth = evaluation.bearing_on(store.read("ground_truth_consensus"), ids)
-    store.upsert("evaluation_result", tables.stamped(evaluation.bundle_of(evaluation.summary_of(summaries), truth)), "created_at")
+    store.write("score_stage", tables.stamped(evaluation.bundle_of(evaluation.summary_of(summaries), truth)))
+    mine = store.read("evaluation_result", store.buckets_of("evaluation_result", ids)).join(summaries, ["invoice_id", "model_name"], "left_semi")
+    store.exchange("evaluation_result", mine, store.read("score_stage"))
 
 
 def add_runs(store: Store, batch: DataFrame) -> None:

@@ -163,7 +163,7 @@ def rounded(rows):
     return sorted(tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in columns) for r in rows.collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_scores_are_kept_up_however_runs_and_truth_arrive(spark, sf_dir, tmp_path, seed):
     runs = derived.runs(spark, sf_dir).filter("invoice_id < 'inv_1100'").withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     runs.write.parquet(str(tmp_path / "runs"))
@@ -186,6 +186,11 @@ def test_scores_are_kept_up_however_runs_and_truth_arrive(spark, sf_dir, tmp_pat
     assert rounded(store.read("evaluation_result")) == want
     incremental.add_runs(store, runs.filter(part == 2))  # a batch that runs again
     assert rounded(store.read("evaluation_result")) == want
+    # truth that is taken back: documents without any have no row
+    bare = truth.filter("not consensus_invoice_no <=> 'SHARED'").withColumns({f"consensus_{c}": F.lit("") for c in ("dates", "amounts", "companies")})
+    incremental.add_truth(store, bare)
+    left = evaluation.bundle(runs, truth.filter("consensus_invoice_no = 'SHARED'").unionByName(bare))
+    assert rounded(store.read("evaluation_result")) == rounded(left) and 0 < left.count() < len(want)
 
 
 def test_streams_keep_up_scores(spark, sf_dir, tmp_path):
