@@ -45,7 +45,8 @@ def in_order(jobs: Iterable[tuple[str, Callable[[], R]]], limits: dict[str, int]
     holds the others back once these are done, and memory stays bounded. What a job raises is raised here.
     """
     pools = {kind: ThreadPoolExecutor(n, thread_name_prefix=kind) for kind, n in limits.items()}
-    most, waiting = AHEAD * sum(limits.values()), deque()  # type: int, deque[Future]
+    waiting: deque[Future[R]] = deque()
+    most = AHEAD * sum(limits.values())
     try:
         for kind, call in jobs:
             waiting.append(pools[kind].submit(call))

@@ -54,11 +54,6 @@ def reseeded(edges: DataFrame, new: DataFrame, numbers: DataFrame | None = None)
     return edges.join((new if numbers is None else numbers).select("invoice_no").distinct(), "invoice_no", "left_anti").unionByName(new)
 
 
-def merged(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges (or nodes) and those of ``new`` that aren't there yet; the stored ones are not made distinct again."""
-    return edges.unionByName(new.select(*edges.columns).distinct().join(edges, edges.columns, "left_anti"))
-
-
 def csv_edges(lines: DataFrame) -> DataFrame:
     """Edges of ground-truth lines; they bear a label of their own, which scoring doesn't read."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("DATE", "date"), ("AMOUNT", "amount"), ("COMPANY", "company"))])
