@@ -5,7 +5,8 @@ ended; a word in which some point has no piece counts as one unknown token. The
 trie of the pieces with failure links: the link of a node says in which node matching goes on once
 the longest piece that starts the node's string is taken, with the number of pieces taken on the
 way. So each byte is read once and pieces are never built. Words of a batch advance in lockstep,
-as arrays, and each distinct word of a slice is matched once.
+as arrays, and each distinct word of a slice is matched once; when fewer than ``FEW`` words are that
+long, each of them goes on alone, so that a word of megabytes costs a table look-up a byte.
 
 A word here is a maximal run of bytes other than space and TAB..CR; a ``prefix`` byte string is put
 before it and what follows the first piece is matched against ``inner`` pieces (word-piece
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrowtext as at
 
 _DEAD = -1
+#: Fewer words than this are walked one by one: an array step costs as much as some hundred look-ups.
+FEW = 256
 
 
 class Automaton:
@@ -62,6 +65,7 @@ class Automaton:
         self.fail, self.pops = np.array(fail, np.int32), np.array(pops, np.int32)
         edges = [(node * 256 + byte, child) for node, kids in enumerate(self.children) for byte, child in kids.items()]
         del self.children
+        self.step, self.back = dict(edges), list(zip(fail, pops))  # the same tables for single words
         size = 1 << (max(1, len(edges)) * 2 - 1).bit_length()
         self.mask = size - 1
         self.keys, self.to = np.full(size, -1, np.int64), np.zeros(size, np.int32)
@@ -114,6 +118,18 @@ class Automaton:
             node[todo] = back
         return np.concatenate(dead) if dead else np.zeros(0, np.int64)
 
+    def _alone(self, node: int, data: bytes) -> tuple[int, int]:
+        """The node after ``data`` and the pieces taken on the way; a negative node where there is no way."""
+        step, back, count = self.step, self.back, 0
+        for byte in data:
+            while (nxt := step.get(node * 256 + byte)) is None:
+                node, taken = back[node]
+                if node < 0:
+                    return node, 0
+                count += taken
+            node = nxt
+        return node, count
+
     def lengths(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: bytes = b"") -> np.ndarray:
         """Number of greedy pieces of every span; 1 for one that can't be cut."""
         n = len(start)
@@ -126,6 +142,12 @@ class Automaton:
         for k in range(-len(prefix), int(size.max()) if n else 0):
             live = np.arange(n) if k < 0 else np.arange(int(np.searchsorted(-size, -k, "left")))
             live = live[alive[live]]
+            if k >= 0 and len(live) < FEW:
+                for i in live.tolist():
+                    node[i], more = self._alone(int(node[i]), buf[start[i] + k : start[i] + size[i]].tobytes())
+                    count[i] += more
+                alive[live] = node[live] >= 0
+                break
             byte[live] = prefix[k + len(prefix)] if k < 0 else buf[start[live] + k]
             alive[self._follow(node, count, byte, live)] = False
         # what is left in the node must itself be cut to the end: follow failure links to the inner root
