@@ -151,10 +151,10 @@ def _looked_up(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The same for any number of patterns: tokens are joined with them and go back to their rows."""
+    """The same for any number of patterns: tokens are joined with them, frequent patterns where their tokens are, and go back to their rows."""
     each = rows.select("row_no", F.explode("tokens").alias("t")).filter("not t.seed")
-    each = each.select("row_no", F.struct("t.s", "t.e", "t.v").alias("x"), F.explode(_patterns(F.col("t"))).alias("pattern"))
-    added = each.join(patterns, "pattern").groupBy("row_no").agg(F.array_sort(F.collect_set("x")).alias("id"))
+    each = written(each.select("row_no", F.struct("t.s", "t.e", "t.v").alias("x"), F.explode(_patterns(F.col("t"))).alias("pattern")), "met")
+    added = left_join(each, patterns.withColumn("reliable", F.lit(True)), ["pattern"]).filter("reliable").groupBy("row_no").agg(F.array_sort(F.collect_set("x")).alias("id"))
     return rows.join(added, "row_no", "left")
 
 
