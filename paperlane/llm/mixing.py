@@ -2,8 +2,8 @@
 
 Targets: the sources' sizes add up to the mix's size, shared by weight; a source stops at
 ``max_repeats`` times its own size and the excess goes to the others by weight, until none is above.
-With sources ordered by (max_repeats * size / weight) the ones that stop are the first, so one window
-over the sources (one row each) gives the fixed point.
+With sources ordered by (max_repeats * size / weight) the ones that stop are the first, so running sums
+over the sources (one row each, in ranges) give the fixed point.
 
 Documents: a document of relative weight v is expected c * v times, at most ``max_repeats`` times, where c
 is such that the expected words of the source are its target. Weights are counted in sixteenths, so
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import WORD, left_join, written
+from .shared import WORD, left_join, partitions, written
 
 BINS = 4096
 WEIGHTS = (5, 2, 1)
@@ -31,27 +31,40 @@ WEIGHTS = (5, 2, 1)
 SMALL = 50_000
 
 
+def _ordered(rows: DataFrame, order: list[Column]) -> tuple[DataFrame, Window]:
+    """A written table of the rows in ranges of an order that tells all apart, with ``range``, and the window over a range."""
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *order)
+    return written(ranged.withColumn("range", F.spark_partition_id()), "ranged"), Window.partitionBy("range").orderBy(*order)
+
+
+def _through(ranged: DataFrame, own: Window, sums: dict[str, Column]) -> DataFrame:
+    """ranged with ``name_before``, the sum over all rows before, and ``name_all``. Only the ranges' sums, one row each, meet in one task."""
+    every = Window.partitionBy()
+    before = every.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    each = ranged.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    each = each.select("range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_base") for n in sums], *[F.sum(n).over(every).alias(f"{n}_all") for n in sums])
+    rows = ranged.join(F.broadcast(each), "range")
+    inner = own.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*ranged.columns, *[(F.col(f"{n}_base") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(f"{n}_before") for n, c in sums.items()], *[f"{n}_all" for n in sums]).drop("range")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
     """source, source_size -> with weight and target. Weights repeat over the sources by code point, null last.
 
-    One row a source; sources of size 0 have the target 0.
+    One row a source; sources of size 0 have the target 0. Sources may be many: both orders, by code point
+    and by cap over weight, are sums over ranges.
     """
-    every = Window.partitionBy()
-    n = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (n % len(weights) + 1).cast("int")).cast("long"))
-    ranked = ranked.withColumn("cap", F.col("source_size") * max_repeats)
-    order = every.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumns({
-        "left": F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0)),
-        "weights_left": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
+    named = _through(*_ordered(sizes, [F.col("source").asc_nulls_last()]), {"n": F.lit(1)})
+    ranked = named.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("n_before") % len(weights) + 1).cast("int")).cast("long"))
+    ranked = ranked.select("source", "source_size", "weight", (F.col("source_size") * max_repeats).alias("cap"))
+    ranged, own = _ordered(ranked, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()])
+    rows = _through(ranged, own, {"cap": F.col("cap"), "weight": F.col("weight"), "source_size": F.col("source_size")})
+    rows = rows.withColumns({"left": F.col("source_size_all") - F.col("cap_before"), "weights_left": F.col("weight_all") - F.col("weight_before")})
     # a source stops if its share of what the earlier ones leave is above its cap; later ones then share by weight
-    ranked = ranked.withColumn("stops", F.col("left") * F.col("weight") > F.col("cap") * F.col("weights_left"))
-    free = F.when(~F.col("stops"), F.struct(F.col("weights_left").alias("w"), F.col("left").alias("l")))
-    first = F.max(free).over(every)  # the first free source has the most weight left
-    share = F.coalesce((first["l"] * F.col("weight")).cast("double") / first["w"].cast("double"), F.lit(0.0))
-    return ranked.select("source", "source_size", "weight", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(share).alias("target"))
+    rows = written(rows.withColumn("stops", F.col("left") * F.col("weight") > F.col("cap") * F.col("weights_left")), "stopping")
+    first = rows.filter("not stops").agg(F.max(F.struct(F.col("weights_left").alias("w"), F.col("left").alias("l"))).alias("free")).scalar()  # the first free source has the most weight left
+    share = F.coalesce((F.col("free")["l"] * F.col("weight")).cast("double") / F.col("free")["w"].cast("double"), F.lit(0.0))
+    return rows.withColumn("free", first).select("source", "source_size", "weight", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def uniform(seed: str, *columns: Column) -> Column:

@@ -46,6 +46,24 @@ def test_mixing_targets_by_definition(spark):
     assert copies.columns == odd.columns and copies.count() == sum(r.copies for r in got)
 
 
+def test_mixing_targets_of_many_sources(spark):
+    """The fixed point by plain loops, over sources that stop and others, with equal caps and a null source."""
+    rng = np.random.default_rng(9)
+    sizes = {f"host{i:04d}": int(x) for i, x in enumerate(rng.choice([0, 1, 3, 3, 50, 2000, 90_000], 900))} | {None: 7}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    want, free, left = {}, set(names), sum(sizes.values())
+    while over := {s for s in free if left * weight[s] > 3 * sizes[s] * sum(weight[x] for x in free)}:
+        want |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(3 * sizes[s] for s in over)
+        free -= over
+    share = sum(weight[x] for x in free)
+    want |= {s: left * weight[s] / share for s in free}
+    assert 50 < len(free) < 850
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()
+    assert len(got) == len(names) and all(r.weight == weight[r.source] and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
 def test_mixing_includes_by_odds(spark):
     """Two hundred draws at once: each draw is a pair of sources of its own, with the same documents and other random numbers."""
     rng = np.random.default_rng(4)
