@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import dropped, written
+from .shared import dropped, hub_join, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. A node's least neighbour is a partial aggregate and joined back, so a hub is no single task's work."""
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over at most ``total`` edges. A node's least neighbour is a partial aggregate; hubs' edges get it where they are (``hub_join``)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    out = both.join(least, "u")
+    out = hub_join(both, least, "u", 2 * total if large else total)
     if large:
         return out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b")
@@ -26,14 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
     round changes nothing.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, total = None, now.count()
     while True:
         # Every node but a root has one edge once all is flat: then no node stands on both sides.
-        new = written(_stars(_stars(now, True).distinct(), False).distinct(), "edges")
-        dropped(now)
+        far = written(_stars(now, True, total).distinct(), "far")  # no more rows than edges
+        new = written(_stars(far, False, total).distinct(), "edges")
+        dropped(now, far)
         now = new
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000003), F.countDistinct("a")).first()
         if seen == mark or seen[0] == 0:
             break
-        mark = seen
+        mark, total = seen, seen[0]
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -22,8 +22,10 @@ when ``100 * |x & y| >= 75 * |x | y|``. The steps, each a Spark stage over all d
    known to be in one component. No cap, no sampling: components are those of all true links.
 
 So no posting list ever stands in one task: frequencies come from partial counts, long lists are split by a salt
-(``SPLIT`` members each), and what a block has to search is split in parts of ``PART`` postings. Rows of one
-large class, and vertices of one large component, meet a broadcast of its label (see ``left_join``).
+(``SPLIT`` members each), and what a block has to search is split in parts of ``PART`` postings and ``MATCHES`` possible
+matches at most; what these find is verified in groups of some ``GROUP`` shingles. Rows of one
+large class, and vertices of one large component, meet a broadcast of its label (see ``left_join``), links to
+one leader that of its component (``hub_join``), and a leader's set is copied for every ``SPLIT`` groups that ask for it.
 
 ``near_duplicates`` gives classes; ``similar_pairs`` gives every link between different sets, which in a group
 of m near copies is up to m * m of them, and the classes' members.
@@ -44,7 +46,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import arrowtext as at
 from .components import components
-from .shared import bucketed, deleted, dropped, left_join, recorded, written
+from .shared import HOT_SHARE, bucketed, deleted, dropped, hub_join, left_join, recorded, written
 
 SCREEN_SHARE = 0.3
 BLOCK_TOKENS = 1_500_000
@@ -53,6 +55,8 @@ MAX_MATCHES = 8
 BLOCK_DOCS = 256
 #: Shingles in a packet of sets, members of a piece of a posting list, postings that a part of a block searches, and pairs in a row.
 PACKET, SPLIT, PART, PAIRS = 1_000_000, 512, 100_000, 4096
+#: Matches that a part of a block may find, and shingles of the sets that are verified together.
+MATCHES, GROUP = 4_000_000, 16_000_000
 ROUNDS = 3
 _PROBE, _VERIFY = 1.0, 0.02
 
@@ -316,10 +320,16 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
     """The links (a, b) among pairs; unless ``every`` is wanted, a pair already joined through others of its group is skipped.
 
-    pairs: block, part and arrays of up to some thousand pairs: xs, ys, cx, cy (their components), and ``vertices``, the
-    distinct ones among them. A vertex's set goes to each group that names it, once.
+    pairs: block, part, piece (which name a group) and arrays of up to some thousand pairs: xs, ys, cx, cy (their components),
+    and ``vertices``, the distinct ones among them. A vertex's set goes to each group that names it, once.
     """
-    need = pairs.select((F.col("block") + 0).alias("to"), (F.col("part") + 0).alias("to_part"), F.explode("vertices").alias("vertex")).distinct().join(sets, "vertex").select("to", "to_part", "vertex", "tokens")
+    to = ["to", "to_part", "to_piece"]
+    need = written(pairs.select(*[(F.col(c) + 0).alias(t) for c, t in zip(("block", "part", "piece"), to)], F.explode("vertices").alias("vertex")).distinct(), "need")
+    # fewer than HOT_SHARE vertices, by name only; sets may be long, so they are not broadcast
+    hot = F.broadcast(need.groupBy("vertex").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") * HOT_SHARE > need.count()))
+    cold = need.join(hot, "vertex", "left_anti").join(sets, "vertex").select(*to, "vertex", "tokens")
+    asked = need.join(hot, "vertex").withColumn("salt", F.pmod(F.xxhash64(*to), _pieces()).cast("int")).drop("df")
+    need = cold.unionByName(asked.join(_each_piece(sets.join(hot, "vertex")), ["vertex", "salt"]).select(*to, "vertex", "tokens"))
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {v: np.frombuffer(t, np.uint64) for v, t in zip(right.column("vertex").to_pylist(), right.column("tokens").to_pylist())}
@@ -344,7 +354,7 @@ def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFram
                     b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.groupBy("block", "part").cogroup(need.groupBy("to", "to_part")).applyInArrow(check, "a long, b long")
+    return pairs.groupBy("block", "part", "piece").cogroup(need.groupBy(*to)).applyInArrow(check, "a long, b long")
 
 
 def _pieces() -> Column:
@@ -369,8 +379,8 @@ def _open_lists(prefix: DataFrame) -> DataFrame:
 
 def _relabelled(open_: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links, which are first drawn between the old components."""
-    of = open_.select("vertex", "component").distinct()
-    edges = links.join(of.select(F.col("vertex").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("vertex").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    of, n = written(open_.select("vertex", "component").distinct(), "open-vertices"), links.count()
+    edges = hub_join(hub_join(links, of.toDF("a", "ca"), "a", n), of.toDF("b", "cb"), "b", n).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     label = written(components(edges).select(F.col("id").alias("component"), F.col("component").alias("new")), "labels")
     return left_join(open_, label, ["component"]).select("token", "vertex", "n", "lone", "ell", "df", F.coalesce("new", "component").alias("component"))
 
@@ -383,7 +393,7 @@ def _leader_pairs(open_: DataFrame, seed: int, blocks: int) -> DataFrame:
     best = pairs.groupBy("x", "cx").agg(F.max(F.struct("m", "y", "cy")).alias("b"))  # so a round verifies one pair a vertex
     rows = best.select(F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int").alias("block"), "x", "b.y", "cx", "b.cy")
     packed = rows.groupBy("block").agg(*[F.collect_list(c).alias(d) for c, d in (("x", "xs"), ("y", "ys"), ("cx", "cx"), ("cy", "cy"))])  # some BLOCK_DOCS pairs
-    return packed.select("block", F.lit(0).alias("part"), "xs", "ys", "cx", "cy", F.array_union("xs", "ys").alias("vertices"))
+    return packed.select("block", F.lit(0).alias("part"), F.lit(0).alias("piece"), "xs", "ys", "cx", "cy", F.array_union("xs", "ys").alias("vertices"))
 
 
 def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame:
@@ -394,8 +404,9 @@ def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame
     block = F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int").alias("block")
     left = open_.join(asking.select("vertex").distinct(), "vertex").select(block, "token", "vertex", "n", "ell", "component")
     left = written(left, "asking")
-    wanted = left.select("block", "token").distinct().join(lists.select("token", "size", "df"), "token")
-    parts = written(wanted.groupBy("block").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")), "parts")
+    wanted = left.groupBy("block", "token").agg(F.count(F.lit(1)).alias("c")).join(lists.select("token", "size", "df"), "token")
+    most = F.greatest(F.sum("size") / PART, F.sum(F.col("size") * F.col("c")) / MATCHES)
+    parts = written(wanted.groupBy("block").agg(F.ceil(most).cast("int").alias("parts")), "parts")
     left = left.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     wanted = _each_piece(wanted.select("block", "token", "df").join(parts, "block"))
     right = wanted.select(F.col("block").alias("to"), "token", "salt", "parts").join(open_.withColumnRenamed("vertex", "y"), ["token", "salt"])
@@ -409,7 +420,7 @@ def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame
         x = {c: v[order] for c, v in x.items()}
         lo, hi = np.searchsorted(y["token"], x["token"], "left"), np.searchsorted(y["token"], x["token"], "right")
         edge = np.append(np.flatnonzero(np.concatenate(([True], x["vertex"][1:] != x["vertex"][:-1]))), len(x["vertex"])) if len(x["vertex"]) else np.zeros(1, np.int64)
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             at_ = np.concatenate([np.arange(p, q) for p, q in zip(lo[a:b].tolist(), hi[a:b].tolist())])
             ids, first, m = np.unique(y["y"][at_], return_index=True, return_counts=True)
@@ -422,17 +433,18 @@ def _rest_pairs(open_: DataFrame, blocks: int, every: bool = False) -> DataFrame
                 ok &= ids > x["vertex"][a]
             best = np.argsort(-m[ok], kind="stable")
             ids, c = ids[ok][best], y["component"][at_][ok][best]
-            for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids, np.full(len(ids), x["component"][a]), c)):
+            for held, v in zip(out, (np.full(len(ids), x["vertex"][a]), ids, np.full(len(ids), x["component"][a]), c, ny[ok][best])):
                 held.append(v)
-        cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
-        cut = np.append(np.arange(0, len(cols[0]), PAIRS), len(cols[0]))
+        *cols, sizes = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
+        piece = np.cumsum(sizes) // GROUP
+        cut = np.append(np.union1d(np.arange(0, len(piece), PAIRS), np.flatnonzero(np.diff(piece)) + 1), len(piece)).astype(np.int64)
         k = len(cut) - 1
         lists = [[c[a:b] for a, b in zip(cut[:-1], cut[1:])] for c in cols]
         lists.append([np.unique(np.concatenate(v)) for v in zip(lists[0], lists[1])])
         where = [np.full(k, t[0] if len(t) else 0, np.int32) for t in (x["block"], x["part"])]
-        return pa.table({"block": pa.array(where[0]), "part": pa.array(where[1])} | {c: pa.array(v, pa.list_(pa.int64())) for c, v in zip(("xs", "ys", "cx", "cy", "vertices"), lists)})
+        return pa.table({"block": pa.array(where[0]), "part": pa.array(where[1]), "piece": pa.array(piece[cut[:-1]].astype(np.int32))} | {c: pa.array(v, pa.list_(pa.int64())) for c, v in zip(("xs", "ys", "cx", "cy", "vertices"), lists)})
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("to", "to_part")).applyInArrow(probe, "block int, part int, xs array<long>, ys array<long>, cx array<long>, cy array<long>, vertices array<long>")
+    return left.groupBy("block", "part").cogroup(right.groupBy("to", "to_part")).applyInArrow(probe, "block int, part int, piece int, xs array<long>, ys array<long>, cx array<long>, cy array<long>, vertices array<long>")
 
 
 def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:

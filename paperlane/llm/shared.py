@@ -111,6 +111,16 @@ def left_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: list[Row] |
     return rows.join(F.broadcast(mark), same, "left_semi").join(F.broadcast(few), keys, "left").unionByName(rows.join(F.broadcast(mark), same, "left_anti").join(one, keys, "left"))
 
 
+def hub_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a table with one row a key, in one plan: rows of hot keys meet a broadcast of those keys' rows of ``one``.
+
+    ``total``: the number of rows, or more; so fewer than ``HOT_SHARE`` keys are hot. Rows of ``one`` should be narrow.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > total).select(key)
+    hot = one.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one, key))
+
+
 def chunked(items: Column) -> Column:
     """An array in pieces of about the root of its size, at least 64."""
     each = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items))).cast("int"))

@@ -119,16 +119,41 @@ def test_one_list_is_split(spark, monkeypatch):
     """The same with lists in pieces of three, packets of few sets and parts of few postings."""
     from paperlane.llm import ngram_join
 
-    for name, value in (("SPLIT", 3), ("PACKET", 100), ("PART", 20), ("FLUSH_TOKENS", 200), ("BLOCK_TOKENS", 150), ("BLOCK_DOCS", 4), ("ROUNDS", 1)):
+    for name, value in (("SPLIT", 3), ("PACKET", 100), ("PART", 20), ("FLUSH_TOKENS", 200), ("BLOCK_TOKENS", 150), ("BLOCK_DOCS", 4), ("ROUNDS", 1), ("MATCHES", 12), ("PAIRS", 5), ("GROUP", 150)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = near_family(5) + [(1, None), (2, ""), (None, BASE)] + [(10 + i, BASE) for i in range(40)]
     got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute_components(rows)
 
 
-def test_similar_pairs(spark):
+def test_components_with_hubs(spark):
+    """Stars whose middle holds half of all edges, chains that end in one, loops and repeats: as by plain union."""
+    from paperlane.llm.components import components
+
+    edges = [(0, i) for i in range(1, 900)] + [(1000 + i, 5000) for i in range(900)] + [(2000 + i, 2001 + i) for i in range(60)] + [(2060, 5000), (7000, 7000), (3, 0), (8000, 8001)]
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for e in edges for x in e if find(x) != x}
+    assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_similar_pairs(spark, monkeypatch, small):
+    from paperlane.llm import ngram_join
     from paperlane.llm.ngram_join import similar_pairs
 
+    if small:
+        for name, value in (("SPLIT", 3), ("MATCHES", 12), ("PAIRS", 5), ("GROUP", 150)):
+            monkeypatch.setattr(ngram_join, name, value)
     rows = near_family(8) + [(1, None), (2, ""), (None, BASE), (3, BASE), (4, BASE), (5, BASE.replace("tok30", "x")), (6, BASE + " more")]
     pairs, belong = similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
     sets = {}
