@@ -24,8 +24,8 @@ when ``100 * |x & y| >= 75 * |x | y|``. The steps, each a Spark stage over all d
 So no posting list ever stands in one task: frequencies come from partial counts, long lists are split by a salt
 (``SPLIT`` members each), and what a block has to search is split in parts of ``PART`` postings and ``MATCHES`` possible
 matches at most; what these find is verified in groups of some ``GROUP`` shingles. Rows of one
-large class, and vertices of one large component, meet a broadcast of its label (see ``left_join``), links to
-one leader that of its component (``hub_join``), and a leader's set is copied for every ``SPLIT`` groups that ask for it.
+large class, and vertices of one large component, meet a broadcast of its label (see ``left_join``), links bring
+their components along, and a leader's set is copied for every ``SPLIT`` groups that ask for it.
 
 ``near_duplicates`` gives classes; ``similar_pairs`` gives every link between different sets, which in a group
 of m near copies is up to m * m of them, and the classes' members.
@@ -46,7 +46,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import arrowtext as at
 from .components import components
-from .shared import HOT_SHARE, bucketed, deleted, dropped, hub_join, left_join, recorded, written
+from .shared import HOT_SHARE, bucketed, deleted, dropped, left_join, recorded, written
 
 SCREEN_SHARE = 0.3
 BLOCK_TOKENS = 1_500_000
@@ -318,7 +318,7 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
-    """The links (a, b) among pairs; unless ``every`` is wanted, a pair already joined through others of its group is skipped.
+    """The links (a, b) among pairs, with their components before (ca, cb); unless ``every`` is wanted, a pair already joined through others of its group is skipped.
 
     pairs: block, part, piece (which name a group) and arrays of up to some thousand pairs: xs, ys, cx, cy (their components),
     and ``vertices``, the distinct ones among them. A vertex's set goes to each group that names it, once.
@@ -341,20 +341,18 @@ def verified(pairs: DataFrame, sets: DataFrame, every: bool = False) -> DataFram
                 c = p
             return c
 
-        a, b = [], []
+        links: list[tuple[int, int, int, int]] = []
         for row in zip(*(left.column(c) for c in ("xs", "ys", "cx", "cy"))):
-            for x, y, p, q in zip(*(v.values.to_pylist() for v in row)):
-                if not every:
-                    p, q = find(p), find(q)
-                    if p == q:
-                        continue
+            for x, y, cx, cy in zip(*(v.values.to_pylist() for v in row)):
+                p, q = (cx, cy) if every else (find(cx), find(cy))
+                if p == q and not every:
+                    continue
                 if _similar(sets[x], sets[y]):
                     root[max(p, q)] = min(p, q)
-                    a.append(x)
-                    b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    links.append((x, y, cx, cy))
+        return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate(("a", "b", "ca", "cb"))})
 
-    return pairs.groupBy("block", "part", "piece").cogroup(need.groupBy(*to)).applyInArrow(check, "a long, b long")
+    return pairs.groupBy("block", "part", "piece").cogroup(need.groupBy(*to)).applyInArrow(check, "a long, b long, ca long, cb long")
 
 
 def _pieces() -> Column:
@@ -378,10 +376,8 @@ def _open_lists(prefix: DataFrame) -> DataFrame:
 
 
 def _relabelled(open_: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after further links, which are first drawn between the old components."""
-    of, n = written(open_.select("vertex", "component").distinct(), "open-vertices"), links.count()
-    edges = hub_join(hub_join(links, of.toDF("a", "ca"), "a", n), of.toDF("b", "cb"), "b", n).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    label = written(components(edges).select(F.col("id").alias("component"), F.col("component").alias("new")), "labels")
+    """Components after further links, drawn between the old components."""
+    label = written(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("new")), "labels")
     return left_join(open_, label, ["component"]).select("token", "vertex", "n", "lone", "ell", "df", F.coalesce("new", "component").alias("component"))
 
 
@@ -475,7 +471,7 @@ def similar_pairs(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     sets, _, prefix = _indexed(docs, classes, k)
     open_ = written(_open_lists(prefix), "open")
     blocks = _blocks(open_.agg(F.countDistinct("vertex")).first()[0], BLOCK_DOCS)
-    links = written(verified(written(_rest_pairs(open_, blocks, True), "pairs"), sets, True), "links").distinct()
+    links = written(verified(written(_rest_pairs(open_, blocks, True), "pairs"), sets, True).select("a", "b"), "links").distinct()
     of = classes.select("vertex", F.col("doc_id").alias("class_id"))
     pairs = links.join(of.toDF("a", "first"), "a").join(of.toDF("b", "second"), "b").select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
     belong = left_join(members, written(classes.select("key1", "key2", F.col("doc_id").alias("class_id")), "names"), ["key1", "key2"])
@@ -508,7 +504,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, keys: bool = False) -> DataFram
                 dropped(before, open_)
         label = classes.select(F.col("vertex").alias("id"), "key1", "key2", "doc_id")
         if found is not None:
-            label = label.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            label = label.join(components(found.select("a", "b")), "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
             label = label.withColumn("component", F.col("id"))
         label = written(label, "labels")

@@ -111,14 +111,16 @@ def left_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: list[Row] |
     return rows.join(F.broadcast(mark), same, "left_semi").join(F.broadcast(few), keys, "left").unionByName(rows.join(F.broadcast(mark), same, "left_anti").join(one, keys, "left"))
 
 
-def hub_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join with a table with one row a key, in one plan: rows of hot keys meet a broadcast of those keys' rows of ``one``.
+def hub_join(rows: DataFrame, one: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """The rows with the ``value`` (never null) of a table with one row a key, in one plan: rows of hot keys meet a broadcast of those keys' values.
 
-    ``total``: the number of rows, or more; so fewer than ``HOT_SHARE`` keys are hot. Rows of ``one`` should be narrow.
+    ``n`` in ``one`` is how many rows have that key, ``total`` the number of rows, or more; so fewer than ``HOT_SHARE``
+    keys are hot. Both halves of the plan read the same columns of ``one``, so one aggregate and one broadcast serve them.
     """
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > total).select(key)
-    hot = one.join(F.broadcast(hot), key, "left_semi")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one, key))
+    hot = F.broadcast(one.filter(F.col("n") * HOT_SHARE > total).select(key, value))
+    cold = one.filter(F.col("n") * HOT_SHARE <= total).select(key, value)
+    others = rows.join(hot, key, "left").filter(F.col(value).isNull()).select(*rows.columns)
+    return rows.join(hot, key).unionByName(others.join(cold, key))
 
 
 def chunked(items: Column) -> Column:

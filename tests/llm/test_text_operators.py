@@ -146,6 +146,25 @@ def test_components_with_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_in_few_jobs(spark):
+    """The driver keeps a record of every job: edges that are flat take no round, and a round takes few jobs (43 and 62 before, 6 and 32 now)."""
+    from paperlane.llm.components import components
+
+    def job(name):
+        spark.sparkContext.setJobGroup(name, name)
+        spark.sparkContext.parallelize([1], 1).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    stars = {(i, i % 50 - 100) for i in range(50, 2000)}
+    chains = {(10 * i + k + 1, 10 * i + k) for i in range(300, 600) for k in range(4)} | {(i, 7) for i in range(8, 2000)}
+    for n, (edges, want, most) in enumerate(((stars, stars, 10), (chains, {(a, a - a % 10 if a >= 3000 else 7) for a, _ in chains}, 45))):
+        before = job(f"before-{n}")
+        got = {tuple(r) for r in components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+        jobs = job(f"after-{n}") - before - 1
+        assert got == want and jobs <= most, (n, jobs)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_similar_pairs(spark, monkeypatch, small):
     from paperlane.llm import ngram_join
