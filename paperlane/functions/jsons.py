@@ -160,7 +160,7 @@ def chat_tokens(body: Column) -> Column:
 
 
 def _events(body: Column) -> Column:
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), trimmed), lambda x: x.startswith("data:"))
+    lines = F.filter(F.transform(F.split(body, "\n"), trimmed), lambda x: x.startswith("data:"))  # trimmed, so \r\n needs no pattern
     return F.filter(F.transform(lines, lambda x: trimmed(F.substring(x, 6, 1 << 30))), lambda x: (x != "") & (x != "[DONE]"))
 
 

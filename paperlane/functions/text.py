@@ -24,9 +24,12 @@ AMOUNT_PREFIXES = ["total:", "amount due:", "balance due:", "grand total:", "sub
 COMPANY_PREFIXES = ["client company:", "company:", "bank name:", "account name:", "vendor:", "supplier:", "seller:", "from:", "bill from:", "issued by:", "service provider:"]
 
 
+_BLANKS = "".join(map(chr, range(0x21)))
+
+
 def trimmed(c: Column) -> Column:
     """Without characters up to U+0020 at both ends."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def let(value: Column, body) -> Column:

@@ -9,6 +9,14 @@ from paperlane.functions import text as T
 KEYS = ["invoice_id", "model_name", "run_number"]
 
 
+def with_value(rows: DataFrame, column: str) -> DataFrame:
+    """rows in which the column isn't null.
+
+    A filter would move below the column's expression and spell it out again, in one method too long to be compiled; a generator stays where it is.
+    """
+    return rows.withColumn(column, F.explode(F.array_compact(F.array(column))))
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a key, the one with the greatest ``order`` (of equal ones the greatest row)."""
     rest = [c for c in rows.columns if c not in keys]

@@ -94,17 +94,18 @@ def _fields() -> None:
 
     def replies(kind: str, body: Callable[[Column], Column]):
         def query(spark, sf_dir):
-            runs = derived.runs(spark, sf_dir).filter("extracted_json is not null")
+            runs = tables.with_value(derived.runs(spark, sf_dir), "extracted_json")
 
             def quoted(c: Column) -> Column:
                 whole = F.to_json(F.struct(c.alias("t")))
-                return F.substring(whole, F.lit(6), F.length(whole) - 6)  # the value as a JSON string
+                return T.let(whole, lambda w: F.substring(w, F.lit(6), F.length(w) - 6))  # the value as a JSON string
 
             j, half = F.col("extracted_json"), F.floor(F.length("extracted_json") / 2).cast("int")
             run, model = F.col("run_number"), F.col("model_name")
             rest = F.substring(j, half + 1, F.length(j) - half - F.when(run == 2, 12).otherwise(0))
             inserts = {"@": quoted(j), "@A": quoted(F.substring(j, F.lit(1), half)), "@B": quoted(rest), "WHY": F.when(run == 2, "MAX_TOKENS").when(run == 3, "SAFETY").otherwise("STOP"), "HIDDEN": (model == "Delta").cast("string"), "N": (run * 10 + F.length("model_name")).cast("string"), "MORE": F.when(model == "Gamma", F.concat(F.lit('"candidatesTokenCount":'), run, F.lit(","))).otherwise("")}
-            return runs.select(*tables.KEYS, body(F.concat(*[inserts.get(p, F.lit(p)) for p in kind.split("~")])).alias("value"))
+            bodies = runs.select(*tables.KEYS, F.concat(*[inserts.get(p, F.lit(p)) for p in kind.split("~")]).alias("body"))
+            return bodies.select(*tables.KEYS, body(F.col("body")).alias("value"))
 
         return query
 
