@@ -142,7 +142,7 @@ def stream_tokens(body: Column) -> Column:
 def all_parts(body: Column) -> Column:
     """All parts of a streamed response joined, or the first part of a single one."""
     joined = F.array_join(F.flatten(F.transform(F.from_json(body, f"array<{PAYLOAD}>"), lambda c: F.coalesce(F.transform(F.get(c["candidates"], 0)["content"]["parts"], lambda p: p["text"]), F.array().cast("array<string>")))), "")
-    return F.when(trimmed(body).startswith("["), or_null(joined)).otherwise(F.get(F.get(F.from_json(body, PAYLOAD)["candidates"], 0)["content"]["parts"], 0)["text"])
+    return F.when(trimmed(body).startswith("["), let(joined, or_null)).otherwise(F.get(F.get(F.from_json(body, PAYLOAD)["candidates"], 0)["content"]["parts"], 0)["text"])
 
 
 def chat_text(body: Column) -> Column:
