@@ -17,10 +17,12 @@ FIELD_COLUMNS = ", ".join(f"field_{f} struct<kind:string,values:array<string>>"
 def valid(j: Column) -> Column:
     """Whether the text is one whole JSON value, with nothing after it; repeated keys are allowed.
 
-    The text and its digest, as the items of an array, must be read back as just these two.
+    The text and its digest, as the items of an array, must be read back as just these two. An object that isn't
+    closed at the end is told without a parse: where texts are cut off, the parser's exceptions cost more than all else.
     """
+    open_ended = let(trimmed(j), lambda t: t.startswith("{") & ~t.endswith("}"))
     items = F.from_json(F.concat(F.lit("["), j, F.lit(',"'), F.md5(j), F.lit('"]')), "array<string>", _STRICT)
-    return F.coalesce(let(items, lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == F.md5(j))), F.lit(False))
+    return F.when(open_ended, False).otherwise(F.coalesce(let(items, lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == F.md5(j))), F.lit(False)))
 
 
 def _digest(j: Column) -> Column:
@@ -128,7 +130,7 @@ def stream_text(body: Column) -> Column:
     def said(firsts: Column) -> Column:
         text = F.array_join(F.flatten(F.transform(firsts, lambda c: F.coalesce(F.transform(_spoken(c["content"]["parts"]), lambda p: p["text"]), F.array().cast("array<string>")))), "")
         why = F.get(F.reverse(F.filter(F.transform(firsts, lambda c: c["finishReason"]), lambda r: r.rlike(r"\S"))), 0)
-        return F.when(why.isin("SAFETY", "RECITATION"), None).when(why == "MAX_TOKENS", let(text, recovered)).otherwise(or_null(text))
+        return let(why, lambda w: F.when(w.isin("SAFETY", "RECITATION"), None).when(w == "MAX_TOKENS", let(text, recovered)).otherwise(let(text, or_null)))
 
     return let(F.transform(F.from_json(body, f"array<{PAYLOAD}>"), lambda c: F.get(c["candidates"], 0)), said)
 
