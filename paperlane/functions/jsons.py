@@ -152,7 +152,7 @@ def chat_text(body: Column) -> Column:
 
     def said(content: Column) -> Column:
         parts = F.try_variant_get(content, "$", "array<struct<text:string>>")
-        return F.when(F.schema_of_variant(content).startswith("ARRAY"), or_null(F.array_join(F.transform(parts, lambda p: p["text"]), ""))).otherwise(F.try_variant_get(content, "$", "string"))
+        return F.when(F.schema_of_variant(content).startswith("ARRAY"), let(F.array_join(F.transform(parts, lambda p: p["text"]), ""), or_null)).otherwise(F.try_variant_get(content, "$", "string"))
 
     return let(F.try_variant_get(F.try_parse_json(body), "$.choices[0].message.content", "variant"), said)
 

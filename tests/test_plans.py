@@ -11,7 +11,7 @@ def spelled(spark, sf_dir, name, what):
     return len(re.findall(what, catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()))
 
 
-@pytest.mark.parametrize("name, quoted", [("json_sse_tokens", 1), ("json_sse", 1), ("json_all_parts", 2), ("json_stream_merge", 2), ("json_first_part", 2), ("json_last_part", 1)])
+@pytest.mark.parametrize("name, quoted", [("json_sse_tokens", 1), ("json_sse", 1), ("json_all_parts", 2), ("json_stream_merge", 2), ("json_first_part", 2), ("json_last_part", 1), ("json_chat", 1)])
 def test_a_reply_is_made_once(spark, sf_dir, name, quoted):
     assert spelled(spark, sf_dir, name, "StructsToJsonEvaluator") <= quoted
     assert not spelled(spark, sf_dir, name, "Join ")
