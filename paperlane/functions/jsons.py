@@ -56,7 +56,7 @@ def _values(v: Column, kind: Column) -> Column:
     """The values of a field as texts: an array's items, a scalar, one empty text for null; nothing of an object."""
     texts = F.transform(F.try_variant_get(v, "$", "array<string>"), lambda x: F.coalesce(x, F.lit("")))
     mixed = F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), _plain))
-    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), texts).when(kind.startswith("ARRAY"), mixed).when(kind.startswith("OBJECT"), F.array().cast(_NONE)).when(kind == "VOID", F.array(F.lit(""))).otherwise(F.array(_plain(v)))
+    return F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), texts).when(kind.startswith("ARRAY"), mixed).when(kind.startswith("OBJECT"), F.array().cast(_NONE)).when(kind == "VOID", F.array(F.lit(""))).otherwise(F.array(_plain(v)))
 
 
 def _field(v: Column, kind: Column) -> Column:
@@ -93,7 +93,7 @@ def text_of(x: Column) -> Column:
 
 def raw_of(x: Column) -> Column:
     """Values as they stand, sorted and distinct: [] where absent, [''] for null."""
-    return F.coalesce(F.array_sort(F.array_distinct(x["values"])), F.array().cast(_NONE))
+    return F.coalesce(F.sort_array(F.array_distinct(x["values"])), F.array().cast(_NONE))
 
 
 def recovered(j: Column) -> Column:

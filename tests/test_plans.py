@@ -15,3 +15,7 @@ def spelled(spark, sf_dir, name, what):
 def test_a_reply_is_made_once(spark, sf_dir, name, quoted):
     assert spelled(spark, sf_dir, name, "StructsToJsonEvaluator") <= quoted
     assert not spelled(spark, sf_dir, name, "Join ")
+
+
+def test_consistency_collects_no_runs(spark, sf_dir):
+    assert not spelled(spark, sf_dir, "agg_consistency", "collect_list")
