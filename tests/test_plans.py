@@ -19,3 +19,7 @@ def test_a_reply_is_made_once(spark, sf_dir, name, quoted):
 
 def test_consistency_collects_no_runs(spark, sf_dir):
     assert not spelled(spark, sf_dir, "agg_consistency", "collect_list")
+
+
+def test_exported_rows_are_scored_once(spark, sf_dir):
+    assert spelled(spark, sf_dir, "prj_export_rows", "JsonToStructs") == spelled(spark, sf_dir, "eval_bundle", "JsonToStructs")
