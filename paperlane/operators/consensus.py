@@ -15,18 +15,22 @@ def candidates(runs: DataFrame, existing: DataFrame) -> DataFrame:
     return done.groupBy("invoice_id").agg(F.countDistinct("model_name").alias("models")).filter("models >= 2").join(existing.select("invoice_id"), "invoice_id", "left_anti")
 
 
+def _keyed_firsts(runs: DataFrame) -> DataFrame:
+    return runs.filter((F.col("run_number") == 1) & (F.upper("status") == "COMPLETED")).withColumn("key", T.model_key(F.col("model_name"))).filter("key is not null")
+
+
 def first_runs(runs: DataFrame) -> DataFrame:
     """One completed first run a document and model key; of several names with one key the least. Adds ``key``."""
-    rows = runs.filter((F.col("run_number") == 1) & (F.upper("status") == "COMPLETED")).withColumn("key", T.model_key(F.col("model_name"))).filter("key is not null")
+    rows = _keyed_firsts(runs)
     return rows.groupBy("invoice_id", "key").agg(F.min_by(F.struct(*[c for c in runs.columns if c != "invoice_id"]), "model_name").alias("x")).select("invoice_id", "x.*", "key")
 
 
-def ballots(firsts: DataFrame) -> DataFrame:
-    """invoice_id and, of each first run, arrays of its distinct normalised values: invoice_no, date, amount, company. One parse a row, none if they are parsed already."""
+def ballots(firsts: DataFrame, *more: str) -> DataFrame:
+    """invoice_id, columns asked for besides and, of each first run, arrays of its distinct normalised values: invoice_no, date, amount, company. One parse a row, none if they are parsed already."""
     rows = firsts if "field_DATE" in firsts.columns else jsons.with_fields(firsts)
     number = F.array_compact(F.array(T.invoice_no(jsons.text_of(F.col("field_INVOICE_NO")))))
     values = [F.array_distinct(F.array_compact(F.transform(jsons.set_of(F.col(f"field_{f}")), _NORMAL[f]))).alias(f.lower()) for f in jsons.FIELDS]
-    return rows.select("invoice_id", number.alias("invoice_no"), *values)
+    return rows.select("invoice_id", *more, number.alias("invoice_no"), *values)
 
 
 def votes(firsts: DataFrame) -> DataFrame:
@@ -40,10 +44,12 @@ def consensus(runs: DataFrame) -> DataFrame:
     """invoice_id, consensus_invoice_no, _dates, _amounts, _companies (comma-joined, sorted), models_agreed, fields_with_consensus.
 
     Documents with fewer than two models, or without any agreed field, have no row. A document's ballots
-    are a few short arrays: they meet once, by document, and votes are counted there.
+    are a few short arrays: they meet once, by document, and there names with one key are told apart and votes counted.
     """
     names = ("invoice_no", "date", "amount", "company")
-    met = ballots(first_runs(runs)).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("models_agreed"), *[F.flatten(F.collect_list(c)).alias(c) for c in names]).filter("models_agreed >= 2")
+    cast = ballots(_keyed_firsts(runs), "key", "model_name").groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("key", "model_name", *names))).alias("all"))
+    least = F.filter("all", lambda b, k: (k == 0) | (F.get("all", k - 1)["key"] != b["key"]))
+    met = cast.select("invoice_id", least.alias("all")).select("invoice_id", F.size("all").cast("long").alias("models_agreed"), *[F.flatten(F.col("all")[c]).alias(c) for c in names]).filter("models_agreed >= 2")
 
     def agreed(c: str) -> Column:
         return F.filter(F.array_distinct(c), lambda v: F.size(F.filter(c, lambda x: x == v)) >= T.majority(F.col("models_agreed")))
